@@ -1,0 +1,112 @@
+"""URL filters: rules by host and path, then logistic regression on hashed character n-grams.
+
+The model is trained on the driver from a small labelled table of URLs (LABELLED, or a parameter);
+its weights are one fixed-size vector.  n-grams of the host (with its ends marked) and of the path's
+words have separate hash spaces.
+
+Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased.  Path: from there up to `?`,
+`#` or the end.  A rule (host, path, verdict) fits its host and all subdomains where the path starts
+with the rule's; the longest rule wins (longest host and path together, then host, then the text).
+
+Defined cases: a null URL or one without `://` has an empty host and path, fits no rule and is
+allowed; repeated rows get equal results; an empty table gives an empty result; extra columns are not
+looked at.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small_batches
+
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+SIZE = 1 << 16
+
+UNWANTED = "cheap-meds buy-pills discount-pills best-casino casino-royal win-casino free-bets-club sports-bets online-poker lucky-slots win-money free-money ads-server click-ads track-click ad-track banner-ads adult-video adult-chat xxx-cams hot-adult spam-mail link-farm spam-links free-spam cheap-loans payday-loans viagra-shop replica-watch get-rich-fast malware-host phish-login".split()
+ORDINARY = "news library university museum garden science history weather recipes travel school council hospital bookshop theatre music forum stories archive research thorn thread theory other nation rent shed station mention honest noble thing ether lather rather author anthem within whether heather tether bother leather than then thin this that there where three throne thrush threat thrill length tenth month south health wealth ledger stone onion inner ending reason edition heron shore".split()
+#: (url, 1 to block): common names of unwanted and of ordinary sites, under the reserved example domains.
+LABELLED = tuple(
+    (f"https://{before}{name}.example.{top}/{path}", y)
+    for y, names in ((1, UNWANTED), (0, ORDINARY))
+    for name in names
+    for before, top, path in (("", "com", "en/17"), ("www.", "net", "de/220.html"), ("m.", "org", "fr/8#top"), ("blog.", "com", "es/3?page=2"))
+)
+
+
+def split_url(url: str | None) -> tuple[str, str]:
+    """(host, path)."""
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
+    host, path = rest[:end], rest[end:]
+    stop = min((i for i in map(path.find, "?#") if i >= 0), default=len(path))
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path[:stop]
+
+
+def grams(host: str, path: str, size: int = SIZE) -> np.ndarray:
+    """Distinct hashed 3- to 5-grams of the host and 3-grams of the path's letters."""
+    import xxhash
+
+    marked = f"^{host}$"
+    found = {f"h{marked[i : i + n]}" for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+    found |= {f"p{path[i : i + 3]}" for i in range(len(path) - 2)}
+    return np.array(sorted({xxhash.xxh64_intdigest(g) % size for g in found}), np.int64)
+
+
+def train(labelled: Sequence[tuple[str, int]] = LABELLED, size: int = SIZE, rounds: int = 1000, rate: float = 8.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights and, last, the bias, by full-batch gradient descent: always the same for the same table."""
+    rows = [grams(*split_url(u), size) for u, _ in labelled]
+    y = np.array([b for _, b in labelled], float)
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    scale = 1 / np.sqrt([max(1, len(r)) for r in rows])
+    w = np.zeros(size + 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(np.bincount(at, w[flat], len(rows)) * scale + w[size])))
+        g = (p - y) / len(y)
+        w[:size] -= rate * (np.bincount(flat, (g * scale)[at], size) + decay * w[:size])
+        w[size] -= rate * g.sum()
+    return w
+
+
+def probability(w: np.ndarray, host: str, path: str) -> float:
+    """That the URL is to be blocked."""
+    if not host:
+        return 0.0
+    x = grams(host, path, len(w) - 1)
+    z = (w[x].sum() / np.sqrt(max(1, len(x))) if len(x) else 0.0) + w[-1]
+    return float(1 / (1 + np.exp(-z)))
+
+
+def longest_rule(rules: Sequence[tuple[str, str, str]], host: str, path: str) -> tuple[str, str] | None:
+    """(rule, verdict) of the longest rule that fits."""
+    fit = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fit)[2:] if fit else None
+
+
+def _judge(weights: np.ndarray, rules: Sequence[tuple[str, str, str]], block_from: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for url in batch.column(1).to_pylist():
+                host, path = split_url(url)
+                p = probability(weights, host, path)
+                rule = longest_rule(rules, host, path)
+                out.append((host, path, rule and rule[0], rule[1] if rule else "block" if p >= block_from else "allow", p))
+            cols = [pa.array([r[i] for r in out], pa.float64() if i == 4 else pa.string()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["page_id", "host", "path", "rule", "verdict", "block_probability"])
+
+    return run
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED, block_from: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule, verdict, block_probability of every row of pages."""
+    small_batches(pages.sparkSession, 4096)
+    d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    return d.mapInArrow(_judge(train(labelled), tuple(rules), block_from), f"page_id {dict(d.dtypes)['page_id']}, host string, path string, rule string, verdict string, block_probability double")
