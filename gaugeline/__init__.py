@@ -1,0 +1 @@
+"""Gaugeline: multi-tenant usage metering on Spark."""
