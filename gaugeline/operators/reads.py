@@ -63,15 +63,15 @@ def group_keys(spec: Spec) -> list[str]:
     return ["metric", *(["bucket"] if spec.interval else []), *spec.dims]
 
 
-def grouped_branch(df: DataFrame, kind: str, tenant: str | None, spec: Spec, window: Window | None = None, value: Column | None = None) -> DataFrame:
-    """metric[, bucket][, dims], value: unordered, so that branches may be added up."""
-    rows = filtered(df, tenant, spec, window)
+def groups(df: DataFrame, kind: str, tenant: str | None, spec: Spec) -> DataFrame:
+    """metric[, bucket][, dims], value: unordered."""
+    rows = filtered(df, tenant, spec)
     if spec.interval:
         rows = rows.withColumn("bucket", bucket(F.col("time"), spec.interval))
-    return rows.groupBy(*group_keys(spec)).agg((value_of(kind, spec.aggregate) if value is None else value).alias("value"))
+    return rows.groupBy(*group_keys(spec)).agg(value_of(kind, spec.aggregate).alias("value"))
 
 
-def finish_grouped(groups: DataFrame, spec: Spec) -> DataFrame:
+def finish_grouped(df: DataFrame, spec: Spec) -> DataFrame:
     """Order, page and name the columns: metric, value[, time][, dims]. Ties follow the group keys."""
     keys = group_keys(spec)
     if spec.orders:
@@ -79,13 +79,13 @@ def finish_grouped(groups: DataFrame, spec: Spec) -> DataFrame:
     else:
         orders = [("bucket", False)] if spec.interval else [("value", True)]
     orders += [(k, False) for k in keys if k not in [a for a, _ in orders]]
-    paged = _page(_sorted(groups, orders), spec)
+    paged = _page(_sorted(df, orders), spec)
     return paged.select("metric", "value", *([F.col("bucket").alias("time")] if spec.interval else []), *spec.dims)
 
 
 def find_grouped(df: DataFrame, kind: str, tenant: str | None, spec: Spec) -> DataFrame:
     check(spec, kind)
-    return finish_grouped(grouped_branch(df, kind, tenant, spec), spec)
+    return finish_grouped(groups(df, kind, tenant, spec), spec)
 
 
 def count_rows(df: DataFrame, kind: str, tenant: str | None, spec: Spec, most: int | None = None) -> DataFrame:
@@ -106,12 +106,12 @@ def total(df: DataFrame, kind: str, tenant: str | None, spec: Spec, aggregate: s
 
 def totals(df: DataFrame, kind: str, tenant: str | None, metrics: list[str], spec: Spec) -> DataFrame:
     """metric, total, found: a row for each asked metric, 0 where nothing matches."""
-    groups = filtered(df, tenant, spec).where(F.col("metric").isin(*metrics)) if metrics else filtered(df, tenant, spec).where(F.lit(False))
-    return with_missing(groups.groupBy("metric").agg(value_of(kind, None).alias("total")), metrics)
+    rows = filtered(df, tenant, spec).where(F.col("metric").isin(*metrics) if metrics else F.lit(False))
+    return with_missing(rows.groupBy("metric").agg(value_of(kind, None).alias("total")), metrics)
 
 
-def with_missing(groups: DataFrame, metrics: list[str]) -> DataFrame:
+def with_missing(found: DataFrame, metrics: list[str]) -> DataFrame:
     # the asked names come from the caller, not from the data
-    asked = groups.sparkSession.createDataFrame([(m,) for m in dict.fromkeys(metrics)], "metric string")
-    joined = asked.join(groups, "metric", "left")
+    asked = found.sparkSession.createDataFrame([(m,) for m in dict.fromkeys(metrics)], "metric string")
+    joined = asked.join(found, "metric", "left")
     return joined.select("metric", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"), F.col("total").isNotNull().alias("found"))

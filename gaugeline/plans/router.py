@@ -42,12 +42,12 @@ def sum_route(spec: Spec, now: datetime, uncovered_days=frozenset()) -> Route:
     return Route(win.label(w, c, now), c, tuple(rest))
 
 
-def _pieces(route: Route, spec: Spec, raw: DataFrame, rollup: DataFrame, build) -> DataFrame:
+def _rows(route: Route, tenant: str | None, spec: Spec, raw: DataFrame, rollup: DataFrame, columns: list[str]) -> DataFrame:
+    """Rollup rows of the interior and raw rows of the edges: one union, so that one aggregate folds them all."""
     rest = replace(spec, filters=route.rest)
-    parts = [build(rollup, rest, route.cover.interior), *(build(raw, rest, e) for e in route.cover.edges)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = reads.filtered(rollup, tenant, rest, route.cover.interior).select(*columns)
+    for e in route.cover.edges:
+        out = out.unionByName(reads.filtered(raw, tenant, rest, e).select(*columns))
     return out
 
 
@@ -55,17 +55,15 @@ def routed_sum(route: Route, tenant: str | None, spec: Spec, raw: DataFrame, dai
     """One row, total."""
     if route.cover is None:
         return reads.total(raw, schema.EVENT, tenant, spec, "sum").select("total")
-    parts = _pieces(route, spec, raw, daily, lambda df, s, w: reads.filtered(df, tenant, s, w).agg(F.sum("value").alias("v")))
-    return parts.agg(F.coalesce(F.sum("v"), F.lit(0).cast("bigint")).alias("total"))
+    return _rows(route, tenant, spec, raw, daily, ["value"]).agg(F.coalesce(F.sum("value"), F.lit(0).cast("bigint")).alias("total"))
 
 
 def routed_totals(route: Route, tenant: str | None, metrics: list[str], spec: Spec, raw: DataFrame, daily: DataFrame) -> DataFrame:
     """metric, total, found for each asked metric."""
     if route.cover is None:
         return reads.totals(raw, schema.EVENT, tenant, metrics, spec)
-    asked = F.col("metric").isin(*metrics)
-    parts = _pieces(route, spec, raw, daily, lambda df, s, w: reads.filtered(df, tenant, s, w).where(asked).groupBy("metric").agg(F.sum("value").alias("v")))
-    return reads.with_missing(parts.groupBy("metric").agg(F.sum("v").alias("total")), metrics)
+    rows = _rows(route, tenant, spec, raw, daily, ["metric", "value"]).where(F.col("metric").isin(*metrics))
+    return reads.with_missing(rows.groupBy("metric").agg(F.sum("value").alias("total")), metrics)
 
 
 def hourly_route(spec: Spec, kind: str, hourly_dims) -> Route:
@@ -87,10 +85,10 @@ def hourly_route(spec: Spec, kind: str, hourly_dims) -> Route:
 def routed_groups(route: Route, kind: str, tenant: str | None, spec: Spec, raw: DataFrame, hourly: Mapping[str, DataFrame]) -> DataFrame:
     """The grouped read by its route."""
     if route.cover is None:
-        return reads.finish_grouped(reads.grouped_branch(raw, kind, tenant, spec), spec)
-    parts = _pieces(route, spec, raw, hourly[route.dim], lambda df, s, w: reads.grouped_branch(df, kind, tenant, s, w))
-    groups = parts.groupBy(*reads.group_keys(spec)).agg(F.sum("value").alias("value"))
-    return reads.finish_grouped(groups, spec)
+        return reads.finish_grouped(reads.groups(raw, kind, tenant, spec), spec)
+    rows = _rows(route, tenant, spec, raw, hourly[route.dim], ["metric", "time", "value", *spec.dims])
+    plain = replace(spec, filters=())
+    return reads.finish_grouped(reads.groups(rows, kind, None, plain), plain)
 
 
 def latest_route(spec: Spec, kind: str, slates) -> tuple[str, ...] | None:

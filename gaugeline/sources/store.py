@@ -180,7 +180,7 @@ class Store:
         for name, rollup in self._rollups(kind):
             if kind == schema.GAUGE:  # a latest value may have moved to another month
                 whole = self.read(base)
-                self._swap(name, rollup(whole), sorted({*self.months(name), *months}))
+                self._swap(name, rollup(whole), sorted({*self.months(name), *self.months(base)}))
                 continue
             source = left
             if name == "events_daily" and (bare := self.uncovered_days()):
