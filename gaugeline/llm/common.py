@@ -47,6 +47,15 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def dealt_anew(col: str) -> F.Column:
+    """The column as an expression that the planner doesn't take for the one an aggregate is dealt by.
+
+    A join on it gets a shuffle of its own on either side, as Spark needs to split a hot key: it
+    leaves a side that comes straight from an aggregate whole, and so the other one too.
+    """
+    return F.when(F.col(col).isNotNull(), F.col(col))
+
+
 def hex64(col) -> F.Column:
     """A signed 64-bit hash as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))

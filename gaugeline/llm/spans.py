@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle_table, small_batches
+from .common import dealt_anew, settle_table, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]*+[.!?\n]+[\W_]*|[^.!?\n]+")
 
@@ -96,7 +96,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = dict(keyed.dtypes)["doc_id"]
     spans = settle_table(keyed.mapInArrow(_spans(sentences, words), f"doc_id {id_type}, key long, h long, i int, j int"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "i")
-    first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("fh"), "first")
+    first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(dealt_anew("h").alias("fh"), "first")
     again = spans.join(first, F.col("h") == F.col("fh")).where(place != F.col("first"))
     # neighbouring spans overlap; a document's runs are at most its sentences
     runs = again.groupBy("doc_id", "key").agg(F.collect_set(F.struct("i", "j")).alias("span_runs")).select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "span_runs")
