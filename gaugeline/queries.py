@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .engine import Usage
 from .operators import reads, rollups, samples
 from .plans import query as q
-from .sources import canonical
+from .sources import canonical, synthetic
 from .sources.canonical import EV_SQL, SM_SQL
 from .sources.store import Store
+from .sources.tables import Frames
 from .streaming.rollup import read_daily, stream_daily
 
 LO, HI = "2024-01-03 10:37:21.456", "2024-01-20 04:14:03.789"
@@ -164,6 +165,9 @@ _add("samples_gaps", f"{_CANON} SELECT coalesce(before, -1) + 1 AS gap_first, se
 _add("samples_discontinuities", f"{_CANON} SELECT sequence FROM ok WHERE intervalStart <> coalesce(ended, timestamp '2026-08-01 00:00:00') OR (following IS NULL AND intervalEnd <> timestamp '2026-08-01 03:20:00')", lambda s, d: samples.discontinuities(_ledger(s, d).where("not conflict"), SM_START, SM_END))
 
 
+_add("bulk_synthetic_topn", "WITH b AS (SELECT '/v1/p' || (i % 1000) AS path, i % 1000 + 1 AS value, timestamp '2026-06-01' + to_seconds((i * 104729) % 2592000) AS time FROM range(200000) r(i)) SELECT 'requests' AS metric, CAST(sum(value) AS BIGINT) AS value, path, 'event' AS type FROM b WHERE time >= timestamp '2026-06-03 10:20:30' AND time < timestamp '2026-06-20' GROUP BY path ORDER BY value DESC, path LIMIT 25", lambda s, d: Usage(Frames(e := synthetic.events(s, 200_000, datetime(2026, 6, 1)), e)).find_df("1", [q.group_by("path"), q.greater_than_equal("time", "2026-06-03 10:20:30"), q.less_than("time", "2026-06-20"), q.limit(25)], "event"))
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder of our own: in the cluster's shared checkpoint folder, or a temporary one where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -324,3 +324,28 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: tuple(map(str, r))
     got = read_daily(spark, f"{tmp_path}/out")
     assert sorted(map(key, got.collect())) == sorted(map(key, rollups.daily(ev).select(*got.columns).collect()))
+
+
+def test_fold_and_normalise_columns(spark):
+    from gaugeline.operators.ingest import columns_of, fold, normalised, validate_row
+
+    df = spark.createDataFrame([("1", "m", 1, datetime(2026, 6, 2), "1", "DE"), ("2", "m", -4, datetime(2026, 6, 1), "1", "DE"), ("3", "m", 7, datetime(2026, 6, 1), "1", "")], "id string, metric string, value long, time timestamp_ntz, tenant string, country string")
+    folded = fold(df.withColumn("country", normalised("country", F.col("country")))).orderBy("value").collect()
+    assert [(r["country"], r["value"], r["time"]) for r in folded] == [("de", -3, datetime(2026, 6, 1)), (None, 7, datetime(2026, 6, 1))]
+    got = columns_of({"status": True, "service": False, "path": 1.0, "ip": [1], "region": "EU"}, "event")
+    assert (got["status"], got["service"], got["path"], got["ip"], got["region"], len(got)) == ("1", "", "1", None, "eu", 47)
+    validate_row({"metric": "m", "value": 1, "time": "2026-06-01", "path": "x" * 1024})
+    for bad in ({"value": 1}, {"metric": "m", "value": 1, "country": "deu"}, {"metric": "m", "value": 1, "time": "soon"}, {"metric": "m", "value": 1, "method": "é" * 9}):
+        with pytest.raises(ValueError):
+            validate_row(bad)
+    for bad in ({"metric": "m", "value": "1"}, {"metric": 1, "value": 1}):
+        with pytest.raises(TypeError):
+            validate_row(bad)
+
+
+def test_rendered_rows():
+    from gaugeline.functions.render import api_row
+
+    assert api_row({"id": "7", "time": datetime(2026, 6, 1, 2, 3, 4, 5000)}) == {"$id": "7", "time": "2026-06-01T02:03:04.005+00:00"}
+    assert api_row({"time": datetime(2026, 6, 1)}, "1h") == {"time": "2026-06-01T00:00:00+00:00"}
+    assert api_row({"time": datetime(2026, 6, 1)}, "1M") == {"time": "2026-06-01+00:00"}
