@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import dealt_anew, settle
 
 
 def _low(edges: DataFrame) -> DataFrame:
     """node -> least of itself and its neighbours."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("n"), F.least("u", "m").alias("m"))
 
 
 def _both(edges: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@
    densification).  Each band of `rows` bins is a bucket key.
 3. Candidate edges are stars: within a bucket every member is paired with one centre, so a bucket of
    m members gives m - 1 pairs.  Pairs are confirmed on the full sets.
-4. A star can miss a link between two members that its centre lacks.  Buckets whose members are then
-   still in several components are compared in blocks: the members outside the bucket's largest
-   component against all members, where only confirmed links leave a task.  So every linked pair
-   that shares a bucket ends in one component; at similarity 0.8, with 32 bands of 4 rows, a pair
-   shares none with a probability of about 5e-8.
+4. A star can miss a link between two members that its centre lacks.  Buckets of which the members are
+   then still in several components are looked at again: all members outside a bucket's largest
+   component, gathered by that component over all such buckets, are compared with its members
+   there and with one another, in blocks of bounded size; only links that join components leave a
+   task.  So every linked pair that shares a bucket ends in one component; at similarity 0.8, with 32
+   bands of 4 rows, a pair shares none with a probability of about 5e-8.
 
 Nothing is capped: a bucket of any size is a join that Spark may split, and blocks of bounded size.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, settle_table, small_batches
+from .common import dealt_anew, settle, settle_table, small_batches, tidy
 from .components import connected_components
 
 BASE = 0x9E3779B97F4A7C55
@@ -180,35 +181,40 @@ def _confirmer(percent: int):
     return run
 
 
-def _block_pairs(percent: int, bands: int, rows: int):
-    """One (bucket, block of outsiders, block of members): the linked pairs of different components.
+def _block_links(percent: int, bins: int):
+    """One (main component, block of outsiders, block of all): links that join components not yet joined.
 
-    A pair is looked at in the first band that it shares only.  The signatures' estimate spares the
-    full comparison where it is 6 standard deviations below the threshold.
+    Pairs are tried in the order of their signatures' estimate, down to 5 standard deviations below
+    the threshold.
     """
-    k = bands * rows
     t = percent / 100
-    least = k * t - 6 * (k * t * (1 - t)) ** 0.5
+    least = bins * t - 5 * (bins * t * (1 - t)) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
         d = table.to_pydict()
         out = [i for i, x in enumerate(d["outsider"]) if x]
         members = [i for i, x in enumerate(d["outsider"]) if not x]
+        parent: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
         links: tuple[list, list] = ([], [])
         if out and members:
-            band = d["band"][0]
-            sets = {i: np.frombuffer(d["set"][i], np.uint64) for i in (*out, *members)}
             sig = np.stack([np.frombuffer(d["sig"][i], np.uint16) for i in members])
-            ids, comps = np.array([d["digest"][i] for i in members], object), np.array([d["component"][i] for i in members], object)
-            key = np.stack([np.array(d["keys"][i], np.int64) for i in members])
+            sets = {i: np.frombuffer(d["set"][i], np.uint64) for i in (*out, *members)}
             for i in out:
-                s, mine = np.frombuffer(d["sig"][i], np.uint16), np.array(d["keys"][i], np.int64)
-                same = key == mine
-                maybe = ((sig == s).sum(1) >= least) & (same.argmax(1) == band) & (comps != d["component"][i])
-                for j in np.flatnonzero(maybe):
-                    if _linked(sets[i], sets[members[j]], percent):
+                alike = (sig == np.frombuffer(d["sig"][i], np.uint16)).sum(1)
+                near = np.flatnonzero(alike >= least)
+                for j in near[np.argsort(-alike[near], kind="stable")]:
+                    m = members[j]
+                    a, b = find(d["component"][i]), find(d["component"][m])
+                    if a != b and _linked(sets[i], sets[m], percent):
+                        parent[a] = b
                         links[0].append(d["digest"][i])
-                        links[1].append(ids[j])
+                        links[1].append(d["digest"][m])
         return pa.table({"u": pa.array(links[0], pa.binary()), "v": pa.array(links[1], pa.binary())})
 
     return run
@@ -223,23 +229,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(texts.dtypes)["doc_id"]
-    first = texts.mapInArrow(_sketcher(words, bands, rows, False), f"doc_id {id_type}, n long, digest binary, bands array<bigint>")
+    first = texts.mapInArrow(tidy(_sketcher(words, bands, rows, False)), f"doc_id {id_type}, n long, digest binary, bands array<bigint>")
     sketch = settle_table(first)
     classes = sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     classes = settle_table(classes)
 
     bucketed = classes.select("digest", F.posexplode("bands").alias("band", "key"))
-    shared = bucketed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = bucketed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", dealt_anew("key").alias("key"))
     members = settle_table(bucketed.join(shared, ["band", "key"]).select("digest", "band", "key"))
-    wanted = settle_table(members.select("digest").distinct().join(classes, "digest").select("digest", "doc_id", "bands"))
+    wanted = settle_table(members.select("digest").distinct().join(classes, "digest").select("digest", "doc_id"))
 
     source = texts.join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = source.mapInArrow(_sketcher(words, bands, rows, True), "n long, digest binary, set binary, sig binary")
-    sets = settle_table(sets.join(wanted.select("digest", "bands"), "digest").dropDuplicates(["digest"]))
+    sets = source.mapInArrow(tidy(_sketcher(words, bands, rows, True)), "n long, digest binary, set binary, sig binary")
+    sets = settle_table(sets.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
 
     # stars: each bucket has a centre of its own, least by a hash of member and bucket
     order = F.struct(F.xxhash64("digest", "band", "key"), F.col("digest"))
-    centres = members.groupBy("band", "key").agg(F.min_by("digest", order).alias("v"))
+    centres = members.groupBy("band", "key").agg(F.min_by("digest", order).alias("v")).select("band", dealt_anew("key").alias("key"), "v")
     stars = members.join(centres, ["band", "key"]).where("digest <> v")
     stars = stars.select(F.greatest("digest", "v").alias("u"), F.least("digest", "v").alias("v")).distinct()
     links = settle(_confirm(stars, sets, percent))
@@ -250,15 +256,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("band", "key").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
     # a bucket of two was settled by its star
-    split = main.where("parts > 1 and members > 2").select("band", "key", "members", "main")
-    around = placed.join(split, ["band", "key"]).withColumn("is_out", F.col("component") != F.col("main"))
-    outs = around.groupBy("band", "key").agg(F.sum(F.col("is_out").cast("long")).alias("outs"))
-    around = around.join(outs, ["band", "key"]).withColumn("out_blocks", F.ceil(F.col("outs") / block).cast("int")).withColumn("all_blocks", F.ceil(F.col("members") / block).cast("int"))
-    slot = F.xxhash64(F.col("digest"))
+    split = main.where("parts > 1 and members > 2").select("band", dealt_anew("key").alias("key"), "main")
+    # outsiders of any bucket with the same main component, and what of that component is in those buckets
+    around = settle(placed.join(split, ["band", "key"]).select("main", "digest", "component").distinct())
+    is_out = F.col("component") != F.col("main")
+    sizes = around.groupBy("main").agg(F.ceil(F.sum(is_out.cast("long")) / block).cast("int").alias("out_blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("all_blocks"))
+    around = around.join(sizes.select(dealt_anew("main").alias("main"), "out_blocks", "all_blocks"), "main")
+    slot = F.xxhash64("digest")
     as_member = around.select("*", F.lit(False).alias("outsider"), F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("i"), F.pmod(slot, "all_blocks").cast("int").alias("j"))
-    as_out = around.where("is_out").select("*", F.lit(True).alias("outsider"), F.pmod(slot, "out_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"))
-    pairs = as_member.union(as_out).select("band", "key", "i", "j", "outsider", "digest", "component").join(sets.select("digest", "set", "sig", F.col("bands").alias("keys")), "digest")
-    more = pairs.groupBy("band", "key", "i", "j").applyInArrow(_block_pairs(percent, bands, rows), "u binary, v binary")
+    as_out = around.where(is_out).select("*", F.lit(True).alias("outsider"), F.pmod(slot, "out_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"))
+    met = as_member.union(as_out).select("main", "i", "j", "outsider", "digest", "component").join(sets.select("digest", "set", "sig"), "digest")
+    more = met.groupBy("main", "i", "j").applyInArrow(_block_links(percent, bands * rows), "u binary, v binary")
     links = links.union(settle(more))
 
     comps = connected_components(links)
@@ -274,7 +282,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("digest").alias("u"), F.col("set").alias("set_u"))
     b = sets.select(F.col("digest").alias("v"), F.col("set").alias("set_v"))
     both = pairs.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v")
-    return both.mapInArrow(_confirmer(percent), "u binary, v binary")
+    return both.mapInArrow(tidy(_confirmer(percent)), "u binary, v binary")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
