@@ -34,6 +34,7 @@ class Usage:
         self._now = now or (lambda: datetime.now(UTC).replace(tzinfo=None))
         self._log: deque[dict[str, Any]] = deque(maxlen=1000)
         self._next_id: str | None = None
+        self._stats = {"queries": 0, "rows": 0}
 
     # -- tables
 
@@ -68,16 +69,21 @@ class Usage:
         """Describe the next action's jobs by this name."""
         self._next_id = name
 
+    def get_stats(self) -> dict[str, int]:
+        """Queries run and rows fetched so far."""
+        return dict(self._stats)
+
     def _collect(self, df: DataFrame) -> list:
         sc = df.sparkSession.sparkContext
         name, self._next_id = self._next_id, None
-        if name is None:
-            return df.collect()
         sc.setJobDescription(name)
         try:
-            return df.collect()
+            rows = df.collect()
         finally:
             sc.setJobDescription(None)
+        self._stats["queries"] += 1
+        self._stats["rows"] += len(rows)
+        return rows
 
     def _tenant(self, tenant: str | None) -> str | None:
         check_tenant(tenant)
@@ -96,6 +102,11 @@ class Usage:
             self.store.append(f, kind)
         return True
 
+    def add_frame(self, df: DataFrame, kind: str, allow_negative: bool = False) -> bool:
+        """Append a DataFrame of any size; all of it is checked first."""
+        self.store.append(ingest.from_frame(df, kind, self.shared, allow_negative, self._now()), kind)
+        return True
+
     def accumulator(self) -> ingest.Accumulator:
         return ingest.Accumulator(self)
 

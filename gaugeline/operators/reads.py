@@ -9,7 +9,7 @@ from .. import schema
 from ..functions.buckets import bucket
 from ..functions.predicates import after_cursor, all_of, check_tenant, in_window
 from ..plans.query import Spec, check
-from ..plans.window import Window
+from ..plans.window import TICK, Window, reduce_window
 
 
 def scoped(df: DataFrame, tenant: str | None) -> DataFrame:
@@ -23,7 +23,20 @@ def filtered(df: DataFrame, tenant: str | None, spec: Spec, window: Window | Non
     p = all_of(spec.filters)
     df = df if p is None else df.where(p)
     w = in_window(window) if window else None
-    return df if w is None else df.where(w)
+    return in_months(df if w is None else df.where(w), spec, window)
+
+
+def in_months(df: DataFrame, spec: Spec, window: Window | None) -> DataFrame:
+    """Prune the month partitions of a stored table to those that the time bounds allow."""
+    reduced = reduce_window(spec.filters)
+    if "month" not in df.columns or (reduced is None and window is None):
+        return df
+    bounds = [w for w in (reduced and reduced[0], window) if w]
+    for lo in (w.lo for w in bounds if w.lo is not None):
+        df = df.where(F.col("month") >= f"{lo:%Y-%m}")
+    for hi in (w.hi for w in bounds if w.hi is not None):
+        df = df.where(F.col("month") <= f"{hi - TICK:%Y-%m}")
+    return df
 
 
 def value_of(kind: str, aggregate: str | None) -> Column:

@@ -12,6 +12,8 @@ from .. import schema
 from ..functions.buckets import bucket
 from ..functions.predicates import literal
 from ..plans.query import Spec
+from ..plans.window import TICK
+from ..plans.window import Window as Span
 from .reads import filtered, value_of
 
 STEPS = {"1h": "INTERVAL 1 HOUR", "1d": "INTERVAL 1 DAY"}
@@ -25,7 +27,7 @@ def check_interval(interval: str) -> None:
 def buckets(df: DataFrame, kind: str, tenant: str | None, metrics: list[str], interval: str, start: datetime, end: datetime, spec: Spec) -> DataFrame:
     """metric, bucket, value of the points with start <= time <= end."""
     check_interval(interval)
-    rows = filtered(df, tenant, spec).where(F.col("metric").isin(*metrics) & F.col("time").between(literal("time", start), literal("time", end)))
+    rows = filtered(df, tenant, spec, Span(start, end + TICK)).where(F.col("metric").isin(*metrics))
     return rows.groupBy("metric", bucket(F.col("time"), interval).alias("bucket")).agg(value_of(kind, None).alias("value"))
 
 

@@ -267,6 +267,7 @@ def test_plans_push_filters(spark, tmp_path):
     u.add_batch([row("m", 1, "2026-06-01 10:30", service="s")], "event")
     plan = reads.total(u.store.read("events"), "event", "1", q.parse([q.equal("metric", "m"), q.greater_than_equal("time", "2026-06-01")]))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(time" in plan and "EqualTo(tenant,1)" in plan
+    assert "month" in plan.split("PartitionFilters:")[1].split("]")[0] and "2026-06" in plan.split("PartitionFilters:")[1].split("]")[0]
     schema = plan.split("ReadSchema:")[1]
     assert "path" not in schema and "value" in schema
     capped = reads.count_rows(u.store.read("events"), "event", "1", q.parse([]), 10)._jdf.queryExecution().executedPlan().toString()
@@ -349,3 +350,21 @@ def test_rendered_rows():
     assert api_row({"id": "7", "time": datetime(2026, 6, 1, 2, 3, 4, 5000)}) == {"$id": "7", "time": "2026-06-01T02:03:04.005+00:00"}
     assert api_row({"time": datetime(2026, 6, 1)}, "1h") == {"time": "2026-06-01T00:00:00+00:00"}
     assert api_row({"time": datetime(2026, 6, 1)}, "1M") == {"time": "2026-06-01+00:00"}
+
+
+def test_bulk_load(spark, tmp_path):
+    from gaugeline.sources import ndjson
+
+    (tmp_path / "in.json").write_text('{"metric":"m","value":5,"time":"2026-06-01T10:00:00","tenant":"1","country":"DE","path":""}\n{"metric":"m","value":7,"tenant":"1"}\n')
+    u = fresh(spark, tmp_path / "store")
+    df = ndjson.read(spark, str(tmp_path / "in.json"), "event")
+    u.add_frame(df, "event")
+    got = u.find("1", [q.order_asc("value")], "event")
+    assert [(r["value"], r["country"], r["path"], r["time"]) for r in got] == [(5, "de", None, datetime(2026, 6, 1, 10)), (7, None, None, NOW)]
+    assert len({r["id"] for r in got}) == 2 and u.sum_daily("1") == 12
+    for bad in (df.withColumn("value", F.lit(-1)), df.withColumn("metric", F.lit("")), df.withColumn("tenant", F.lit(None).cast("string")), df.drop("value"), df.withColumn("colour", F.lit("red")), df.withColumn("metric", F.repeat(F.lit("m"), 256))):
+        with pytest.raises(ValueError):
+            u.add_frame(bad, "event")
+    assert u.count("1") == 2 and u.get_stats()["queries"] >= 3
+    u.add_frame(df.withColumn("value", F.lit(-1)).select("metric", "value", "tenant"), "gauge", allow_negative=True)
+    assert u.get_total("1", "m", kind="gauge") == -1
