@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from .common import small_batches, tidy, worker_cache
 
 CHUNK = 32768
 OVERLAP = 512
@@ -124,7 +124,7 @@ def _tools(ranks: bytes, pattern: str):
         got = seen.get(piece)
         if got is None:
             got = core.encode_single_piece(piece.encode("utf-8", "replace"))
-            if len(piece) < 32 and len(seen) < 200_000:
+            if len(piece) < 32 and len(seen) < 50_000:
                 seen[piece] = got
         return got
 
@@ -154,31 +154,39 @@ def _encode_chunks(ranks, pattern: str):
     return run
 
 
-def _stitch_group(ranks, pattern: str):
+def _stitch_group(ranks, pattern: str, decoded: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, pat, encode_piece = _tools(ranks.value, pattern)
+        enc, pat, encode_piece = _tools(ranks.value, pattern)
         d = table.sort_by("k").to_pydict()
         chunks = [(a, t, np.frombuffer(e, "<i8").tolist(), np.frombuffer(c, "<i8").tolist(), np.frombuffer(i, "<u4")) for a, t, e, c, i in zip(d["at"], d["text"], d["ends"], d["counts"], d["ids"], strict=True)]
-        return pa.table({"key": pa.array([d["key"][0]], pa.string()), "ids": pa.array([stitch(chunks, pat, encode_piece).astype("<u4").tobytes()], pa.binary())})
+        ids = stitch(chunks, pat, encode_piece).astype("<u4")
+        out = {"bpe_key_": pa.array([d["key"][0]], pa.string()), "bpe_0_": pa.array([ids.tobytes()], pa.binary())}
+        if decoded:
+            out["bpe_1_"] = pa.array([enc.decode_bytes(ids.tolist())], pa.binary())
+        return pa.table(out)
 
     return run
 
 
-def _numbered(df: DataFrame) -> str:
-    """The columns' types under numbers, and one more binary column."""
-    return ", ".join(f"c{i} {kind}" for i, kind in enumerate([*(f.dataType.simpleString() for f in df.schema.fields), "binary"]))
+def _numbered(df: DataFrame, more: int = 1) -> str:
+    """The columns' types under numbers, and so many more binary columns."""
+    return ", ".join(f"c{i} {kind}" for i, kind in enumerate([*(f.dataType.simpleString() for f in df.schema.fields), *["binary"] * more]))
+
 
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, bytes_col: str | None = None) -> DataFrame:
+    """docs with the binary column ids_col and, if bytes_col is given, what the ids decode to.
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with the binary column ids_col."""
+    Decoding here, in the worker that encoded, spares a second worker with a vocabulary for each task.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(ranks)
     cols = docs.columns
     long = F.coalesce(F.char_length(F.col(text_col)) > chunk, F.lit(False))
-    fields = _numbered(docs)
+    new = [ids_col] if bytes_col is None else [ids_col, bytes_col]
     # the rows are numbered, not named, on the way, so that no column name can clash
-    short = docs.where(~long).mapInArrow(_encode_short(held, pattern, cols.index(text_col)), fields).toDF(*cols, ids_col)
+    on = [_encode_short(held, pattern, cols.index(text_col)), *[_decode(held, pattern)][: len(new) - 1]]
+    short = docs.where(~long).mapInArrow(tidy(_in_turn(on)), _numbered(docs, len(new))).toDF(*cols, *new)
     if len(set(cols)) != len(cols):
         raise ValueError("column names must differ")
     # equal texts are encoded once: their digest is the key under which the chunks meet
@@ -189,12 +197,23 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     at = F.greatest(F.lit(0), F.col("k") * chunk - overlap)
     end = (F.col("k") + 1) * chunk + overlap
     rows = rows.select("key", "k", "n", at.cast("long").alias("at"), F.substring("text", at + 1, end - at).alias("text"))
-    done = rows.repartition("key", "k").mapInArrow(_encode_chunks(held, pattern), "key string, k int, at long, text string, ends binary, counts binary, ids binary")
-    whole = done.groupBy("key").applyInArrow(_stitch_group(held, pattern), "key string, ids binary").select(F.col("key").alias("bpe_key_"), F.col("ids").alias("bpe_ids_"))
-    far = longs.join(whole, F.sha2(F.col(text_col), 256) == F.col("bpe_key_")).select(*[F.col(c) for c in cols], F.col("bpe_ids_").alias(ids_col))
+    done = rows.repartition("key", "k").mapInArrow(tidy(_encode_chunks(held, pattern)), "key string, k int, at long, text string, ends binary, counts binary, ids binary")
+    whole = done.groupBy("key").applyInArrow(_stitch_group(held, pattern, len(new) > 1), "bpe_key_ string, " + ", ".join(f"bpe_{i}_ binary" for i in range(len(new))))
+    far = longs.join(whole, F.sha2(F.col(text_col), 256) == F.col("bpe_key_")).select(*[F.col(c) for c in cols], *[F.col(f"bpe_{i}_").alias(c) for i, c in enumerate(new)])
     return short.union(far)
 
 
+def _in_turn(functions):
+    """Functions of batches, each on what the one before gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in functions:
+            batches = f(batches)
+        return batches
+
+    return run
+
+
 def _decode(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(ranks.value, pattern)
@@ -213,10 +232,10 @@ def decode(rows: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", by
     others = [c for c in rows.columns if c != ids_col]
     ordered = rows.select(*[F.col(c) for c in others], F.col(ids_col))
     fields = _numbered(ordered)
-    return ordered.mapInArrow(_decode(held, pattern), fields).toDF(*others, ids_col, bytes_col)
+    return ordered.mapInArrow(tidy(_decode(held, pattern)), fields).toDF(*others, ids_col, bytes_col)
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
-    out = decode(encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks, pattern)
+    out = encode(docs.select("doc_id", "text"), ranks, pattern, bytes_col="decoded")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 WIDTH = 64
 TILE_ROWS = 4096
@@ -151,7 +151,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_bytes, media: each text's padded bytes as NPY tiles of 8-bit samples."""
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(_store, f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, media binary")
+    return d.mapInArrow(tidy(_store), f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(stored: DataFrame) -> DataFrame:
     """What store_texts stored, read back: digests and the difference hash."""
     kind = dict(stored.dtypes)["doc_id"]
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read_back, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_read_back), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _columns(height: int, width: int):
@@ -192,4 +192,4 @@ def media_columns(images: DataFrame, id_col: str = "id", data_col: str = "data",
     """id, height, width, tile (the image area-resized, as NPY), dhash, error of each image."""
     small_batches(images.sparkSession)
     d = images.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"))
-    return d.mapInArrow(_columns(height, width), f"id {dict(d.dtypes)['id']}, height int, width int, tile binary, dhash string, error string")
+    return d.mapInArrow(tidy(_columns(height, width)), f"id {dict(d.dtypes)['id']}, height int, width int, tile binary, dhash string, error string")

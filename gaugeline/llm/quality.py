@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 PAIRS = 1024
 SHARES = 12
@@ -142,7 +142,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sample(docs: DataFrame, ids: DataFrame) -> tuple[list, np.ndarray]:
     """Ids and features of the documents with the given ids (a bounded number of them)."""
     rows = docs.join(F.broadcast(ids), F.col("id") == F.col("wanted"), "left_semi")
-    got = sorted(rows.mapInArrow(_features, f"id {dict(docs.dtypes)['id']}, x binary").collect(), key=lambda r: (r["id"], r["x"]))
+    got = sorted(rows.mapInArrow(tidy(_features), f"id {dict(docs.dtypes)['id']}, x binary").collect(), key=lambda r: (r["id"], r["x"]))
     return [r["id"] for r in got], np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64).reshape(len(got), TEXT + META)
 
 
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, carried: list[st
     # by number, so that no carried name can clash
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.col("text").alias("q_text"), *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(f"q_{c}") for c in ("source", "lang")])
     kinds = [docs.schema[c].dataType.simpleString() for c in carried] + ["double"] * 3
-    out = rows.mapInArrow(_score(held, len(carried)), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    out = rows.mapInArrow(tidy(_score(held, len(carried))), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
     return out.toDF(*carried, "quality_text", "quality_meta", "quality_score")
 
 
