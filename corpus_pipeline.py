@@ -42,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (packed), and the digests of the ids and of the text that they decode to."""
     ranks, pattern = tokenizer()
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern).select("doc_id", "source", "ids"), ranks, pattern)
+    out = bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern, bytes_col="decoded")
     return out.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
