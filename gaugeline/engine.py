@@ -94,12 +94,10 @@ class Usage:
     # -- writes
 
     def add_batch(self, metrics: list[Mapping[str, Any]], kind: str, batch_size: int = 1000) -> bool:
-        """Append rows; all are checked first. A batch size outside 1 to 1000 is brought inside."""
+        """Append rows; all are checked first."""
         ingest.validate_batch(metrics, kind, self.shared)
-        frames = [ingest.to_frame(self.store.spark, metrics, kind, self._now())] if metrics else []
-        min(1000, max(1, batch_size))  # one append holds any number of rows
-        for f in frames:
-            self.store.append(f, kind)
+        if metrics:  # one append holds any number of rows, so the batch size has nothing to cut
+            self.store.append(ingest.to_frame(self.store.spark, metrics, kind, self._now()), kind, small=True)
         return True
 
     def add_frame(self, df: DataFrame, kind: str, allow_negative: bool = False) -> bool:

@@ -94,15 +94,16 @@ class Store:
 
     # -- writing
 
-    def _write(self, df: DataFrame, name: str, mode: str = "append", at: str | None = None) -> None:
+    def _write(self, df: DataFrame, name: str, mode: str = "append", at: str | None = None, small: bool = False) -> None:
         if name in ("samples", "uncovered"):
             df.write.mode(mode).parquet(self._at(name))
             return
         rows = df.drop("month").withColumn("month", F.date_format("time", "yyyy-MM"))
         keys = [c for c in ("tenant", "metric", "time", "id") if c in rows.columns]
         # ranges of (month, tenant, metric, time) keep files sorted and their statistics narrow, and
-        # split a large month or tenant over tasks
-        rows = rows.repartitionByRange("month", *keys[:3]).sortWithinPartitions("month", *keys)
+        # split a large month or tenant over tasks; a batch from the driver is one file a month
+        rows = rows.coalesce(1) if small else rows.repartitionByRange("month", *keys[:3])
+        rows = rows.sortWithinPartitions("month", *keys)
         w = rows.write.mode(mode).partitionBy("month").option("compression", "zstd")
         if name in ("events", "gauges"):
             for d in schema.BLOOM_DIMS:
@@ -110,13 +111,14 @@ class Store:
                     w = w.option(f"parquet.bloom.filter.enabled#{d}", "true")
         w.parquet(at or self._at(name))
 
-    def append(self, df: DataFrame, kind: str) -> None:
-        """Raw rows and their rollup rows."""
+    def append(self, df: DataFrame, kind: str, small: bool = False) -> None:
+        """Raw rows and their rollup rows; `small` is for what the driver holds anyway."""
         base = "events" if kind == schema.EVENT else "gauges"
         df = df.select(*schema.table_schema(kind).fieldNames())
-        self._write(df, base)
+        df = df.coalesce(1) if small else df
+        self._write(df, base, small=small)
         for name, rollup in self._rollups(kind):
-            self._write(rollup(df), name)
+            self._write(rollup(df), name, small=small)
 
     def _rollups(self, kind: str):
         if kind == schema.EVENT:
