@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,31 +15,26 @@ from ..plans.query import Spec, check
 from ..plans.window import TICK, Window, reduce_window
 
 
-def scoped(df: DataFrame, tenant: str | None) -> DataFrame:
-    """Rows of the tenant; None is all of them."""
+def filtered(df: DataFrame, tenant: str | None, spec: Spec, window: Window | None = None, *more: Column) -> DataFrame:
+    """Rows of the tenant (None: of all) that meet every clause: one filter, analysed once."""
     check_tenant(tenant)
-    return df if tenant is None else df.where(F.col("tenant") == tenant)
-
+    parts = [all_of(spec.filters), in_window(window) if window else None, *in_months(df, spec, window), *more]
+    if tenant is not None:
+        parts.insert(0, F.col("tenant") == tenant)
+    parts = [p for p in parts if p is not None]
+    return df.where(reduce(and_, parts)) if parts else df
 
-def filtered(df: DataFrame, tenant: str | None, spec: Spec, window: Window | None = None) -> DataFrame:
-    df = scoped(df, tenant)
-    p = all_of(spec.filters)
-    df = df if p is None else df.where(p)
-    w = in_window(window) if window else None
-    return in_months(df if w is None else df.where(w), spec, window)
 
-
-def in_months(df: DataFrame, spec: Spec, window: Window | None) -> DataFrame:
-    """Prune the month partitions of a stored table to those that the time bounds allow."""
+def in_months(df: DataFrame, spec: Spec, window: Window | None) -> list[Column]:
+    """Predicates that prune the month partitions of a stored table to those that the time bounds allow."""
+    if "month" not in df.columns:
+        return []
     reduced = reduce_window(spec.filters)
-    if "month" not in df.columns or (reduced is None and window is None):
-        return df
     bounds = [w for w in (reduced and reduced[0], window) if w]
-    for lo in (w.lo for w in bounds if w.lo is not None):
-        df = df.where(F.col("month") >= f"{lo:%Y-%m}")
-    for hi in (w.hi for w in bounds if w.hi is not None):
-        df = df.where(F.col("month") <= f"{hi - TICK:%Y-%m}")
-    return df
+    first = max((w.lo for w in bounds if w.lo is not None), default=None)
+    last = min((w.hi for w in bounds if w.hi is not None), default=None)
+    out = [] if first is None else [F.col("month") >= f"{first:%Y-%m}"]
+    return out if last is None else [*out, F.col("month") <= f"{last - TICK:%Y-%m}"]
 
 
 def value_of(kind: str, aggregate: str | None) -> Column:
@@ -58,14 +56,16 @@ def _page(df: DataFrame, spec: Spec) -> DataFrame:
 def find_rows(df: DataFrame, kind: str, tenant: str | None, spec: Spec) -> DataFrame:
     """Whole rows, nulls last in either direction; a cursor starts behind (before) its row."""
     check(spec, kind)
-    rows = filtered(df, tenant, spec)
-    rows = rows.select(*[c for c in schema.table_schema(kind).fieldNames() if c in rows.columns])
-    orders = list(spec.orders)
+    orders, more = list(spec.orders), []
+    if spec.cursor is not None:
+        if "id" not in [a for a, _ in orders]:
+            orders.append(("id", orders[-1][1] if orders else False))
+        more = [after_cursor(orders, spec.cursor, spec.before)]
+    rows = filtered(df, tenant, spec, None, *more)
+    have = set(df.columns)
+    rows = rows.select(*[c for c in schema.table_schema(kind).fieldNames() if c in have])
     if spec.cursor is None:
         return _page(_sorted(rows, orders) if orders else rows, spec)
-    if "id" not in [a for a, _ in orders]:
-        orders.append(("id", orders[-1][1] if orders else False))
-    rows = rows.where(after_cursor(orders, spec.cursor, spec.before))
     if not spec.before:
         return _page(_sorted(rows, orders), spec)
     page = _page(_sorted(rows, [(a, not d) for a, d in orders]), spec)
@@ -119,7 +119,7 @@ def total(df: DataFrame, kind: str, tenant: str | None, spec: Spec, aggregate: s
 
 def totals(df: DataFrame, kind: str, tenant: str | None, metrics: list[str], spec: Spec) -> DataFrame:
     """metric, total, found: a row for each asked metric, 0 where nothing matches."""
-    rows = filtered(df, tenant, spec).where(F.col("metric").isin(*metrics) if metrics else F.lit(False))
+    rows = filtered(df, tenant, spec, None, F.col("metric").isin(*metrics) if metrics else F.lit(False))
     return with_missing(rows.groupBy("metric").agg(value_of(kind, None).alias("total")), metrics)
 
 

@@ -27,7 +27,7 @@ def check_interval(interval: str) -> None:
 def buckets(df: DataFrame, kind: str, tenant: str | None, metrics: list[str], interval: str, start: datetime, end: datetime, spec: Spec) -> DataFrame:
     """metric, bucket, value of the points with start <= time <= end."""
     check_interval(interval)
-    rows = filtered(df, tenant, spec, Span(start, end + TICK)).where(F.col("metric").isin(*metrics))
+    rows = filtered(df, tenant, spec, Span(start, end + TICK), F.col("metric").isin(*metrics))
     return rows.groupBy("metric", bucket(F.col("time"), interval).alias("bucket")).agg(value_of(kind, None).alias("value"))
 
 

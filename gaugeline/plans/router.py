@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -42,12 +42,12 @@ def sum_route(spec: Spec, now: datetime, uncovered_days=frozenset()) -> Route:
     return Route(win.label(w, c, now), c, tuple(rest))
 
 
-def _rows(route: Route, tenant: str | None, spec: Spec, raw: DataFrame, rollup: DataFrame, columns: list[str]) -> DataFrame:
+def _rows(route: Route, tenant: str | None, spec: Spec, raw: DataFrame, rollup: DataFrame, columns: list[str], *more: Column) -> DataFrame:
     """Rollup rows of the interior and raw rows of the edges: one union, so that one aggregate folds them all."""
     rest = replace(spec, filters=route.rest)
-    out = reads.filtered(rollup, tenant, rest, route.cover.interior).select(*columns)
+    out = reads.filtered(rollup, tenant, rest, route.cover.interior, *more).select(*columns)
     for e in route.cover.edges:
-        out = out.unionByName(reads.filtered(raw, tenant, rest, e).select(*columns))
+        out = out.unionByName(reads.filtered(raw, tenant, rest, e, *more).select(*columns))
     return out
 
 
@@ -62,7 +62,7 @@ def routed_totals(route: Route, tenant: str | None, metrics: list[str], spec: Sp
     """metric, total, found for each asked metric."""
     if route.cover is None:
         return reads.totals(raw, schema.EVENT, tenant, metrics, spec)
-    rows = _rows(route, tenant, spec, raw, daily, ["metric", "value"]).where(F.col("metric").isin(*metrics))
+    rows = _rows(route, tenant, spec, raw, daily, ["metric", "value"], F.col("metric").isin(*metrics))
     return reads.with_missing(rows.groupBy("metric").agg(F.sum("value").alias("total")), metrics)
 
 
