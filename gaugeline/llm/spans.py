@@ -1,13 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence runs to its full stop, exclamation or question mark or line end, with what follows before the
-next letter or digit.  From each sentence on, the shortest run of at least `sentences` sentences and
+next letter or digit; one of over 24 words counts as its clauses, cut at commas, semicolons and colons, and
+a clause of over 24 words as pieces cut after words that their hash chooses, so that a repeated passage
+of few long sentences has spans too.  From each sentence on, the shortest run of at least `sentences` sentences and
 `words` words is a span; it is hashed by its words (case and the white space between words aside).
 Spans are joined globally: of each hash all but the first occurrence, in order of doc_id and position,
 are repeats, and the sentences that a repeat covers are removed.
 
-Occurrences are counted with partial aggregation and joined with the first one of each hash, a join
-whose large side Spark may split, so a passage in a third of all documents is no task's burden.
+Occurrences are counted with partial aggregation.  The commonest spans are looked up where documents are
+cut, from a table of bounded size, so a passage in a third of all documents is neither shuffled again
+nor any task's burden; the others are joined with the first occurrence of their hash.
 
 Defined cases: null texts stay null and have no sentence; texts without a letter or digit have no
 span; rows with the same doc_id and text are one document, each of which gets the same result; a null
@@ -24,14 +27,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, settle_table, small_batches
+from .common import settle_table, small_batches, tidy
 
 SENTENCE = re.compile(r"[^.!?\n]*+[.!?\n]+[\W_]*|[^.!?\n]+")
+CLAUSE = re.compile(r"[^,;:]*+[,;:]+[\W_]*|[^,;:]+")
+WORD = re.compile(r"\s*\S+\s*")
+LONG = 24
 
 
 def sentences_of(text: str) -> list[str]:
-    """The text, cut into sentences; joined they are the text."""
-    return SENTENCE.findall(text)
+    """The text, cut into sentences, and long ones further; joined they are the text."""
+    out = []
+    for s in SENTENCE.findall(text):
+        if not _long(s):
+            out.append(s)
+            continue
+        for c in CLAUSE.findall(s):
+            out += _by_words(c) if _long(c) else [c]
+    return out
+
+
+def _long(s: str) -> bool:
+    return len(s) > 2 * LONG and len(s.split()) > LONG
+
+
+def _by_words(s: str) -> list[str]:
+    """Cut after every word of which the hash says so, one in ten: equal passages are cut alike."""
+    import xxhash
+
+    out, at = [], 0
+    for m in WORD.finditer(s):
+        if xxhash.xxh32_intdigest(m[0].strip().lower()) % 10 == 0:
+            out.append(s[at : m.end()])
+            at = m.end()
+    return [*out, s[at:]] if at < len(s) else out
 
 
 def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]]:
@@ -57,28 +86,33 @@ def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]
 def _spans(sentences: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h, first, last = [], [], [], []
+            row, h, first = [], [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
-                for a, i, j in spans_of(t or "", sentences, words):
+                for a, i, _ in spans_of(t or "", sentences, words):
                     row.append(k)
                     h.append(a)
                     first.append(i)
-                    last.append(j)
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "key", "h", "i", "j"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h, pa.int64()), pa.array(first, pa.int32())], ["doc_id", "key", "h", "i"])
 
     return run
 
 
-def _cut(n_cols: int, text_at: int, runs_at: int):
+def _cut(n_cols: int, text_at: int, sentences: int, words: int, hot):
+    """Carried columns, then runs, doc_id and key -> carried columns with the text cut, sentences, removed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = hot.value
         for batch in batches:
             texts, total, removed = [], [], []
-            for t, runs in zip(batch.column(text_at).to_pylist(), batch.column(runs_at).to_pylist(), strict=True):
+            for t, runs, d, key in zip(*(batch.column(i).to_pylist() for i in (text_at, n_cols, n_cols + 1, n_cols + 2)), strict=True):
                 parts = sentences_of(t or "")
                 gone = set()
-                for r in runs or ():
-                    gone.update(range(r["i"], r["j"] + 1))
+                starts = set(runs or ())
+                if starts or common:
+                    for h, i, j in spans_of(t or "", sentences, words):
+                        if i in starts or common.get(h, (d, key, i)) != (d, key, i):
+                            gone.update(range(i, j + 1))
                 texts.append(t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone))
                 total.append(len(parts))
                 removed.append(len(gone))
@@ -89,19 +123,32 @@ def _cut(n_cols: int, text_at: int, runs_at: int):
     return run
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 16) -> DataFrame:
-    """docs with repeated sentences cut from text_col, and span_sentences, span_removed (numbers of sentences)."""
-    small_batches(docs.sparkSession)
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 16, hot_from: int = 256, hot_most: int = 20_000) -> DataFrame:
+    """docs with repeated sentences cut from text_col, and span_sentences, span_removed (numbers of sentences).
+
+    The commonest spans, at most hot_most of those with hot_from occurrences or more, are sent to all
+    tasks with their first occurrence; the others are joined. Which way a span goes doesn't change the result.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = dict(keyed.dtypes)["doc_id"]
-    spans = settle_table(keyed.mapInArrow(_spans(sentences, words), f"doc_id {id_type}, key long, h long, i int, j int"))
+    spans = settle_table(keyed.mapInArrow(tidy(_spans(sentences, words)), f"doc_id {id_type}, key long, h long, i int"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "i")
-    first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(dealt_anew("h").alias("fh"), "first")
-    again = spans.join(first, F.col("h") == F.col("fh")).where(place != F.col("first"))
-    # neighbouring spans overlap; a document's runs are at most its sentences
-    runs = again.groupBy("doc_id", "key").agg(F.collect_set(F.struct("i", "j")).alias("span_runs")).select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "span_runs")
-    rows = docs.join(runs, F.col(id_col).eqNullSafe(F.col("span_doc")) & (F.xxhash64(F.col(text_col)) == F.col("span_key")), "left").drop("span_doc", "span_key")
+    first = settle_table(spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    commonest = first.where(F.col("n") >= hot_from).orderBy(F.col("n").desc(), "h").limit(hot_most).collect()
+    hot = {r["h"]: (r["first"]["doc_id"], r["first"]["key"], r["first"]["i"]) for r in commonest}
+    rare, once = spans, first.select(F.col("h").alias("fh"), "first")
+    if hot:
+        named = F.broadcast(spark.createDataFrame([(h,) for h in hot], "hot long"))
+        rare, once = rare.join(named, F.col("h") == F.col("hot"), "left_anti"), once.join(named, F.col("fh") == F.col("hot"), "left_anti")
+    again = rare.join(once, F.col("h") == F.col("fh")).where(place != F.col("first"))
+    # a document has at most as many starts of repeats as sentences
+    runs = again.groupBy("doc_id", "key").agg(F.collect_set("i").alias("span_runs")).select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "span_runs")
+    rows = docs.join(runs, F.col(id_col).eqNullSafe(F.col("span_doc")) & (F.xxhash64(F.col(text_col)) == F.col("span_key")), "left")
     cols = docs.columns
+    rows = rows.select(*[F.col(c) for c in cols], "span_runs", F.col(id_col).alias("span_doc"), F.xxhash64(F.col(text_col)).alias("span_key"))
     kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["int", "int"]
     fields = ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))
-    return rows.mapInArrow(_cut(len(cols), cols.index(text_col), len(cols)), fields).toDF(*cols, "span_sentences", "span_removed")
+    cut = _cut(len(cols), cols.index(text_col), sentences, words, spark.sparkContext.broadcast(hot))
+    return rows.mapInArrow(tidy(cut), fields).toDF(*cols, "span_sentences", "span_removed")
