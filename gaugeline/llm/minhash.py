@@ -131,7 +131,7 @@ def _digest(u: np.ndarray) -> bytes:
 
 
 def _sketcher(n: int, bands: int, rows: int, with_sets: bool):
-    """(doc_id, text) batches -> doc_id, n, digest, bands or, with sets, n, digest, set, sig."""
+    """(doc_id, text, text_hash) batches -> doc_id, text_hash, n, digest, bands or, with sets, n, digest, set, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, probe = _make_powers(), probes(bands * rows)
@@ -148,7 +148,7 @@ def _sketcher(n: int, bands: int, rows: int, with_sets: bool):
                     yield pa.RecordBatch.from_arrays(cols, ["n", "digest", "set", "sig"])
                 else:
                     keys = iter(band_keys(sig, bands, rows).tolist())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), sizes, digests, pa.array([next(keys) if len(u) else None for u in sets], pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, digests, pa.array([next(keys) if len(u) else None for u in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "digest", "bands"])
 
     return run
 
@@ -221,15 +221,16 @@ def _block_links(percent: int, bins: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id of every row of docs.
+    """doc_id, n_shingles, component_id, kept, class_id, text_hash of every row of docs.
 
     component_id is the smallest doc_id that links reach from the row, its own included; kept tells
-    whether it is the row's own.  class_id stands for the row's set (null: empty).
+    whether it is the row's own.  class_id stands for the row's set (null: empty), text_hash tells rows
+    of one doc_id apart.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     id_type = dict(texts.dtypes)["doc_id"]
-    first = texts.mapInArrow(tidy(_sketcher(words, bands, rows, False)), f"doc_id {id_type}, n long, digest binary, bands array<bigint>")
+    first = texts.mapInArrow(tidy(_sketcher(words, bands, rows, False)), f"doc_id {id_type}, text_hash long, n long, digest binary, bands array<bigint>")
     sketch = settle_table(first)
     classes = sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     classes = settle_table(classes)
@@ -273,9 +274,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = classes.select("digest", F.col("doc_id").alias("id")).join(comps, F.col("digest") == F.col("node"), "left").select("digest", "id", F.coalesce("component", "digest").alias("component"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
     grouped = ids.join(least, "component").select("digest", "component_id")
-    out = sketch.select("doc_id", "n", "digest").join(grouped, "digest", "left")
+    out = sketch.select("doc_id", "text_hash", "n", "digest").join(grouped, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("class_id"), "text_hash")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,15 +286,24 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(tidy(_confirmer(percent)), "u binary, v binary")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """docs without near-duplicates: of each group the rows with the smallest doc_id, of repeated rows one.
 
-    Rows without a doc_id stay if their text is in no group with a known doc_id; of several such
-    copies one stays.
+    Rows without a doc_id (an integer) count as later than all others: they stay if their group has no
+    row with one, and of several such rows of a group one stays.  Rows with one doc_id but different
+    texts are judged each by its text.
     """
-    found = near_duplicates(docs, id_col=id_col, **params)
-    lost = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("near_lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("near_lost"), "left_anti").dropDuplicates([id_col])
+    key = F.col(id_col)
+    if docs.where(key.isNull()).limit(1).count():
+        after = (docs.agg(F.max(id_col)).first()[0] or 0) + 1
+        docs_keyed = settle_table(docs.withColumn("near_key", F.coalesce(key, F.lit(after) + F.monotonically_increasing_id())))
+    else:
+        docs_keyed = docs.withColumn("near_key", key)
+    docs_keyed = docs_keyed.withColumn("near_hash", F.xxhash64(F.col(text_col)))
+    found = near_duplicates(docs_keyed, id_col="near_key", text_col=text_col, **params)
+    lost = found.where("not kept").select(F.col("doc_id").alias("near_lost"), F.col("text_hash").alias("near_text")).distinct()
+    left = docs_keyed.join(lost, (F.col("near_key") == F.col("near_lost")) & (F.col("near_hash") == F.col("near_text")), "left_anti")
+    return left.dropDuplicates(["near_key", "near_hash"]).select(*[F.col(c) for c in docs.columns])
 
 
 #: What near_duplicates gives for two-word shingles, by comparing every pair of texts that share a shingle.

@@ -20,7 +20,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80).drop("class_id")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80).drop("class_id", "text_hash")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

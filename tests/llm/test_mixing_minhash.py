@@ -163,6 +163,9 @@ def test_keep_one(spark):
     rows = [(4, text), (2, text), (2, text), (9, text + " more"), (5, "other text that stands alone"), (6, None), (7, None)]
     left = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert sorted(left.doc_id) == [2, 5, 6, 7]
+    rows += [(None, text), (None, "a text without an id"), (None, "a text without an id"), (None, "another one"), (4, "an id that another text has too"), (9, "an id that another text has too, twice"), (9, "an id that another text has too, twice")]
+    left = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])[:14]) for r in left) == [("2", text[:14]), ("4", "an id that ano"), ("5", "other text tha"), ("6", "None"), ("7", "None"), ("9", "an id that ano"), ("None", "a text without"), ("None", "another one")]
 
 
 def test_near_duplicates_of_nothing(spark):

@@ -122,10 +122,10 @@ def test_language_held_out(spark):
 
 
 def test_language_edges(spark):
-    docs = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 +-", None), (4, "the and of", "en"), (4, "the and of", "en"), (None, "la et la le", "fr"), (6, "é", None), (5, "le et la " * 30_000, "fr")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 +-", None), (4, "the and of", "en"), (4, "the and of", "en"), (None, "la et le la et le la et le", "fr"), (6, "é", None), (5, "le et la " * 30_000, "fr")], "doc_id long, text string, lang string")
     dicts = langid.fit(docs)
     assert list(dicts) == ["en", "fr"]
-    # a letter that no dictionary helps with ties, and goes to the language with the most rows
+    # a text too short for any dictionary to help ties, and goes to the language with the most rows
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, dicts).collect()]
     assert sorted(got, key=str) == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "fr"), (6, "en"), (5, "fr")], key=str)
     assert {r["lang_pred"] for r in langid.identify(docs, {}).collect()} == {"und"}
@@ -144,6 +144,9 @@ def test_spans_equal_brute_force(spark):
     rng.shuffle(rows)
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, i long")
     got = spans.dedup_spans(docs).toPandas()
+    for hot_from, most in ((2, 20_000), (10, 20_000), (2, 7)):
+        other = spans.dedup_spans(docs, hot_from=hot_from, hot_most=most).toPandas()
+        assert sorted(map(str, other.itertuples(index=False))) == sorted(map(str, got.itertuples(index=False)))
     assert list(got.columns) == ["doc_id", "text", "i", "span_sentences", "span_removed"]
     key = lambda t: xxhash.xxh64_intdigest(t, seed=42)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -274,6 +277,9 @@ def test_encode_and_decode(spark):
     for r in out.itertuples():
         assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.encode(docs, ranks, pattern, chunk=300, overlap=64, bytes_col="b").toPandas().sort_values("doc_id")
+    out = out.sort_values("doc_id")
+    assert list(both.ids) == list(out.ids) and list(both.b) == list(out.decoded)
     assert bpe.digests(docs.limit(0), ranks, pattern).collect() == []
 
 
