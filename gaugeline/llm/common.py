@@ -33,11 +33,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that this process wrote beside the checkpoints and still needs.
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared checkpoint folder, for clear_tables to delete."""
+    ensure_checkpoint_dir(spark)
+    _written.append(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete what went to shared_folder, once the results that read from it are written elsewhere."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle_table(df: DataFrame) -> DataFrame:
     """Like settle, as a Parquet table beside the checkpoints: for wide rows of which later stages need some columns."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 

@@ -199,3 +199,16 @@ def test_recall_of_bands():
             keys = minhash.band_keys(minhash.one_permutation([a, b], 128, probe), 32, 4)
             lost += not (keys[0] == keys[1]).any()
     assert lost == 0
+
+
+def test_written_tables_are_cleared(spark):
+    import os
+
+    from gaugeline.llm import common
+
+    common.clear_tables(spark)
+    minhash.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).collect()
+    paths = [p.removeprefix("file:") for p in common._written]
+    assert paths and all(os.path.isdir(p) for p in paths)
+    common.clear_tables(spark)
+    assert not common._written and not any(os.path.isdir(p) for p in paths)
