@@ -6,13 +6,11 @@ the next stage's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import bpe, minhash, mixing, quality, spans
-from gaugeline.llm.common import ensure_checkpoint_dir, table
+from gaugeline.llm.common import shared_folder, table
 from gaugeline.llm.queries import tokenizer
 
 
@@ -59,8 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
