@@ -33,6 +33,7 @@ SUBSETS = 16
 DENSITIES = ((40, 16), (20, 64), (30, 256))
 RANGES = 64
 RANGE_ROWS = 4096
+FEW_RANGES = 200_000
 
 
 def terms(text) -> F.Column:
@@ -97,6 +98,8 @@ def with_next(docs: DataFrame, carried: list[str], before=lambda df: df) -> Data
     line = W.partitionBy(F.lit(0)).orderBy("im_range")
     firsts = firsts.select("im_first", F.coalesce(F.lag("im_range").over(line), F.max("im_range").over(W.partitionBy(F.lit(0)))).alias("im_before"))
     firsts = settle(firsts)
+    if len(cuts) * parts <= FEW_RANGES:  # at most so many rows of two integers; beyond that both sides are shuffled
+        firsts = F.broadcast(firsts)
     extra = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("im_first"))).withColumn("im_range", F.col("im_before")).select(*docs.columns, "im_range")
     both = before(ranged.withColumn("im_extra", F.lit(False)).unionByName(extra.withColumn("im_extra", F.lit(True))))
     order = W.partitionBy("im_range").orderBy("im_extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
