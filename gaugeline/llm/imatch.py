@@ -32,7 +32,7 @@ SUBSETS = 16
 #: (bits of a term's hash that deal it to subsets, one in how many terms a subset has)
 DENSITIES = ((40, 16), (20, 64), (30, 256))
 RANGES = 64
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 FEW_RANGES = 200_000
 
 
