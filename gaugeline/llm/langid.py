@@ -45,6 +45,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     count = {r["l"]: r["n"] for r in picks.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     # at most slots * languages rows: fits every executor
     sample = rows.join(F.broadcast(picks), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("least")), "left_semi")
+    # a dictionary has room for no more of a text than this
+    sample = sample.select("lang", "h", F.substring("text", 1, 2 * dict_bytes).alias("text"))
     parts: dict[str, list[str]] = {}
     for r in sorted(sample.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r["lang"], r["h"])):
         parts.setdefault(r["lang"], []).append(_plain(r["text"]))
