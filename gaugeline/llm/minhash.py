@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(links)
     ids = classes.select("digest", F.col("doc_id").alias("id")).join(comps, F.col("digest") == F.col("node"), "left").select("digest", "id", F.coalesce("component", "digest").alias("component"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
-    grouped = ids.join(least, "component").select("digest", "component_id")
+    grouped = ids.join(least.select(dealt_anew("component").alias("component"), "component_id"), "component").select("digest", "component_id")
     out = sketch.select("doc_id", "text_hash", "n", "digest").join(grouped, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("class_id"), "text_hash")
