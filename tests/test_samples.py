@@ -1,3 +1,4 @@
+import random
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -95,3 +96,29 @@ def test_truncation_and_watermark(usage):
     for n in (0, s.MOST):
         with pytest.raises(ValueError):
             usage.get_sample_watermark(r, n)
+
+
+@pytest.mark.parametrize("bits", [0, 2, s.BITS])
+def test_long_streams_equal_brute_force(spark, bits):
+    rng = random.Random(bits)
+    streams = {m: [sample(n, member=m or "x", intervalStart=T0 + timedelta(minutes=n, seconds=rng.choice([0, 0, 0, 9]))) for n in sorted(rng.sample(range(40), k))] for m, k in (("a", 25), ("b", 3), ("c", 1), ("d", 40), (None, 12))}
+    frame = s.to_frame(spark, [x for xs in streams.values() for x in xs]).withColumn("member", F.expr("nullif(member, 'x')"))
+    end, gaps, jumps = T0 + timedelta(minutes=40), [], []
+    for xs in streams.values():
+        held = [-1, *[x.sequence for x in xs], 40]
+        gaps += [(a + 1, b - 1) for a, b in zip(held, held[1:]) if b > a + 1]
+        ended = [T0, *[x.intervalEnd for x in xs]]
+        jumps += [x.sequence for x, e in zip(xs, ended) if x.intervalStart != e or (x is xs[-1] and x.intervalEnd != end)]
+    more = {} if bits == s.BITS else {"bits": bits}
+    assert sorted(map(tuple, s.gaps(frame, 0, 39, **more).collect())) == sorted(gaps)
+    assert sorted(r["sequence"] for r in s.discontinuities(frame, T0, end, **more).collect()) == sorted(jumps)
+    assert [tuple(r) for r in s.gaps(frame.limit(0), 3, 5, **more).collect()] == [(3, 5)]
+
+
+def test_no_task_takes_a_whole_stream(spark):
+    n = 3 << s.BITS
+    one = spark.range(n).select(*[F.lit("x").alias(c) for c in s.STREAM], F.col("id").alias("sequence"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("intervalStart"), F.timestamp_seconds(F.col("id") + 1).cast("timestamp_ntz").alias("intervalEnd"))
+    assert s.gaps(one.where(f"sequence not in (7, {1 << s.BITS})"), 0, n - 1).count() == 2
+    plan = s.discontinuities(one, datetime(1970, 1, 1), datetime(1970, 1, 1) + timedelta(seconds=n))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    assert windows and all("block_" in x for x in windows)
