@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence runs to its full stop, exclamation or question mark or line end, with what follows before the
-next letter or digit; one of over 24 words counts as its clauses, cut at commas, semicolons and colons, and
-a clause of over 24 words as pieces cut after words that their hash chooses, so that a repeated passage
+next letter or digit; one of over 8 words counts as its clauses, cut at commas, semicolons and colons, and
+a clause of over 8 words as pieces cut after words that their hash chooses, so that a repeated passage
 of few long sentences has spans too.  From each sentence on, the shortest run of at least `sentences` sentences and
 `words` words is a span; it is hashed by its words (case and the white space between words aside).
 Spans are joined globally: of each hash all but the first occurrence, in order of doc_id and position,
@@ -32,7 +32,7 @@ from .common import settle_table, small_batches, tidy
 SENTENCE = re.compile(r"[^.!?\n]*+[.!?\n]+[\W_]*|[^.!?\n]+")
 CLAUSE = re.compile(r"[^,;:]*+[,;:]+[\W_]*|[^,;:]+")
 WORD = re.compile(r"\s*\S+\s*")
-LONG = 24
+LONG = 8
 
 
 def sentences_of(text: str) -> list[str]:
@@ -52,22 +52,27 @@ def _long(s: str) -> bool:
 
 
 def _by_words(s: str) -> list[str]:
-    """Cut after every word of which the hash says so, one in ten: equal passages are cut alike."""
-    import xxhash
+    """Cut after every word of which the hash says so, one in four: equal passages are cut alike."""
+    from xxhash import xxh32_intdigest
 
-    out, at = [], 0
-    for m in WORD.finditer(s):
-        if xxhash.xxh32_intdigest(m[0].strip().lower()) % 10 == 0:
-            out.append(s[at : m.end()])
-            at = m.end()
-    return [*out, s[at:]] if at < len(s) else out
+    out, held = [], []
+    for w in WORD.findall(s):
+        held.append(w)
+        if xxh32_intdigest(w.strip().lower()) % 4 == 0:
+            out.append("".join(held))
+            held = []
+    return [*out, "".join(held)] if held else out
 
 
 def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]]:
     """(hash, first sentence, last sentence) of every span."""
-    import xxhash
+    return _spans_in(sentences_of(text), sentences, words)
 
-    split = [s.lower().split() for s in sentences_of(text)]
+
+def _spans_in(parts: list[str], sentences: int, words: int) -> list[tuple[int, int, int]]:
+    from xxhash import xxh3_64_intdigest
+
+    split = [s.lower().split() for s in parts]
     joined = [" ".join(w) for w in split]
     counts = [len(w) for w in split]
     out, j, total = [], 0, 0
@@ -78,7 +83,7 @@ def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]
         if total < words or j - i < sentences:
             break
         if counts[i]:
-            out.append((xxhash.xxh3_64_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass")) - (1 << 63), i, j - 1))
+            out.append((xxh3_64_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass")) - (1 << 63), i, j - 1))
         total -= counts[i]
     return out
 
@@ -110,7 +115,7 @@ def _cut(n_cols: int, text_at: int, sentences: int, words: int, hot):
                 gone = set()
                 starts = set(runs or ())
                 if starts or common:
-                    for h, i, j in spans_of(t or "", sentences, words):
+                    for h, i, j in _spans_in(parts, sentences, words):
                         if i in starts or common.get(h, (d, key, i)) != (d, key, i):
                             gone.update(range(i, j + 1))
                 texts.append(t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone))

@@ -169,6 +169,20 @@ def test_spans_equal_brute_force(spark):
     assert spans.dedup_spans(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("stop", ["", ".", ","])
+def test_spans_of_short_passages(stop):
+    rng, left = random.Random(3), []
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(2, 9))) for _ in range(3000)]
+    for _ in range(400):
+        text = lambda n: [w + (stop if rng.random() < 0.05 else "") for w in rng.choices(words, k=n)]
+        passage = text(52)
+        one, two = ([*text(rng.randrange(80)), *passage, *text(rng.randrange(80))] for _ in range(2))
+        known = {h for h, _, _ in spans.spans_of(" ".join(one), 2, 16)}
+        gone = {k for h, i, j in spans.spans_of(" ".join(two), 2, 16) if h in known for k in range(i, j + 1)}
+        left.append(1 - sum(len(p.split()) for k, p in enumerate(spans.sentences_of(" ".join(two))) if k in gone) / 52)
+    assert np.median(left) < 0.2 and np.mean([x > 0.99 for x in left]) < 0.03
+
+
 # -- 8: I-Match
 
 
