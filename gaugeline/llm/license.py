@@ -114,6 +114,22 @@ def known_digests(known=KNOWN) -> dict[str, str]:
     return out
 
 
+def needed_words(known=KNOWN) -> list[str]:
+    """Words of which a text must hold one, in lower case, to have a known digest; none if there are no such words.
+
+    Of each known text, the longest word of letters a-z that no spelling makes or changes: canonical() can't make
+    it of other letters, so it is in the text as it stands.
+    """
+    made = {w for _, b in SPELLINGS for w in re.findall("[a-z]+", b)}
+    out = set()
+    for _, text in known:
+        own = {w for w in canonical_text(text).split() if re.fullmatch("[a-z]+", w) and not any(m in w for m in made)}
+        if not own:
+            return []
+        out.add(max(own, key=lambda w: (len(w), w)))
+    return sorted(out)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN) -> DataFrame:
     """doc_id, digest, license (of the whole text), notices (licenses of lines, sorted, by commas) of every row."""
     table = known_digests(known)
@@ -121,8 +137,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=
         raise ValueError("a table of this size is not to be broadcast")
     rows = F.broadcast(docs.sparkSession.createDataFrame(sorted(table.items()), "known string, found string"))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
-    longest = max(len(canonical_text(t)) for _, t in known) * 2
-    lines = d.select("doc_id", "key", F.explode(F.split("text", r"\n+")).alias("line")).where(F.char_length("line").between(1, longest) & F.lower("line").rlike("licen[cs]e"))
+    lines = d.select("doc_id", "key", F.explode(F.split("text", r"\n+")).alias("line")).where("line <> ''")
+    words = needed_words(known)
+    if words:
+        lines = lines.where(F.lower("line").rlike("|".join(words)))
     hits = lines.join(rows, digest(F.col("line")) == F.col("known")).groupBy("doc_id", "key").agg(F.array_join(F.sort_array(F.collect_set("found")), ",").alias("notices"))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "notices")
     whole = d.select("doc_id", "key", digest(F.col("text")).alias("digest")).join(rows, F.col("digest") == F.col("known"), "left")

@@ -73,6 +73,16 @@ def test_license_scan(spark):
         license.known_digests((("A", "same text"), ("B", "Same, text!")))
 
 
+def test_license_of_every_known_line(spark):
+    rows = [(i, f"Some text.\n{' '.join(t.split())}{' ' * pad}\nmore", n) for i, (n, t, pad) in enumerate((n, t, pad) for n, t in license.KNOWN for pad in (0, 9000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {r["doc_id"]: r["notices"] for r in license.scan(docs).collect()}
+    assert got == {i: n for i, _, n in rows}
+    odd = (("X", "Licence 4.0"), ("Y", "some words"))
+    assert license.needed_words(odd) == []
+    assert {r["notices"] for r in license.scan(spark.createDataFrame([(1, "a\nLICENSE 4.0\nSome words!")], "doc_id long, text string"), known=odd).collect()} == {"X,Y"}
+
+
 # -- 5: URLs
 
 
