@@ -115,6 +115,14 @@ def test_url_model_held_out():
     assert np.mean(right) > 0.75
 
 
+def test_ordinary_hosts_anywhere_are_allowed():
+    w = urlfilter.train()
+    words = "bakery physics cooking painting railway kitchen football chemistry painter farming climbing cinema poetry economy biology".split()
+    hosts = ["en.wikipedia.org/wiki/Spark", "github.com/apache/spark", "www.gov.uk/browse", *(f"{x}.{top}/about" for x in words for top in ("com", "org", "de", "co.jp", "example.com"))]
+    assert [h for h in hosts if urlfilter.probability(w, *urlfilter.split_url(f"https://{h}")) >= 0.5] == []
+    assert all(urlfilter.probability(w, *urlfilter.split_url(f"https://{h}")) >= 0.5 for h in ("win-casino.co.jp/about", "free-casino.net/wiki/x", "buy-pills.biz"))
+
+
 # -- 6: languages
 
 
