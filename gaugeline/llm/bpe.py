@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, worker_cache
+from .common import tidy, worker_cache
 
 CHUNK = 32768
 OVERLAP = 512
@@ -179,7 +179,6 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     Decoding here, in the worker that encoded, spares a second worker with a vocabulary for each task.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(ranks)
     cols = docs.columns
     long = F.coalesce(F.char_length(F.col(text_col)) > chunk, F.lit(False))
@@ -227,7 +226,6 @@ def _decode(ranks, pattern: str):
 def decode(rows: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """rows with the binary column bytes_col: the bytes that ids_col stands for (null: none)."""
     spark: SparkSession = rows.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(ranks)
     others = [c for c in rows.columns if c != ids_col]
     ordered = rows.select(*[F.col(c) for c in others], F.col(ids_col))

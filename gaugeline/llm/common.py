@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the cluster; set a folder of our own only where none is named (tests)."""
+    """Use the shared folder that the session names.
+
+    Where none is named, a temporary one will do if the driver and the executors are one process; else it
+    is an error, as executors don't see each other's folders.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaugeline-checkpoint-"))
 
 
@@ -59,11 +66,6 @@ def settle_table(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what a Python worker holds at a time: a batch has so many whole texts at most."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def dealt_anew(col: str) -> F.Column:
     """The column as an expression that the planner doesn't take for the one an aggregate is dealt by.
 
@@ -89,10 +91,12 @@ def worker_cache(key: str, make):
     return held[key]
 
 
-def tidy(run):
-    """A function of Arrow batches that gives the memory it freed back to the system when a task ends.
+def tidy(run, rows: int = 256):
+    """A function of Arrow batches, given at most so many rows at a time, that tidies up when a task ends.
 
-    Workers wait for the next task with what their allocators hold; several of them share an executor.
+    Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default); the
+    slices bound what the function makes of them.  Workers wait for the next task with what their
+    allocators hold, and several of them share an executor, so freed memory goes back to the system.
     """
 
     def tidied(batches):
@@ -100,7 +104,7 @@ def tidy(run):
 
         import pyarrow as pa
 
-        yield from run(batches)
+        yield from run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, tidy
+from .common import settle, tidy
 
 PIECE = 4096
 UNKNOWN = "und"
@@ -111,7 +111,6 @@ def _predict(dicts, reject_below: float):
 
 def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", reject_below: float = 0.4) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row of docs."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dicts)  # languages * dict_bytes
     d = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return d.mapInArrow(tidy(_predict(held, reject_below)), f"doc_id {dict(d.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import tidy
 
 WIDTH = 64
 TILE_ROWS = 4096
@@ -149,7 +149,6 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text's padded bytes as NPY tiles of 8-bit samples."""
-    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(tidy(_store), f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, media binary")
 
@@ -190,6 +189,5 @@ def _columns(height: int, width: int):
 
 def media_columns(images: DataFrame, id_col: str = "id", data_col: str = "data", height: int = 32, width: int = 32) -> DataFrame:
     """id, height, width, tile (the image area-resized, as NPY), dhash, error of each image."""
-    small_batches(images.sparkSession)
     d = images.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"))
     return d.mapInArrow(tidy(_columns(height, width)), f"id {dict(d.dtypes)['id']}, height int, width int, tile binary, dhash string, error string")

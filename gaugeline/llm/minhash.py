@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, settle, settle_table, small_batches, tidy
+from .common import dealt_anew, settle, settle_table, tidy
 from .components import connected_components
 
 BASE = 0x9E3779B97F4A7C55
@@ -227,7 +227,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whether it is the row's own.  class_id stands for the row's set (null: empty), text_hash tells rows
     of one doc_id apart.
     """
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     id_type = dict(texts.dtypes)["doc_id"]
     first = texts.mapInArrow(tidy(_sketcher(words, bands, rows, False)), f"doc_id {id_type}, text_hash long, n long, digest binary, bands array<bigint>")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import tidy
 
 PAIRS = 1024
 SHARES = 12
@@ -153,7 +153,6 @@ def _view(docs: DataFrame, id_col: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 4000, max_pool: int = 3000, seed: int = 5, **params) -> dict[str, np.ndarray] | None:
     """The model, or None where the labels lack a class."""
-    small_batches(docs.sparkSession)
     view = _view(docs, id_col)
     order = F.xxhash64(F.lit(seed), F.col("wanted"))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("wanted")).agg(F.max(label_col).alias("y"))
@@ -191,7 +190,6 @@ def _score(model, n_cols: int):
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, carried: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """The carried columns (the id) of every row of docs, and quality_text, quality_meta, quality_score."""
-    small_batches(docs.sparkSession)
     carried = carried or [id_col]
     held = docs.sparkSession.sparkContext.broadcast(model)  # some thousand weights
     have = set(docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle_table, small_batches, tidy
+from .common import settle_table, tidy
 
 SENTENCE = re.compile(r"[^.!?\n]*+[.!?\n]+[\W_]*|[^.!?\n]+")
 CLAUSE = re.compile(r"[^,;:]*+[,;:]+[\W_]*|[^,;:]+")
@@ -135,7 +135,6 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tasks with their first occurrence; the others are joined. Which way a span goes doesn't change the result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = dict(keyed.dtypes)["doc_id"]
     spans = settle_table(keyed.mapInArrow(tidy(_spans(sentences, words)), f"doc_id {id_type}, key long, h long, i int"))

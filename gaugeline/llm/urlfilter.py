@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import tidy
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 SIZE = 1 << 16
@@ -110,6 +110,5 @@ def _judge(weights: np.ndarray, rules: Sequence[tuple[str, str, str]], block_fro
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED, block_from: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, block_probability of every row of pages."""
-    small_batches(pages.sparkSession, 4096)
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    return d.mapInArrow(tidy(_judge(train(labelled), tuple(rules), block_from)), f"page_id {dict(d.dtypes)['page_id']}, host string, path string, rule string, verdict string, block_probability double")
+    return d.mapInArrow(tidy(_judge(train(labelled), tuple(rules), block_from), 4096), f"page_id {dict(d.dtypes)['page_id']}, host string, path string, rule string, verdict string, block_probability double")
