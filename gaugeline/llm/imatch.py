@@ -1,22 +1,27 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
-Terms are lower-cased runs of letters and digits.  The lexicon holds those whose document frequency
-lies in [least, most] of all documents (a band of the inverse document frequency); it is counted over
-every document, in 2**18 hashed slots, so that what tasks share is one bitmap of 32 KB at any corpus
-size.  A document's distinct lexicon terms, sorted, are hashed under randomised lexicon subsets
-of three densities, 16 each: a 16th, a 64th and a 256th of the lexicon.  Sparse subsets survive an edit
-of part of a long text, dense ones have terms of a short text.
+Terms are lower-cased runs of letters and digits, as 64-bit hashes.  The lexicon holds those whose document
+frequency lies in [least, most] of all documents (a band of the inverse document frequency), counted
+exactly, term by term, over every document.  A document's distinct lexicon terms, sorted, are hashed
+under randomised lexicon subsets of three densities, 16 each: a 16th, a 64th and a 256th of the lexicon.
+Sparse subsets survive an edit of part of a long text, dense ones have terms of a short text.
+
+A term of a share `least` of the documents is counted there once a document, so the lexicon has at most
+1 / least times as many terms as a document has on average: 250 times with the defaults, however large
+the corpus.  Up to `shared_most` terms go to all tasks, in small buckets by hash; should there be more,
+terms are joined with the lexicon.  Both ways give the same result.
 
 Likeness of two fingerprints: the largest, over the densities, of the share of equal subset hashes
 among those where either text has a term (counted as 4 at least); 1 for equal fingerprints.
 
-The next document in ascending doc_id comes from a window over narrow id ranges (quantiles of doc_id,
-divided evenly), each of which also gets the first row of the range after it; texts are shuffled once.
+The next document in ascending doc_id is found among narrow rows (doc_id, hash of the text, length), one for
+rows that are alike, sorted in ranges; of the next text only the start that the edit takes, and its hashes,
+go to the row before.  So neither a doc_id of many rows, null for one, nor many equal rows meet in a task.
 
 Defined cases: a null text is empty; a text without a lexicon term is fingerprinted by all its terms,
 or, without any, as a whole; a null doc_id comes first, rows with equal doc_id in the order of their
 texts' hashes; the only row is its own next; an empty table gives an empty result; extra columns are
-not looked at.  doc_id must be an integer.
+not looked at.  doc_id is of a type that integers can be cast to.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ from pyspark.sql.window import Window as W
 
 from .common import settle
 
-SLOTS = 1 << 18
 SUBSETS = 16
 #: (bits of a term's hash that deal it to subsets, one in how many terms a subset has)
 DENSITIES = ((40, 16), (20, 64), (30, 256))
-RANGES = 64
-RANGE_ROWS = 1024
-FEW_RANGES = 200_000
+SHARED_MOST = 200_000
+#: What tells rows apart, in their order.
+KEY = ["im_has", "im_id", "im_hash"]
+COPIES = 65536
 
 
 def terms(text) -> F.Column:
@@ -43,22 +48,36 @@ def terms(text) -> F.Column:
 
 
 def lexicon(docs: DataFrame, least: float, most: float) -> DataFrame:
-    """One row, bits: a bitmap of the slots whose share of documents is in the band."""
-    slots = F.array_distinct(F.transform(F.col("terms"), lambda t: F.pmod(t, F.lit(SLOTS))))
-    seen = docs.select(terms(F.col("text")).alias("terms")).select(F.explode(F.array_append(slots, F.lit(-1).cast("long"))).alias("slot"))
-    counts = settle(seen.groupBy("slot").agg(F.count(F.lit(1)).alias("n")))  # slot -1 counts the documents
-    total = counts.where("slot = -1").select("n").scalar()
-    band = counts.where("slot >= 0").where((F.col("n") >= total * least) & (F.col("n") <= total * most))
-    words = band.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("w"))
-    every = docs.sparkSession.range(0, SLOTS // 64, 1, 1).join(words, F.col("id") == F.col("word"), "left")
-    return settle(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("bits")))
-
-
-def with_signature(df: DataFrame, text: str, bits: DataFrame, name: str) -> DataFrame:
+    """term: the hashes of the terms whose share of documents is in the band."""
+    total = docs.count()
+    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return settle(counts.where((F.col("n") >= total * least) & (F.col("n") <= total * most)).select("term"))
+
+
+def shared(lex: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(one row, buckets: an array of arrays; the number of buckets): a term is in bucket pmod(term, number)."""
+    n = 1 << max(4, size.bit_length())
+    held = lex.groupBy(F.pmod("term", F.lit(n)).alias("at")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    every = lex.sparkSession.range(0, n, 1, 1).join(held, F.col("id") == F.col("at"), "left")
+    every = every.select(F.struct("id", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms")).alias("b"))
+    return settle(every.agg(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["terms"]).alias("buckets"))), n
+
+
+def with_known(df: DataFrame, text: str, keys: list[str], lex: DataFrame, size: int, shared_most: int) -> DataFrame:
+    """df, of which the keys tell rows apart, with im_known: what of the text's terms is in the lexicon, sorted."""
+    of = terms(F.col(text))
+    if size <= shared_most:
+        buckets, n = shared(lex, size)
+        # im_lex is named once, so that it becomes part of the expression, not of each row
+        held = df.withColumn("im_lex", buckets.scalar())
+        return held.withColumn("im_known", F.filter(of, lambda t: F.array_contains(F.get("im_lex", F.pmod(t, F.lit(n)).cast("int")), t))).drop("im_lex")
+    found = df.select(*keys, F.explode(of).alias("term")).join(lex, "term").groupBy(*keys).agg(F.sort_array(F.collect_set("term")).alias("im_found"))
+    return df.join(found, keys, "left").withColumn("im_known", F.coalesce("im_found", F.array().cast("array<bigint>"))).drop("im_found")
+
+
+def with_signature(df: DataFrame, text: str, name: str, known) -> DataFrame:
     """df with the array column `name`: len(DENSITIES) * SUBSETS hashes, 0 where a subset has no term of the text."""
-    df = df.withColumn("im_terms", terms(F.col(text))).withColumn("im_bits", bits.scalar())
-    known = F.expr(f"filter(im_terms, t -> shiftright(im_bits[cast(shiftright(pmod(t, {SLOTS}L), 6) as int)], cast(pmod(t, 64L) as int)) & 1L = 1L)")
-    df = df.withColumn("im_known", known).drop("im_bits")
+    df = known(df, text)
     one = "transform(sequence(0L, {n}L), k -> coalesce(nullif(xxhash64(filter({of}, t -> pmod(shiftright(t, {by}), {mod}L) = k)), xxhash64(cast(array() as array<bigint>))), 0L))"
     parts, made = [], []
     for by, mod in DENSITIES:
@@ -67,12 +86,12 @@ def with_signature(df: DataFrame, text: str, bits: DataFrame, name: str) -> Data
         parts.append(F.expr(one.format(n=SUBSETS - 1, of=dealt, by=by, mod=mod)))
         made.append(dealt)
     sig = F.concat(*parts)
-    all_terms = F.when(F.size("im_terms") > 0, F.xxhash64("im_terms")).otherwise(F.xxhash64(F.col(text)))
-    return df.withColumn(name, F.when(F.size("im_known") > 0, sig).otherwise(F.array_repeat(all_terms, len(DENSITIES) * SUBSETS))).drop("im_terms", "im_known", *made)
+    all_terms = F.when(F.size(terms(F.col(text))) > 0, F.xxhash64(terms(F.col(text)))).otherwise(F.xxhash64(F.col(text)))
+    return df.withColumn(name, F.when(F.size("im_known") > 0, sig).otherwise(F.array_repeat(all_terms, len(DENSITIES) * SUBSETS))).drop("im_known", *made)
 
 
 def printable(sig: str) -> F.Column:
-    return F.expr(f"array_join(transform({sig}, x -> if(x = 0, '-', lower(hex(x & 4294967295L)))), '.')")
+    return F.expr(f"array_join(transform({sig}, x -> if(x = 0, '-', lower(hex(x)))), '.')")
 
 
 def likeness(a: str, b: str) -> F.Column:
@@ -84,39 +103,47 @@ def likeness(a: str, b: str) -> F.Column:
     return F.expr(f"if({a} = {b}, 1.0D, greatest({shares}))")
 
 
-def with_next(docs: DataFrame, carried: list[str], before=lambda df: df) -> DataFrame:
-    """doc_id and the carried columns of before(docs), and next_* of the row next in ascending doc_id."""
-    stats = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 10000)).first()
-    cuts = sorted(set([stats[0], *(stats[3] or [])])) if stats[0] is not None else [0]
-    parts = max(1, -(-stats[2] // (RANGES * RANGE_ROWS)))
-    bounds = F.array(*[F.lit(c).cast("long") for c in [*cuts, (stats[1] or 0) + 1]])
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id")))
-    low, high = F.element_at(bounds, at), F.element_at(bounds, at + 1)
-    sub = F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - low).cast("double") * parts / (high - low).cast("double")))
-    ranged = docs.withColumn("im_range", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(at.cast("long") * parts + sub))
-    firsts = ranged.groupBy("im_range").agg(F.min("doc_id").alias("im_first"))
-    line = W.partitionBy(F.lit(0)).orderBy("im_range")
-    firsts = firsts.select("im_first", F.coalesce(F.lag("im_range").over(line), F.max("im_range").over(W.partitionBy(F.lit(0)))).alias("im_before"))
-    firsts = settle(firsts)
-    if len(cuts) * parts <= FEW_RANGES:  # at most so many rows of two integers; beyond that both sides are shuffled
-        firsts = F.broadcast(firsts)
-    extra = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("im_first"))).withColumn("im_range", F.col("im_before")).select(*docs.columns, "im_range")
-    both = before(ranged.withColumn("im_extra", F.lit(False)).unionByName(extra.withColumn("im_extra", F.lit(True))))
-    order = W.partitionBy("im_range").orderBy("im_extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    out = both.select("doc_id", "im_extra", *carried, *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
-    return out.where("not im_extra").drop("im_extra")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.004, most: float = 0.15) -> DataFrame:
+def before_each(docs: DataFrame) -> DataFrame:
+    """KEY, im_copies, im_before (KEY and length of the row before; of the last one for the first): one for rows that are alike."""
+    line = docs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("im_copies"), F.max(F.char_length("text")).alias("im_n"))
+    line = settle(line.repartitionByRange(*KEY).withColumn("im_part", F.spark_partition_id()))
+    own = F.struct(*KEY, "im_n")
+    # a row for each range: as many as there are partitions
+    last = line.groupBy("im_part").agg(F.max(own).alias("im_last"))
+    every = W.partitionBy(F.lit(0))
+    last = last.select(F.col("im_part").alias("im_p"), F.coalesce(F.lag("im_last").over(every.orderBy("im_part")), F.max("im_last").over(every)).alias("im_far"))
+    near = line.withColumn("im_near", F.lag(own).over(W.partitionBy("im_part").orderBy(*KEY)))
+    return near.join(F.broadcast(last), F.col("im_part") == F.col("im_p")).select(*KEY, "im_copies", F.coalesce("im_near", "im_far").alias("im_before"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.004, most: float = 0.15, shared_most: int = SHARED_MOST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has its last quarter replaced by as many characters from the start of the next document.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = lexicon(d, least, most)
-    rows = with_next(d, ["text", "sig"], lambda df: with_signature(df, "text", bits, "sig"))
+    zero = F.lit(0).cast(d.schema["doc_id"].dataType)
+    d = d.select("text", F.col("doc_id").isNotNull().alias("im_has"), F.coalesce("doc_id", zero).alias("im_id"), F.xxhash64("text").alias("im_hash"))
+    lex = lexicon(d, least, most)
+    size = lex.count()
+
+    def known(*more: str):
+        return lambda df, text: with_known(df, text, [*KEY, *more], lex, size, shared_most)
+
+    signed = with_signature(d if size <= shared_most else d.dropDuplicates(KEY), "text", "sig", known())
+    rows = signed.groupBy(*KEY).agg(F.first("text").alias("text"), F.first("sig").alias("sig")).join(before_each(d), KEY)
+    heads = rows.select(*[F.col(f"im_before.{c}").alias(c) for c in KEY], F.substring("text", F.lit(1), F.floor(F.col("im_before.im_n") / 4).cast("int")).alias("head"), F.col("sig").alias("next_sig"))
     n = F.char_length("text")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("quarter", F.floor(n / 4).cast("int"))
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.col("quarter")), F.substring("next_text", F.lit(1), F.col("quarter")))).drop("text", "next_text")
-    rows = with_signature(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", bits, "edited_sig")
-    return rows.select("doc_id", "n_chars", "edited_sha256", printable("sig").alias("fingerprint"), printable("edited_sig").alias("edited_fingerprint"), likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next"))
+    rows = rows.drop("im_before").join(heads, KEY).withColumn("n_chars", n.cast("long")).withColumn("quarter", F.floor(n / 4).cast("int"))
+    # of several rows that are alike, all but the last have the same text next
+    last = F.struct(F.lit(1).cast("long").alias("times"), "head", "next_sig")
+    others = F.struct((F.col("im_copies") - 1).alias("times"), F.substring("text", F.lit(1), F.col("quarter")).alias("head"), F.col("sig").alias("next_sig"))
+    rows = rows.select("*", F.posexplode(F.when(F.col("im_copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("im_which", "im_next"))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.col("quarter")), F.col("im_next.head"))).withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = rows.select(*KEY, "im_which", "n_chars", "sig", "edited", "edited_sha256", F.col("im_next.times").alias("times"), F.col("im_next.next_sig").alias("next_sig"))
+    rows = with_signature(rows, "edited", "edited_sig", known("im_which"))
+    doc_id = F.when(F.col("im_has"), F.col("im_id")).alias("doc_id")
+    out = rows.select("times", doc_id, "n_chars", "edited_sha256", printable("sig").alias("fingerprint"), printable("edited_sig").alias("edited_fingerprint"), likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next"))
+    out = out.withColumn("im_block", F.explode(F.expr(f"sequence(0L, (times - 1) div {COPIES})")))
+    out = out.withColumn("im_copy", F.explode(F.expr(f"array_repeat(0, cast(least({COPIES}, times - im_block * {COPIES}) as int))")))
+    return out.drop("times", "im_block", "im_copy")

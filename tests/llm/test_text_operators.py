@@ -220,23 +220,24 @@ def brute_imatch(rows, least, most):
     def terms(t):
         return sorted({h(w) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w})
 
-    texts = [t or "" for _, t in rows]
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, h(r[1])))
+    texts = [t for _, t in rows]
     df = {}
     for t in texts:
-        for s in {x % imatch.SLOTS for x in terms(t)}:
-            df[s] = df.get(s, 0) + 1
-    lex = {s for s, n in df.items() if least * len(rows) <= n <= most * len(rows)}
+        for x in terms(t):
+            df[x] = df.get(x, 0) + 1
+    lex = {x for x, n in df.items() if least * len(rows) <= n <= most * len(rows)}
 
     def sig(t):
         all_terms = terms(t)
-        known = [x for x in all_terms if x % imatch.SLOTS in lex]
+        known = [x for x in all_terms if x in lex]
         if not known:
             return [h_array(all_terms) if all_terms else h(t)] * 48
         subsets = [[x for x in known if (x >> by) % mod == k] for by, mod in imatch.DENSITIES for k in range(16)]
         return [h_array(s) if s else 0 for s in subsets]
 
     def show(s):
-        return ".".join("-" if x == 0 else f"{x & 0xFFFFFFFF:x}" for x in s)
+        return ".".join("-" if x == 0 else f"{x & (1 << 64) - 1:x}" for x in s)
 
     def like(a, b):
         if a == b:
@@ -264,8 +265,36 @@ def test_imatch_equals_brute_force(spark, n):
         rows[6] = (rows[6][0], "🙂🙂 " * 7)
         rows[9] = (rows[9][0], rows[8][1])
     docs = spark.createDataFrame(rng.sample(rows, n), "doc_id long, text string").selectExpr("*", "1 as n_chars", "2 as sig", "3 as im_range")
-    got = [tuple(r) for r in imatch.fingerprints(docs, least=0.02, most=0.3).orderBy("doc_id").collect()]
-    assert got == brute_imatch(rows, 0.02, 0.3)
+    want = sorted(brute_imatch(rows, 0.02, 0.3), key=str)
+    assert sorted(map(tuple, imatch.fingerprints(docs, least=0.02, most=0.3).collect()), key=str) == want
+    # the join that takes over from a shared lexicon
+    assert sorted(map(tuple, imatch.fingerprints(docs, least=0.02, most=0.3, shared_most=0).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("most", [0, imatch.SHARED_MOST])
+def test_imatch_hot_ids_and_copies(spark, most):
+    rng = random.Random(8)
+    vocab = [f"t{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choices(vocab, k=rng.choice([3, 20, 60])))
+    same = text()
+    rows = [(None, text()) for _ in range(60)] + [(7, text()) for _ in range(60)] + [(7, same)] * 40 + [(None, same)] * 3 + [(i, text()) for i in range(5, 40)] + [(99, None), (99, "")]
+    rng.shuffle(rows)
+    got = imatch.fingerprints(spark.createDataFrame(rows, "doc_id int, text string"), least=0.02, most=0.4, shared_most=most)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_imatch(rows, 0.02, 0.4), key=str)
+    named = imatch.fingerprints(spark.createDataFrame([(str(d), t) for d, t in rows], "doc_id string, text string"), shared_most=most)
+    assert named.count() == len(rows)
+
+
+def test_imatch_lexicon_of_many_terms(spark):
+    """Over 2**18 terms, each in one document; the lexicon has the common ones alone."""
+    n = 2000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 150), k -> concat('only', id * 150 + k)), concat('band', id % 20), 'everywhere') as text")
+    lex = {r["term"] for r in imatch.lexicon(docs, 0.004, 0.15).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert lex == {signed(xxhash.xxh64_intdigest(f"band{i}", seed=42)) for i in range(20)}
+    buckets, size = imatch.shared(imatch.lexicon(docs, 0.0, 1.0), 150 * n + 21)
+    row = buckets.first()["buckets"]
+    assert len(row) == size and sum(map(len, row)) == 150 * n + 21 and all(t % size == i for i, b in enumerate(row) for t in b)
 
 
 def test_imatch_edges(spark):
@@ -273,6 +302,7 @@ def test_imatch_edges(spark):
     rows = [(None, "a b"), (3, "c d"), (3, "c d"), (3, "e f"), (4, None)]
     got = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert len(got) == 5 and got.fingerprint.nunique() == 4
+    assert got.doc_id.isna().sum() == 1
 
 
 def test_imatch_plan_has_no_python(spark):
