@@ -4,13 +4,14 @@ A sentence runs to its full stop, exclamation or question mark or line end, with
 next letter or digit; one of over 8 words counts as its clauses, cut at commas, semicolons and colons, and
 a clause of over 8 words as pieces cut after words that their hash chooses, so that a repeated passage
 of few long sentences has spans too.  From each sentence on, the shortest run of at least `sentences` sentences and
-`words` words is a span; it is hashed by its words (case and the white space between words aside).
+`words` words is a span; it is hashed, in 128 bits, by its words (case and the white space between words aside).
 Spans are joined globally: of each hash all but the first occurrence, in order of doc_id and position,
 are repeats, and the sentences that a repeat covers are removed.
 
-Occurrences are counted with partial aggregation.  The commonest spans are looked up where documents are
+Occurrences are counted by the lower half of the hash, with partial aggregation.  Only spans whose lower half
+occurs again are told apart by all 128 bits and put in order.  The commonest spans are looked up where documents are
 cut, from a table of bounded size, so a passage in a third of all documents is neither shuffled again
-nor any task's burden; the others are joined with the first occurrence of their hash.
+nor any task's burden; of the others, no lower half has more than one in hot_most of all spans.
 
 Defined cases: null texts stay null and have no sentence; texts without a letter or digit have no
 span; rows with the same doc_id and text are one document, each of which gets the same result; a null
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import settle_table, tidy
 
@@ -65,12 +67,12 @@ def _by_words(s: str) -> list[str]:
 
 
 def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of every span."""
+    """(128-bit hash, first sentence, last sentence) of every span."""
     return _spans_in(sentences_of(text), sentences, words)
 
 
 def _spans_in(parts: list[str], sentences: int, words: int) -> list[tuple[int, int, int]]:
-    from xxhash import xxh3_64_intdigest
+    from xxhash import xxh3_128_intdigest
 
     split = [s.lower().split() for s in parts]
     joined = [" ".join(w) for w in split]
@@ -83,22 +85,29 @@ def _spans_in(parts: list[str], sentences: int, words: int) -> list[tuple[int, i
         if total < words or j - i < sentences:
             break
         if counts[i]:
-            out.append((xxh3_64_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass")) - (1 << 63), i, j - 1))
+            out.append((xxh3_128_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass")), i, j - 1))
         total -= counts[i]
     return out
 
 
+def halves(h: int) -> tuple[int, int]:
+    """A 128-bit hash as two signed 64-bit integers, the lower half first."""
+    return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
+
+
 def _spans(sentences: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h, first = [], [], []
+            row, low, high, first = [], [], [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
-                for a, i, _ in spans_of(t or "", sentences, words):
+                for h, i, _ in spans_of(t or "", sentences, words):
+                    a, b = halves(h)
                     row.append(k)
-                    h.append(a)
+                    low.append(a)
+                    high.append(b)
                     first.append(i)
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h, pa.int64()), pa.array(first, pa.int32())], ["doc_id", "key", "h", "i"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.int32())], ["doc_id", "key", "h", "high", "i"])
 
     return run
 
@@ -116,7 +125,7 @@ def _cut(n_cols: int, text_at: int, sentences: int, words: int, hot):
                 starts = set(runs or ())
                 if starts or common:
                     for h, i, j in _spans_in(parts, sentences, words):
-                        if i in starts or common.get(h, (d, key, i)) != (d, key, i):
+                        if i in starts or common and common.get(halves(h), (d, key, i)) != (d, key, i):
                             gone.update(range(i, j + 1))
                 texts.append(t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone))
                 total.append(len(parts))
@@ -137,18 +146,21 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = dict(keyed.dtypes)["doc_id"]
-    spans = settle_table(keyed.mapInArrow(tidy(_spans(sentences, words)), f"doc_id {id_type}, key long, h long, i int"))
+    spans = settle_table(keyed.mapInArrow(tidy(_spans(sentences, words)), f"doc_id {id_type}, key long, h long, high long, i int"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "i")
-    first = settle_table(spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    commonest = first.where(F.col("n") >= hot_from).orderBy(F.col("n").desc(), "h").limit(hot_most).collect()
-    hot = {r["h"]: (r["first"]["doc_id"], r["first"]["key"], r["first"]["i"]) for r in commonest}
-    rare, once = spans, first.select(F.col("h").alias("fh"), "first")
-    if hot:
-        named = F.broadcast(spark.createDataFrame([(h,) for h in hot], "hot long"))
+    again = settle_table(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    commonest = [r["h"] for r in again.where(F.col("n") >= hot_from).orderBy(F.col("n").desc(), "h").limit(hot_most).collect()]
+    hot, rare, once = {}, spans, again.select(F.col("h").alias("fh"))
+    if commonest:
+        named = F.broadcast(spark.createDataFrame([(h,) for h in commonest], "hot long"))
+        firsts = spans.join(named, F.col("h") == F.col("hot"), "left_semi").groupBy("h", "high").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        hot = {(r["h"], r["high"]): (r["first"]["doc_id"], r["first"]["key"], r["first"]["i"]) for r in firsts.collect()}
         rare, once = rare.join(named, F.col("h") == F.col("hot"), "left_anti"), once.join(named, F.col("fh") == F.col("hot"), "left_anti")
-    again = rare.join(once, F.col("h") == F.col("fh")).where(place != F.col("first"))
+    order = W.partitionBy("h", "high")
+    placed = rare.join(once, F.col("h") == F.col("fh")).withColumn("first", F.min(place).over(order))
+    repeats = placed.where(place != F.col("first"))
     # a document has at most as many starts of repeats as sentences
-    runs = again.groupBy("doc_id", "key").agg(F.collect_set("i").alias("span_runs")).select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "span_runs")
+    runs = repeats.groupBy("doc_id", "key").agg(F.collect_set("i").alias("span_runs")).select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "span_runs")
     rows = docs.join(runs, F.col(id_col).eqNullSafe(F.col("span_doc")) & (F.xxhash64(F.col(text_col)) == F.col("span_key")), "left")
     cols = docs.columns
     rows = rows.select(*[F.col(c) for c in cols], "span_runs", F.col(id_col).alias("span_doc"), F.xxhash64(F.col(text_col)).alias("span_key"))
