@@ -1,8 +1,10 @@
 """Media columns: Netpbm and BMP images decoded to numpy arrays, area-resized, written as NPY tiles.
 
-* `decode_image` reads Netpbm (P1 to P6, 8 or 16 bits, comments) and BMP (1, 4, 8, 24 and 32 bits,
-  uncompressed, bottom-up or top-down) into an array of height x width (grey) or x 3 (colour).
-* `area_resize` averages over areas with an integral image, in any ratio.
+* `decode_image` reads Netpbm (P1 to P6, 8 or 16 bits, comments) and BMP (1, 4, 8, 16, 24 and 32 bits,
+  uncompressed, with bit fields or without, bottom-up or top-down) into an array of height x width
+  (grey) or x 3 (colour).
+* `area_resize` averages over areas with an integral image, in any ratio; the image of running sums is
+  made band by band of rows, and only what the areas' edges need of it is kept.
 * `write_tiles` cuts an array into bands of rows, each an NPY file; tiles follow one another.
 * `difference_hash` compares neighbours of a 9 x 8 area-resized grey image: 64 bits, 16 hex digits.
 
@@ -48,9 +50,10 @@ def _netpbm(data: bytes) -> np.ndarray:
         nums.append(int(data[at:end]))
         at = end
     w, h, most = (*nums, 1)[:3]
-    if not (w > 0 and h > 0 and 0 < most < 65536):
-        raise ValueError("bad Netpbm header")
     bands = 3 if kind in (b"P3", b"P6") else 1
+    # a sample takes a bit, a digit, a byte or two: no header can ask for more than the data have
+    if not (w > 0 and h > 0 and 0 < most < 65536) or w * h * bands > len(data) * (8 if kind == b"P4" else 1):
+        raise ValueError("bad Netpbm header, or data cut short")
     kind_of = np.dtype(">u2" if most > 255 else "u1")
     if kind == b"P4":
         row = (w + 7) // 8
@@ -62,6 +65,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         a = 1 - np.array([c - 48 for c in b"".join(x.split(b"#")[0] for x in data[at:].split(b"\n")) if c in b"01"][: w * h], np.uint8)
     else:
         a = np.array(b" ".join(x.split(b"#")[0] for x in data[at:].split(b"\n")).split()[: w * h * bands], np.int64)
+        if a.size and not 0 <= a.min() <= a.max() <= most:
+            raise ValueError("a Netpbm sample is out of range")
     if a.size != w * h * bands:
         raise ValueError("Netpbm data cut short")
     a = a.astype(np.uint16 if most > 255 else np.uint8)
@@ -70,21 +75,35 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 def _bmp(data: bytes) -> np.ndarray:
     offset, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or w <= 0 or h == 0 or bits not in (1, 4, 8, 24, 32) or (packed == 3 and bits != 32):
-        raise ValueError("this kind of BMP is not supported")
-    used = struct.unpack_from("<I", data, 46)[0] if size >= 40 else 0
     rows, row = abs(h), (w * bits + 31) // 32 * 4
+    if packed not in (0, 3) or w <= 0 or h == 0 or bits not in (1, 4, 8, 16, 24, 32) or (packed == 3 and bits not in (16, 32)):
+        raise ValueError("this kind of BMP is not supported")
+    if rows * row > len(data):
+        raise ValueError("BMP data cut short")
     a = np.frombuffer(data, np.uint8, row * rows, offset).reshape(rows, row)
     if bits <= 8:
+        used = struct.unpack_from("<I", data, 46)[0] if size >= 40 else 0
         colours = np.frombuffer(data, np.uint8, 4 * (used or 1 << bits), 14 + size).reshape(-1, 4)[:, 2::-1]
         index = a[:, :w] if bits == 8 else (np.unpackbits(a, axis=1)[:, :w] if bits == 1 else np.stack((a >> 4, a & 15), 2).reshape(rows, -1)[:, :w])
         a = colours[index]
         a = a[:, :, 0] if (colours[:, 0] == colours[:, 1]).all() and (colours[:, 1] == colours[:, 2]).all() else a
+    elif bits == 16 or packed == 3:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        a = np.stack([_field(a.view("<u2" if bits == 16 else "<u4")[:, :w], m, bits) for m in masks], 2)
     else:
         a = a[:, : w * bits // 8].reshape(rows, w, bits // 8)[:, :, 2::-1]
     return np.ascontiguousarray(a[::-1] if h > 0 else a)
 
 
+def _field(samples: np.ndarray, mask: int, bits: int) -> np.ndarray:
+    """The masked bits of the samples, as 0 to 255."""
+    low = mask & -mask
+    if not mask or mask >> bits or (mask // low) & (mask // low + 1):
+        raise ValueError("a BMP colour mask is not one run of bits")
+    most = mask // low
+    return ((samples.astype(np.uint64) & np.uint64(mask)) // np.uint64(low) * np.uint64(255) // np.uint64(most)).astype(np.uint8)
+
+
 def decode_image(data: bytes) -> np.ndarray:
     if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
         return _netpbm(data)
@@ -97,23 +116,27 @@ def encode_pgm(a: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (a.shape[1], a.shape[0]) + a.astype(np.uint8).tobytes()
 
 
-def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
+def area_resize(a: np.ndarray, height: int, width: int, band: int = 65536) -> np.ndarray:
     """Means over equal areas, from an integral image interpolated at fractional edges."""
 
     def along(x: np.ndarray, n: int) -> np.ndarray:
-        total = np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0, dtype=np.float64)))
         edge = np.arange(n + 1) * (x.shape[0] / n)
         low = np.minimum(edge.astype(np.int64), x.shape[0] - 1)
+        at, held = np.zeros((n + 1, *x.shape[1:])), np.zeros(x.shape[1:])
+        for i in range(0, x.shape[0], band):
+            total = np.cumsum(x[i : i + band], axis=0, dtype=np.float64) + held
+            here = np.flatnonzero((low > i) & (low <= i + len(total)))  # sums of the rows before row `low`
+            at[here] = total[low[here] - 1 - i]
+            held = total[-1]
         part = (edge - low).reshape(-1, *[1] * (x.ndim - 1))
-        at = total[low] + part * (total[low + 1] - total[low])
-        return np.diff(at, axis=0) * (n / x.shape[0])
+        return np.diff(at + part * x[low], axis=0) * (n / x.shape[0])
 
     return np.swapaxes(along(np.swapaxes(along(a, height), 0, 1), width), 0, 1)
 
 
 def difference_hash(a: np.ndarray) -> str:
-    grey = a if a.ndim == 2 else a @ np.array([0.299, 0.587, 0.114])
-    small = area_resize(grey, 8, 9)
+    small = area_resize(a, 8, 9)
+    small = small if a.ndim == 2 else small @ np.array([0.299, 0.587, 0.114])
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -179,7 +202,7 @@ def _columns(height: int, width: int):
                     a = decode_image(data or b"")
                     small = np.rint(area_resize(a, height, width)).astype(a.dtype)
                     rows.append((a.shape[0], a.shape[1], write_tiles(small), difference_hash(a), None))
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
                     rows.append((None, None, None, None, str(e)))
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "height", "width", "tile", "dhash", "error"])

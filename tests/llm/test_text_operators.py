@@ -368,12 +368,12 @@ def test_texts_as_media(spark):
     assert media.features(media.store_texts(docs.limit(0))).collect() == []
 
 
-def bmp(a, bits, top_down=False, palette=None):
+def bmp(a, bits, top_down=False, palette=None, masks=None):
     h, w = a.shape[:2]
     rows = a if top_down else a[::-1]
     packed = b"".join((np.packbits(r).tobytes() if bits == 1 else r.tobytes()).ljust((w * bits + 31) // 32 * 4, b"\0") for r in rows)
-    colours = b"" if palette is None else palette.tobytes()
-    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54 + len(colours), 40, w, -h if top_down else h, 1, bits, 0, 0, 0, 0, 0, 0) + colours + packed
+    colours = (b"" if palette is None else palette.tobytes()) if masks is None else struct.pack("<III", *masks)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54 + len(colours), 40, w, -h if top_down else h, 1, bits, 3 if masks else 0, 0, 0, 0, 0, 0) + colours + packed
 
 
 def test_image_formats():
@@ -395,6 +395,12 @@ def test_image_formats():
         assert (media.decode_image(bmp(four, 32, top)) == colour).all()
         ramp = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, 1)
         assert (media.decode_image(bmp(grey, 8, top, ramp)) == grey).all()
+        for masks, shifts in (((0xFF, 0xFF00, 0xFF0000), (0, 8, 16)), ((0xFF000000, 0xFF0000, 0xFF00), (24, 16, 8))):
+            packed = sum(colour[:, :, i].astype("<u4") << s for i, s in enumerate(shifts)).astype("<u4").view(np.uint8).reshape(5, 7, 4)
+            assert (media.decode_image(bmp(packed, 32, top, masks=masks)) == colour).all()
+        five = colour >> 3
+        packed = sum(five[:, :, i].astype("<u2") << s for i, s in enumerate((10, 5, 0))).astype("<u2").view(np.uint8).reshape(5, 7, 2)
+        assert (media.decode_image(bmp(packed, 16, top)) == five.astype(int) * 255 // 31).all()
     two = np.array([[0, 0, 0, 0], [255, 255, 255, 0]], np.uint8)
     assert (media.decode_image(bmp(bits, 1, False, two)) == bits * 255).all()
 
@@ -406,6 +412,8 @@ def test_area_resize_and_tiles():
     want = big.reshape(8, 13, 9, 21).mean((1, 3))
     assert np.allclose(media.area_resize(a, 8, 9), want)
     assert np.allclose(media.area_resize(a, 13, 21), a)
+    for band in (1, 4, 13):
+        assert np.allclose(media.area_resize(a, 8, 9, band), want)
     assert media.area_resize(np.ones((1, 1)), 4, 6).shape == (4, 6)
     assert (media.read_tiles(media.write_tiles(a, 4)) == a).all()
 
@@ -416,3 +424,19 @@ def test_media_columns(spark):
     got = {r["id"]: r for r in media.media_columns(df).collect()}
     assert np.load(io.BytesIO(got[1]["tile"])).shape == (32, 32) and got[1]["dhash"] == got[5]["dhash"] and len(got[1]["dhash"]) == 16
     assert all(got[i]["tile"] is None and got[i]["error"] for i in (2, 3, 4))
+
+
+def test_malformed_images(spark):
+    huge = b"9" * 20
+    bad = [
+        b"P5\n" + huge + b" 1\n255\n", b"P4\n" + huge + b" 1\n", b"P1\n" + huge + b" 1\n1", b"P6 4000000000 4000000000 255\n", b"P3\n1 1\n255\n" + huge + b" 0 0", b"P2\n1 1\n255\n-4",
+        b"P5", b"P5\n#", b"P5\n0 1\n255\n", b"P9\n1 1\n", b"BM", b"BM" + b"\xff" * 60, bmp(np.zeros((1, 1, 4), np.uint8), 32, masks=(0, 0, 0)), bmp(np.zeros((1, 1, 4), np.uint8), 32, masks=(5, 2, 8)), bmp(np.zeros((2, 2), np.uint8), 8)[:60],
+        struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54, 40, 2**31 - 1, -(2**31), 1, 32, 0, 0, 0, 0, 0, 0),
+    ]
+    rng = random.Random(1)
+    good = [media.encode_pgm(np.zeros((3, 3), np.uint8)), bmp(np.zeros((3, 3, 3), np.uint8), 24)]
+    noise = [bytes(b if rng.random() > 0.1 else rng.randrange(256) for b in rng.choice(good)) for _ in range(400)]
+    got = media.media_columns(spark.createDataFrame(list(enumerate(bad + noise)), "id int, data binary")).collect()
+    assert len(got) == len(bad) + len(noise)
+    assert all(r["error"] and r["tile"] is None for r in got if r["id"] < len(bad))
+    assert all((r["error"] is None) == (r["tile"] is not None) for r in got)
