@@ -6,16 +6,20 @@
 
 Each view has a logistic regression.  In each round both score an unlabelled pool, and each gives the
 other its most confident pseudo-labels (both classes, in the labels' proportion, and only beyond a
-confidence).  Then each view's scores are calibrated on labelled rows it wasn't trained on, and the
-calibrated views are combined by a logistic regression, so that a weak view counts little.
+confidence).  Then each view's scores are calibrated on an eighth of the labelled rows, and the calibrated
+views are combined by a logistic regression on another eighth, so that a weak view counts little; neither
+trains the views.  With fewer than 8 labelled rows of a class, all rows do all three.
 
-Training takes bounded samples, of the documents with the least seeded hashes: `max_labelled` labelled
-ones and a pool of `max_pool`; their features go to the driver.  Every document is scored.
+The method keeps a pool of fixed size, and so does this: fitting takes the documents with the least
+seeded hashes, `max_labelled` labelled ones and a pool of `max_pool`, whose features go to the driver
+(README has the held-out accuracy by size of the pool).  Every document is scored.
 
 Defined cases: a null or empty text has zero text features and is scored like any other; null
 metadata are a value of their own; without labels of both classes every score is 0.5 and every row is
-kept; repeated rows get equal scores; an empty table gives an empty result; other columns are
-ignored (`score`) or carried (`keep_good`).
+kept; of conflicting labels of a document the larger counts; of several documents with one id the one
+with the least hash is learned from, whatever the label's; labels of absent documents don't count;
+repeated rows get equal scores; an empty table gives an empty result; other columns are ignored
+(`score`) or carried (`keep_good`).
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import dealt_anew, tidy
 
 PAIRS = 1024
 SHARES = 12
@@ -100,16 +104,17 @@ def logits(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, share: float = 0.05, confident: float = 0.95) -> dict[str, np.ndarray]:
     """(text, meta, y), (text, meta) -> the weights of the views, of their calibrations and of the combination."""
     y = labelled[2]
-    held = np.arange(len(y)) % 4 == 3  # for calibration
-    views = [(labelled[v][~held], pool[v]) for v in (0, 1)]
+    held, last = _parts(y)  # for calibration, for the combination
+    own = ~(held | last) if (held != last).any() else held
+    views = [(labelled[v][own], pool[v]) for v in (0, 1)]
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels by pool row, for each view
     models: list[np.ndarray] = []
-    rate = y[~held].mean()
+    rate = y[own].mean()
     for r in range(rounds + 1):
         models = []
         for v, (x, p) in enumerate(views):
             rows = np.array(sorted(given[v]), int)
-            xs, ys = np.vstack((x, p[rows])), np.concatenate((y[~held], [given[v][i] for i in rows]))
+            xs, ys = np.vstack((x, p[rows])), np.concatenate((y[own], [given[v][i] for i in rows]))
             models.append(fit_logistic(xs, ys, np.concatenate((np.ones(len(x)), np.full(len(rows), 0.5)))))
         if r == rounds or not len(pool[0]):
             break
@@ -119,10 +124,21 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
             order = np.argsort(s, kind="stable")
             good, bad = order[::-1][: max(1, round(many * rate))], order[: max(1, round(many * (1 - rate)))]
             given[1 - v] |= {int(i): 1 for i in good if s[i] >= confident} | {int(i): 0 for i in bad if s[i] <= 1 - confident}
-    z = np.stack([logits(models[v], labelled[v][held]) for v in (0, 1)], 1)
-    platt = [fit_logistic(z[:, [v]] / 8, y[held], decay=1e-3) for v in (0, 1)]
-    calibrated = np.stack([logits(platt[v], z[:, [v]] / 8) for v in (0, 1)], 1)
-    return {"text": models[0], "meta": models[1], "platt_text": platt[0], "platt_meta": platt[1], "both": fit_logistic(calibrated / 8, y[held], decay=1e-3)}
+    z = np.stack([logits(models[v], labelled[v]) for v in (0, 1)], 1)
+    platt = [fit_logistic(z[held][:, [v]] / 8, y[held], decay=1e-3) for v in (0, 1)]
+    calibrated = np.stack([logits(platt[v], z[last][:, [v]] / 8) for v in (0, 1)], 1)
+    return {"text": models[0], "meta": models[1], "platt_text": platt[0], "platt_meta": platt[1], "both": fit_logistic(calibrated / 8, y[last], decay=1e-3)}
+
+
+def _parts(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two eighths of the rows of each class; all rows, twice, where a class has fewer than 8."""
+    place = np.zeros(len(y), int)
+    for c in (0, 1):
+        mine = y == c
+        if mine.sum() < 8:
+            return np.ones(len(y), bool), np.ones(len(y), bool)
+        place[mine] = np.arange(mine.sum()) % 8
+    return place == 3, place == 7
 
 
 def combine(model: dict[str, np.ndarray], text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -139,11 +155,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["id", "x"])
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> tuple[list, np.ndarray]:
-    """Ids and features of the documents with the given ids (a bounded number of them)."""
-    rows = docs.join(F.broadcast(ids), F.col("id") == F.col("wanted"), "left_semi")
-    got = sorted(rows.mapInArrow(tidy(_features), f"id {dict(docs.dtypes)['id']}, x binary").collect(), key=lambda r: (r["id"], r["x"]))
-    return [r["id"] for r in got], np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64).reshape(len(got), TEXT + META)
+def _sample(rows: DataFrame, hashes: list[int]) -> dict[int, np.ndarray]:
+    """Features by hash, of one row of each of the given hashes (a bounded number of them)."""
+    named = rows.sparkSession.createDataFrame([(h,) for h in hashes], "wanted long")
+    one = rows.join(F.broadcast(named), F.col("hash") == F.col("wanted"), "left_semi").dropDuplicates(["hash"]).select("hash", "text", "source", "lang")
+    return {r["id"]: np.frombuffer(r["x"], np.float32).astype(float) for r in one.mapInArrow(tidy(_features), "id long, x binary").collect()}
+
+
+def _least(rows: DataFrame, n: int) -> list[int]:
+    """The n least different hashes of the rows, looked for among so few of them that the rest need no shuffle."""
+    share = min(1.0, 4 * n / max(1, rows.count()))
+    while True:
+        some = rows.select("hash") if share >= 1 else rows.select("hash").where(F.col("hash") < -(1 << 63) + int(share * (1 << 64)))
+        found = [r["hash"] for r in some.distinct().orderBy("hash").limit(n).collect()]
+        if len(found) == n or share >= 1:
+            return found
+        share = min(1.0, 8 * share)
 
 
 def _view(docs: DataFrame, id_col: str) -> DataFrame:
@@ -154,19 +181,18 @@ def _view(docs: DataFrame, id_col: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 4000, max_pool: int = 3000, seed: int = 5, **params) -> dict[str, np.ndarray] | None:
     """The model, or None where the labels lack a class."""
     view = _view(docs, id_col)
-    order = F.xxhash64(F.lit(seed), F.col("wanted"))
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("wanted")).agg(F.max(label_col).alias("y"))
-    known = known.join(view.select(F.col("id").alias("present")).distinct(), F.col("wanted") == F.col("present"), "left_semi")
-    picked = {r["wanted"]: r["y"] for r in known.orderBy(order).limit(max_labelled).collect()}
+    # a row's hash stands for it: rows that are alike are one, and none needs an id
+    rows = view.select("*", F.xxhash64(F.lit(seed), "id", "text", "source", "lang").alias("hash"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("wanted")).agg(F.max(label_col).alias("y")).select(dealt_anew("wanted").alias("wanted"), "y")
+    given = rows.join(known, F.col("id") == F.col("wanted")).groupBy("wanted").agg(F.min("hash").alias("hash"), F.first("y").alias("y"))
+    picked = {r["hash"]: r["y"] for r in given.orderBy("hash", "wanted").limit(max_labelled).collect()}
     if len(set(picked.values())) < 2:
         return None
-    spark = docs.sparkSession
-    kind = dict(view.dtypes)["id"]
-    ids, x = _sample(view, spark.createDataFrame([(i,) for i in picked], f"wanted {kind}"))
-    pool_ids = view.select(F.col("id").alias("wanted")).distinct().orderBy(order).limit(max_pool + max_labelled).collect()
-    rest = [r["wanted"] for r in pool_ids if r["wanted"] is not None and r["wanted"] not in picked][:max_pool]
-    _, p = _sample(view, spark.createDataFrame([(i,) for i in rest], f"wanted {kind}"))
-    y = np.array([picked[i] for i in ids], float)
+    rest = [h for h in _least(rows, max_pool + max_labelled) if h not in picked][:max_pool]
+    found = _sample(rows, [*picked, *rest])
+    order = [h for h in sorted(picked) if h in found]
+    x, y = np.array([found[h] for h in order]), np.array([picked[h] for h in order], float)
+    p = np.array([found[h] for h in rest if h in found]).reshape(-1, TEXT + META)
     mixed = np.random.default_rng(seed).permutation(len(y))
     x, y = x[mixed], y[mixed]
     return co_train((x[:, :TEXT], x[:, TEXT:], y), (p[:, :TEXT], p[:, TEXT:]), **params)

@@ -1,8 +1,10 @@
 import hashlib
 import io
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +43,48 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), model).collect() == []
 
 
+def test_quality_of_few_labels_and_repeated_ids(spark):
+    good = "Plain words that make up a sentence of the usual kind, as one would write it. "
+    rows = [(1, good, "en", "a"), (2, "$$$ 77 BUY!!! " * 5, "en", "b"), (3, good * 2, "en", "a"), (3, "$$$ 99 BUY NOW!!! " * 4, "en", "b"), (None, good, None, None), (3, good * 2, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (44, 1), (None, 1), (3, None)], "doc_id int, quality int")
+    model = quality.train(docs, labels)
+    got = {(r["doc_id"], r["text"]): r["quality_score"] for r in quality.score(docs, model, ["doc_id", "text"]).collect()}
+    assert got[1, good] > 0.5 > got[2, rows[1][1]] and got[3, good * 2] > got[3, rows[3][1]]
+    again = quality.train(docs.orderBy("text"), labels)
+    assert all((model[k] == again[k]).all() for k in model)
+    assert quality.train(docs, labels.where("doc_id = 44")) is None
+    # conflicting labels: the larger counts
+    assert quality.train(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id int, quality int")) is None
+
+
+def test_logistic_equals_newton():
+    """fit_logistic against plain Newton steps, the combination against its formula."""
+    rng = np.random.default_rng(3)
+    x, y, s = rng.normal(size=(80, 4)), (rng.random(80) > 0.4).astype(float), rng.random(80)
+    a, w = np.hstack((x, np.ones((80, 1)))), np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        g = a.T @ (s / s.sum() * (p - y)) + 1e-3 * w
+        w -= np.linalg.solve((a.T * (s / s.sum() * p * (1 - p))) @ a + 1e-3 * np.eye(5), g)
+    assert np.allclose(quality.fit_logistic(x, y, s, decay=1e-3, rounds=4000), w, atol=1e-3)
+    m = {"text": rng.normal(size=quality.TEXT + 1), "meta": rng.normal(size=quality.META + 1), "platt_text": np.array([2.0, 1]), "platt_meta": np.array([3.0, -1]), "both": np.array([1.0, 2, 0.5])}
+    doc, lang, source = "Some text, 12 lines.\nAnd more", "en", None
+    t, e = quality.text_features(doc), quality.meta_features(source, lang, doc)
+    one = 2 * (t @ m["text"][:-1] + m["text"][-1]) / 8 + 1
+    two = 3 * (e @ m["meta"][:-1] + m["meta"][-1]) / 8 - 1
+    want = [1 / (1 + np.exp(-z)) for z in (one, two, one / 8 + 2 * two / 8 + 0.5)]
+    assert np.allclose(quality.combine(m, t[None], e[None])[0], want)
+
+
+def test_text_features_by_hand():
+    x = quality.text_features("Ab 1\nab")
+    pairs = Counter((a * 256 + b) * 2654435761 % (1 << 32) >> 22 for a, b in zip(b"Ab 1\nab", b"b 1\nab"))
+    assert all(np.isclose(x[k], (pairs.get(k, 0) / 6) ** 0.5) for k in range(quality.PAIRS))
+    assert np.allclose(x[quality.PAIRS :][:7], [1 / 7, 3 / 7, 0, 1 / 7, 0, 1 / 7, min(1, 40 / 7)])
+    assert not quality.text_features(None).any() and not quality.text_features("").any()
+
+
 def test_co_training_exchanges_labels():
     rng = np.random.default_rng(1)
 
@@ -147,6 +191,37 @@ def test_language_edges(spark):
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, dicts).collect()]
     assert sorted(got, key=str) == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "fr"), (6, "en"), (5, "fr")], key=str)
     assert {r["lang_pred"] for r in langid.identify(docs, {}).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        langid.fit(docs, all_bytes=1024)
+
+
+def test_language_equals_brute_force(spark):
+    """The dictionaries and sums of compressed pieces, made over again from what the docstring says."""
+    import zstandard
+
+    rng = random.Random(4)
+    words = {g: ["".join(rng.choices(abc, k=rng.randrange(2, 9))) for _ in range(80)] for g, abc in (("en", "abcdefgh"), ("fr", "éèàbcdeu"), ("ru", "абвгдежз"))}
+    rows = [(i, ("12 ** " * rng.choice([0, 3000])) + " ".join(rng.choices(words[g], k=rng.choice([3, 50, 3000]))), g) for i, g in enumerate(rng.choices(list(words), k=60))]
+    docs = spark.createDataFrame([*rows, (None, None, "en"), (7, rows[7][1], None), (7, "другой текст", "ru")], "doc_id int, text string, lang string")
+    dicts = langid.fit(docs, slots=8, dict_bytes=5000)
+    assert all(0 < len(d) <= 5000 and d.decode() for d in dicts.values())
+    known = {g: {re.sub(r"[\W\d_]+", " ", t.lower()) for _, t, h in [*rows, (7, "другой текст", "ru")] if h == g} for g in words}
+    for g, d in dicts.items():
+        text = d.decode()
+        held = [t for t in known[g] if t[:40] in text]
+        assert 3 <= len(held) <= 8 and len(d) >= min(4900, sum(len(t.encode()) for t in held))  # several texts, also where letters have two bytes
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs.where("lang is not null and doc_id <> 7"), dicts).collect()}
+    for i, t, _ in rows:
+        if i == 7:
+            continue
+        data = re.sub(r"[\W\d_]+", " ", t.lower()).encode()
+        sizes = {}
+        for g, d in dicts.items():
+            tool = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[g] = sum(len(tool.compress(data[a : a + 4096])) for a in range(0, len(data), 4096))
+        best = min(sizes, key=lambda g: sizes[g])
+        score = 1 / sum(np.exp(-(n - sizes[best]) / max(len(data), 64) * 50) for n in sizes.values())
+        assert got[i][0] == best and np.isclose(got[i][1], score, atol=1e-6), (i, sizes)
     assert langid.fit(docs.limit(0)) == {}
 
 
