@@ -2,7 +2,9 @@
 
 The model is trained on the driver from a small labelled table of URLs (LABELLED, or a parameter);
 its weights are one fixed-size vector.  n-grams of the host (with its ends marked) and of the path's
-words have separate hash spaces.
+words have separate hash spaces.  LABELLED is made of words that unwanted, ordinary and well-known sites
+are called by, under many domains, with paths of either kind; it has more ordinary names, so that hosts unlike
+any of it are allowed.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased.  Path: from there up to `?`,
 `#` or the end.  A rule (host, path, verdict) fits its host and all subdomains where the path starts
@@ -27,18 +29,34 @@ from .common import tidy
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 SIZE = 1 << 16
 
-UNWANTED = "cheap-meds buy-pills discount-pills best-casino casino-royal win-casino free-bets-club sports-bets online-poker lucky-slots win-money free-money ads-server click-ads track-click ad-track banner-ads adult-video adult-chat xxx-cams hot-adult spam-mail link-farm spam-links free-spam cheap-loans payday-loans viagra-shop replica-watch get-rich-fast malware-host phish-login".split()
-ORDINARY = "news library university museum garden science history weather recipes travel school council hospital bookshop theatre music forum stories archive research thorn thread theory other nation rent shed station mention honest noble thing ether lather rather author anthem within whether heather tether bother leather than then thin this that there where three throne thrush threat thrill length tenth month south health wealth ledger stone onion inner ending reason edition heron shore".split()
-#: Ends of hosts and paths, dealt alike to both classes, so that neither tells them apart.
-DOMAINS = "com net org de fr es info io co.uk edu test example.com example.net example.org".split()
-PATHS = "|en/17|de/220.html|fr/8#top|es/3?page=2|index.html|about|2023/05/first-post|wiki/Main_Page|products/list|user/project|a/b/c.php?id=4|search?q=x".split("|")
-#: (url, 1 to block): common names of unwanted and of ordinary sites.
-LABELLED = tuple(
-    (f"https://{before}{name}.{DOMAINS[(5 * k + i) % len(DOMAINS)]}/{PATHS[(3 * k + i) % len(PATHS)]}", y)
-    for y, names in ((1, UNWANTED), (0, ORDINARY))
-    for k, name in enumerate(names)
-    for i, before in enumerate(("", "www.", "m.", "blog."))
-)
+#: Words that names of unwanted sites are made of, first and second halves.
+LURES = "cheap free best win online hot big fast lucky easy buy get super real instant secret".split()
+WARES = "casino poker slots betting jackpot roulette bingo-bonus pills viagra cialis pharmacy meds steroids loans payday credit-repair quick-cash crypto-profit bitcoin-doubler forex-signals xxx porn sex-chat sexdating webcams nude-pics hot-girls escorts adult-dating adult-video replica-watches fake-rolex designer-replica torrents cracked-games keygen serial-crack warez spyware phishing malware popup-ads ads-server ad-tracker click-track click-bait traffic-exchange link-farm spam-links spam-mailer seo-backlinks buy-followers buy-likes prize-draw lottery-winner gift-cards giftcard-generator weight-loss diet-miracle miracle-cure money-maker get-rich essay-writers".split()
+#: Words that names of ordinary sites are made of.
+PLACES = "river green city north old open east blue central little silver maple harbor village national union summit valley first modern".split()
+THINGS = "news library university museum garden science history weather recipes travel school council hospital books theatre music forum stories archive research bank market kitchen software engineering football railway cinema church gallery energy insurance motors airlines hotels coffee bakery academy institute society press radio television data maps photos jobs law design studio health sports games shop docs wiki blog mail cloud video search security labs parts tools foods farm homes clinic dental legal media writing knitting sailing printing building planning fishing gardening swimming rating listing wedding meeting".split()
+#: Names in the ways that well-known sites are called.
+KNOWN = "wikipedia github stackoverflow nytimes guardian reuters bbc adobe apache python mozilla kernel debian nature sciencedirect springer arxiv archive gutenberg imdb spotify netflix amazon microsoft apple google youtube linkedin reddit twitter facebook instagram pinterest tumblr medium quora yahoo bing wordpress blogger ebay etsy walmart target ikea airbnb booking tripadvisor expedia lufthansa siemens bosch volkswagen renault toyota samsung sony nintendo harvard stanford berkeley oxford cambridge sorbonne ethz nasa noaa usgs europa bundestag gov.uk loc smithsonian metmuseum louvre spiegel lemonde elpais corriere asahi".split()
+#: Ends of hosts, dealt alike to both classes, so that they don't tell them apart.
+DOMAINS = "com net org de fr es info io co.uk edu biz ru nl it pl jp co.jp com.br in ca au us eu tv me online site club test example.com example.net example.org".split()
+#: Paths that either class has, and those that one of them has more often.
+PATHS = "|index.html|about|en/17|de/220.html|fr/8#top|es/3?page=2|contact|home|login|1203/|p/55?utm_source=feed".split("|")
+LURE_PATHS = "free-spins/bonus|promo/claim-your-prize|buy-now/cheap|track.php?aff=123&sub=9|click?cid=88&redirect=1|xxx/gallery/12|casino/welcome-bonus|pills/order-online|download/crack-serial.exe|banner/ads.js|win/iphone|no-prescription/discount".split("|")
+PLAIN_PATHS = "wiki/Main_Page|2023/05/first-post|docs/latest/sql-guide.html|products/list|user/project/blob/main/README.md|news/world/story-12|a/b/c.php?id=4|search?q=x|research/papers/2019.pdf|library/catalogue|opening-hours|questions/113/how-to".split("|")
+
+
+def _table() -> Iterator[tuple[str, int]]:
+    """(url, 1 to block), four for each name; joined names are written with and without a hyphen."""
+    unwanted = [f"{LURES[(k + j) % len(LURES)]}{'-' if k % 2 else ''}{ware}" for k, ware in enumerate(WARES) for j in (0, 5, 11)] + WARES
+    ordinary = [f"{PLACES[(k + j) % len(PLACES)]}{'-' if k % 2 else ''}{thing}" for k, thing in enumerate(THINGS) for j in (0, 7, 13)] + THINGS + KNOWN
+    for y, names, own in ((1, unwanted, LURE_PATHS), (0, ordinary, PLAIN_PATHS)):
+        for k, name in enumerate(names):
+            for i, before in enumerate(("", "www.", "m.", "blog.")):
+                path = (own if i % 2 else PATHS)[(3 * k + i) % len(own if i % 2 else PATHS)]
+                yield f"https://{before}{name}.{DOMAINS[(5 * k + 7 * i) % len(DOMAINS)]}/{path}", y
+
+
+LABELLED = tuple(_table())
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -62,19 +80,21 @@ def grams(host: str, path: str, size: int = SIZE) -> np.ndarray:
     return np.array(sorted({xxhash.xxh64_intdigest(g) % size for g in found}), np.int64)
 
 
-def train(labelled: Sequence[tuple[str, int]] = LABELLED, size: int = SIZE, rounds: int = 1000, rate: float = 8.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights and, last, the bias, by full-batch gradient descent: always the same for the same table."""
+def train(labelled: Sequence[tuple[str, int]] = LABELLED, size: int = SIZE, rounds: int = 600, rate: float = 8.0, decay: float = 2e-5) -> np.ndarray:
+    """Weights and, last, the bias, by full-batch gradient descent with momentum: always the same for the same table."""
     rows = [grams(*split_url(u), size) for u, _ in labelled]
     y = np.array([b for _, b in labelled], float)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate(rows)
     scale = 1 / np.sqrt([max(1, len(r)) for r in rows])
-    w = np.zeros(size + 1)
+    w, v = np.zeros(size + 1), np.zeros(size + 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(np.bincount(at, w[flat], len(rows)) * scale + w[size])))
         g = (p - y) / len(y)
-        w[:size] -= rate * (np.bincount(flat, (g * scale)[at], size) + decay * w[:size])
-        w[size] -= rate * g.sum()
+        v *= 0.9
+        v[:size] -= rate * (np.bincount(flat, (g * scale)[at], size) + decay * w[:size])
+        v[size] -= rate * g.sum() / 8
+        w += v
     return w
 
 
