@@ -8,12 +8,15 @@
    quota allows, then a run of the remaining number of blocks from a seeded start, round the end.
    A document contributes the words of it that lie in taken blocks.
 
-Only (source, 4096 seeded cells) statistics are gathered, with partial aggregation; no step needs a
-source in one task, and quotients are only made between two seat counts that enclose the result
-(at most 2 n + 1 of them for n parties).
+Only (source, 2**20 seeded cells) statistics are gathered, with partial aggregation, and documents pass
+through the windows in shards of about `shard_docs`; no step needs a source in one task, and quotients are
+only made between two seat counts that enclose the result (at most 2 n + 1 of them for n parties).  Targets
+and seats of the sources, a row each, are settled in one task.
 
 Defined cases: null or blank text has size 0 and takes 0 words; a null source is a source of its own,
-last in order; a null doc_id is seeded as the text 'null'; repeated rows are documents of their own;
+last in order; documents are seeded by id and text, a null doc_id counting as the text 'null', so that
+neither rows without an id nor those of one id share a shard; rows that are alike follow one another in
+their shard, and which is which makes no difference; repeated rows are documents of their own;
 an empty table gives an empty result.  Extra columns of the input are ignored (`mix_plan`) or carried
 (`mix_texts`); the operator's own columns start with `mix_`, so that none can clash.
 """
@@ -28,7 +31,9 @@ from pyspark.sql.window import Window as W
 
 from .common import WORD, settle
 
-CELLS = 4096
+CELLS = 1 << 20
+#: Sources, a row of a few numbers each, are broadcast up to this many; beyond it they are joined by a shuffle.
+FEW_SOURCES = 100_000
 OUT = ["mix_source_size", "mix_target", "mix_base", "mix_from1", "mix_len1", "mix_from2", "mix_len2", "mix_taken"]
 
 
@@ -82,8 +87,8 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         "mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
         "mix_size": n_words(F.col(text_col)),
     })
-    sized = sized.withColumn("mix_seed", F.md5(F.concat(F.lit(f"{seed}:"), "mix_id")))
-    sized = sized.withColumn("mix_cell", _hex("mix_seed", 1, 3))
+    sized = sized.withColumn("mix_seed", F.md5(F.concat(F.lit(f"{seed}:"), "mix_id", F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
+    sized = sized.withColumn("mix_cell", _hex("mix_seed", 1, 5))
     cells = settle(sized.groupBy("mix_source", "mix_cell").agg(F.count(F.lit(1)).alias("mix_docs"), F.sum("mix_size").alias("mix_cell_size")))
 
     sources = cells.groupBy("mix_source").agg(F.sum("mix_docs").alias("mix_docs"), F.sum("mix_cell_size").alias("mix_source_size"))
@@ -93,18 +98,20 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sources = sainte_lague(sources, ["mix_group"], "mix_rank", "mix_target", "mix_all_seats", "mix_seats")
     sources = settle(sources.select(F.col("mix_source").alias("mix_s"), "mix_rank", "mix_source_size", "mix_target", "mix_seats", F.least(F.lit(CELLS), 1 + F.expr(f"mix_docs div {shard_docs}")).alias("mix_shards")))
 
-    cells = cells.join(sources, F.col("mix_source").eqNullSafe(F.col("mix_s")))
-    cells = cells.withColumn("mix_shard", F.expr(f"mix_cell * mix_shards div {CELLS}"))
-    shards = cells.groupBy("mix_rank", "mix_shard").agg(F.first("mix_seats").alias("mix_seats"), F.sum("mix_cell_size").alias("mix_shard_size"))
+    if sources.count() <= FEW_SOURCES:
+        sources = F.broadcast(sources)
+    own, shard = F.col("mix_source").eqNullSafe(F.col("mix_s")), F.expr(f"mix_cell * mix_shards div {CELLS}")
+    shards = cells.join(sources, own).withColumn("mix_shard", shard)
+    shards = shards.groupBy("mix_rank", "mix_shard").agg(F.first("mix_seats").alias("mix_seats"), F.sum("mix_cell_size").alias("mix_shard_size"))
     shards = sainte_lague(shards, ["mix_rank"], "mix_shard", "mix_shard_size", "mix_seats", "mix_quota")
     shards = shards.withColumn("mix_blocks", F.ceil(F.col("mix_shard_size") / block).cast("long"))
     shards = shards.withColumn("mix_quota", F.least("mix_quota", max_repeats * F.col("mix_blocks")))
     start = _hex(F.md5(F.concat(F.lit(f"{seed}:start:"), F.col("mix_rank").cast("string"), F.lit(":"), F.col("mix_shard").cast("string"))), 1, 12)
     shards = shards.selectExpr("mix_rank", "mix_shard", "mix_blocks", "if(mix_blocks = 0, 0, mix_quota div greatest(mix_blocks, 1)) as mix_base", "if(mix_blocks = 0, 0, mix_quota % greatest(mix_blocks, 1)) as mix_extra")
     shards = shards.withColumn("mix_start", start % F.greatest("mix_blocks", F.lit(1)))
-    plan = settle(cells.select("mix_s", F.col("mix_cell").alias("mix_c"), "mix_rank", "mix_shard", "mix_source_size", "mix_target").join(shards, ["mix_rank", "mix_shard"]))
+    shards = settle(shards)
 
-    rows = sized.join(plan, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_cell") == F.col("mix_c")))
+    rows = sized.join(sources, own).withColumn("mix_shard", shard).drop("mix_source", "mix_s", "mix_cell", "mix_seats", "mix_shards").join(shards, ["mix_rank", "mix_shard"])
     line = W.partitionBy("mix_rank", "mix_shard").orderBy("mix_seed", "mix_id", "mix_size").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("mix_end", F.sum("mix_size").over(line)).withColumn("mix_at", F.col("mix_end") - F.col("mix_size"))
     last = F.col("mix_start") + F.col("mix_extra")
@@ -144,24 +151,24 @@ def mix_texts(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
 #: What mix_plan gives with its defaults, with every quotient made and ranked.
 MIX_SQL = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, coalesce(cast(doc_id AS varchar), 'null') AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-seeded AS (SELECT *, md5('7:' || k) AS seed, ('0x' || substr(md5('7:' || k), 1, 3))::BIGINT AS cell FROM sized),
+  SELECT doc_id, source, coalesce(cast(doc_id AS varchar), 'null') || ':' || md5(coalesce(text, '')) AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+seeded AS (SELECT *, md5('7:' || k) AS seed, ('0x' || substr(md5('7:' || k), 1, 5))::BIGINT AS cell FROM sized),
 src AS (SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM seeded GROUP BY source),
-wt AS (SELECT *, [3, 1, 2][(rk - 1) % 3 + 1]::DOUBLE AS w, source_size * 2::DOUBLE AS cap, least(4096, 1 + docs // 4096) AS n_shards FROM src),
+wt AS (SELECT *, [3, 1, 2][(rk - 1) % 3 + 1]::DOUBLE AS w, source_size * 2::DOUBLE AS cap, least(1048576, 1 + docs // 4096) AS n_shards FROM src),
 lv AS (SELECT *, row_number() OVER (ORDER BY cap / w, rk) AS pos,
   (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
 lvl AS (SELECT arg_min(level, pos) FILTER (WHERE level <= cap / w) AS l FROM lv),
 tg AS (SELECT wt.*, round(least(cap, coalesce(w * l, cap)), 6) AS target FROM wt, lvl),
 q AS (SELECT rk, target / (2 * k - 1) AS quot, k FROM (SELECT rk, target, unnest(range(1, 2 + ceil(target / 16)::BIGINT + 1000)) AS k FROM tg) WHERE target > 0),
 seats AS (SELECT rk, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quot DESC, rk, k) AS r FROM q) WHERE r <= (SELECT round(sum(target) / 16) FROM tg) GROUP BY rk),
-shards AS (SELECT t.rk, d.cell * n_shards // 4096 AS shard, sum(d.size)::BIGINT AS shard_size, any_value(coalesce(s.seats, 0)) AS seats
+shards AS (SELECT t.rk, d.cell * n_shards // 1048576 AS shard, sum(d.size)::BIGINT AS shard_size, any_value(coalesce(s.seats, 0)) AS seats
   FROM seeded d JOIN tg t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN seats s ON s.rk = t.rk GROUP BY 1, 2),
 q2 AS (SELECT rk, shard, seats, shard_size::DOUBLE / (2 * k - 1) AS quot, k FROM (SELECT *, unnest(range(1, 4 + seats)) AS k FROM shards) WHERE shard_size > 0),
 quota AS (SELECT rk, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY quot DESC, shard, k) AS r FROM q2) WHERE r <= seats GROUP BY 1, 2),
 blk AS (SELECT sh.rk, sh.shard, ceil(shard_size / 16)::BIGINT AS n, least(coalesce(quota, 0), 2 * ceil(shard_size / 16)::BIGINT) AS quota FROM shards sh LEFT JOIN quota USING (rk, shard)),
 runs AS (SELECT rk, shard, n, quota // greatest(n, 1) AS base, quota % greatest(n, 1) AS extra, ('0x' || substr(md5('7:start:' || rk || ':' || shard), 1, 12))::BIGINT % greatest(n, 1) AS st FROM blk),
 line AS (SELECT d.doc_id, d.size, t.source_size, t.target, r.*, sum(d.size) OVER (PARTITION BY r.rk, r.shard ORDER BY d.seed, d.k, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS fin
-  FROM seeded d JOIN tg t ON d.source IS NOT DISTINCT FROM t.source JOIN runs r ON r.rk = t.rk AND r.shard = d.cell * t.n_shards // 4096)
+  FROM seeded d JOIN tg t ON d.source IS NOT DISTINCT FROM t.source JOIN runs r ON r.rk = t.rk AND r.shard = d.cell * t.n_shards // 1048576)
 SELECT doc_id, size, source_size, target, base * size + part AS taken, base AS whole_passes, part AS part_words FROM (SELECT *,
   greatest(0, least(fin, least(st + extra, n) * 16) - greatest(fin - size, st * 16)) + greatest(0, least(fin, greatest(st + extra - n, 0) * 16) - (fin - size)) AS part FROM line)
 """
