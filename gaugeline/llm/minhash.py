@@ -6,7 +6,9 @@
    bin.  Empty bins copy a filled bin that a fixed sequence of random probes finds (optimal
    densification).  Each band of `rows` bins is a bucket key.
 3. Candidate edges are stars: within a bucket every member is paired with one centre, so a bucket of
-   m members gives m - 1 pairs.  Pairs are confirmed on the full sets.
+   m members gives m - 1 pairs.  The centre is the member that shares buckets with most others over all
+   its bands, as the text that a family of near-copies was made from does; buckets of one family
+   have the same centre, and so few different pairs.  Pairs are confirmed on the full sets.
 4. A star can miss a link between two members that its centre lacks.  Buckets of which the members are
    then still in several components are looked at again: all members outside a bucket's largest
    component, gathered by that component over all such buckets, are compared with its members
@@ -36,6 +38,7 @@ from .components import connected_components
 
 BASE = 0x9E3779B97F4A7C55
 PIECE = 1 << 20
+SURE = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -184,8 +187,8 @@ def _confirmer(percent: int):
 def _block_links(percent: int, bins: int):
     """One (main component, block of outsiders, block of all): links that join components not yet joined.
 
-    Pairs are tried in the order of their signatures' estimate, down to 5 standard deviations below
-    the threshold.
+    Pairs are tried in the order of their signatures' estimate, between sets of SURE shingles and more down to
+    5 standard deviations below the threshold; smaller sets, whose bins aren't independent, are all compared.
     """
     t = percent / 100
     least = bins * t - 5 * (bins * t * (1 - t)) ** 0.5
@@ -205,9 +208,10 @@ def _block_links(percent: int, bins: int):
         if out and members:
             sig = np.stack([np.frombuffer(d["sig"][i], np.uint16) for i in members])
             sets = {i: np.frombuffer(d["set"][i], np.uint64) for i in (*out, *members)}
+            small = np.array([len(sets[i]) < SURE for i in members])
             for i in out:
                 alike = (sig == np.frombuffer(d["sig"][i], np.uint16)).sum(1)
-                near = np.flatnonzero(alike >= least)
+                near = np.flatnonzero((alike >= least) | small | (len(sets[i]) < SURE))
                 for j in near[np.argsort(-alike[near], kind="stable")]:
                     m = members[j]
                     a, b = find(d["component"][i]), find(d["component"][m])
@@ -235,17 +239,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = settle_table(classes)
 
     bucketed = classes.select("digest", F.posexplode("bands").alias("band", "key"))
-    shared = bucketed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", dealt_anew("key").alias("key"))
-    members = settle_table(bucketed.join(shared, ["band", "key"]).select("digest", "band", "key"))
+    shared = bucketed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", dealt_anew("key").alias("key"), "members")
+    members = settle_table(bucketed.join(shared, ["band", "key"]).select("digest", "band", "key", "members"))
     wanted = settle_table(members.select("digest").distinct().join(classes, "digest").select("digest", "doc_id"))
 
     source = texts.join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = source.mapInArrow(tidy(_sketcher(words, bands, rows, True)), "n long, digest binary, set binary, sig binary")
     sets = settle_table(sets.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
 
-    # stars: each bucket has a centre of its own, least by a hash of member and bucket
-    order = F.struct(F.xxhash64("digest", "band", "key"), F.col("digest"))
-    centres = members.groupBy("band", "key").agg(F.min_by("digest", order).alias("v")).select("band", dealt_anew("key").alias("key"), "v")
+    company = members.groupBy("digest").agg(F.sum("members").alias("company"))
+    centres = members.join(company, "digest").groupBy("band", "key").agg(F.max(F.struct("company", "digest")).alias("c")).select("band", dealt_anew("key").alias("key"), F.col("c.digest").alias("v"))
     stars = members.join(centres, ["band", "key"]).where("digest <> v")
     stars = stars.select(F.greatest("digest", "v").alias("u"), F.least("digest", "v").alias("v")).distinct()
     links = settle(_confirm(stars, sets, percent))
