@@ -3,7 +3,8 @@
 A text is made canonical: lower case, copyright lines dropped, equivalent spellings made one, what is
 neither a letter a-z nor a digit made one space; its SHA-256 is looked up among the digests of known
 texts by a hash join.  Whole documents are looked up, and so is each of a document's lines, as notices
-are whole lines.  The known texts are a fixed table of a few dozen rows, so that side is broadcast.
+are whole lines.  The known texts are a fixed table of about a hundred rows, so that side is broadcast: short
+licences whole, and of the long ones (Apache, MPL, the GNU and Creative Commons ones) the notices.
 
 Defined cases: null texts, and those without a letter or digit, have a null digest and no license;
 a text made of copyright lines only likewise; repeated rows each get their result; an empty table
@@ -55,7 +56,38 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
-#: (license, text): whole licences, with and without their title, and one-line notices.
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""
+BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: The notices that the long licences ask for in place of their text.
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def gnu_notice(name: str, version: str, what: str = "program") -> str:
+    return f"""This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+
+You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+
+
+#: (license, text): whole licences, with and without their title, the notices of long ones, and one-line notices.
 KNOWN = (
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
@@ -68,6 +100,12 @@ KNOWN = (
     ("BSD-3-Clause", BSD_HEAD + BSD_NAME + BSD_END),
     ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD_HEAD + BSD_NAME + BSD_END),
     ("Zlib", ZLIB),
+    ("Unlicense", UNLICENSE),
+    ("BSL-1.0", BSL),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + BSL),
+    ("Apache-2.0", APACHE_NOTICE),
+    ("MPL-2.0", MPL_NOTICE),
+    *((f"{short}-{version}-or-later", gnu_notice(name, number, what)) for short, name in (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License")) for version, number in (("2.0", "2"), ("2.1", "2.1"), ("3.0", "3")) for what in ("program", "library", "software")),
     *((f"{name}", f"{lead} {what}.") for name, whats in (
         ("Apache-2.0", ("the Apache License, Version 2.0", "the Apache License 2.0")),
         ("MIT", ("the MIT License",)),

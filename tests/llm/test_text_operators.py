@@ -122,6 +122,13 @@ def test_license_of_every_known_line(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
     got = {r["doc_id"]: r["notices"] for r in license.scan(docs).collect()}
     assert got == {i: n for i, _, n in rows}
+    import duckdb
+
+    probes = ["Released under CC BY 4.0.", "x\nAvailable under CC0 1.0.\ny", " ".join(license.ZLIB.split()), f"a\n{' '.join((license.BSD_HEAD + license.BSD_END).split())}\nb", "Licensed under the MIT License." + " " * 9000, "no license here", None, ""]
+    more = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", more.toArrow())
+    assert sorted(map(tuple, license.scan(more).collect()), key=str) == sorted(con.sql(license.license_sql()).fetchall(), key=str)
     odd = (("X", "Licence 4.0"), ("Y", "some words"))
     assert license.needed_words(odd) == []
     assert {r["notices"] for r in license.scan(spark.createDataFrame([(1, "a\nLICENSE 4.0\nSome words!")], "doc_id long, text string"), known=odd).collect()} == {"X,Y"}
