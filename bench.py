@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from gaugeline import schema  # noqa: E402
-from gaugeline.engine import Usage  # noqa: E402
+from gaugeline.engine import Meter  # noqa: E402
 from gaugeline.plans import query as q  # noqa: E402
 from gaugeline.sources import canonical  # noqa: E402
 from gaugeline.sources.store import Store  # noqa: E402
@@ -52,9 +52,9 @@ def main() -> None:
         shutil.rmtree(at, ignore_errors=True)
 
 
-def filled(spark, sf_dir: str, at: str) -> tuple[Usage, float]:
+def filled(spark, sf_dir: str, at: str) -> tuple[Meter, float]:
     start = time.perf_counter()
-    u = Usage(Store(spark, at), now=lambda: datetime(2024, 1, 30, 12))
+    u = Meter(Store(spark, at), now=lambda: datetime(2024, 1, 30, 12))
     u.setup()
     t = canonical.frames(spark, sf_dir)
     for kind, df in ((schema.EVENT, t.events), (schema.GAUGE, t.gauges)):
@@ -70,14 +70,14 @@ def filled(spark, sf_dir: str, at: str) -> tuple[Usage, float]:
 def run(spark, sf_dir: str, at: str) -> dict:
     u, setup = filled(spark, sf_dir, f"{at}/store")
     tables = u.tables()
-    reader = Usage(tables, now=u._now)  # file listings are made once, as a service would
+    reader = Meter(tables, now=u._now)  # file listings are made once, as a service would
     month = [q.greater_than_equal("time", "2024-01-01"), q.less_than("time", "2024-01-31")]
     odd = [q.greater_than_equal("time", "2024-01-01 00:20:30"), q.less_than("time", "2024-01-30 11:40:10")]
     today = [q.greater_than_equal("time", "2024-01-30"), q.less_than("time", "2024-01-30 11:40:10")]
     batch = [{"tenant": "1", "metric": "click", "value": i, "time": f"2024-01-{1 + i % 28:02d} 10:00:00", "tags": {"path": f"/v1/{i % 100}", "service": "storage"}} for i in range(10_000)]
-    fresh = Usage(Store(spark, f"{at}/insert"))
+    fresh = Meter(Store(spark, f"{at}/insert"))
     fresh.setup()
-    rolled = Usage(Store(spark, f"{at}/insert_rolled"))
+    rolled = Meter(Store(spark, f"{at}/insert_rolled"))
     rolled.setup()
     rolled.store.declare_hourly("path")
 
@@ -85,7 +85,7 @@ def run(spark, sf_dir: str, at: str) -> dict:
         return lambda: reader.find("3", [*[q.group_by(d) for d in dims], *window, *more, q.limit(10)], kind)
 
     def raw(dims, window):
-        plain = Usage(type(tables)(tables.events, tables.gauges), now=u._now)
+        plain = Meter(type(tables)(tables.events, tables.gauges), now=u._now)
         return lambda: plain.find("3", [*[q.group_by(d) for d in dims], *window, q.limit(10)], "event")
 
     queries = {

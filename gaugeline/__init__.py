@@ -1 +1 @@
-"""Gaugeline: multi-tenant usage metering on Spark."""
+"""Gaugeline: multi-tenant metering on Spark."""

@@ -22,7 +22,7 @@ from .sources.store import Store
 from .sources.tables import Frames, of_store
 
 
-class Usage:
+class Meter:
     """Reads from a store or from Frames; writes need a store.
 
     `now` is a clock (UTC, naive) that tests may fix. `sample_rate` is the share of routed sums that are
@@ -363,21 +363,21 @@ def _labels(interval: str, start: datetime, end: datetime) -> list[datetime]:
 
 
 class Tenant:
-    """A Usage bound to one tenant."""
+    """A Meter bound to one tenant."""
 
     FORWARDED = ("find", "find_df", "count", "sum", "sum_df", "get_total", "get_total_batch", "get_time_series", "time_series_df", "purge", "find_daily", "find_daily_df", "sum_daily", "sum_daily_batch")
 
-    def __init__(self, usage: Usage, tenant: str):
+    def __init__(self, meter: Meter, tenant: str):
         if not isinstance(tenant, str) or tenant == "":
             raise ValueError("Tenant must be a non-empty string")
-        self._usage, self.tenant = usage, tenant
+        self._meter, self.tenant = meter, tenant
 
     def __getattr__(self, name: str):
         if name not in self.FORWARDED:
             raise AttributeError(name)
-        method = getattr(self._usage, name)
+        method = getattr(self._meter, name)
         return lambda *a, **k: method(self.tenant, *a, **k)
 
     def add_batch(self, metrics: list[Mapping[str, Any]], kind: str, batch_size: int = 1000) -> bool:
         """Rows are stamped with the tenant, whatever they say."""
-        return self._usage.add_batch([{**m, "tenant": self.tenant} for m in metrics], kind, batch_size)
+        return self._meter.add_batch([{**m, "tenant": self.tenant} for m in metrics], kind, batch_size)

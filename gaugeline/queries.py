@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Usage
+from .engine import Meter
 from .operators import reads, rollups, samples
 from .plans import query as q
 from .sources import canonical, synthetic
@@ -35,13 +35,13 @@ def _add(name: str, sql: str | None, f) -> None:
         _sql[name] = sql if sql.lstrip().upper().startswith("WITH") else f"WITH {EV_SQL} {sql}"
 
 
-def usage(spark: SparkSession, sf_dir: str, rolled: bool = False, now: datetime = NOW) -> Usage:
+def meter(spark: SparkSession, sf_dir: str, rolled: bool = False, now: datetime = NOW) -> Meter:
     t = canonical.frames(spark, sf_dir)
     if rolled:
         t.events_daily = rollups.daily(t.events)
         t.hourly = {d: rollups.hourly(t.events, d) for d in ("service", "country", "path")}
         t.latest = {("service",): rollups.latest(t.gauges, ("service",))}
-    return Usage(t, now=lambda: now)
+    return Meter(t, now=lambda: now)
 
 
 COLUMNS = ["id", "metric", "value", "time", "tenant", "path", "method", "status", "service", "country", "resourceType", "resourceId", "ordinal"]
@@ -50,7 +50,7 @@ ALL = ", ".join(COLUMNS)
 
 def _find(name: str, where: str, clauses: list, tail: str = "") -> None:
     """Rows of events across tenants."""
-    _add(f"find_{name}", f"SELECT {ALL}, 'event' AS type FROM ev WHERE {where} {tail}", lambda s, d: usage(s, d).find_across_tenants_df(clauses, "event"))
+    _add(f"find_{name}", f"SELECT {ALL}, 'event' AS type FROM ev WHERE {where} {tail}", lambda s, d: meter(s, d).find_across_tenants_df(clauses, "event"))
 
 
 _find("raw_equal", "metric IN ('click', 'view') AND service = 'storage'", [q.equal("metric", ["click", "view"]), q.equal("service", ["storage"])])
@@ -70,13 +70,13 @@ _find("order_desc_nulls_last", "true", [q.order_desc("country"), q.order_asc("id
 _CURSOR = {"time": "2024-01-10 00:00:00", "id": "500", "value": 100}
 _find("cursor_after", "time > timestamp '2024-01-10' OR (time = timestamp '2024-01-10' AND id > '500')", [q.order_asc("time"), q.cursor_after(_CURSOR), q.limit(100)], "ORDER BY time, id LIMIT 100")
 _find("cursor_before", "time < timestamp '2024-01-10' OR (time = timestamp '2024-01-10' AND id < '500')", [q.order_asc("time"), q.cursor_before(_CURSOR), q.limit(100)], "ORDER BY time DESC, id DESC LIMIT 100")
-_add("find_tenant", f"SELECT {ALL}, 'event' AS type FROM ev WHERE tenant = '3' AND {W}", lambda s, d: usage(s, d).find_df("3", WINDOW, "event"))
-_add("find_both_types", "SELECT * FROM (SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, path, method, status, country, 'event' AS type FROM ev WHERE tenant = '3' AND service = 'users' UNION ALL SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, NULL, NULL, NULL, NULL, 'gauge' FROM ev WHERE tenant = '3' AND service = 'users')", lambda s, d: usage(s, d).find_df("3", [q.equal("service", "users")]))
+_add("find_tenant", f"SELECT {ALL}, 'event' AS type FROM ev WHERE tenant = '3' AND {W}", lambda s, d: meter(s, d).find_df("3", WINDOW, "event"))
+_add("find_both_types", "SELECT * FROM (SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, path, method, status, country, 'event' AS type FROM ev WHERE tenant = '3' AND service = 'users' UNION ALL SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, NULL, NULL, NULL, NULL, 'gauge' FROM ev WHERE tenant = '3' AND service = 'users')", lambda s, d: meter(s, d).find_df("3", [q.equal("service", "users")]))
 
 _add("count_all", f"SELECT count(*) AS n FROM ev WHERE {W}", lambda s, d: _count(s, d, WINDOW, None))
 _add("count_capped", f"SELECT least(count(*), 5000) AS n FROM ev WHERE {W}", lambda s, d: _count(s, d, WINDOW, 5000))
-_add("sum_value", "SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND metric = 'click'", lambda s, d: usage(s, d).sum_df("3", [q.equal("metric", "click")]))
-_add("sum_nothing", "SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE metric = 'absent'", lambda s, d: usage(s, d).sum_df("3", [q.equal("metric", "absent")]))
+_add("sum_value", "SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND metric = 'click'", lambda s, d: meter(s, d).sum_df("3", [q.equal("metric", "click")]))
+_add("sum_nothing", "SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE metric = 'absent'", lambda s, d: meter(s, d).sum_df("3", [q.equal("metric", "absent")]))
 
 
 def _count(spark, sf_dir, clauses, most):
@@ -87,12 +87,12 @@ def _batch(where: str, value: str = "sum(value)") -> str:
     return f"SELECT m.metric, CAST(coalesce(any_value(t), 0) AS BIGINT) AS total, any_value(t) IS NOT NULL AS found FROM (VALUES {_LIST[1:-1]}) m(metric) LEFT JOIN (SELECT metric, {value} AS t FROM ev WHERE {where} GROUP BY metric) USING (metric) GROUP BY m.metric"
 
 
-_add("total_batch_with_missing", _batch(f"tenant = '4' AND {W}"), lambda s, d: usage(s, d).totals_df("4", METRICS, q.parse(WINDOW), "event"))
-_add("gauge_total_batch", _batch(f"tenant = '4' AND {W}", "arg_max(value, (time, id))"), lambda s, d: usage(s, d).totals_df("4", METRICS, q.parse(WINDOW), "gauge"))
+_add("total_batch_with_missing", _batch(f"tenant = '4' AND {W}"), lambda s, d: meter(s, d).totals_df("4", METRICS, q.parse(WINDOW), "event"))
+_add("gauge_total_batch", _batch(f"tenant = '4' AND {W}", "arg_max(value, (time, id))"), lambda s, d: meter(s, d).totals_df("4", METRICS, q.parse(WINDOW), "gauge"))
 
 
 def _groups(name: str, select: str, keys: str, clauses: list, where: str = "true", value: str = "CAST(sum(value) AS BIGINT)", kind: str = "event", rolled: bool = False, tail: str = "") -> None:
-    _add(name, f"SELECT metric, {value} AS value, {select}{', ' if select else ''}'{kind}' AS type FROM ev WHERE {where} GROUP BY metric{keys} {tail}", lambda s, d: usage(s, d, rolled).find_across_tenants_df(clauses, kind))
+    _add(name, f"SELECT metric, {value} AS value, {select}{', ' if select else ''}'{kind}' AS type FROM ev WHERE {where} GROUP BY metric{keys} {tail}", lambda s, d: meter(s, d, rolled).find_across_tenants_df(clauses, kind))
 
 
 LATEST = "arg_max(value, (time, id))"
@@ -128,26 +128,26 @@ SELECT metric, CAST(bucket AS TIMESTAMP) AS bucket, CAST({fill} AS BIGINT) AS va
 
 
 for _i, _step, _u in (("1h", "HOUR", "hour"), ("1d", "DAY", "day")):
-    _add(f"series_zero_fill_{_i}", _series_sql(_step, _u, "sum(value)", "coalesce(v, 0)"), lambda s, d, i=_i: usage(s, d).time_series_df("3", ["click", "absent"], i, *_RANGE))
-    _add(f"series_locf_{_i}", _series_sql(_step, _u, LATEST, "coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY metric ORDER BY bucket ROWS UNBOUNDED PRECEDING), 0)"), lambda s, d, i=_i: usage(s, d).time_series_df("3", ["click", "absent"], i, *_RANGE, kind="gauge"))
-_add("series_unfilled_1d", f"SELECT metric, date_trunc('day', time) AS bucket, CAST(sum(value) AS BIGINT) AS value FROM ev WHERE tenant = '3' AND metric IN ('click', 'view') AND time BETWEEN timestamp '{_RANGE[0]}' AND timestamp '{_RANGE[1]}' GROUP BY 1, 2", lambda s, d: usage(s, d).time_series_df("3", ["click", "view"], "1d", *_RANGE, fill=False))
+    _add(f"series_zero_fill_{_i}", _series_sql(_step, _u, "sum(value)", "coalesce(v, 0)"), lambda s, d, i=_i: meter(s, d).time_series_df("3", ["click", "absent"], i, *_RANGE))
+    _add(f"series_locf_{_i}", _series_sql(_step, _u, LATEST, "coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY metric ORDER BY bucket ROWS UNBOUNDED PRECEDING), 0)"), lambda s, d, i=_i: meter(s, d).time_series_df("3", ["click", "absent"], i, *_RANGE, kind="gauge"))
+_add("series_unfilled_1d", f"SELECT metric, date_trunc('day', time) AS bucket, CAST(sum(value) AS BIGINT) AS value FROM ev WHERE tenant = '3' AND metric IN ('click', 'view') AND time BETWEEN timestamp '{_RANGE[0]}' AND timestamp '{_RANGE[1]}' GROUP BY 1, 2", lambda s, d: meter(s, d).time_series_df("3", ["click", "view"], "1d", *_RANGE, fill=False))
 
 _DAYS = [q.greater_than_equal("time", "2024-01-04"), q.less_than("time", "2024-01-12")]
 _D = "time >= timestamp '2024-01-04' AND time < timestamp '2024-01-12'"
-_add("daily_find", f"SELECT metric, CAST(sum(value) AS BIGINT) AS value, CAST(date_trunc('day', time) AS TIMESTAMP) AS time, tenant, resourceType, resourceId FROM ev WHERE tenant = '3' AND {_D} GROUP BY ALL", lambda s, d: usage(s, d, True).find_daily_df("3", _DAYS))
-_add("daily_sum", f"SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND resourceType = 'bucket' AND {_D}", lambda s, d: usage(s, d, True).sum_daily_df("3", [q.equal("resourceType", "bucket"), *_DAYS]))
-_add("daily_sum_batch", _batch(f"tenant = '3' AND {_D}").replace(", any_value(t) IS NOT NULL AS found", ""), lambda s, d: usage(s, d, True).sum_daily_batch_df("3", METRICS, _DAYS))
+_add("daily_find", f"SELECT metric, CAST(sum(value) AS BIGINT) AS value, CAST(date_trunc('day', time) AS TIMESTAMP) AS time, tenant, resourceType, resourceId FROM ev WHERE tenant = '3' AND {_D} GROUP BY ALL", lambda s, d: meter(s, d, True).find_daily_df("3", _DAYS))
+_add("daily_sum", f"SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND resourceType = 'bucket' AND {_D}", lambda s, d: meter(s, d, True).sum_daily_df("3", [q.equal("resourceType", "bucket"), *_DAYS]))
+_add("daily_sum_batch", _batch(f"tenant = '3' AND {_D}").replace(", any_value(t) IS NOT NULL AS found", ""), lambda s, d: meter(s, d, True).sum_daily_batch_df("3", METRICS, _DAYS))
 
 
 def _routed(name: str, clauses: list, where: str, now: datetime = NOW) -> None:
-    _add(f"routed_{name}", f"SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND metric = 'click' AND {where}", lambda s, d: usage(s, d, True, now).sum_df("3", [q.equal("metric", "click"), *clauses]))
+    _add(f"routed_{name}", f"SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND metric = 'click' AND {where}", lambda s, d: meter(s, d, True, now).sum_df("3", [q.equal("metric", "click"), *clauses]))
 
 
 _routed("sum_daily", _DAYS, _D)
 _routed("sum_hybrid", [q.greater_than_equal("time", "2024-01-04"), q.less_than("time", "2024-01-22 10:00:00")], "time >= timestamp '2024-01-04' AND time < timestamp '2024-01-22 10:00:00'", datetime(2024, 1, 20, 12))
 _routed("sum_split", WINDOW, W)
 _routed("sum_inclusive_midnight", [q.greater_than("time", "2024-01-04"), q.less_than_equal("time", "2024-01-12")], "time > timestamp '2024-01-04' AND time <= timestamp '2024-01-12'")
-_add("routed_batch_split", _batch(f"tenant = '4' AND {W}"), lambda s, d: usage(s, d, True).totals_df("4", METRICS, q.parse(WINDOW), "event"))
+_add("routed_batch_split", _batch(f"tenant = '4' AND {W}"), lambda s, d: meter(s, d, True).totals_df("4", METRICS, q.parse(WINDOW), "event"))
 
 SM_START, SM_END = datetime(2026, 8, 1), datetime(2026, 8, 1, 3, 20)
 _CANON = f"""WITH {SM_SQL}, g AS (SELECT sequence, arg_min(intervalStart, (value, intervalStart)) AS intervalStart, arg_min(intervalEnd, (value, intervalStart)) AS intervalEnd, count(DISTINCT ingestId) AS copies, count(DISTINCT (value, intervalStart, intervalEnd)) AS variants FROM sm GROUP BY sequence),
@@ -165,7 +165,7 @@ _add("samples_gaps", f"{_CANON} SELECT coalesce(before, -1) + 1 AS gap_first, se
 _add("samples_discontinuities", f"{_CANON} SELECT sequence FROM ok WHERE intervalStart <> coalesce(ended, timestamp '2026-08-01 00:00:00') OR (following IS NULL AND intervalEnd <> timestamp '2026-08-01 03:20:00')", lambda s, d: samples.discontinuities(_ledger(s, d).where("not conflict"), SM_START, SM_END))
 
 
-_add("bulk_synthetic_topn", "WITH b AS (SELECT '/v1/p' || (i % 1000) AS path, i % 1000 + 1 AS value, timestamp '2026-06-01' + to_seconds((i * 104729) % 2592000) AS time FROM range(200000) r(i)) SELECT 'requests' AS metric, CAST(sum(value) AS BIGINT) AS value, path, 'event' AS type FROM b WHERE time >= timestamp '2026-06-03 10:20:30' AND time < timestamp '2026-06-20' GROUP BY path ORDER BY value DESC, path LIMIT 25", lambda s, d: Usage(Frames(e := synthetic.events(s, 200_000, datetime(2026, 6, 1)), e)).find_df("1", [q.group_by("path"), q.greater_than_equal("time", "2026-06-03 10:20:30"), q.less_than("time", "2026-06-20"), q.limit(25)], "event"))
+_add("bulk_synthetic_topn", "WITH b AS (SELECT '/v1/p' || (i % 1000) AS path, i % 1000 + 1 AS value, timestamp '2026-06-01' + to_seconds((i * 104729) % 2592000) AS time FROM range(200000) r(i)) SELECT 'requests' AS metric, CAST(sum(value) AS BIGINT) AS value, path, 'event' AS type FROM b WHERE time >= timestamp '2026-06-03 10:20:30' AND time < timestamp '2026-06-20' GROUP BY path ORDER BY value DESC, path LIMIT 25", lambda s, d: Meter(Frames(e := synthetic.events(s, 200_000, datetime(2026, 6, 1)), e)).find_df("1", [q.group_by("path"), q.greater_than_equal("time", "2026-06-03 10:20:30"), q.less_than("time", "2026-06-20"), q.limit(25)], "event"))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -174,9 +174,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gaugeline-")
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> Usage:
+def _stored(spark: SparkSession, sf_dir: str) -> Meter:
     """A store filled with the canonical events and gauges."""
-    u = Usage(Store(spark, scratch(spark)), now=lambda: NOW)
+    u = Meter(Store(spark, scratch(spark)), now=lambda: NOW)
     u.setup()
     t = canonical.frames(spark, sf_dir)
     missing = [c for c in u.store._schema("events").fieldNames() if c not in t.events.columns]

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.engine import Usage
+from gaugeline.engine import Meter
 from gaugeline.operators import reads, rollups
 from gaugeline.plans import query as q
 from gaugeline.sources.store import Store
@@ -18,7 +18,7 @@ def row(metric, value, time=None, tenant="1", negative=False, **tags):
 
 
 def fresh(spark, tmp_path, **k):
-    u = Usage(Store(spark, str(tmp_path), "ns"), now=lambda: NOW, **k)
+    u = Meter(Store(spark, str(tmp_path), "ns"), now=lambda: NOW, **k)
     u.setup()
     u.setup()
     return u
@@ -195,7 +195,7 @@ def test_retention_and_migration(spark, tmp_path):
 
 
 def test_tables_not_shared(spark, tmp_path):
-    u = Usage(Store(spark, str(tmp_path)), shared=False, now=lambda: NOW)
+    u = Meter(Store(spark, str(tmp_path)), shared=False, now=lambda: NOW)
     u.setup()
     u.add_batch([{"metric": "m", "value": 5}], "event")
     assert u.sum(None) == 5 and u.count("ignored") == 1
@@ -231,7 +231,7 @@ def test_routes_equal_raw(spark):
     daily, hourly = rollups.daily(ev).cache(), {"service": rollups.hourly(ev, "service").cache()}
     from gaugeline.sources.tables import Frames
 
-    routed = Usage(Frames(ev, ev, daily, hourly), now=lambda: NOW)
+    routed = Meter(Frames(ev, ev, daily, hourly), now=lambda: NOW)
     rng, labels = random.Random(8), set()
     edges = [datetime(2026, 5, 12) + timedelta(days=d) + x for d in (0, 3, 9, 18, 38, 39) for x in (timedelta(0), timedelta(hours=9, minutes=15), timedelta(microseconds=-1), timedelta(hours=12, minutes=37, seconds=21, milliseconds=456))]
     for i in range(26):
@@ -254,7 +254,7 @@ def test_dual_read_sampler(spark):
     ev = dense(spark)
     from gaugeline.sources.tables import Frames
 
-    u = Usage(Frames(ev, ev, rollups.daily(ev)), now=lambda: NOW, sample_rate=1.0)
+    u = Meter(Frames(ev, ev, rollups.daily(ev)), now=lambda: NOW, sample_rate=1.0)
     u.sum("1", [q.less_than("time", "2026-06-01")])
     assert u.get_route_log()[-1]["operation"] == "sample" and not u.get_route_log()[-1]["off"]
     u.clear_route_log()

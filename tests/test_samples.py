@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.engine import Usage
+from gaugeline.engine import Meter
 from gaugeline.functions.hashing import payload_hash, sample_id
 from gaugeline.operators import samples as s
 from gaugeline.sources.store import Store
@@ -23,8 +23,8 @@ def span(first, last):
 
 
 @pytest.fixture
-def usage(spark, tmp_path):
-    u = Usage(Store(spark, str(tmp_path)))
+def meter(spark, tmp_path):
+    u = Meter(Store(spark, str(tmp_path)))
     u.setup()
     return u
 
@@ -53,49 +53,49 @@ def test_validation():
         s.SampleWatermark(span(0, 1), ("x",), False)
 
 
-def test_duplicates(usage):
-    usage.add_samples([sample(0)] * 3)
-    got = read(usage, span(0, 0))
+def test_duplicates(meter):
+    meter.add_samples([sample(0)] * 3)
+    got = read(meter, span(0, 0))
     assert got.samples == (sample(0),) and got.duplicate_count == 2 and got.complete
 
 
-def test_conflict(usage):
-    usage.add_samples([sample(0, 10), sample(0, 11)])
-    got = read(usage, span(0, 0))
+def test_conflict(meter):
+    meter.add_samples([sample(0, 10), sample(0, 11)])
+    got = read(meter, span(0, 0))
     assert got.conflicts == (0,) and got.samples == () and not got.complete and got.duplicate_count == 0
 
 
-def test_gap_and_outside(usage):
-    usage.add_samples([sample(0), sample(4), sample(6)])
-    assert read(usage, span(0, 4)).gaps == (s.SampleGap(1, 3),)
-    got = read(usage, replace(span(0, 4), intervalStart=T0 + timedelta(seconds=1)))
+def test_gap_and_outside(meter):
+    meter.add_samples([sample(0), sample(4), sample(6)])
+    assert read(meter, span(0, 4)).gaps == (s.SampleGap(1, 3),)
+    got = read(meter, replace(span(0, 4), intervalStart=T0 + timedelta(seconds=1)))
     assert got.conflicts == (0,) and got.gaps == (s.SampleGap(0, 3),)
-    assert read(usage, span(7, 9)).gaps == (s.SampleGap(7, 9),)
+    assert read(meter, span(7, 9)).gaps == (s.SampleGap(7, 9),)
 
 
-def test_discontinuity(usage):
-    usage.add_samples([sample(0), sample(1, intervalStart=T0 + timedelta(minutes=1, seconds=30)), sample(2)])
-    got = read(usage, span(0, 2))
+def test_discontinuity(meter):
+    meter.add_samples([sample(0), sample(1, intervalStart=T0 + timedelta(minutes=1, seconds=30)), sample(2)])
+    got = read(meter, span(0, 2))
     assert got.discontinuities == (1,) and got.gaps == () and not got.complete
-    assert read(usage, span(0, 3)).discontinuities == (1, 2)
+    assert read(meter, span(0, 3)).discontinuities == (1, 2)
 
 
-def test_truncation_and_watermark(usage):
-    usage.add_samples([sample(0), sample(1), sample(2)])
+def test_truncation_and_watermark(meter):
+    meter.add_samples([sample(0), sample(1), sample(2)])
     r = span(0, 3)
-    cut = usage.get_sample_watermark(r, 2)
+    cut = meter.get_sample_watermark(r, 2)
     assert cut.truncated and len(cut.entries) == 2
-    mark = usage.get_sample_watermark(r, 10)
-    usage.add_samples([sample(3)])
-    got = usage.find_samples(r, mark, 10)
+    mark = meter.get_sample_watermark(r, 10)
+    meter.add_samples([sample(3)])
+    got = meter.find_samples(r, mark, 10)
     assert got.gaps == (s.SampleGap(3, 3),) and len(got.samples) == 3
-    assert usage.find_samples(r, mark, 2).truncated
-    assert read(usage, r).complete
+    assert meter.find_samples(r, mark, 2).truncated
+    assert read(meter, r).complete
     with pytest.raises(ValueError):
-        usage.find_samples(span(0, 2), mark, 10)
+        meter.find_samples(span(0, 2), mark, 10)
     for n in (0, s.MOST):
         with pytest.raises(ValueError):
-            usage.get_sample_watermark(r, n)
+            meter.get_sample_watermark(r, n)
 
 
 @pytest.mark.parametrize("bits", [0, 2, s.BITS])
