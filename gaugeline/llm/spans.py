@@ -8,10 +8,10 @@ of few long sentences has spans too.  From each sentence on, the shortest run of
 Spans are joined globally: of each hash all but the first occurrence, in order of doc_id and position,
 are repeats, and the sentences that a repeat covers are removed.
 
-Occurrences are counted by the lower half of the hash, with partial aggregation.  Only spans whose lower half
-occurs again are told apart by all 128 bits and put in order.  The commonest spans are looked up where documents are
-cut, from a table of bounded size, so a passage in a third of all documents is neither shuffled again
-nor any task's burden; of the others, no lower half has more than one in hot_most of all spans.
+Spans go to their hash's task once, to be put in order there; what is kept are the repeats.  The commonest spans
+are taken from a sample of one document in `sample` (by hash; what the sample misses changes the work, not the
+result): each task sends only its first occurrence of such a span, and they are looked up where documents
+are cut, from a table of bounded size.  So a passage in a third of all documents is no task's burden.
 
 Defined cases: null texts stay null and have no sentence; texts without a letter or digit have no
 span; rows with the same doc_id and text are one document, each of which gets the same result; a null
@@ -95,19 +95,43 @@ def halves(h: int) -> tuple[int, int]:
     return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
 
 
-def _spans(sentences: int, words: int):
+def _spans(sentences: int, words: int, hot):
+    """(doc_id, key, text) -> a row for each span: doc_id, key, hash, i, common; of common spans a task's first one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, firsts, kind = hot.value, {}, None
         for batch in batches:
-            row, low, high, first = [], [], [], []
+            kind, row, low, high, first = batch.schema[0].type, [], [], [], []
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, t in enumerate(batch.column(2).to_pylist()):
                 for h, i, _ in spans_of(t or "", sentences, words):
                     a, b = halves(h)
+                    if a in common:
+                        place = (ids[k] is None, ids[k], keys[k], i)
+                        firsts[a, b] = min(firsts.get((a, b), place), place)
+                        continue
                     row.append(k)
                     low.append(a)
                     high.append(b)
                     first.append(i)
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.int32())], ["doc_id", "key", "h", "high", "i"])
+            yield _rows(batch.column(0).take(at), batch.column(1).take(at), low, high, first, False)
+        if firsts:
+            places = list(firsts.values())
+            yield _rows(pa.array([p[1] for p in places], kind), pa.array([p[2] for p in places], pa.int64()), [a for a, _ in firsts], [b for _, b in firsts], [p[3] for p in places], True)
+
+    return run
+
+
+def _rows(ids: pa.Array, keys: pa.Array, low: list, high: list, first: list, common: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, keys, pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.int32()), pa.array([common] * len(low), pa.bool_())], ["doc_id", "key", "h", "high", "i", "common"])
+
+
+def _hashes(sentences: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [halves(h)[0] for t in batch.column(0).to_pylist() for h, _, _ in spans_of(t or "", sentences, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
 
     return run
 
@@ -137,28 +161,24 @@ def _cut(n_cols: int, text_at: int, sentences: int, words: int, hot):
     return run
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 16, hot_from: int = 256, hot_most: int = 20_000) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 16, hot_from: int = 256, hot_most: int = 20_000, sample: int = 32) -> DataFrame:
     """docs with repeated sentences cut from text_col, and span_sentences, span_removed (numbers of sentences).
 
-    The commonest spans, at most hot_most of those with hot_from occurrences or more, are sent to all
-    tasks with their first occurrence; the others are joined. Which way a span goes doesn't change the result.
+    The commonest spans, at most hot_most of those that the sample has in a proportion of hot_from occurrences
+    or more, are sent to all tasks with their first occurrence. Which way a span goes doesn't change the result.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = dict(keyed.dtypes)["doc_id"]
-    spans = settle_table(keyed.mapInArrow(tidy(_spans(sentences, words)), f"doc_id {id_type}, key long, h long, high long, i int"))
+    some = keyed.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(sample)) == 0).select("text").mapInArrow(tidy(_hashes(sentences, words)), "h long")
+    commonest = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, hot_from // sample)).orderBy(F.col("n").desc(), "h").limit(hot_most)
+    named = spark.sparkContext.broadcast({r["h"] for r in commonest.collect()})
+    spans = keyed.mapInArrow(tidy(_spans(sentences, words, named)), f"doc_id {id_type}, key long, h long, high long, i int, common boolean")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "i")
-    again = settle_table(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    commonest = [r["h"] for r in again.where(F.col("n") >= hot_from).orderBy(F.col("n").desc(), "h").limit(hot_most).collect()]
-    hot, rare, once = {}, spans, again.select(F.col("h").alias("fh"))
-    if commonest:
-        named = F.broadcast(spark.createDataFrame([(h,) for h in commonest], "hot long"))
-        firsts = spans.join(named, F.col("h") == F.col("hot"), "left_semi").groupBy("h", "high").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        hot = {(r["h"], r["high"]): (r["first"]["doc_id"], r["first"]["key"], r["first"]["i"]) for r in firsts.collect()}
-        rare, once = rare.join(named, F.col("h") == F.col("hot"), "left_anti"), once.join(named, F.col("fh") == F.col("hot"), "left_anti")
-    order = W.partitionBy("h", "high")
-    placed = rare.join(once, F.col("h") == F.col("fh")).withColumn("first", F.min(place).over(order))
-    repeats = placed.where(place != F.col("first"))
+    placed = spans.withColumn("first", place == F.min(place).over(W.partitionBy("h", "high")))
+    placed = settle_table(placed.where(F.col("common") == F.col("first")))
+    hot = {(r["h"], r["high"]): (r["doc_id"], r["key"], r["i"]) for r in placed.where("common").select("h", "high", "doc_id", "key", "i").collect()}
+    repeats = placed.where("not common")
     # a document has at most as many starts of repeats as sentences
     runs = repeats.groupBy("doc_id", "key").agg(F.collect_set("i").alias("span_runs")).select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "span_runs")
     rows = docs.join(runs, F.col(id_col).eqNullSafe(F.col("span_doc")) & (F.xxhash64(F.col(text_col)) == F.col("span_key")), "left")
