@@ -47,11 +47,12 @@ class Meter:
     def tables(self) -> Frames:
         return of_store(self._source) if isinstance(self._source, Store) else self._source
 
-    def setup(self) -> None:
-        self.store.setup()
+    def setup(self, retention_days: int | None = None) -> None:
+        """Create the tables and make the events' retention what is asked for; None strips it."""
+        self.store.setup(retention_days)
 
     def migrate(self) -> None:
-        for name in ("events", "gauges", "events_daily"):
+        for name in self.store.names():
             self.store.migrate(name)
 
     def health_check(self) -> dict[str, Any]:
@@ -132,8 +133,9 @@ class Meter:
     def backfill_daily(self, start, end, force: bool = False) -> None:
         self.store.backfill_daily(q.utc(start), q.utc(end), force)
 
-    def apply_retention(self, days: int) -> None:
-        self.store.apply_retention(days, self._now())
+    def apply_retention(self, days: int | None = None) -> None:
+        """Drop events that are older than so many days (None: than the retention that setup was given)."""
+        self.store.apply_retention(self._now(), days)
 
     # -- reads
 
@@ -166,6 +168,8 @@ class Meter:
         parts = [self._find_one(tenant, inner, k).withColumn("type", F.lit(k)) for k in kinds]
         if len(parts) == 1:
             return self._find_one(tenant, spec, kinds[0]).withColumn("type", F.lit(kinds[0]))
+        if not spec.orders and spec.limit is None and not spec.offset and not spec.grouped:
+            return parts[0].unionByName(parts[1], allowMissingColumns=True)  # nothing asks for an order
         ranked = [p.withColumn("rank_", F.struct(F.lit(i).alias("k"), F.monotonically_increasing_id().alias("n"))) for i, p in enumerate(parts)]
         both = ranked[0].unionByName(ranked[1], allowMissingColumns=True).orderBy("rank_")
         both = both.offset(spec.offset) if spec.offset else both

@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..plans.query import Query, utc
 from ..plans.window import Window
 
@@ -79,16 +80,24 @@ def check_tenant(tenant: str | None) -> None:
 
 
 def after_cursor(orders: list[tuple[str, bool]], cursor: dict, before: bool) -> Column:
-    """Rows that follow (or precede) the cursor's row in the order: one comparison for each prefix of it."""
+    """Rows that follow (or precede) the cursor's row in the order: one comparison for each prefix of it.
+
+    Nulls come last in either direction, so they follow every value, and every value precedes them.
+    """
+    for a, _ in orders:
+        if a not in cursor:
+            raise ValueError(f"The cursor lacks a value for '{a}'")
+        if cursor[a] is None and a not in schema.NULLABLE:
+            raise ValueError(f"The cursor has a null for '{a}', which is never null")
     alternatives = []
     for i, (attribute, descending) in enumerate(orders):
-        for a, _ in orders[: i + 1]:
-            if a not in cursor:
-                raise ValueError(f"Cursor is missing required attribute '{a}'")
-            if cursor[a] is None:
-                raise ValueError(f"Cursor value for '{a}' cannot be null")
-        same = [F.col(a) == literal(a, cursor[a]) for a, _ in orders[:i]]
-        c, v = F.col(attribute), literal(attribute, cursor[attribute])
-        step = (c < v) if descending != before else (c > v)
+        same = [F.col(a).isNull() if cursor[a] is None else F.col(a) == literal(a, cursor[a]) for a, _ in orders[:i]]
+        c = F.col(attribute)
+        if cursor[attribute] is None:
+            step = c.isNotNull() if before else F.lit(False)
+        else:
+            v = literal(attribute, cursor[attribute])
+            step = (c < v) if descending != before else (c > v)
+            step = step if before or attribute not in schema.NULLABLE else step | c.isNull()
         alternatives.append(reduce(and_, [*same, step]))
     return reduce(or_, alternatives)

@@ -68,7 +68,8 @@ def find_rows(df: DataFrame, kind: str, tenant: str | None, spec: Spec) -> DataF
         return _page(_sorted(rows, orders) if orders else rows, spec)
     if not spec.before:
         return _page(_sorted(rows, orders), spec)
-    page = _page(_sorted(rows, [(a, not d) for a, d in orders]), spec)
+    # backwards from the cursor, where nulls come first
+    page = _page(rows.orderBy(*[F.col(a).asc_nulls_first() if d else F.col(a).desc_nulls_first() for a, d in orders]), spec)
     return _sorted(page, orders)
 
 

@@ -172,7 +172,7 @@ class Spec:
 def _whole(q: Query) -> int:
     n = q.values[0] if q.values else None
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
-        raise ValueError(f"{q.method} must be a non-negative integer")
+        raise ValueError(f"{q.method} takes an integer from 0 on")
     return n
 
 
@@ -185,7 +185,7 @@ def parse(queries: Iterable[Query]) -> Spec:
         m = q.method
         if m in FILTERS:
             if m not in ("isNull", "isNotNull") and not q.values:
-                raise ValueError(f"{m[0].upper()}{m[1:]} queries require at least one value.")
+                raise ValueError(f"{m} needs a value")
             s["filters"].append(q)
         elif m in ("orderAsc", "orderDesc"):
             s["orders"].append((q.attribute, m == "orderDesc"))
@@ -205,7 +205,7 @@ def parse(queries: Iterable[Query]) -> Spec:
             raise ValueError(f"Unsupported query method '{m}'")
     spec = Spec(**{k: tuple(v) if isinstance(v, list) else v for k, v in s.items()})
     if spec.cursor is not None and spec.grouped:
-        raise ValueError("A cursor cannot be combined with grouping or aggregates")
+        raise ValueError("Grouped results have no cursor")
     return spec
 
 
@@ -213,7 +213,7 @@ def cursor_row(row: Any) -> dict:
     if hasattr(row, "asDict"):
         row = row.asDict()
     if not isinstance(row, Mapping):
-        raise TypeError(f"Invalid cursor value: expected a row or a mapping, got {type(row).__name__}")
+        raise TypeError(f"A cursor is a row or a mapping, not {type(row).__name__}")
     out = dict(row)
     if "id" not in out and "$id" in out:
         out["id"] = out.pop("$id")
@@ -237,6 +237,6 @@ def check(spec: Spec, kind: str) -> None:
         have = {"metric", "value", *spec.dims} | ({"time", "bucket"} if spec.interval else set())
         for a, _ in spec.orders:
             if a == "time" and not spec.interval:
-                raise ValueError("Ordering by time requires an interval: without one the result has no time column")
+                raise ValueError("Without an interval a grouped result has no time to order by")
             if a not in have:
                 raise ValueError(f"Cannot order a grouped result by '{a}'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +53,15 @@ def _find(name: str, where: str, clauses: list, tail: str = "") -> None:
     _add(f"find_{name}", f"SELECT {ALL}, 'event' AS type FROM ev WHERE {where} {tail}", lambda s, d: meter(s, d).find_across_tenants_df(clauses, "event"))
 
 
-_find("raw_equal", "metric IN ('click', 'view') AND service = 'storage'", [q.equal("metric", ["click", "view"]), q.equal("service", ["storage"])])
-_find("not_equal", f"service <> 'storage' AND country <> 'us' AND {W}", [q.not_equal("service", "storage"), q.not_equal("country", "us"), *WINDOW])
-_find("less_greater", "value < 5000 AND value >= 1000 AND path > '/v1/route/5' AND status <= '204'", [q.less_than("value", 5000), q.greater_than_equal("value", 1000), q.greater_than("path", "/v1/route/5"), q.less_than_equal("status", "204")])
+_find("raw_equal", "metric IN ('click', 'view') AND service = 'svc-2'", [q.equal("metric", ["click", "view"]), q.equal("service", ["svc-2"])])
+_find("not_equal", f"service <> 'svc-2' AND country <> 'an' AND {W}", [q.not_equal("service", "svc-2"), q.not_equal("country", "an"), *WINDOW])
+_find("less_greater", "value < 5000 AND value >= 1000 AND path > '/purchase/p5' AND status <= '301'", [q.less_than("value", 5000), q.greater_than_equal("value", 1000), q.greater_than("path", "/purchase/p5"), q.less_than_equal("status", "301")])
 _find("between", f"time BETWEEN timestamp '{LO}' AND timestamp '{HI}' AND value BETWEEN 1000 AND 20000", [q.between("time", LO, HI), q.between("value", 1000, 20000)])
 _find("not_between", "NOT (value BETWEEN 1000 AND 20000)", [q.not_between("value", 1000, 20000)])
-_find("contains_any", "strpos(path, '/1') > 0 OR strpos(path, '9') > 0", [q.contains_any("path", ["/1", "9"])])
-_find("contains_literal", "strpos(path, '%') > 0 OR strpos(path, '_1') > 0 OR strpos(path, 'e/4') > 0", [q.contains("path", ["%", "_1", "e/4"])])
-_find("not_contains", "strpos(path, '3') = 0 AND strpos(path, '/2') = 0", [q.not_contains("path", ["3", "/2"])])
-_find("starts_with", "starts_with(path, '/v1/route/9')", [q.starts_with("path", "/v1/route/9")])
+_find("contains_any", "strpos(path, 'p1') > 0 OR strpos(path, '9') > 0", [q.contains_any("path", ["p1", "9"])])
+_find("contains_literal", "strpos(path, '%') > 0 OR strpos(path, '_1') > 0 OR strpos(path, 'w/p4') > 0", [q.contains("path", ["%", "_1", "w/p4"])])
+_find("not_contains", "strpos(path, '3') = 0 AND strpos(path, '/p2') = 0", [q.not_contains("path", ["3", "/p2"])])
+_find("starts_with", "starts_with(path, '/view/p8')", [q.starts_with("path", "/view/p8")])
 _find("ends_with", "ends_with(path, '7')", [q.ends_with("path", "7")])
 _find("is_null", "country IS NULL", [q.is_null("country")])
 _find("is_not_null", f"country IS NOT NULL AND {W}", [q.is_not_null("country"), *WINDOW])
@@ -71,7 +71,7 @@ _CURSOR = {"time": "2024-01-10 00:00:00", "id": "500", "value": 100}
 _find("cursor_after", "time > timestamp '2024-01-10' OR (time = timestamp '2024-01-10' AND id > '500')", [q.order_asc("time"), q.cursor_after(_CURSOR), q.limit(100)], "ORDER BY time, id LIMIT 100")
 _find("cursor_before", "time < timestamp '2024-01-10' OR (time = timestamp '2024-01-10' AND id < '500')", [q.order_asc("time"), q.cursor_before(_CURSOR), q.limit(100)], "ORDER BY time DESC, id DESC LIMIT 100")
 _add("find_tenant", f"SELECT {ALL}, 'event' AS type FROM ev WHERE tenant = '3' AND {W}", lambda s, d: meter(s, d).find_df("3", WINDOW, "event"))
-_add("find_both_types", "SELECT * FROM (SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, path, method, status, country, 'event' AS type FROM ev WHERE tenant = '3' AND service = 'users' UNION ALL SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, NULL, NULL, NULL, NULL, 'gauge' FROM ev WHERE tenant = '3' AND service = 'users')", lambda s, d: meter(s, d).find_df("3", [q.equal("service", "users")]))
+_add("find_both_types", "SELECT * FROM (SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, path, method, status, country, 'event' AS type FROM ev WHERE tenant = '3' AND service = 'svc-4' UNION ALL SELECT id, metric, value, time, tenant, service, resourceType, resourceId, ordinal, NULL, NULL, NULL, NULL, 'gauge' FROM ev WHERE tenant = '3' AND service = 'svc-4')", lambda s, d: meter(s, d).find_df("3", [q.equal("service", "svc-4")]))
 
 _add("count_all", f"SELECT count(*) AS n FROM ev WHERE {W}", lambda s, d: _count(s, d, WINDOW, None))
 _add("count_capped", f"SELECT least(count(*), 5000) AS n FROM ev WHERE {W}", lambda s, d: _count(s, d, WINDOW, 5000))
@@ -105,7 +105,7 @@ _groups("gauge_latest_1d", "date_trunc('day', time) AS time, ordinal", ", date_t
 for _dim in ("path", "country", "service", "status"):
     _groups(f"topn_{_dim}", _dim, f", {_dim}", [q.group_by(_dim), *WINDOW, q.limit(20)], W, tail=f"ORDER BY value DESC NULLS LAST, metric, {_dim} NULLS LAST LIMIT 20")
 _groups("topn_path_country", "path, country", ", path, country", [q.group_by("path"), q.group_by("country"), q.equal("metric", ["click"]), *WINDOW, q.limit(50)], f"metric = 'click' AND {W}", tail="ORDER BY value DESC NULLS LAST, metric, path NULLS LAST, country NULLS LAST LIMIT 50")
-_groups("topn_path_filtered_resource", "path", ", path", [q.group_by("path"), q.equal("resourceId", "resource-7"), *WINDOW], f"resourceId = 'resource-7' AND {W}")
+_groups("topn_path_filtered_resource", "path", ", path", [q.group_by("path"), q.equal("resourceId", "r7"), *WINDOW], f"resourceId = 'r7' AND {W}")
 _groups("grouped_order_time_desc", "date_trunc('day', time) AS time", ", date_trunc('day', time)", [q.group_by_interval("1d"), q.order_desc("time"), q.limit(30)], tail="ORDER BY date_trunc('day', time) DESC, metric LIMIT 30")
 for _token, _name in (("1m", "1min"), ("5m", "5min"), ("15m", "15min"), ("30m", "30min"), ("1h", "1h"), ("1d", "1d"), ("1w", "1w"), ("1M", "1mon")):
     _unit = q.INTERVALS[_token]
@@ -135,7 +135,7 @@ _add("series_unfilled_1d", f"SELECT metric, date_trunc('day', time) AS bucket, C
 _DAYS = [q.greater_than_equal("time", "2024-01-04"), q.less_than("time", "2024-01-12")]
 _D = "time >= timestamp '2024-01-04' AND time < timestamp '2024-01-12'"
 _add("daily_find", f"SELECT metric, CAST(sum(value) AS BIGINT) AS value, CAST(date_trunc('day', time) AS TIMESTAMP) AS time, tenant, resourceType, resourceId FROM ev WHERE tenant = '3' AND {_D} GROUP BY ALL", lambda s, d: meter(s, d, True).find_daily_df("3", _DAYS))
-_add("daily_sum", f"SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND resourceType = 'bucket' AND {_D}", lambda s, d: meter(s, d, True).sum_daily_df("3", [q.equal("resourceType", "bucket"), *_DAYS]))
+_add("daily_sum", f"SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND resourceType = 'kind1' AND {_D}", lambda s, d: meter(s, d, True).sum_daily_df("3", [q.equal("resourceType", "kind1"), *_DAYS]))
 _add("daily_sum_batch", _batch(f"tenant = '3' AND {_D}").replace(", any_value(t) IS NOT NULL AS found", ""), lambda s, d: meter(s, d, True).sum_daily_batch_df("3", METRICS, _DAYS))
 
 
@@ -149,20 +149,29 @@ _routed("sum_split", WINDOW, W)
 _routed("sum_inclusive_midnight", [q.greater_than("time", "2024-01-04"), q.less_than_equal("time", "2024-01-12")], "time > timestamp '2024-01-04' AND time <= timestamp '2024-01-12'")
 _add("routed_batch_split", _batch(f"tenant = '4' AND {W}"), lambda s, d: meter(s, d, True).totals_df("4", METRICS, q.parse(WINDOW), "event"))
 
-SM_START, SM_END = datetime(2026, 8, 1), datetime(2026, 8, 1, 3, 20)
-_CANON = f"""WITH {SM_SQL}, g AS (SELECT sequence, arg_min(intervalStart, (value, intervalStart)) AS intervalStart, arg_min(intervalEnd, (value, intervalStart)) AS intervalEnd, count(DISTINCT ingestId) AS copies, count(DISTINCT (value, intervalStart, intervalEnd)) AS variants FROM sm GROUP BY sequence),
-c AS (SELECT *, variants <> 1 OR intervalEnd > timestamp '2026-08-01 03:20:00' AS conflict, greatest(0, copies - greatest(1, variants)) AS duplicates FROM g),
-ok AS (SELECT *, lag(sequence) OVER (ORDER BY sequence) AS before, lag(intervalEnd) OVER (ORDER BY sequence) AS ended, lead(sequence) OVER (ORDER BY sequence) AS following FROM c WHERE NOT conflict)"""
+_CANON = f"""WITH {SM_SQL}, r AS (SELECT min(sequence) AS first, max(sequence) AS last, min(intervalStart) AS a, max(intervalEnd) - INTERVAL 40 MINUTE AS z FROM sm),
+g AS (SELECT member, sequence, arg_min(intervalStart, (value, intervalStart)) AS intervalStart, arg_min(intervalEnd, (value, intervalStart)) AS intervalEnd, count(DISTINCT ingestId) AS copies, count(DISTINCT (value, intervalStart, intervalEnd)) AS variants FROM sm GROUP BY member, sequence),
+c AS (SELECT g.*, variants <> 1 OR intervalStart < a OR intervalEnd > z AS conflict, greatest(0, copies - greatest(1, variants)) AS duplicates FROM g, r),
+ok AS (SELECT *, lag(sequence) OVER l AS before, lag(intervalEnd) OVER l AS ended, lead(sequence) OVER l AS following FROM c WHERE NOT conflict WINDOW l AS (PARTITION BY member ORDER BY sequence))"""
 
 
 def _ledger(spark, sf_dir):
-    return samples.classify(samples.canonical(canonical.samples(spark, sf_dir)), SM_START, SM_END)
+    """The classified ledger, and the range (first, last, start, end) that it is read for, from its own ends."""
+    rows = canonical.samples(spark, sf_dir)
+    r = rows.agg(F.min("sequence"), F.max("sequence"), F.min("intervalStart"), F.max("intervalEnd")).first()
+    bounds = (r[0], r[1], r[2], r[3] - timedelta(minutes=40))
+    return samples.classify(samples.canonical(rows), *bounds[2:]), bounds
 
 
-_add("samples_canonical", f"{_CANON} SELECT sequence, intervalStart, intervalEnd, copies, variants, duplicates, conflict FROM c", lambda s, d: _ledger(s, d).select("sequence", "copies", "variants", "duplicates", "conflict", "intervalStart", "intervalEnd"))
-_add("samples_conflicts", f"{_CANON} SELECT sequence FROM c WHERE conflict", lambda s, d: _ledger(s, d).where("conflict").select("sequence"))
-_add("samples_gaps", f"{_CANON} SELECT coalesce(before, -1) + 1 AS gap_first, sequence - 1 AS gap_last FROM ok WHERE coalesce(before, -1) + 1 <= sequence - 1 UNION ALL SELECT max(sequence) + 1, 199 FROM ok HAVING max(sequence) + 1 <= 199", lambda s, d: samples.gaps(_ledger(s, d).where("not conflict"), 0, 199))
-_add("samples_discontinuities", f"{_CANON} SELECT sequence FROM ok WHERE intervalStart <> coalesce(ended, timestamp '2026-08-01 00:00:00') OR (following IS NULL AND intervalEnd <> timestamp '2026-08-01 03:20:00')", lambda s, d: samples.discontinuities(_ledger(s, d).where("not conflict"), SM_START, SM_END))
+def _good(spark, sf_dir, find):
+    found, bounds = _ledger(spark, sf_dir)
+    return find(found.where("not conflict"), *bounds)
+
+
+_add("samples_canonical", f"{_CANON} SELECT member, sequence, intervalStart, intervalEnd, copies, variants, duplicates, conflict FROM c", lambda s, d: _ledger(s, d)[0].select("member", "sequence", "copies", "variants", "duplicates", "conflict", "intervalStart", "intervalEnd"))
+_add("samples_conflicts", f"{_CANON} SELECT member, sequence FROM c WHERE conflict", lambda s, d: _ledger(s, d)[0].where("conflict").select("member", "sequence"))
+_add("samples_gaps", f"{_CANON} SELECT coalesce(before, first - 1) + 1 AS gap_first, sequence - 1 AS gap_last FROM ok, r WHERE coalesce(before, first - 1) + 1 <= sequence - 1 UNION ALL SELECT sequence + 1, last FROM ok, r WHERE following IS NULL AND sequence < last", lambda s, d: _good(s, d, lambda rows, first, last, start, end: samples.gaps(rows, first, last)))
+_add("samples_discontinuities", f"{_CANON} SELECT sequence FROM ok, r WHERE intervalStart <> coalesce(ended, a) OR (following IS NULL AND intervalEnd <> z)", lambda s, d: _good(s, d, lambda rows, first, last, start, end: samples.discontinuities(rows, start, end)))
 
 
 _add("bulk_synthetic_topn", "WITH b AS (SELECT '/v1/p' || (i % 1000) AS path, i % 1000 + 1 AS value, timestamp '2026-06-01' + to_seconds((i * 104729) % 2592000) AS time FROM range(200000) r(i)) SELECT 'requests' AS metric, CAST(sum(value) AS BIGINT) AS value, path, 'event' AS type FROM b WHERE time >= timestamp '2026-06-03 10:20:30' AND time < timestamp '2026-06-20' GROUP BY path ORDER BY value DESC, path LIMIT 25", lambda s, d: Meter(Frames(e := synthetic.events(s, 200_000, datetime(2026, 6, 1)), e)).find_df("1", [q.group_by("path"), q.greater_than_equal("time", "2026-06-03 10:20:30"), q.less_than("time", "2026-06-20"), q.limit(25)], "event"))
@@ -187,7 +196,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> Meter:
 def purge_then_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes one service's clicks of tenant 3, then sums by way of the rollup."""
     u = _stored(spark, sf_dir)
-    u.purge("3", [q.equal("metric", "click"), q.equal("service", "users"), *WINDOW], "event")
+    u.purge("3", [q.equal("metric", "click"), q.equal("service", "svc-4"), *WINDOW], "event")
     return u.sum_df("3", [q.greater_than_equal("time", "2024-01-02"), q.less_than("time", "2024-01-22")])
 
 
@@ -208,7 +217,7 @@ def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DAILY_ALL = "SELECT metric, CAST(sum(value) AS BIGINT) AS value, CAST(date_trunc('day', time) AS TIMESTAMP) AS time, tenant, resourceType, resourceId FROM ev {where} GROUP BY ALL"
-_add("purge_then_sum", f"SELECT CAST(sum(value) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND time >= timestamp '2024-01-02' AND time < timestamp '2024-01-22' AND NOT (metric = 'click' AND service = 'users' AND {W})", purge_then_sum)
+_add("purge_then_sum", f"SELECT CAST(sum(value) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND time >= timestamp '2024-01-02' AND time < timestamp '2024-01-22' AND NOT (metric = 'click' AND service = 'svc-4' AND {W})", purge_then_sum)
 _add("backfill_parity", _DAILY_ALL.format(where=f"WHERE tenant = '3' AND {_D}"), backfill_parity)
 _add("stream_daily_rollup", _DAILY_ALL.format(where=""), stream_daily_rollup)
 

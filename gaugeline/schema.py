@@ -31,6 +31,8 @@ BLOOM_DIMS = ("path", "resourceId", "resourceInternalId", "teamId", "teamInterna
 SAMPLE_IDENTITY = ("environment", "region", "projectInternalId", "databaseInternalId", "member", "generation")
 
 METRIC_SIZE = 255
+#: Columns that may be null.
+NULLABLE = {"tenant", *EVENT_DIMS, *GAUGE_DIMS}
 
 
 def _row(dims) -> T.StructType:

@@ -1,15 +1,20 @@
 """Parquet storage: raw tables and rollups, partitioned by month, sorted within files.
 
 Every append writes its rollup rows in the same call, as partial sums that readers fold. Parquet has
-no row deletes: a purge writes the surviving rows of the months it touches beside the table, then
-swaps those months, and recomputes the same months of each rollup from the survivors. A swap is a
-rename for each month; it is not atomic across tables.
+no row deletes: a purge writes the surviving rows of the months it touches, and what each rollup has of
+them, and swaps those months.
+
+A change of several tables is written beside them first. Then a file in `_pending` that lists all its
+renames commits it; the renames follow, and the file goes. Each rename can be repeated, so `recover` ends
+what an interrupted writer left: a change happens as a whole or, if it wasn't committed, not at all. While a
+change is pending, readers take raw rows only. Writers must take turns.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,9 @@ from pyspark.sql import types as T
 from .. import schema
 from ..operators import rollups
 
+BASE = ("events", "gauges", "events_daily", "samples", "uncovered")
+#: Tables that aren't partitioned by month.
+FLAT = ("samples", "uncovered")
 UNCOVERED = T.StructType([T.StructField("day", T.TimestampNTZType()), T.StructField("change", T.IntegerType())])
 
 
@@ -60,20 +68,122 @@ class Store:
         extra = ["id"] if kind is schema.GAUGES else []
         return T.StructType([kind[c] for c in ("metric", "value", "time", *extra, "tenant", *n.split("_"))])
 
-    def setup(self) -> None:
-        """Create the tables; a second call changes nothing."""
-        for name in ("events", "gauges", "events_daily", "samples", "uncovered"):
+    def setup(self, retention_days: int | None = None) -> None:
+        """Create the tables, end what a writer left, and make the retention what is asked for (None: none)."""
+        if retention_days is not None and retention_days < 1:
+            raise ValueError("retention must be at least a day")
+        for name in BASE:
             fs, p = self._fs(self._at(name))
             fs.mkdirs(p)
+        self.recover()
+        if retention_days != self.retention_days():
+            self._put("_properties/retention.json", {"days": retention_days})
+
+    def retention_days(self) -> int | None:
+        return (self._get("_properties/retention.json") or {}).get("days")
+
+    def names(self) -> list[str]:
+        """All tables there are."""
+        return [n for n in (*BASE, *map(hourly_name, schema.HOURLY_DIMS), *map(latest_name, schema.LATEST_DIMS)) if self.exists(n)]
+
+    # -- changes
+
+    def _put(self, name: str, content: dict) -> None:
+        """A small file, in full or not at all."""
+        fs, p = self._fs(self._at(name))
+        _, draft = self._fs(self._at(f"{name}.{uuid.uuid4().hex}"))
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        fs.delete(p, False)
+        fs.rename(draft, p)
+
+    def _get(self, name: str) -> dict | None:
+        fs, p = self._fs(self._at(name))
+        if not fs.exists(p):
+            return None
+        file = fs.open(p)
+        try:
+            return json.loads(bytes(file.readAllBytes()))
+        finally:
+            file.close()
+
+    def pending(self) -> list[str]:
+        fs, p = self._fs(self._at("_pending"))
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
+
+    def _commit(self, change: str, adds: list[str], replaces: list[tuple[str, str]]) -> None:
+        """Put in place what `_staged/<change>` has: of the tables `adds` all files, of (table, month) instead of what is there."""
+        moves = [["add", f"_staged/{change}/{n}", n] for n in adds] + [["replace", f"_staged/{change}/{n}/{m}".rstrip("/"), f"{n}/{m}".rstrip("/")] for n, m in replaces]
+        self._put(f"_pending/{change}.json", {"moves": moves})
+        self._apply(change, moves)
+
+    def _apply(self, change: str, moves: list[list[str]]) -> None:
+        for kind, source, place in moves:
+            fs, old = self._fs(self._at(place))
+            _, new = self._fs(self._at(source))
+            if kind == "add":
+                for f in self._files_in(source):
+                    self._move(f"{source}/{f}", f"{place}/{f}")
+                continue
+            _, aside = self._fs(self._at(f"_staged/{change}/_aside/{place}"))
+            # once its old files are aside, what stands in a place is new
+            if fs.exists(old) and not fs.exists(aside):
+                self._move(place, f"_staged/{change}/_aside/{place}")
+            if fs.exists(new):
+                self._move(source, place)
+        fs, p = self._fs(self._at(f"_pending/{change}.json"))
+        fs.delete(p, False)
+        fs, p = self._fs(self._at(f"_staged/{change}"))
+        fs.delete(p, True)
+
+    def _move(self, source: str, place: str) -> None:
+        fs, a = self._fs(self._at(source))
+        _, b = self._fs(self._at(place))
+        fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise OSError(f"could not move {source} to {place}")
+
+    def _files_in(self, name: str) -> list[str]:
+        """Data files of a table, below it by month or not."""
+        fs, p = self._fs(self._at(name))
+        out = []
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            n = s.getPath().getName()
+            out += [f"{n}/{f}" for f in self._files_in(f"{name}/{n}")] if s.isDirectory() else [n] if n.endswith(".parquet") else []
+        return out
+
+    def recover(self) -> int:
+        """End committed changes and drop others; how many there were to end. No writer may be at work."""
+        left = self.pending()
+        for f in left:
+            self._apply(f.removesuffix(".json"), self._get(f"_pending/{f}")["moves"])
+        fs, p = self._fs(self._at("_staged"))
+        fs.delete(p, True)
+        return len(left)
+
+    def compact(self, files: int = 8) -> int:
+        """Rewrite the months of tables that more than so many files make up; how many there were."""
+        n = 0
+        for name in self.names():
+            if name in FLAT:
+                continue
+            months = [m for m in self.months(name) if len(self._files_in(f"{name}/month={m}")) > files]
+            if months:
+                n += len(months)
+                rows = self.read(name).where(F.col("month").isin(months))
+                rows = rollups.fold_daily(rows.drop("month")) if name == "events_daily" or name.startswith("events_hourly_") else rows
+                self._replace([(name, rows, months)])
+        return n
 
     # -- reading
 
     def read(self, name: str) -> DataFrame:
         """The table, with the declared schema; the month column is for pruning."""
         declared = self._schema(name)
-        if not self.exists(name) or not (self.months(name) if name not in ("samples", "uncovered") else self._files(name)):
+        if not self.exists(name) or not (self.months(name) if name not in FLAT else self._files(name)):
             return self.spark.createDataFrame([], declared)
-        stored = declared if name in ("samples", "uncovered") else T.StructType([*declared.fields, T.StructField("month", T.StringType())])
+        stored = declared if name in FLAT else T.StructType([*declared.fields, T.StructField("month", T.StringType())])
         return self.spark.read.schema(stored).parquet(self._at(name))
 
     def _files(self, name: str) -> bool:
@@ -95,8 +205,8 @@ class Store:
     # -- writing
 
     def _write(self, df: DataFrame, name: str, mode: str = "append", at: str | None = None, small: bool = False) -> None:
-        if name in ("samples", "uncovered"):
-            df.write.mode(mode).parquet(self._at(name))
+        if name in FLAT:
+            df.write.mode(mode).parquet(at or self._at(name))
             return
         rows = df.drop("month").withColumn("month", F.date_format("time", "yyyy-MM"))
         keys = [c for c in ("tenant", "metric", "time", "id") if c in rows.columns]
@@ -111,14 +221,34 @@ class Store:
                     w = w.option(f"parquet.bloom.filter.enabled#{d}", "true")
         w.parquet(at or self._at(name))
 
-    def append(self, df: DataFrame, kind: str, small: bool = False) -> None:
-        """Raw rows and their rollup rows; `small` is for what the driver holds anyway."""
+    def append(self, df: DataFrame, kind: str, small: bool = False, covered: bool = True) -> None:
+        """Raw rows and their rollup rows; `small` is for what the driver holds anyway.
+
+        The rows are made once; rollups are made of what was written. If not `covered`, events get no daily
+        rollup rows, and their days await a backfill.
+        """
         base = "events" if kind == schema.EVENT else "gauges"
         df = df.select(*schema.table_schema(kind).fieldNames())
-        df = df.coalesce(1) if small else df
-        self._write(df, base, small=small)
+        change = uuid.uuid4().hex
+        at = f"{self.path}/_staged/{change}"
+        self._write(df, base, at=f"{at}/{base}", small=small)
+        if not self._files_in(f"_staged/{change}/{base}"):
+            return
+        rows = self._staged(change, base)
+        adds = [base]
         for name, rollup in self._rollups(kind):
-            self._write(rollup(df), name, small=small)
+            if covered or name != "events_daily":
+                self._write(rollup(rows), name, at=f"{at}/{name}", small=small)
+                adds.append(name)
+        if not covered:
+            days = rows.select(F.date_trunc("day", "time").cast("timestamp_ntz").alias("day"), F.lit(1).alias("change")).distinct()
+            self._write(days, "uncovered", at=f"{at}/uncovered")
+            adds.append("uncovered")
+        self._commit(change, adds, [])
+
+    def _staged(self, change: str, name: str) -> DataFrame:
+        stored = T.StructType([*self._schema(name).fields, T.StructField("month", T.StringType())])
+        return self.spark.read.schema(stored).parquet(f"{self.path}/_staged/{change}/{name}")
 
     def _rollups(self, kind: str):
         if kind == schema.EVENT:
@@ -126,13 +256,8 @@ class Store:
         return [(latest_name(d), lambda df, d=d: rollups.latest(df, d)) for d in self.latest_dims()]
 
     def append_raw(self, df: DataFrame) -> None:
-        """Events without daily rollup rows, as from before the rollup existed; their days await a backfill."""
-        df = df.select(*schema.EVENTS.fieldNames())
-        self._write(df, "events")
-        for name, rollup in self._rollups(schema.EVENT)[1:]:
-            self._write(rollup(df), name)
-        days = df.select(F.date_trunc("day", "time").cast("timestamp_ntz").alias("day"), F.lit(1).alias("change")).distinct()
-        self._write(days, "uncovered")
+        """Events without daily rollup rows, as from before the rollup existed."""
+        self.append(df, schema.EVENT, covered=False)
 
     def append_samples(self, df: DataFrame) -> None:
         self._write(df.select(*schema.SAMPLES.fieldNames()), "samples")
@@ -151,19 +276,12 @@ class Store:
         if not self.exists(latest_name(dims)):
             self._write(rollups.latest(self.read("gauges"), dims), latest_name(dims))
 
-    def _swap(self, name: str, rows: DataFrame, months: list[str]) -> None:
-        """Put rows in the place of these months of a table."""
-        staged = f"{self.path}/_staged/{name}-{uuid.uuid4().hex}"
-        self._write(rows, name, "overwrite", staged)
-        for m in months:
-            fs, old = self._fs(f"{self._at(name)}/month={m}")
-            _, new = self._fs(f"{staged}/month={m}")
-            fs.delete(old, True)
-            if fs.exists(new):
-                fs.mkdirs(old.getParent())
-                fs.rename(new, old)
-        fs, p = self._fs(staged)
-        fs.delete(p, True)
+    def _replace(self, tables: list[tuple[str, DataFrame, list[str]]], adds: list[tuple[str, DataFrame]] = ()) -> None:
+        """One change: of each (table, rows, months), rows in the place of these months; of each of adds, more rows."""
+        change = uuid.uuid4().hex
+        for name, rows, _ in [*tables, *((n, r, None) for n, r in adds)]:
+            self._write(rows, name, at=f"{self.path}/_staged/{change}/{name}")
+        self._commit(change, [n for n, _ in adds], [(n, f"month={m}") for n, _, months in tables for m in months])
 
     def delete(self, kind: str, condition: Column | None) -> None:
         """Remove the rows that the condition holds for (None: all), and what rollups have of them."""
@@ -176,18 +294,17 @@ class Store:
         if not months:
             return
         touched = F.col("month").isin(months)
-        self._swap(base, rows.where(touched & ~hit), months)
-        left = self.read(base)
-        left = left.where(touched) if "month" in left.columns else left
+        left = rows.where(touched & ~hit)
+        tables = [(base, left, months)]
         for name, rollup in self._rollups(kind):
             if kind == schema.GAUGE:  # a latest value may have moved to another month
-                whole = self.read(base)
-                self._swap(name, rollup(whole), sorted({*self.months(name), *self.months(base)}))
+                tables.append((name, rollup(rows.where(~hit)), sorted({*self.months(name), *self.months(base)})))
                 continue
             source = left
             if name == "events_daily" and (bare := self.uncovered_days()):
                 source = left.where(~F.date_trunc("day", "time").cast("timestamp_ntz").isin(sorted(bare)))
-            self._swap(name, rollup(source), months)
+            tables.append((name, rollup(source), months))
+        self._replace(tables)
 
     def backfill_daily(self, start: datetime, end: datetime, force: bool = False) -> None:
         """Recompute the daily rollup of whole days, start <= day < end."""
@@ -204,37 +321,36 @@ class Store:
         keep = have.where(~inside).select(*schema.EVENTS_DAILY.fieldNames())
         months = [f"{y:04d}-{m:02d}" for y, m in _months(start, end)]
         wanted = F.date_format("time", "yyyy-MM").isin(months)
-        self._swap("events_daily", keep.where(wanted).unionByName(fresh.select(*schema.EVENTS_DAILY.fieldNames())), months)
-        covered = [(d, -1) for d in sorted(self.uncovered_days()) if start <= d < end]
-        if covered:
-            counts = {r["day"]: r["n"] for r in self.read("uncovered").groupBy("day").agg(F.sum("change").alias("n")).collect()}
-            self._write(self.spark.createDataFrame([(d, -int(counts[d])) for d, _ in covered], UNCOVERED), "uncovered")
-
-    def apply_retention(self, days: int, now: datetime) -> None:
-        """Drop events older than so many days: whole months by their folders, the boundary month by a rewrite."""
+        counts = {r["day"]: r["n"] for r in self.read("uncovered").groupBy("day").agg(F.sum("change").alias("n")).where("n > 0").collect()}
+        covered = [(d, -int(n)) for d, n in sorted(counts.items()) if start <= d < end]
+        adds = [("uncovered", self.spark.createDataFrame(covered, UNCOVERED))] if covered else []
+        self._replace([("events_daily", keep.where(wanted).unionByName(fresh.select(*schema.EVENTS_DAILY.fieldNames())), months)], adds)
+
+    def apply_retention(self, now: datetime, days: int | None = None) -> None:
+        """Drop events older than the table's retention, or so many days: whole months by their folders, the boundary month by a rewrite."""
+        days = self.retention_days() if days is None else days
+        if days is None:
+            return
         if days < 1:
             raise ValueError("retention must be at least a day")
-        cutoff = datetime.fromtimestamp(now.timestamp() - days * 86400) if now.tzinfo else now - _days(days)
+        now = now.astimezone(UTC).replace(tzinfo=None) if now.tzinfo else now
+        cutoff = now - timedelta(days=days)
         edge = f"{cutoff.year:04d}-{cutoff.month:02d}"
-        for name in ("events", "events_daily", *(hourly_name(d) for d in self.hourly_dims())):
-            for m in self.months(name):
-                if m < edge:
-                    fs, p = self._fs(f"{self._at(name)}/month={m}")
-                    fs.delete(p, True)
+        old = [(name, f"month={m}") for name in ("events", "events_daily", *(hourly_name(d) for d in self.hourly_dims())) for m in self.months(name) if m < edge]
+        if old:
+            self._commit(uuid.uuid4().hex, [], old)
         at = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
         self.delete(schema.EVENT, (F.col("month") == edge) & (F.col("time") < at))
 
     def migrate(self, name: str) -> None:
         """Rewrite a table under the declared schema: columns added since it was written read as null."""
-        months = self.months(name)
-        if months:
-            self._swap(name, self.read(name), months)
-
-
-def _days(n: int):
-    from datetime import timedelta
-
-    return timedelta(days=n)
+        if name in FLAT:
+            if self._files(name):
+                change = uuid.uuid4().hex
+                self._write(self.read(name), name, at=f"{self.path}/_staged/{change}/{name}")
+                self._commit(change, [], [(name, "")])
+        elif months := self.months(name):
+            self._replace([(name, self.read(name), months)])
 
 
 def _months(start: datetime, end: datetime):

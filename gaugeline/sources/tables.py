@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import schema
 from .store import Store, hourly_name, latest_name
@@ -29,6 +30,8 @@ class Frames:
 
 
 def of_store(store: Store) -> Frames:
+    if store.pending():  # a change is under way or was interrupted: only raw rows are sure to agree with themselves
+        return Frames(store.read("events"), store.read("gauges"), samples=store.read("samples"))
     return Frames(
         store.read("events"),
         store.read("gauges"),
@@ -38,3 +41,9 @@ def of_store(store: Store) -> Frames:
         store.read("samples"),
         store.uncovered_days(),
     )
+
+
+def of_collection(rows: DataFrame) -> Frames:
+    """Events and gauges kept as one collection, with their type in the column `type`."""
+    events, gauges = (rows.where(F.col("type") == kind).select(*[c for c in schema.table_schema(kind).fieldNames() if c in rows.columns]) for kind in schema.TYPES)
+    return Frames(events, gauges)
