@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +12,9 @@ from .operators import reads, rollups, samples
 from .plans import query as q
 from .sources import canonical, synthetic
 from .sources.canonical import EV_SQL, SM_SQL
-from .sources.store import Store
 from .sources.tables import Frames
 from .streaming.rollup import read_daily, stream_daily
+from .written import filled, registered, scratch
 
 LO, HI = "2024-01-03 10:37:21.456", "2024-01-20 04:14:03.789"
 WINDOW = [q.greater_than_equal("time", LO), q.less_than_equal("time", HI)]
@@ -177,20 +175,9 @@ _add("samples_discontinuities", f"{_CANON} SELECT sequence FROM ok, r WHERE inte
 _add("bulk_synthetic_topn", "WITH b AS (SELECT '/v1/p' || (i % 1000) AS path, i % 1000 + 1 AS value, timestamp '2026-06-01' + to_seconds((i * 104729) % 2592000) AS time FROM range(200000) r(i)) SELECT 'requests' AS metric, CAST(sum(value) AS BIGINT) AS value, path, 'event' AS type FROM b WHERE time >= timestamp '2026-06-03 10:20:30' AND time < timestamp '2026-06-20' GROUP BY path ORDER BY value DESC, path LIMIT 25", lambda s, d: Meter(Frames(e := synthetic.events(s, 200_000, datetime(2026, 6, 1)), e)).find_df("1", [q.group_by("path"), q.greater_than_equal("time", "2026-06-03 10:20:30"), q.less_than("time", "2026-06-20"), q.limit(25)], "event"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder of our own: in the cluster's shared checkpoint folder, or a temporary one where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gaugeline-")
-
-
 def _stored(spark: SparkSession, sf_dir: str) -> Meter:
-    """A store filled with the canonical events and gauges."""
-    u = Meter(Store(spark, scratch(spark)), now=lambda: NOW)
-    u.setup()
-    t = canonical.frames(spark, sf_dir)
-    missing = [c for c in u.store._schema("events").fieldNames() if c not in t.events.columns]
-    u.store.append(t.events.withColumns({c: F.lit(None).cast("string") for c in missing}), "event")
-    return u
+    """A store filled with the canonical events."""
+    return filled(spark, sf_dir, NOW)
 
 
 def purge_then_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,6 +209,11 @@ _add("backfill_parity", _DAILY_ALL.format(where=f"WHERE tenant = '3' AND {_D}"),
 _add("stream_daily_rollup", _DAILY_ALL.format(where=""), stream_daily_rollup)
 
 
+_made, _checked = registered(EV_SQL, SM_SQL, LO, HI, WINDOW, NOW)
+_queries |= _made
+_sql |= _checked
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top services by metric over a window, from whole hours of a rollup and raw edges."""
     return _queries["hourly_split_topn"](spark, sf_dir)

@@ -47,7 +47,7 @@ _SEQUENCE = "(event_id - event_id % 4) / 4 + 2 * ((event_id - event_id % 92) / 9
 
 
 def _copy(mark: str, more: int, condition: str = "") -> str:
-    return f"""select concat('m', cast(event_id % 4 as {{text}})) as member, cast({_SEQUENCE} as bigint) as sequence, cast(round(value*100) as bigint)+{more} as value, {{start}} as intervalStart, {{end}} as intervalEnd, concat('{mark}-', cast(event_id as {{text}})) as ingestId from events{condition}"""
+    return f"""select concat('m', cast(event_id % 4 as {{text}})) as member, cast({_SEQUENCE} as bigint) as sequence, cast(round(value*100) as bigint)+{more} as value, {{start}} as intervalStart, {{end}} as intervalEnd, md5(concat('{mark}-', cast(event_id as {{text}}))) as ingestId from events{condition}"""
 
 
 #: A sample of every event, and besides it exact copies of some (users 0 in 11) and conflicting ones (1 in 37); some start late (2 in 41).

@@ -368,3 +368,66 @@ def test_bulk_load(spark, tmp_path):
     assert u.count("1") == 2 and u.get_stats()["queries"] >= 3
     u.add_frame(df.withColumn("value", F.lit(-1)).select("metric", "value", "tenant"), "gauge", allow_negative=True)
     assert u.get_total("1", "m", kind="gauge") == -1
+
+
+@pytest.mark.parametrize("kind", ["append", "purge"])
+def test_interrupted_writers(spark, tmp_path, kind):
+    """A writer that dies before or after any rename leaves a store that sums right, then and once recovered."""
+    step, done = 0, False
+    while not done:
+        u = fresh(spark, tmp_path / f"{kind}{step}")
+        u.store.declare_hourly("service")
+        u.add_batch([row("m", 1, "2026-05-03", service="s"), row("m", 2, "2026-05-04", path="/x"), row("m", 4, "2026-06-05", path="/x")], "event")
+        move, seen = u.store._move, []
+
+        def dying(source, place, u=u, move=move, seen=seen, step=step):
+            if len(seen) == step:
+                raise OSError("lost")
+            move(source, place)
+            seen.append(place)
+
+        u.store._move = dying
+        try:
+            u.add_batch([row("m", 8, "2026-05-03"), row("m", 16, "2026-06-06")], "event") if kind == "append" else u.purge("1", [q.equal("path", "/x")], "event")
+            done = True
+        except OSError:
+            pass
+        u.store._move = move
+        want = 31 if kind == "append" else 1
+        if not done:
+            assert u.store.pending() and [u.tables().events_daily, u.tables().hourly] == [None, {}]
+            assert u.sum("1", [q.less_than("time", "2026-06-10")]) == u.store.read("events").agg(F.coalesce(F.sum("value"), F.lit(0))).first()[0]
+            assert u.store.recover() == 1
+        span = [q.greater_than_equal("time", "2026-05-01"), q.less_than("time", "2026-06-10")]
+        assert u.sum("1", span) == want and u.get_route_log()[-1]["route"] == "daily" and u.sum_daily("1") == want
+        assert sum(r["value"] for r in u.find("1", [q.group_by("service"), *span], "event")) == want and u.get_route_log()[-1]["route"] == "hourly"
+        step += 1
+    assert step > 4
+
+
+def test_uncommitted_change_is_dropped(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", 1, "2026-05-03")], "event")
+    put = u.store._put
+    u.store._put = lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        u.add_batch([row("m", 2, "2026-05-03")], "event")
+    u.store._put = put
+    u.setup()
+    assert u.sum("1") == u.sum_daily("1") == 1 and not u.store.exists("_staged")
+
+
+def test_pages_over_nulls(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", i, "2026-05-03", path=p) for i, p in enumerate(["/b", None, "/a", None, "/c", None])], "event")
+    for order, names in ((q.order_asc, ["/a", "/b", "/c", None, None, None]), (q.order_desc, ["/c", "/b", "/a", None, None, None])):
+        seen, cursor = [], None
+        while page := u.find("1", [order("path"), q.limit(2), q.cursor_after(cursor)], "event"):
+            seen += page
+            cursor = page[-1]
+        assert [r["path"] for r in seen] == names and len({r["id"] for r in seen}) == 6
+        back, cursor = [], seen[-1]
+        while page := u.find("1", [order("path"), q.limit(2), q.cursor_before(cursor)], "event"):
+            back = page + back
+            cursor = page[0]
+        assert [r["id"] for r in back] == [r["id"] for r in seen[:-1]]
