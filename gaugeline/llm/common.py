@@ -91,13 +91,25 @@ def worker_cache(key: str, make):
     return held[key]
 
 
+#: The most bytes that Spark puts in a batch for a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def _bound_batches(spark: SparkSession | None) -> None:
+    """Lower the session's bound on the bytes of a batch to BATCH_BYTES, always the same; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and int(spark.conf.get(key).removesuffix("b") if spark.conf.get(key).removesuffix("b").isdigit() else BATCH_BYTES + 1) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def tidy(run, rows: int = 256):
     """A function of Arrow batches, given at most so many rows at a time, that tidies up when a task ends.
 
-    Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default); the
-    slices bound what the function makes of them.  Workers wait for the next task with what their
-    allocators hold, and several of them share an executor, so freed memory goes back to the system.
+    A batch has BATCH_BYTES and a row at most, as the worker and the JVM both hold it; the slices bound what the
+    function makes of it.  Workers wait for the next task with what their allocators hold, and several of
+    them share an executor, so freed memory goes back to the system.
     """
+    _bound_batches(SparkSession.getActiveSession())
 
     def tidied(batches):
         import ctypes
