@@ -101,7 +101,7 @@ def run(spark, sf_dir: str, at: str) -> dict:
         "events_topN_path_30d_split": top(["path"], odd),
         "events_topN_path_30d_raw": raw(["path"], odd),
         "events_topN_path_today_partial": top(["path"], today),
-        "events_topN_path_30d_filtered_resource": top(["path"], month, q.equal("resourceId", "resource-3")),
+        "events_topN_path_30d_filtered_resource": top(["path"], month, q.equal("resourceId", "r3")),
         "events_topN_path_country": top(["path", "country"], month),
         "gauges_latest_in_window": lambda: reader.get_total("3", "click", month, "gauge"),
         "gauges_topN_service_30d": top(["service"], month, kind="gauge"),
