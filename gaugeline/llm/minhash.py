@@ -11,10 +11,12 @@
    have the same centre, and so few different pairs.  Pairs are confirmed on the full sets.
 4. A star can miss a link between two members that its centre lacks.  Buckets of which the members are
    then still in several components are looked at again: all members outside a bucket's largest
-   component, gathered by that component over all such buckets, are compared with its members
-   there and with one another, in blocks of bounded size; only links that join components leave a
-   task.  So every linked pair that shares a bucket ends in one component; at similarity 0.8, with 32
-   bands of 4 rows, a pair shares none with a probability of about 5e-8.
+   component are gathered by that component over all such buckets, with its members there.  Of a
+   set in such a gathering, the shingles that no other set of it has bound the size of any
+   set of it that can be linked with this one (`_reach`); sets without a possible partner leave, which are
+   most, at the cost of one count of shingles.  What remains is compared in blocks of bounded size;
+   only links that join components leave a task.  So every linked pair that shares a bucket ends in one
+   component; at similarity 0.8, with 32 bands of 4 rows, a pair shares none with a probability of about 5e-8.
 
 Nothing is capped: a bucket of any size is a join that Spark may split, and blocks of bounded size.
 
@@ -184,6 +186,45 @@ def _confirmer(percent: int):
     return run
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gathering, hi, lo, set) -> a row (key, hi, lo) for each shingle of the set, key standing for gathering and shingle.
+
+    A chance collision of keys makes a shingle look shared, which weakens a bound and loses nothing.
+    """
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            sizes = [len(u) for u in sets]
+            of, hi, lo = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3))
+            key = mix64(np.concatenate(sets) ^ mix64(of.view(np.uint64))) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hi), pa.array(lo)], ["key", "hi", "lo"])
+
+
+def _reach(n: F.Column, own: F.Column, percent: int) -> F.Column:
+    """The size of the largest set that can be linked with a set of n shingles, own of them in no other set.
+
+    Sets of sizes n and m are linked if their intersection has p / (100 + p) of n + m, and it has n - own at most.
+    """
+    return F.floor((100 + percent) * (n - own) / percent) - n
+
+
+def _with_partners(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """main, digest, outsider, component, n, reach of those in around that can have a link with an outsider."""
+    named = around.select("*", F.xxhash64("main").alias("of"), F.xxhash64("main", "digest").alias("hi"), F.xxhash64("digest", "main", F.lit(1)).alias("lo"))
+    with_sets = named.join(sets.select("digest", "n", "set"), "digest")
+    marks = with_sets.select("of", "hi", "lo", "set").mapInArrow(tidy(_marked), "key long, hi long, lo long")
+    single = marks.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("hi").alias("hi"), F.min("lo").alias("lo")).where("c = 1")
+    own = single.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("own"))
+    sized = named.join(sets.select("digest", "n"), "digest").join(own, ["hi", "lo"], "left")
+    sized = settle(sized.select("main", "digest", "component", (F.col("component") != F.col("main")).alias("outsider"), "n", _reach(F.col("n"), F.coalesce("own", F.lit(0)), percent).alias("reach")))
+
+    key = dealt_anew("main").alias("main")
+    smallest = sized.groupBy("main").agg(F.min("n").alias("least_n")).select(key, "least_n")
+    likely = sized.join(smallest, "main").where(F.col("reach") >= F.greatest("least_n", F.ceil(F.col("n") * percent / 100))).drop("least_n")
+    outside = likely.where("outsider").groupBy("main").agg(F.min("n").alias("out_least"), F.max("reach").alias("out_reach")).select(key, "out_least", "out_reach")
+    return settle(likely.join(outside, "main").where("n <= out_reach and reach >= out_least").drop("out_least", "out_reach"))
+
+
 def _block_links(percent: int, bins: int):
     """One (main component, block of outsiders, block of all): links that join components not yet joined.
 
@@ -194,9 +235,11 @@ def _block_links(percent: int, bins: int):
     least = bins * t - 5 * (bins * t * (1 - t)) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
-        d = table.to_pydict()
+        d = table.select(["outsider", "digest", "component"]).to_pydict()
+        n, reach = table.column("n").to_numpy(), table.column("reach").to_numpy()
+        packed, sigs = table.column("set"), table.column("sig")
         out = [i for i, x in enumerate(d["outsider"]) if x]
-        members = [i for i, x in enumerate(d["outsider"]) if not x]
+        members = np.array([i for i, x in enumerate(d["outsider"]) if not x], np.int64)
         parent: dict[bytes, bytes] = {}
 
         def find(x: bytes) -> bytes:
@@ -204,18 +247,21 @@ def _block_links(percent: int, bins: int):
                 x = parent[x]
             return x
 
+        def of(column, i: int, kind) -> np.ndarray:
+            return np.frombuffer(column[int(i)].as_buffer(), kind)
+
         links: tuple[list, list] = ([], [])
-        if out and members:
-            sig = np.stack([np.frombuffer(d["sig"][i], np.uint16) for i in members])
-            sets = {i: np.frombuffer(d["set"][i], np.uint64) for i in (*out, *members)}
-            small = np.array([len(sets[i]) < SURE for i in members])
+        if out and len(members):
+            sig = np.stack([of(sigs, i, np.uint16) for i in members])
+            small = n[members] < SURE
             for i in out:
-                alike = (sig == np.frombuffer(d["sig"][i], np.uint16)).sum(1)
-                near = np.flatnonzero((alike >= least) | small | (len(sets[i]) < SURE))
-                for j in near[np.argsort(-alike[near], kind="stable")]:
-                    m = members[j]
+                alike = (sig == of(sigs, i, np.uint16)).sum(1)
+                near = (alike >= least) | small | (n[i] < SURE)
+                near = np.flatnonzero(near & (n[members] <= reach[i]) & (reach[members] >= n[i]))
+                mine = of(packed, i, np.uint64)
+                for m in members[near[np.argsort(-alike[near], kind="stable")]]:
                     a, b = find(d["component"][i]), find(d["component"][m])
-                    if a != b and _linked(sets[i], sets[m], percent):
+                    if a != b and _linked(mine, of(packed, m, np.uint64), percent):
                         parent[a] = b
                         links[0].append(d["digest"][i])
                         links[1].append(d["digest"][m])
@@ -262,13 +308,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = main.where("parts > 1 and members > 2").select("band", dealt_anew("key").alias("key"), "main")
     # outsiders of any bucket with the same main component, and what of that component is in those buckets
     around = settle(placed.join(split, ["band", "key"]).select("main", "digest", "component").distinct())
-    is_out = F.col("component") != F.col("main")
-    sizes = around.groupBy("main").agg(F.ceil(F.sum(is_out.cast("long")) / block).cast("int").alias("out_blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("all_blocks"))
-    around = around.join(sizes.select(dealt_anew("main").alias("main"), "out_blocks", "all_blocks"), "main")
+    around = _with_partners(around, sets, percent)
+    sizes = around.groupBy("main").agg(F.ceil(F.sum(F.col("outsider").cast("long")) / block).cast("int").alias("out_blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("all_blocks"))
+    around = around.join(sizes.select(dealt_anew("main").alias("main"), "out_blocks", "all_blocks"), "main").where("out_blocks > 0")
     slot = F.xxhash64("digest")
-    as_member = around.select("*", F.lit(False).alias("outsider"), F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("i"), F.pmod(slot, "all_blocks").cast("int").alias("j"))
-    as_out = around.where(is_out).select("*", F.lit(True).alias("outsider"), F.pmod(slot, "out_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"))
-    met = as_member.union(as_out).select("main", "i", "j", "outsider", "digest", "component").join(sets.select("digest", "set", "sig"), "digest")
+    as_member = around.withColumn("outsider", F.lit(False)).select("*", F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("i"), F.pmod(slot, "all_blocks").cast("int").alias("j"))
+    as_out = around.where("outsider").select("*", F.pmod(slot, "out_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"))
+    met = as_member.union(as_out).select("main", "i", "j", "outsider", "digest", "component", "n", "reach").join(sets.select("digest", "set", "sig"), "digest")
     more = met.groupBy("main", "i", "j").applyInArrow(_block_links(percent, bands * rows), "u binary, v binary")
     links = links.union(settle(more))
 

@@ -158,6 +158,44 @@ def test_near_duplicates_equal_brute_force(spark, n):
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
+@pytest.mark.parametrize("n", [2, 5])
+def test_families_with_outsiders_equal_brute_force(spark, n):
+    """Copies on both sides of the threshold, edited, cut and lengthened at shared places: stars miss links that the second look finds."""
+    rng = random.Random(10 + n)
+    rows = []
+    for f in range(6):
+        base = [f"b{f}x{i}" for i in range(150)]
+        tail = [f"t{f}x{i}" for i in range(60)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randrange(0, 40 // n)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+            kind = rng.randrange(4)
+            cut = rng.choice([10, 15, 20, 25])
+            w = [w, w[: len(w) - cut], w + tail[: 2 * cut], w[: len(w) - cut] + tail[:cut]][kind]
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=n, block=16).toPandas()
+    have = sorted((str(d), m, str(c)) for d, m, c in zip(got.doc_id, got.n_shingles, got.component_id, strict=True))
+    assert have == brute(rows, n)
+
+
+def test_sets_without_partners_leave(spark):
+    """Of a gathering's sets only those stay that an exact bound lets have a link with an outsider, and all that have one do."""
+    rng = np.random.default_rng(3)
+    hub = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.permutation(hub)[:k], rng.integers(0, 2**63, a).astype(np.uint64)))) for k, a in [(100, 0), (97, 3), (95, 2), (85, 15), (85, 0), (80, 20), (92, 18), (60, 40)]]
+    sets.append(np.unique(np.concatenate((sets[5][:-4], rng.integers(0, 2**63, 4).astype(np.uint64)))))
+    main, names = b"m", [bytes([65 + i]) for i in range(len(sets))]
+    outside = [not minhash._linked(sets[0], u, 80) for u in sets]
+    around = spark.createDataFrame([(main, d, d if o else main) for d, o in zip(names, outside, strict=True)], "main binary, digest binary, component binary")
+    table = spark.createDataFrame([(len(u), d, u.tobytes()) for u, d in zip(sets, names, strict=True)], "n long, digest binary, set binary")
+    left = {bytes(r["digest"]) for r in minhash._with_partners(around, table, 80).collect()}
+    linked = {x for i, a in enumerate(names) for j, b in enumerate(names) if i != j and (outside[i] or outside[j]) and minhash._linked(sets[i], sets[j], 80) for x in (a, b)}
+    assert linked and linked <= left
+    assert names[7] not in left and names[3] not in left
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(4, text), (2, text), (2, text), (9, text + " more"), (5, "other text that stands alone"), (6, None), (7, None)]
