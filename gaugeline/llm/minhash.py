@@ -41,6 +41,8 @@ from .components import connected_components
 BASE = 0x9E3779B97F4A7C55
 PIECE = 1 << 20
 SURE = 64
+#: A gathering of sets is dealt over so many parts where its rows meet facts about it.
+PARTS = 16
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -218,11 +220,16 @@ def _with_partners(around: DataFrame, sets: DataFrame, percent: int) -> DataFram
     sized = named.join(sets.select("digest", "n"), "digest").join(own, ["hi", "lo"], "left")
     sized = settle(sized.select("main", "digest", "component", (F.col("component") != F.col("main")).alias("outsider"), "n", _reach(F.col("n"), F.coalesce("own", F.lit(0)), percent).alias("reach")))
 
-    key = dealt_anew("main").alias("main")
-    smallest = sized.groupBy("main").agg(F.min("n").alias("least_n")).select(key, "least_n")
-    likely = sized.join(smallest, "main").where(F.col("reach") >= F.greatest("least_n", F.ceil(F.col("n") * percent / 100))).drop("least_n")
-    outside = likely.where("outsider").groupBy("main").agg(F.min("n").alias("out_least"), F.max("reach").alias("out_reach")).select(key, "out_least", "out_reach")
-    return settle(likely.join(outside, "main").where("n <= out_reach and reach >= out_least").drop("out_least", "out_reach"))
+    able = sized.where(F.col("reach") >= F.ceil(F.col("n") * percent / 100))
+    bounds = able.groupBy("main").agg(F.min("n").alias("least_n"), F.min(F.when(F.col("outsider"), F.col("n"))).alias("out_least"), F.max(F.when(F.col("outsider"), F.col("reach"))).alias("out_reach"))
+    met = _with_facts(able, bounds).where("n <= out_reach and reach >= out_least and (not outsider or reach >= least_n)")
+    return settle(met.drop("least_n", "out_least", "out_reach"))
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the facts of their main, of which each has a copy for every one of PARTS parts of its rows."""
+    copies = facts.withColumn("main", dealt_anew("main")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int")).join(copies, ["main", "part"]).drop("part")
 
 
 def _block_links(percent: int, bins: int):
@@ -310,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     around = settle(placed.join(split, ["band", "key"]).select("main", "digest", "component").distinct())
     around = _with_partners(around, sets, percent)
     sizes = around.groupBy("main").agg(F.ceil(F.sum(F.col("outsider").cast("long")) / block).cast("int").alias("out_blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("all_blocks"))
-    around = around.join(sizes.select(dealt_anew("main").alias("main"), "out_blocks", "all_blocks"), "main").where("out_blocks > 0")
+    around = _with_facts(around, sizes.where("out_blocks > 0"))
     slot = F.xxhash64("digest")
     as_member = around.withColumn("outsider", F.lit(False)).select("*", F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("i"), F.pmod(slot, "all_blocks").cast("int").alias("j"))
     as_out = around.where("outsider").select("*", F.pmod(slot, "out_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"))
