@@ -112,15 +112,20 @@ def tidy(run, rows: int = 256):
     _bound_batches(SparkSession.getActiveSession())
 
     def tidied(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         yield from run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return tidied
+
+
+def give_back() -> None:
+    """Return what this process's allocators hold unused to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, tidy
+from .common import dealt_anew, give_back, tidy
 
 PAIRS = 1024
 SHARES = 12
@@ -71,9 +71,14 @@ def meta_features(source: str | None, lang: str | None, text: str | None) -> np.
     return x
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-4, rounds: int = 400) -> np.ndarray:
-    """Weights and bias, by Nesterov's accelerated gradient."""
-    a = np.hstack((x, np.ones((len(x), 1), x.dtype)))
+def fit_logistic(x: np.ndarray | list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-4, rounds: int = 400) -> np.ndarray:
+    """Weights and bias, by Nesterov's accelerated gradient; x may be several blocks of rows, which are copied once."""
+    blocks = x if isinstance(x, list) else [x]
+    a = np.ones((len(y), blocks[0].shape[1] + 1), blocks[0].dtype)
+    at = 0
+    for block in blocks:
+        a[at : at + len(block), :-1] = block
+        at += len(block)
     s = np.ones(len(y)) if weight is None else weight
     s = s / s.sum()
     # the second moment's norm bounds the gradient's change
@@ -114,8 +119,8 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
         models = []
         for v, (x, p) in enumerate(views):
             rows = np.array(sorted(given[v]), int)
-            xs, ys = np.vstack((x, p[rows])), np.concatenate((y[own], [given[v][i] for i in rows]))
-            models.append(fit_logistic(xs, ys, np.concatenate((np.ones(len(x)), np.full(len(rows), 0.5)))))
+            ys = np.concatenate((y[own], [given[v][i] for i in rows]))
+            models.append(fit_logistic([x, p[rows]], ys, np.concatenate((np.ones(len(x)), np.full(len(rows), 0.5)))))
         if r == rounds or not len(pool[0]):
             break
         for v in (0, 1):
@@ -159,7 +164,7 @@ def _sample(rows: DataFrame, hashes: list[int]) -> dict[int, np.ndarray]:
     """Features by hash, of one row of each of the given hashes (a bounded number of them)."""
     named = rows.sparkSession.createDataFrame([(h,) for h in hashes], "wanted long")
     one = rows.join(F.broadcast(named), F.col("hash") == F.col("wanted"), "left_semi").dropDuplicates(["hash"]).select("hash", "text", "source", "lang")
-    return {r["id"]: np.frombuffer(r["x"], np.float32).astype(float) for r in one.mapInArrow(tidy(_features), "id long, x binary").collect()}
+    return {r["id"]: np.frombuffer(r["x"], np.float32) for r in one.mapInArrow(tidy(_features), "id long, x binary").collect()}
 
 
 def _least(rows: DataFrame, n: int) -> list[int]:
@@ -191,11 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     rest = [h for h in _least(rows, max_pool + max_labelled) if h not in picked][:max_pool]
     found = _sample(rows, [*picked, *rest])
     order = [h for h in sorted(picked) if h in found]
-    x, y = np.array([found[h] for h in order]), np.array([picked[h] for h in order], float)
-    p = np.array([found[h] for h in rest if h in found]).reshape(-1, TEXT + META)
-    mixed = np.random.default_rng(seed).permutation(len(y))
-    x, y = x[mixed], y[mixed]
-    return co_train((x[:, :TEXT], x[:, TEXT:], y), (p[:, :TEXT], p[:, TEXT:]), **params)
+    order = [order[i] for i in np.random.default_rng(seed).permutation(len(order))]
+    x, y = np.array([found[h] for h in order], float), np.array([picked[h] for h in order], float)
+    p = np.array([found[h] for h in rest if h in found], float).reshape(-1, TEXT + META)
+    del found
+    model = co_train((x[:, :TEXT], x[:, TEXT:], y), (p[:, :TEXT], p[:, TEXT:]), **params)
+    give_back()
+    return model
 
 
 def _score(model, n_cols: int):
