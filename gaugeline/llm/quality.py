@@ -37,6 +37,8 @@ PAIRS = 1024
 SHARES = 12
 TEXT = PAIRS + SHARES
 META = 129
+#: Rows of features, held as 32-bit numbers, that are computed with at a time.
+CHUNK = 128
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -71,27 +73,40 @@ def meta_features(source: str | None, lang: str | None, text: str | None) -> np.
     return x
 
 
-def fit_logistic(x: np.ndarray | list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-4, rounds: int = 400) -> np.ndarray:
-    """Weights and bias, by Nesterov's accelerated gradient; x may be several blocks of rows, which are copied once."""
-    blocks = x if isinstance(x, list) else [x]
-    a = np.ones((len(y), blocks[0].shape[1] + 1), blocks[0].dtype)
-    at = 0
-    for block in blocks:
-        a[at : at + len(block), :-1] = block
-        at += len(block)
+def fit_logistic(x: np.ndarray | list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-4, rounds: int = 400) -> np.ndarray:
+    """Weights and bias, by Nesterov's accelerated gradient.
+
+    x may be several matrices, each with the numbers of the rows to take; CHUNK rows at a time are copied, as 64-bit numbers.
+    """
+    blocks = x if isinstance(x, list) else [(x, np.arange(len(x)))]
+    width, at, parts = blocks[0][0].shape[1], 0, []
+    for matrix, rows in blocks:
+        parts += [(matrix, rows[i : i + CHUNK], slice(at + i, at + min(i + CHUNK, len(rows)))) for i in range(0, len(rows), CHUNK)]
+        at += len(rows)
+    held = np.ones((min(at, CHUNK), width + 1))
+
+    def weighed(z: np.ndarray, factor) -> np.ndarray:
+        """The sum of all rows, a 1 for the bias behind each, times factor(their products with z, their places)."""
+        total = np.zeros(width + 1)
+        for matrix, rows, place in parts:
+            a = held[: len(rows)]
+            a[:, :-1] = matrix[rows]
+            total += a.T @ factor(a @ z, place)
+        return total
+
     s = np.ones(len(y)) if weight is None else weight
     s = s / s.sum()
     # the second moment's norm bounds the gradient's change
-    v = np.ones(a.shape[1])
+    v = np.ones(width + 1)
     for _ in range(20):
-        v = a.T @ (s * (a @ v))
+        v = weighed(v, lambda products, place: s[place] * products)
         size = np.linalg.norm(v)
         v /= size
     step = 1 / (size / 4 + decay)
-    w = z = np.zeros(a.shape[1])
+    w = z = np.zeros(width + 1)
     t = 1.0
     for _ in range(rounds):
-        g = a.T @ (s * (sigmoid(a @ z) - y)) + decay * z
+        g = weighed(z, lambda products, place: s[place] * (sigmoid(products) - y[place])) + decay * z
         new, t_new = z - step * g, (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
@@ -103,7 +118,8 @@ def sigmoid(z):
 
 
 def logits(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    parts = [x[i : i + CHUNK].astype(float, copy=False) @ w[:-1] for i in range(0, len(x), CHUNK)]
+    return (np.concatenate(parts) if parts else np.zeros(0)) + w[-1]
 
 
 def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, share: float = 0.05, confident: float = 0.95) -> dict[str, np.ndarray]:
@@ -111,7 +127,8 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
     y = labelled[2]
     held, last = _parts(y)  # for calibration, for the combination
     own = ~(held | last) if (held != last).any() else held
-    views = [(labelled[v][own], pool[v]) for v in (0, 1)]
+    mine = np.flatnonzero(own)
+    views = [(labelled[v], pool[v]) for v in (0, 1)]
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels by pool row, for each view
     models: list[np.ndarray] = []
     rate = y[own].mean()
@@ -120,7 +137,7 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
         for v, (x, p) in enumerate(views):
             rows = np.array(sorted(given[v]), int)
             ys = np.concatenate((y[own], [given[v][i] for i in rows]))
-            models.append(fit_logistic([x, p[rows]], ys, np.concatenate((np.ones(len(x)), np.full(len(rows), 0.5)))))
+            models.append(fit_logistic([(x, mine), (p, rows)], ys, np.concatenate((np.ones(len(mine)), np.full(len(rows), 0.5)))))
         if r == rounds or not len(pool[0]):
             break
         for v in (0, 1):
@@ -164,7 +181,9 @@ def _sample(rows: DataFrame, hashes: list[int]) -> dict[int, np.ndarray]:
     """Features by hash, of one row of each of the given hashes (a bounded number of them)."""
     named = rows.sparkSession.createDataFrame([(h,) for h in hashes], "wanted long")
     one = rows.join(F.broadcast(named), F.col("hash") == F.col("wanted"), "left_semi").dropDuplicates(["hash"]).select("hash", "text", "source", "lang")
-    return {r["id"]: np.frombuffer(r["x"], np.float32) for r in one.mapInArrow(tidy(_features), "id long, x binary").collect()}
+    # as Arrow, which the driver passes on as it comes; rows would be held there several times
+    found = one.mapInArrow(tidy(_features), "id long, x binary").toArrow()
+    return {h: np.frombuffer(x.as_buffer(), np.float32) for h, x in zip(found["id"].to_pylist(), found["x"], strict=True)}
 
 
 def _least(rows: DataFrame, n: int) -> list[int]:
@@ -197,9 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     found = _sample(rows, [*picked, *rest])
     order = [h for h in sorted(picked) if h in found]
     order = [order[i] for i in np.random.default_rng(seed).permutation(len(order))]
-    x, y = np.array([found[h] for h in order], float), np.array([picked[h] for h in order], float)
-    p = np.array([found[h] for h in rest if h in found], float).reshape(-1, TEXT + META)
+    x, y = np.array([found[h] for h in order], np.float32), np.array([picked[h] for h in order], float)
+    p = np.array([found[h] for h in rest if h in found], np.float32).reshape(-1, TEXT + META)
     del found
+    give_back()
     model = co_train((x[:, :TEXT], x[:, TEXT:], y), (p[:, :TEXT], p[:, TEXT:]), **params)
     give_back()
     return model

@@ -3,6 +3,7 @@ import io
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -97,6 +98,24 @@ def test_co_training_exchanges_labels():
     assert score(quality.co_train(few, pool[:2])) > 0.95
 
 
+def test_training_copies_no_features():
+    """What co-training holds on the driver beside the features stays far below them."""
+    rng = np.random.default_rng(2)
+
+    def make(n):
+        y = rng.integers(0, 2, n)
+        x = rng.random((n, quality.TEXT + quality.META), np.float32) + y[:, None].astype(np.float32) / 4
+        return x[:, : quality.TEXT], x[:, quality.TEXT :], y.astype(float)
+
+    labelled, pool = make(3200), make(2400)[:2]
+    tracemalloc.start()
+    model = quality.co_train(labelled, pool, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(m.nbytes for m in (*labelled[:2], *pool)) / 3
+    assert ((quality.combine(model, *labelled[:2])[:, 2] >= 0.5) == labelled[2]).mean() > 0.95
+
+
 # -- 4: licenses
 
 
