@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +33,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaugeline-checkpoint-"))
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What a frame made in here has shuffled goes from the executors' disks as soon as it has been written.
+
+    Else it stays until the driver happens to collect its garbage.  The session's own value comes back after it.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files.
 
     Cuts the lineage, so that later stages neither recompute the input nor lose it with an executor.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_released(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 #: Folders that this process wrote beside the checkpoints and still needs.
@@ -62,7 +80,8 @@ def settle_table(df: DataFrame) -> DataFrame:
     """Like settle, as a Parquet table beside the checkpoints: for wide rows of which later stages need some columns."""
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_released(spark):
+        df.select("*").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

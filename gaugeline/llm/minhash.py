@@ -233,7 +233,7 @@ def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _block_links(percent: int, bins: int):
-    """One (main component, block of outsiders, block of all): links that join components not yet joined.
+    """One (main component, block of outsiders, block of all): components that a link joins and no other has yet.
 
     Pairs are tried in the order of their signatures' estimate, between sets of SURE shingles and more down to
     5 standard deviations below the threshold; smaller sets, whose bins aren't independent, are all compared.
@@ -270,8 +270,8 @@ def _block_links(percent: int, bins: int):
                     a, b = find(d["component"][i]), find(d["component"][m])
                     if a != b and _linked(mine, of(packed, m, np.uint64), percent):
                         parent[a] = b
-                        links[0].append(d["digest"][i])
-                        links[1].append(d["digest"][m])
+                        links[0].append(d["component"][i])
+                        links[1].append(d["component"][m])
         return pa.table({"u": pa.array(links[0], pa.binary()), "v": pa.array(links[1], pa.binary())})
 
     return run
@@ -304,9 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = members.join(company, "digest").groupBy("band", "key").agg(F.max(F.struct("company", "digest")).alias("c")).select("band", dealt_anew("key").alias("key"), F.col("c.digest").alias("v"))
     stars = members.join(centres, ["band", "key"]).where("digest <> v")
     stars = stars.select(F.greatest("digest", "v").alias("u"), F.least("digest", "v").alias("v")).distinct()
-    links = settle(_confirm(stars, sets, percent))
-
-    comps = connected_components(links)
+    comps = connected_components(_confirm(stars, sets, percent))
     placed = members.join(comps, F.col("digest") == F.col("node"), "left").select("digest", "band", "key", F.coalesce("component", "digest").alias("component"))
     placed = settle_table(placed)
     parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -323,10 +321,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_out = around.where("outsider").select("*", F.pmod(slot, "out_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"))
     met = as_member.union(as_out).select("main", "i", "j", "outsider", "digest", "component", "n", "reach").join(sets.select("digest", "set", "sig"), "digest")
     more = met.groupBy("main", "i", "j").applyInArrow(_block_links(percent, bands * rows), "u binary, v binary")
-    links = links.union(settle(more))
+    # components are nodes now, of which these links join few
+    joined = connected_components(more).select(F.col("node").alias("joined"), F.col("component").alias("whole"))
 
-    comps = connected_components(links)
     ids = classes.select("digest", F.col("doc_id").alias("id")).join(comps, F.col("digest") == F.col("node"), "left").select("digest", "id", F.coalesce("component", "digest").alias("component"))
+    ids = ids.join(joined, F.col("component") == F.col("joined"), "left").select("digest", "id", F.coalesce("whole", "component").alias("component"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
     grouped = ids.join(least.select(dealt_anew("component").alias("component"), "component_id"), "component").select("digest", "component_id")
     out = sketch.select("doc_id", "text_hash", "n", "digest").join(grouped, "digest", "left")

@@ -250,3 +250,42 @@ def test_written_tables_are_cleared(spark):
     assert paths and all(os.path.isdir(p) for p in paths)
     common.clear_tables(spark)
     assert not common._written and not any(os.path.isdir(p) for p in paths)
+
+
+def test_settled_frames_leave_no_shuffle_files(spark):
+    """What a settled frame has shuffled goes at once, and the session's options stay as they are."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from gaugeline.llm import common
+
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key, None), shuffled()
+    keys = spark.range(10_000).select((F.col("id") % 100).alias("k"), "id")
+    for settle in (common.settle, common.settle_table):
+        settled = settle(keys.groupBy("k").agg(F.sum("id").alias("n")).join(keys.distinct(), "k"))
+        for _ in range(25):  # the files go in the background
+            if not (left := shuffled() - before):
+                break
+            time.sleep(0.2)
+        assert not left
+        assert settled.count() == 10_000
+        before = shuffled()
+    assert spark.conf.get(key, None) == was
+
+
+@pytest.mark.parametrize("edges, frames", [([(1, x) for x in range(2, 40)] + [(50, 60)], 2), ([(9, x) for x in range(1, 9)], 4)])
+def test_stars_need_no_step(spark, monkeypatch, edges, frames):
+    """Edges and their nodes are settled; a star around its least node is seen to be one without a step, another needs one."""
+    from gaugeline.llm import components
+
+    settled = []
+    monkeypatch.setattr(components, "settle", lambda df, f=components.settle: settled.append(1) or f(df))
+    got = {(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(x, 50 if x >= 50 else 1) for e in edges for x in e}
+    assert len(settled) == frames
