@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,60 +40,84 @@ LONG = 8
 
 def sentences_of(text: str) -> list[str]:
     """The text, cut into sentences, and long ones further; joined they are the text."""
-    out = []
+    return _sentences(text)[0]
+
+
+def _sentences(text: str) -> tuple[list[str], list[list[str]]]:
+    """sentences_of the text, and the lower-case words of each."""
+    parts, words = [], []
     for s in SENTENCE.findall(text):
-        if not _long(s):
-            out.append(s)
+        w = s.lower().split()
+        if len(w) <= LONG:
+            parts.append(s)
+            words.append(w)
             continue
         for c in CLAUSE.findall(s):
-            out += _by_words(c) if _long(c) else [c]
-    return out
-
-
-def _long(s: str) -> bool:
-    return len(s) > 2 * LONG and len(s.split()) > LONG
+            w = c.lower().split()
+            if len(w) <= LONG:
+                parts.append(c)
+                words.append(w)
+            else:
+                _by_words(c, w, parts, words)
+    return parts, words
 
 
-def _by_words(s: str) -> list[str]:
+def _by_words(s: str, lower: list[str], parts: list[str], words: list[list[str]]) -> None:
     """Cut after every word of which the hash says so, one in four: equal passages are cut alike."""
     from xxhash import xxh32_intdigest
 
-    out, held = [], []
-    for w in WORD.findall(s):
-        held.append(w)
-        if xxh32_intdigest(w.strip().lower()) % 4 == 0:
-            out.append("".join(held))
-            held = []
-    return [*out, "".join(held)] if held else out
-
-
-def spans_of(text: str, sentences: int, words: int) -> list[tuple[int, int, int]]:
+    ends = [k for k, h in enumerate(map(xxh32_intdigest, lower), 1) if not h % 4]
+    if not ends or ends[-1] < len(lower):
+        ends.append(len(lower))
+    found, between = s.split(), " "
+    at = s.find(" ".join(found))
+    if at < 0:  # other white space between words than single spaces
+        found, between, at = WORD.findall(s), "", 0
+    last = len(parts)
+    a = 0
+    for b in ends:
+        parts.append(between.join(found[a:b]) + between)
+        words.append(lower[a:b])
+        a = b
+    if between:  # white space at either end
+        parts[last] = s[:at] + parts[last]
+        parts[-1] = parts[-1][:-1] + s[len(s.rstrip()) :]
+
+
+def spans_of(text: str, sentences: int, words: int) -> list[tuple[bytes, int, int]]:
     """(128-bit hash, first sentence, last sentence) of every span."""
-    return _spans_in(sentences_of(text), sentences, words)
+    digests, first, end = _spans_in(_sentences(text)[1], sentences, words)
+    return [(h, i, j - 1) for h, i, j in zip(digests, first, end, strict=True)]
 
 
-def _spans_in(parts: list[str], sentences: int, words: int) -> list[tuple[int, int, int]]:
-    from xxhash import xxh3_128_intdigest
+def _spans_in(split: list[list[str]], sentences: int, words: int) -> tuple[list[bytes], list[int], list[int]]:
+    """The spans' 128-bit hashes, first sentences, and the sentences that follow their last ones."""
+    from xxhash import xxh3_128_digest
 
-    split = [s.lower().split() for s in parts]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    before = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+    end = np.maximum(np.searchsorted(before, before[:-1] + words), np.arange(len(split)) + sentences)
+    first = np.flatnonzero((end <= len(split)) & (counts > 0))
+    if not len(first):
+        return [], [], []
+    end = end[first]
     joined = [" ".join(w) for w in split]
-    counts = [len(w) for w in split]
-    out, j, total = [], 0, 0
-    for i in range(len(split)):
-        while j < len(split) and (total < words or j - i < sentences):
-            total += counts[j]
-            j += 1
-        if total < words or j - i < sentences:
-            break
-        if counts[i]:
-            out.append((xxh3_128_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass")), i, j - 1))
-        total -= counts[i]
-    return out
+    data = "\n".join(joined).encode("utf-8", "surrogatepass")
+    # a span's bytes lie between the starts of its first sentence and of the one after its last, without the line end
+    size = map(len, joined) if data.isascii() else (len(s.encode("utf-8", "surrogatepass")) for s in joined)
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.fromiter(size, np.int64, len(joined)) + 1)))
+    return [xxh3_128_digest(data[a:b]) for a, b in zip(at[first].tolist(), (at[end] - 1).tolist(), strict=True)], first.tolist(), end.tolist()
+
+
+def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes as two columns of signed 64-bit integers, the lower half first."""
+    h = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+    return h.view(np.int64)[1::2], h.view(np.int64)[::2]
 
 
-def halves(h: int) -> tuple[int, int]:
-    """A 128-bit hash as two signed 64-bit integers, the lower half first."""
-    return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
+def whole(low: int, high: int) -> bytes:
+    """The hash that has these halves."""
+    return (high + (1 << 63)).to_bytes(8, "big") + (low + (1 << 63)).to_bytes(8, "big")
 
 
 def _spans(sentences: int, words: int, hot):
@@ -101,20 +126,21 @@ def _spans(sentences: int, words: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, firsts, kind = hot.value, {}, None
         for batch in batches:
-            kind, row, low, high, first = batch.schema[0].type, [], [], [], []
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                for h, i, _ in spans_of(t or "", sentences, words):
-                    a, b = halves(h)
-                    if a in common:
-                        place = (ids[k] is None, ids[k], keys[k], i)
-                        firsts[a, b] = min(firsts.get((a, b), place), place)
-                        continue
-                    row.append(k)
-                    low.append(a)
-                    high.append(b)
-                    first.append(i)
-            at = pa.array(row, pa.int32())
+            kind, digests, first, counts = batch.schema[0].type, [], [], []
+            for t in batch.column(2).to_pylist():
+                h, i, _ = _spans_in(_sentences(t or "")[1], sentences, words)
+                digests += h
+                first += i
+                counts.append(len(h))
+            (low, high), row, first = halves(digests), np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.array(first, np.int32)
+            if common:
+                is_common = np.fromiter((a in common for a in low.tolist()), bool, len(low))
+                ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for k, a, b, i in zip(*(x[is_common].tolist() for x in (row, low, high, first)), strict=True):
+                    place = (ids[k] is None, ids[k], keys[k], i)
+                    firsts[a, b] = min(firsts.get((a, b), place), place)
+                row, low, high, first = (x[~is_common] for x in (row, low, high, first))
+            at = pa.array(row)
             yield _rows(batch.column(0).take(at), batch.column(1).take(at), low, high, first, False)
         if firsts:
             places = list(firsts.values())
@@ -123,15 +149,15 @@ def _spans(sentences: int, words: int, hot):
     return run
 
 
-def _rows(ids: pa.Array, keys: pa.Array, low: list, high: list, first: list, common: bool) -> pa.RecordBatch:
+def _rows(ids: pa.Array, keys: pa.Array, low, high, first, common: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, keys, pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.int32()), pa.array([common] * len(low), pa.bool_())], ["doc_id", "key", "h", "high", "i", "common"])
 
 
 def _hashes(sentences: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [halves(h)[0] for t in batch.column(0).to_pylist() for h, _, _ in spans_of(t or "", sentences, words)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
+            found = [h for t in batch.column(0).to_pylist() for h in _spans_in(_sentences(t or "")[1], sentences, words)[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(halves(found)[0], pa.int64())], ["h"])
 
     return run
 
@@ -144,13 +170,15 @@ def _cut(n_cols: int, text_at: int, sentences: int, words: int, hot):
         for batch in batches:
             texts, total, removed = [], [], []
             for t, runs, d, key in zip(*(batch.column(i).to_pylist() for i in (text_at, n_cols, n_cols + 1, n_cols + 2)), strict=True):
-                parts = sentences_of(t or "")
+                parts, split = _sentences(t or "")
                 gone = set()
                 starts = set(runs or ())
                 if starts or common:
-                    for h, i, j in _spans_in(parts, sentences, words):
-                        if i in starts or common and common.get(halves(h), (d, key, i)) != (d, key, i):
-                            gone.update(range(i, j + 1))
+                    digests, first, end = _spans_in(split, sentences, words)
+                    if starts or not common.keys().isdisjoint(digests):
+                        for h, i, j in zip(digests, first, end, strict=True):
+                            if i in starts or common and common.get(h, (d, key, i)) != (d, key, i):
+                                gone.update(range(i, j))
                 texts.append(t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone))
                 total.append(len(parts))
                 removed.append(len(gone))
@@ -177,7 +205,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "i")
     placed = spans.withColumn("first", place == F.min(place).over(W.partitionBy("h", "high")))
     placed = settle_table(placed.where(F.col("common") == F.col("first")))
-    hot = {(r["h"], r["high"]): (r["doc_id"], r["key"], r["i"]) for r in placed.where("common").select("h", "high", "doc_id", "key", "i").collect()}
+    hot = {whole(r["h"], r["high"]): (r["doc_id"], r["key"], r["i"]) for r in placed.where("common").select("h", "high", "doc_id", "key", "i").collect()}
     repeats = placed.where("not common")
     # a document has at most as many starts of repeats as sentences
     runs = repeats.groupBy("doc_id", "key").agg(F.collect_set("i").alias("span_runs")).select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "span_runs")

@@ -331,6 +331,44 @@ def test_spans_of_short_passages(stop):
     assert np.median(left) < 0.2 and np.mean([x > 0.99 for x in left]) < 0.03
 
 
+def test_spans_leave_no_shuffle_behind(spark):
+    """When documents are cut, the shuffle of all spans has gone from the disks."""
+    import time
+
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for i in range(files.size()) if (f := files.apply(i)).getName().startswith("shuffle_")}
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(800))) for i in range(100)]
+    n, before = sum(len(spans.spans_of(t, 2, 16)) for _, t in rows), shuffled()
+    cut = spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    for _ in range(25):  # the files go in the background
+        left = sum(size for name, size in shuffled().items() if name not in before)
+        if left < 1.6 * n:
+            break
+        time.sleep(0.2)
+    assert n > 10_000 and left < 1.6 * n  # hashes of 16 bytes don't get smaller
+    assert cut.count() == len(rows)
+
+
+def test_words_are_split_once(monkeypatch):
+    """Where single spaces are between words, no pattern looks at each of them; the parts are the same as where it does."""
+    rng = random.Random(9)
+    texts = [rng.choice(["", " ", "\n\n"]) + " ".join(rng.choice(["İs", "ΑΣ", "a,b", "Dog", f"x{rng.randrange(99)}"]) for _ in range(rng.randrange(1, 90))) + rng.choice(["", " ", ". ", " \t"]) for _ in range(300)]
+    cut_after = lambda w: not xxhash.xxh32_intdigest(w.lower()) % 4
+    for text in texts:
+        parts, words = spans._sentences(text)
+        assert "".join(parts) == text and words == [p.lower().split() for p in parts]
+        apart = spans.sentences_of(text.replace(" ", "  "))
+        assert [p.split() for p in apart] == [p.split() for p in parts]
+        assert all(not any(map(cut_after, p.split()[:-1])) for p in parts if len(p.split()) > spans.LONG)
+        for h, i, j in spans.spans_of(text, 2, 16):
+            assert h == xxhash.xxh3_128_digest("\n".join(" ".join(w) for w in words[i : j + 1]))
+    monkeypatch.setattr(spans, "WORD", None)
+    assert all("".join(spans.sentences_of(t)) == t for t in texts)
+
+
 # -- 8: I-Match
 
 
