@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, langid, license, media, minhash, mixing, quality, spans, urlfilter
+from . import bpe, imatch, importance, langid, license, media, minhash, mixing, packing, quality, runs, spans, urlfilter
 from .common import table
 
 
@@ -57,10 +57,25 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = packing.read_ranks(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    every = (op1_mix_sources, op2_minhash_near_dedup, op3_quality_classifier, op4_license_scan, op5_url_filter, op6_language_id, op7_substring_dedup, op8_imatch_fingerprint, op9_byte_bpe, op10_media_columns)
+    every = (op1_mix_sources, op2_minhash_near_dedup, op3_quality_classifier, op4_license_scan, op5_url_filter, op6_language_id, op7_substring_dedup, op8_imatch_fingerprint, op9_byte_bpe, op10_media_columns, op11_best_fit_packing, op12_importance_resampling, op13_periodic_runs)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.MIX_SQL, "op2_minhash_near_dedup": minhash.MINHASH_SQL, "op4_license_scan": license.license_sql()}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op2_minhash_near_dedup": minhash.MINHASH_SQL, "op4_license_scan": license.license_sql(), "op12_importance_resampling": importance.IMPORTANCE_SQL}
