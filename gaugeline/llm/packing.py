@@ -3,18 +3,19 @@
 A document is its token ids and an end mark; one longer than the capacity is cut into whole sequences, of which
 the first may be shorter.  The pieces are packed into as few sequences of at most `capacity` tokens as it can:
 
-1. Pieces of over capacity / 4 tokens are large.  In order of length they make `groups` groups of equally many,
-   and each counts as long as the longest of its group.
+1. Pieces of over a part of the capacity are large.  In order of length they make `groups` groups of equally
+   many, and each counts as long as the longest of its group.
 2. For these few sizes the best mix of configurations (how many of each size a sequence holds) is a linear
    programme with a row a group, solved by column generation: new columns come from a knapsack over the capacity.
    Whole numbers of each configuration are taken; the few pieces of the fractions are packed best-fit, largest first.
 3. The k-th piece of a group takes the k-th place that the configurations have for it.
 4. The other pieces go, largest first, into the fullest sequence that has room, then into new ones.
 
-All of this is planned on counts: how many pieces there are of each length, then how many sequences have how much
-room.  Either has at most `capacity` + 1 numbers, whatever the corpus, and the plan is a table of ranges of at most
-some times as many, so the driver's work doesn't grow with the input.  Pieces find their places by their number
-among those of their length, sequences by theirs among those of their room, which need counts of each part of
+All of this is planned on counts of pieces of each length, at most `capacity` numbers whatever the corpus; which
+lengths meet in which sequences follows from them, in ranges.  So the driver's work doesn't grow with the input,
+and it plans with a half, a third and a quarter of the capacity as the bound of step 1 and takes the plan with
+the fewest sequences: where short pieces are rare, what rounding up costs can't be filled, and a high bound is best.
+Pieces find their places by their number among those of their length, which needs counts of each part of
 the table and one shuffle of narrow rows by part and length (`numbered`); no task has more than a part's rows.
 
 Token ids are those of the `tokenizers` library without special tokens, whose strings are ordinary text.
@@ -160,57 +161,54 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, most: i
 
 
 class Places:
-    """Ranges of places: of a class's pieces, those from number `first` on go to sequences from `to` on, `each` to one."""
+    """Ranges of places: of a class's pieces, those from number `first` on go to `n` sequences from `to` on, `each` to one."""
 
     def __init__(self):
-        self.ranges: dict[int, list[tuple[int, int, int]]] = {}
+        self.ranges: dict[int, list[tuple[int, int, int, int]]] = {}
         self.given: dict[int, int] = {}
 
-    def give(self, kind: int, to: int, sequences: int, each: int) -> None:
-        if sequences and each:
+    def give(self, kind: int, to: int, n: int, each: int) -> None:
+        if n and each:
             first = self.given.get(kind, 0)
-            self.ranges.setdefault(kind, []).append((first, to, each))
-            self.given[kind] = first + sequences * each
+            self.ranges.setdefault(kind, []).append((first, to, each, n))
+            self.given[kind] = first + n * each
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Classes and numbers as one ascending key (`key`), and to, each of every range."""
-        rows = sorted((k, f, t, e) for k, v in self.ranges.items() for f, t, e in v)
+        """Class, first number, to and each of every range, in order of class and first number."""
+        rows = sorted((k, *r[:3]) for k, v in self.ranges.items() for r in v)
         return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-def best_fit(items: dict[int, int], rooms: dict[int, int], capacity: int, first: int) -> tuple[Places, int]:
+def best_fit(items: dict[int, int], rooms: dict[int, list[tuple[int, int]]], capacity: int, first: int) -> tuple[Places, int]:
     """Where so many items of each size go, largest first, each into the sequence with the least room that suffices.
 
-    Sequences of one room are numbered one after another, in order of rooms, from 0 on; new ones from `first` on.
+    rooms has ranges (first, how many) of the sequences with so much room; new ones are numbered from `first` on.
     A sequence that takes an item has the least room still, so it takes all of its size that it can: sequences
     move through the rooms by whole ranges, of which a size splits two at most.
     """
-    places, free, at = Places(), {}, 0
-    for room in sorted(rooms):
-        free[room] = [(at, rooms[room])]
-        at += rooms[room]
+    places, free = Places(), {room: list(ranges) for room, ranges in rooms.items()}
     for size in sorted(items, reverse=True):
         left = items[size]
         for room in sorted(r for r in free if r >= size):
             each, ranges = room // size, free.pop(room)
             while ranges and left:
-                to, n = ranges.pop(0)
+                to, n = ranges.pop()
                 full = min(n, left // each)
-                rest = min(left - full * each, each - 1) if full < n else 0
-                for a, m, e in ((to, full, each), (to + full, int(rest > 0), rest)):
-                    places.give(size, a, m, e)
+                rest = left - full * each if full < n else 0
+                for at, m, e in ((to, full, each), (to + full, int(rest > 0), rest)):
+                    places.give(size, at, m, e)
                     if m:
-                        free.setdefault(room - e * size, []).append((a, m))
+                        free.setdefault(room - e * size, []).append((at, m))
                 left -= full * each + rest
-                if full + (rest > 0) < n:
-                    ranges.insert(0, (to + full + (rest > 0), n - full - (rest > 0)))
+                used = full + (rest > 0)
+                if used < n:
+                    ranges.append((to + used, n - used))
             if ranges:
-                free[room] = ranges + free.get(room, [])
+                free[room] = ranges
             if not left:
                 break
-        each = capacity // size
-        full, rest = divmod(left, each)
-        for m, e in ((full, each), (int(rest > 0), rest)):
+        full, rest = divmod(left, capacity // size)
+        for m, e in ((full, capacity // size), (int(rest > 0), rest)):
             places.give(size, first, m, e)
             if m:
                 free.setdefault(capacity - e * size, []).append((first, m))
@@ -219,33 +217,85 @@ def best_fit(items: dict[int, int], rooms: dict[int, int], capacity: int, first:
 
 
 def plan_large(counts: dict[int, int], capacity: int, groups: int) -> tuple[np.ndarray, Places, int]:
-    """The first number of every group, in order of length, largest first; their places; the sequences they fill."""
+    """The first number of every class of rounded pieces, largest pieces first; their places; the sequences they fill.
+
+    A class is a group, or several neighbours that are rounded up to one size.
+    """
     total = sum(counts.values())
     if not total:
         return np.zeros(0, np.int64), Places(), 0
     lengths = np.array(sorted(counts, reverse=True))
     upto = np.cumsum([counts[x] for x in lengths.tolist()])
     bounds = np.unique(np.arange(groups) * total // groups)
-    sizes = lengths[np.searchsorted(upto, bounds, "right")]  # of the longest of each group
-    each = np.diff(np.append(bounds, total))
-    # groups of one size are one in the programme
-    known, row = np.unique(sizes, return_inverse=True)
-    columns, often = configurations(known, np.bincount(row, each).astype(np.int64), capacity)
-    places, used, left = Places(), 0, np.bincount(row, each).astype(np.int64)
+    known, row = np.unique(lengths[np.searchsorted(upto, bounds, "right")], return_inverse=True)  # of the longest of each group
+    left = np.bincount(row, np.diff(np.append(bounds, total))).astype(np.int64)
+    columns, often = configurations(known, left, capacity)
+    places, used = Places(), 0
     for column, n in zip(columns.T, np.floor(often + 1e-9).astype(np.int64).tolist(), strict=True):
         took = np.flatnonzero(column)
-        n = min(n, *(left[took] // column[took]).tolist()) if len(took) else 0
+        n = min(n, *(left[took] // column[took]).tolist())
         for g in took.tolist():
             places.give(g, used, n, int(column[g]))
         left[took] -= n * column[took]
         used += n
     fractions, used = best_fit({int(known[g]): int(left[g]) for g in np.flatnonzero(left)}, {}, capacity, used)
     for g, size in enumerate(known.tolist()):
-        for first, to, e in fractions.ranges.get(size, []):
-            places.ranges.setdefault(g, []).append((places.given.get(g, 0) + first, to, e))
-    # numbers within a row of the programme are numbers within the run of groups that share its size
-    starts = np.array([bounds[row == g].min() for g in range(len(known))])
-    return starts, places, used
+        for _, to, each, n in fractions.ranges.get(size, []):
+            places.give(g, to, n, each)
+    return np.array([bounds[row == g].min() for g in range(len(known))]), places, used
+
+
+def room_left(counts: dict[int, int], starts: np.ndarray, places: Places, used: int, capacity: int) -> dict[int, list[tuple[int, int]]]:
+    """Ranges (first, how many) of the sequences with so much room, once actual pieces have their places."""
+    lengths = np.array(sorted(counts, reverse=True), np.int64)
+    upto = np.cumsum([counts[x] for x in lengths.tolist()])
+    step = {0: 0, used: 0}  # where the sum of lengths changes, and by how much
+    for g, ranges in places.ranges.items():
+        for first, to, each, n in ranges:
+            for i in range(each):  # sequence to + k takes number base + k * each
+                base = int(starts[g]) + first + i
+                a, b = np.searchsorted(upto, [base, base + (n - 1) * each], "right").tolist()
+                ends = np.minimum(-((base - upto[a : b + 1]) // each), n).tolist()
+                for k, end, length in zip([0, *ends], ends, lengths[a : b + 1].tolist(), strict=False):
+                    step[to + k] = step.get(to + k, 0) + length
+                    step[to + end] = step.get(to + end, 0) - length
+    rooms: dict[int, list[tuple[int, int]]] = {}
+    at, full = sorted(step), 0
+    for lo, hi in zip(at, at[1:], strict=False):
+        full += step[lo]
+        rooms.setdefault(capacity - full, []).append((lo, hi - lo))
+    return rooms
+
+
+def plan(counts: dict[int, int], capacity: int, groups: int) -> dict:
+    """The plan with the fewest sequences for so many pieces of each length."""
+    best = None
+    for bound in (capacity // 4, capacity // 3, capacity // 2):
+        large = {n: c for n, c in counts.items() if n > bound}
+        starts, places, used = plan_large(large, capacity, groups)
+        rooms = room_left(large, starts, places, used, capacity)
+        small, total = best_fit({n: c for n, c in counts.items() if n <= bound}, rooms, capacity, used)
+        if best is None or total < best["total"]:
+            before, at = np.zeros(capacity + 1, np.int64), 0
+            for n in sorted(large, reverse=True):
+                before[n], at = at, at + large[n]
+            order = np.argsort(starts, kind="stable")
+            best = {"total": total, "bound": bound, "before": before, "starts": starts[order], "class": order, "large": places.table(), "small": small.table(), "wide": sum(counts.values()) + 1}
+    return best
+
+
+def look_up(plan: dict, length: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The sequences of pieces of these lengths, the number-th of their length each."""
+    out = np.zeros(len(length), np.int64)
+    large = length > plan["bound"]
+    order = plan["before"][length[large]] + number[large]  # among all large ones, and then in their class
+    at = np.searchsorted(plan["starts"], order, "right") - 1
+    for rows, table, kind, n in ((large, "large", plan["class"][at], order - plan["starts"][at]), (~large, "small", length[~large], number[~large])):
+        kinds, firsts, to, each = plan[table]
+        # the last range of the class that starts at or before the number
+        k = np.searchsorted(kinds * plan["wide"] + firsts, kind * plan["wide"] + n, "right") - 1
+        out[rows] = to[k] + (n - firsts[k]) // each[k]
+    return out
 
 
 # -- places of rows
@@ -265,75 +315,36 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(starts, ["part_", key]).select(*df.columns, (F.col("start_") + F.col("place_")).cast("long").alias(name))
 
 
-def _placed(kind: str, held):
-    """Adds the sequence of each row: by the ranges for its class (`kind`, in the plan) and number."""
+def _placed(held):
+    """(..., length, number) -> ..., length, sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = held.value
         for batch in batches:
-            size, number = (batch.column(batch.num_columns - i).to_numpy(zero_copy_only=False) for i in (2, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(_look_up(plan, kind, size, number), pa.int64())], [f"c{i}" for i in range(batch.num_columns - 1)])
+            length, number = (c.to_numpy(zero_copy_only=False) for c in batch.columns[-2:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(look_up(held.value, length, number))], batch.schema.names)
 
     return run
 
 
-def _look_up(plan: dict, kind: str, size: np.ndarray, number: np.ndarray) -> np.ndarray:
-    if kind == "large":  # from the number within a length to that within a group
-        number = plan["before"][size] + number
-        size = plan["group"][np.searchsorted(plan["starts"], number, "right") - 1]
-        number = number - plan["group_start"][size]
-    classes, firsts, to, each = plan["places"]
-    # ranges are in order of class and first number: the last one that starts at or before the row's
-    at = np.searchsorted(classes * plan["wide"] + firsts, size * plan["wide"] + number, "right") - 1
-    return to[at] + (number - firsts[at]) // each[at]
-
-
-def _with_sequence(rows: DataFrame, kind: str, size: str, number: str, plan: dict) -> DataFrame:
-    cols = [c for c in rows.columns if c not in (size, number)] + [size]
-    held = rows.sparkSession.sparkContext.broadcast(plan)  # ranges of places: bounded by the capacity, not the rows
-    at = rows.select(*cols, F.col(size).alias("size_"), F.col(number).alias("number_"))
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate([*at.schema.fields[:-2], at.schema["number_"]]))
-    return at.mapInArrow(tidy(_placed(kind, held), 1 << 16), kinds).toDF(*cols, "sequence_id")
-
-
 def place(rows: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """rows, each with a `length` from 1 to capacity, with sequence_id and offset.
 
-    The rows are settled and shuffled; columns that needn't come along are better joined later.
+    The rows are settled and shuffled twice; wide columns that needn't come along are better joined later.
     """
     cols = rows.columns
     if {"sequence_id", "offset"} & set(cols) or len(set(cols)) != len(cols):
         raise ValueError("column names must differ, and none be sequence_id or offset")
     rows = settle(rows.toDF(*[f"v{i}" for i in range(len(cols))]).withColumn("length_", F.col(f"v{cols.index('length')}").cast("long")))
-    counts = {r["length_"]: r["count"] for r in rows.groupBy("length_").count().collect()}  # at most `capacity` rows
-    if any(not 1 <= n <= capacity for n in counts):
+    counts = {r["length_"]: r["count"] for r in rows.groupBy("length_").count().limit(capacity + 1).collect()}
+    if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError(f"a length isn't from 1 to {capacity}")
-    large = {n: c for n, c in counts.items() if n > capacity // 4}
-    starts, places, used = plan_large(large, capacity, groups)
-    before, at = np.zeros(capacity + 1, np.int64), 0
-    for n in sorted(large, reverse=True):
-        before[n], at = at, at + large[n]
-    wide = max(counts.values(), default=0) + sum(large.values()) + 1
-    order = np.argsort(starts, kind="stable")
-    plan = {"before": before, "starts": starts[order], "group": order, "group_start": starts, "places": places.table(), "wide": wide}
-    own = numbered(rows, "length_", "number_")
-    is_large = F.col("length_") > capacity // 4
-    big = settle(_with_sequence(own.where(is_large), "large", "length_", "number_", plan))
-    # sequences of equal room are numbered one after another, and so are the ranges that small pieces fill
-    rooms = settle(big.groupBy(F.col("sequence_id").alias("was_")).agg((F.lit(capacity) - F.sum("length_")).alias("room_")))
-    room_counts = {r["room_"]: r["count"] for r in rooms.groupBy("room_").count().collect()}  # at most `capacity` rows
-    fits, _ = best_fit({n: c for n, c in counts.items() if n <= capacity // 4}, room_counts, capacity, used)
-    after, at = Places(), 0
-    for room in sorted(room_counts):
-        after.give(room, at, room_counts[room], 1)
-        at += room_counts[room]
-    ends = _with_sequence(numbered(rooms, "room_", "number_"), "room", "room_", "number_", {"places": after.table(), "wide": max(room_counts.values(), default=0) + 1})
-    ends = ends.select(F.col("was_"), F.col("sequence_id").alias("now_"))
-    big = big.join(ends, F.col("sequence_id") == F.col("was_")).select(*[c for c in big.columns if c != "sequence_id"], F.col("now_").alias("sequence_id"))
-    small = _with_sequence(own.where(~is_large), "small", "length_", "number_", {"places": fits.table(), "wide": wide})
-    every = big.unionByName(small)
-    offset = F.sum("length_").over(W.partitionBy("sequence_id").orderBy(F.desc("length_"), F.monotonically_increasing_id()).rowsBetween(W.unboundedPreceding, -1))
-    return every.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(cols)], "sequence_id", F.coalesce(offset, F.lit(0)).cast("long").alias("offset"))
+    # ranges of places: bounded by the capacity and the groups, not by the rows
+    held = rows.sparkSession.sparkContext.broadcast(plan(counts, capacity, groups))
+    own = numbered(rows, "length_", "sequence_id")
+    got = own.mapInArrow(tidy(_placed(held), 1 << 16), own.schema)
+    order = W.partitionBy("sequence_id").orderBy(F.desc("length_"), *[f"v{i}" for i, f in enumerate(rows.schema.fields[:-1]) if f.dataType.simpleString() in ("bigint", "int", "string")])
+    offset = F.coalesce(F.sum("length_").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return got.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(cols)], "sequence_id", offset.cast("long").alias("offset"))
 
 
 def sequences(docs: DataFrame, ranks: list[bytes], pattern: str, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
