@@ -112,7 +112,7 @@ class Meter:
     def add_samples(self, rows: Iterable[samples.Sample]) -> bool:
         rows = list(rows)
         if rows:
-            self.store.append_samples(samples.to_frame(self.store.spark, rows))
+            self.store.append_samples(samples.to_frame(self.store.spark, rows), small=True)
         return True
 
     def purge(self, tenant: str, queries: Iterable[q.Query] = (), kind: str | None = None) -> bool:
@@ -352,6 +352,17 @@ class Meter:
     def find_samples(self, r: samples.SampleRange, mark: samples.SampleWatermark, limit: int) -> samples.SampleResult:
         return samples.find(self.tables().samples, r, mark, limit)
 
+    def store_sample_watermark(self, r: samples.SampleRange, limit: int) -> samples.StoredWatermark:
+        """A watermark of any size: its entries are a table of the store."""
+        return self.store.store_watermark(r, limit)
+
+    def find_sample_frames(self, r: samples.SampleRange, mark: samples.StoredWatermark) -> samples.SampleFrames:
+        """What the snapshot has of the range, as frames; nothing of it comes to the driver."""
+        if not mark.matches(r):
+            raise ValueError("this watermark was taken of another range")
+        entries = self.store.members(mark)
+        return samples.frames(samples.seen(self.tables().samples, r, entries, mark.count), r)
+
     def for_tenant(self, tenant: str) -> Tenant:
         return Tenant(self, tenant)
 

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import SAMPLE_IDENTITY
+from ..schema import SAMPLE_IDENTITY, SAMPLE_STREAM
 
 ID_PARTS = (*SAMPLE_IDENTITY, "sequence", "metric")
 
@@ -37,3 +37,12 @@ def payload_hash(identity: Column) -> Column:
         return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSS")
 
     return digest_column(identity, at("intervalStart"), at("intervalEnd"), F.col("value"), F.col("eventVersion"))
+
+
+#: Folders that the ledger's streams are dealt to: a fixed value, as it is part of the stored layout.
+BUCKETS = 64
+
+
+def sample_bucket(stream: list[Column] | None = None) -> Column:
+    """The bucket of a row's stream, or of one that is given by values."""
+    return F.pmod(F.xxhash64(*(stream or [F.col(c) for c in SAMPLE_STREAM])), F.lit(BUCKETS)).cast("int")

@@ -30,6 +30,9 @@ BLOOM_DIMS = ("path", "resourceId", "resourceInternalId", "teamId", "teamInterna
 # Columns of a sample, the identity first.
 SAMPLE_IDENTITY = ("environment", "region", "projectInternalId", "databaseInternalId", "member", "generation")
 
+#: What makes a stream of samples, of which sequences count the rows.
+SAMPLE_STREAM = (*SAMPLE_IDENTITY, "metric")
+
 METRIC_SIZE = 255
 #: Columns that may be null.
 NULLABLE = {"tenant", *EVENT_DIMS, *GAUGE_DIMS}

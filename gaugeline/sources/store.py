@@ -1,31 +1,43 @@
-"""Parquet storage: raw tables and rollups, partitioned by month, sorted within files.
-
-Every append writes its rollup rows in the same call, as partial sums that readers fold. Parquet has
-no row deletes: a purge writes the surviving rows of the months it touches, and what each rollup has of
-them, and swaps those months.
-
-A change of several tables is written beside them first. Then a file in `_pending` that lists all its
-renames commits it; the renames follow, and the file goes. Each rename can be repeated, so `recover` ends
-what an interrupted writer left: a change happens as a whole or, if it wasn't committed, not at all. While a
-change is pending, readers take raw rows only. Writers must take turns.
+"""Parquet storage: raw tables and rollups by month, the ledger by buckets of its streams, sorted within files.
+
+Every append writes its rollup rows in the same call, as partial sums that readers fold. Parquet has no row
+deletes: a purge finds the files that hold rows it hits, writes their other rows to new files and drops them;
+of rollups, only the keys of deleted rows are made anew.
+
+A change of several tables is written to `_staged` first. Then a file in `_pending` that lists the files it adds
+and drops commits it; the renames follow, and the file goes. Each rename can be repeated, by anybody, so `recover`
+ends what an interrupted writer left: a change happens as a whole or, if it wasn't committed, not at all. A
+commit is refused with `Conflict`, and nothing is changed, if what it wrote or what it is to drop is no longer
+there. While a change is pending, readers take raw rows only. Writers should take turns: of two that rewrite the
+same file, one is refused.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict
 from datetime import UTC, datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..operators import rollups
+from ..functions.buckets import bucket
+from ..functions.hashing import sample_bucket
+from ..operators import rollups, samples
 
 BASE = ("events", "gauges", "events_daily", "samples", "uncovered")
-#: Tables that aren't partitioned by month.
-FLAT = ("samples", "uncovered")
+#: Tables without partitions.
+FLAT = ("uncovered",)
+#: Drafts of a change that this many seconds have passed since are taken for abandoned.
+LEASE = 86_400
 UNCOVERED = T.StructType([T.StructField("day", T.TimestampNTZType()), T.StructField("change", T.IntegerType())])
 
 
@@ -37,6 +49,10 @@ def latest_name(dims) -> str:
     return "gauges_latest_" + "_".join(dims)
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed what this one was about to change; nothing has been done."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, namespace: str = ""):
         self.spark = spark
@@ -56,9 +72,14 @@ class Store:
         fs, p = self._fs(self._at(name))
         return fs.exists(p)
 
+    @staticmethod
+    def _part(name: str) -> T.StructField:
+        """What the table is partitioned by."""
+        return T.StructField("bucket", T.IntegerType()) if name == "samples" else T.StructField("month", T.StringType())
+
     def months(self, name: str) -> list[str]:
-        fs, p = self._fs(self._at(name))
-        return sorted(s.getPath().getName().split("=")[1] for s in fs.listStatus(p) if "=" in s.getPath().getName()) if fs.exists(p) else []
+        """The table's partitions that hold files."""
+        return sorted({f.split("/")[0].split("=")[1] for f in self._files_in(name) if "=" in f})
 
     def _schema(self, name: str) -> T.StructType:
         fixed = {"events": schema.EVENTS, "gauges": schema.GAUGES, "events_daily": schema.EVENTS_DAILY, "samples": schema.SAMPLES, "uncovered": UNCOVERED}
@@ -69,13 +90,15 @@ class Store:
         return T.StructType([kind[c] for c in ("metric", "value", "time", *extra, "tenant", *n.split("_"))])
 
     def setup(self, retention_days: int | None = None) -> None:
-        """Create the tables, end what a writer left, and make the retention what is asked for (None: none)."""
+        """Create the tables, and make the retention what is asked for (None: none).
+
+        Harmless at any time: what other writers have under way is left alone.
+        """
         if retention_days is not None and retention_days < 1:
             raise ValueError("retention must be at least a day")
         for name in BASE:
             fs, p = self._fs(self._at(name))
             fs.mkdirs(p)
-        self.recover()
         if retention_days != self.retention_days():
             self._put("_properties/retention.json", {"days": retention_days})
 
@@ -112,40 +135,65 @@ class Store:
         fs, p = self._fs(self._at("_pending"))
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
 
-    def _commit(self, change: str, adds: list[str], replaces: list[tuple[str, str]]) -> None:
-        """Put in place what `_staged/<change>` has: of the tables `adds` all files, of (table, month) instead of what is there."""
-        moves = [["add", f"_staged/{change}/{n}", n] for n in adds] + [["replace", f"_staged/{change}/{n}/{m}".rstrip("/"), f"{n}/{m}".rstrip("/")] for n, m in replaces]
-        self._put(f"_pending/{change}.json", {"moves": moves})
-        self._apply(change, moves)
-
-    def _apply(self, change: str, moves: list[list[str]]) -> None:
-        for kind, source, place in moves:
-            fs, old = self._fs(self._at(place))
-            _, new = self._fs(self._at(source))
-            if kind == "add":
-                for f in self._files_in(source):
-                    self._move(f"{source}/{f}", f"{place}/{f}")
-                continue
-            _, aside = self._fs(self._at(f"_staged/{change}/_aside/{place}"))
-            # once its old files are aside, what stands in a place is new
-            if fs.exists(old) and not fs.exists(aside):
-                self._move(place, f"_staged/{change}/_aside/{place}")
-            if fs.exists(new):
-                self._move(source, place)
-        fs, p = self._fs(self._at(f"_pending/{change}.json"))
-        fs.delete(p, False)
-        fs, p = self._fs(self._at(f"_staged/{change}"))
-        fs.delete(p, True)
+    def _stage(self, change: str, name: str, df: DataFrame, small: bool = False) -> None:
+        self._write(df, name, at=f"{self.path}/_staged/{change}/{name}", small=small)
+
+    @contextmanager
+    def _draft(self) -> Iterator[str]:
+        """The name of a change to stage and commit; if it isn't committed, what was staged goes."""
+        change = uuid.uuid4().hex
+        try:
+            yield change
+        finally:
+            if not self.exists(f"_pending/{change}.json"):
+                self._forget(f"_staged/{change}")
+                self._forget("_staged", empty=True)
+
+    def _commit(self, change: str, tables: list[str], drops: list[str] = ()) -> None:
+        """Put in place the files that `_staged/<change>` has of these tables, and take those of `drops` away."""
+        gone = [f for f in (*(f"_staged/{change}/{n}/_SUCCESS" for n in tables), *drops) if not self.exists(f)]
+        if gone:
+            raise Conflict(f"another writer has removed {', '.join(gone[:3])}{' and more' if len(gone) > 3 else ''}")
+        record = {"adds": [f"{n}/{f}" for n in tables for f in self._files_in(f"_staged/{change}/{n}")], "drops": list(drops)}
+        if record["adds"] or record["drops"]:
+            self._put(f"_pending/{change}.json", record)
+            self._apply(change, record)
+
+    def _apply(self, change: str, record: dict) -> None:
+        """End a committed change; whatever was done of it before, here or elsewhere, isn't done again."""
+        for f in record["adds"]:
+            if not self.exists(f) and not self.exists(f"_staged/{change}/{f}"):
+                raise Conflict(f"{f} of the committed change {change} is lost")
+        for f in record["drops"]:
+            if self.exists(f):
+                self._move(f, f"_staged/{change}/_aside/{f}")
+        for f in record["adds"]:
+            if not self.exists(f):
+                self._move(f"_staged/{change}/{f}", f)
+        for folder in {f.rsplit("/", 1)[0] for f in record["drops"]}:
+            self._forget(folder, empty=True)
+        self._forget(f"_pending/{change}.json")
+
+    def _forget(self, name: str, empty: bool = False) -> None:
+        """Delete a file or folder; a folder only where it has nothing in it, if `empty`."""
+        fs, p = self._fs(self._at(name))
+        if not empty:
+            fs.delete(p, True)
+        elif fs.exists(p) and not len(fs.listStatus(p)):
+            try:
+                fs.delete(p, False)
+            except Py4JJavaError:  # something has been put there since
+                pass
 
     def _move(self, source: str, place: str) -> None:
         fs, a = self._fs(self._at(source))
         _, b = self._fs(self._at(place))
         fs.mkdirs(b.getParent())
-        if not fs.rename(a, b):
+        if not fs.rename(a, b) and not fs.exists(b):
             raise OSError(f"could not move {source} to {place}")
 
     def _files_in(self, name: str) -> list[str]:
-        """Data files of a table, below it by month or not."""
+        """Data files of a table, below it by partition or not."""
         fs, p = self._fs(self._at(name))
         out = []
         for s in fs.listStatus(p) if fs.exists(p) else []:
@@ -153,42 +201,67 @@ class Store:
             out += [f"{n}/{f}" for f in self._files_in(f"{name}/{n}")] if s.isDirectory() else [n] if n.endswith(".parquet") else []
         return out
 
-    def recover(self) -> int:
-        """End committed changes and drop others; how many there were to end. No writer may be at work."""
+    def _has_files(self, name: str) -> bool:
+        fs, p = self._fs(self._at(name))
+        files = fs.listFiles(p, True) if fs.exists(p) else None
+        while files and files.hasNext():
+            if files.next().getPath().getName().endswith(".parquet"):
+                return True
+        return False
+
+    def recover(self, lease: float = LEASE) -> int:
+        """End committed changes, and drop the drafts of those that nobody commits; how many there were to end.
+
+        Drafts younger than `lease` seconds may be another writer's, and stay; should one be dropped all the same,
+        its commit is refused.
+        """
         left = self.pending()
         for f in left:
-            self._apply(f.removesuffix(".json"), self._get(f"_pending/{f}")["moves"])
+            if record := self._get(f"_pending/{f}"):
+                self._apply(f.removesuffix(".json"), record)
+                self._forget(f"_staged/{f.removesuffix('.json')}")
         fs, p = self._fs(self._at("_staged"))
-        fs.delete(p, True)
+        old = datetime.now(UTC).timestamp() * 1000 - lease * 1000
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            change = s.getPath().getName()
+            if s.getModificationTime() <= old and f"{change}.json" not in self.pending():
+                self._forget(f"_staged/{change}")
+        self._forget("_staged", empty=True)
         return len(left)
 
     def compact(self, files: int = 8) -> int:
-        """Rewrite the months of tables that more than so many files make up; how many there were."""
+        """Rewrite the partitions of tables that more than so many files make up; how many there were."""
         n = 0
         for name in self.names():
             if name in FLAT:
                 continue
-            months = [m for m in self.months(name) if len(self._files_in(f"{name}/month={m}")) > files]
-            if months:
-                n += len(months)
-                rows = self.read(name).where(F.col("month").isin(months))
-                rows = rollups.fold_daily(rows.drop("month")) if name == "events_daily" or name.startswith("events_hourly_") else rows
-                self._replace([(name, rows, months)])
+            there = self._files_in(name)
+            many = {part: k for part, k in Counter(f.split("/")[0] for f in there).items() if k > files}
+            if many:
+                n += len(many)
+                drops = [f"{name}/{f}" for f in there if f.split("/")[0] in many]
+                rows = self._of_files(name, drops).drop(self._part(name).name)
+                folds = name == "events_daily" or name.startswith("events_hourly_")
+                self._replace([(name, rollups.fold_daily(rows) if folds else rows, drops)])
         return n
 
     # -- reading
 
     def read(self, name: str) -> DataFrame:
-        """The table, with the declared schema; the month column is for pruning."""
+        """The table, with the declared schema; the partition's column is for pruning."""
+        if not self._has_files(name):
+            return self.spark.createDataFrame([], self._schema(name))
+        return self.spark.read.schema(self._stored(name)).parquet(self._at(name))
+
+    def _stored(self, name: str) -> T.StructType:
         declared = self._schema(name)
-        if not self.exists(name) or not (self.months(name) if name not in FLAT else self._files(name)):
-            return self.spark.createDataFrame([], declared)
-        stored = declared if name in FLAT else T.StructType([*declared.fields, T.StructField("month", T.StringType())])
-        return self.spark.read.schema(stored).parquet(self._at(name))
+        return declared if name in FLAT else T.StructType([*declared.fields, self._part(name)])
 
-    def _files(self, name: str) -> bool:
-        fs, p = self._fs(self._at(name))
-        return any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(p))
+    def _of_files(self, name: str, files: list[str]) -> DataFrame:
+        """Rows of some of the table's files (`name/partition/file`)."""
+        if not files:
+            return self.spark.createDataFrame([], self._stored(name))
+        return self.spark.read.schema(self._stored(name)).option("basePath", self._at(name)).parquet(*map(self._at, files))
 
     def hourly_dims(self) -> list[str]:
         return [d for d in schema.HOURLY_DIMS if self.exists(hourly_name(d))]
@@ -198,7 +271,7 @@ class Store:
 
     def uncovered_days(self) -> set[datetime]:
         """Days with raw events that the daily rollup lacks."""
-        if not self.exists("uncovered") or not self._files("uncovered"):
+        if not self._has_files("uncovered"):
             return set()
         return {r["day"] for r in self.read("uncovered").groupBy("day").agg(F.sum("change").alias("n")).where("n > 0").collect()}
 
@@ -208,13 +281,18 @@ class Store:
         if name in FLAT:
             df.write.mode(mode).parquet(at or self._at(name))
             return
-        rows = df.drop("month").withColumn("month", F.date_format("time", "yyyy-MM"))
-        keys = [c for c in ("tenant", "metric", "time", "id") if c in rows.columns]
-        # ranges of (month, tenant, metric, time) keep files sorted and their statistics narrow, and
-        # split a large month or tenant over tasks; a batch from the driver is one file a month
-        rows = rows.coalesce(1) if small else rows.repartitionByRange("month", *keys[:3])
-        rows = rows.sortWithinPartitions("month", *keys)
-        w = rows.write.mode(mode).partitionBy("month").option("compression", "zstd")
+        part = self._part(name).name
+        rows = df.drop(part)
+        if name == "samples":
+            rows, keys = rows.withColumn(part, sample_bucket()), [*schema.SAMPLE_STREAM, "sequence"]
+        else:
+            rows = rows.withColumn(part, F.date_format("time", "yyyy-MM"))
+            keys = [c for c in ("tenant", "metric", "time", "id") if c in rows.columns]
+        # ranges of (partition, keys) keep files sorted and their statistics narrow, and split a large
+        # partition, tenant or stream over tasks; a batch from the driver is one file a partition
+        rows = rows.coalesce(1) if small else rows.repartitionByRange(part, *(keys if name == "samples" else keys[:3]))
+        rows = rows.sortWithinPartitions(part, *keys)
+        w = rows.write.mode(mode).partitionBy(part).option("compression", "zstd")
         if name in ("events", "gauges"):
             for d in schema.BLOOM_DIMS:
                 if d in rows.columns:
@@ -228,27 +306,22 @@ class Store:
         rollup rows, and their days await a backfill.
         """
         base = "events" if kind == schema.EVENT else "gauges"
-        df = df.select(*schema.table_schema(kind).fieldNames())
-        change = uuid.uuid4().hex
-        at = f"{self.path}/_staged/{change}"
-        self._write(df, base, at=f"{at}/{base}", small=small)
-        if not self._files_in(f"_staged/{change}/{base}"):
-            return
-        rows = self._staged(change, base)
-        adds = [base]
-        for name, rollup in self._rollups(kind):
-            if covered or name != "events_daily":
-                self._write(rollup(rows), name, at=f"{at}/{name}", small=small)
-                adds.append(name)
-        if not covered:
-            days = rows.select(F.date_trunc("day", "time").cast("timestamp_ntz").alias("day"), F.lit(1).alias("change")).distinct()
-            self._write(days, "uncovered", at=f"{at}/uncovered")
-            adds.append("uncovered")
-        self._commit(change, adds, [])
+        with self._draft() as change:
+            tables = [base]
+            self._stage(change, base, df.select(*schema.table_schema(kind).fieldNames()), small)
+            if self._has_files(f"_staged/{change}/{base}"):
+                rows = self._staged(change, base)
+                for name, rollup in self._rollups(kind):
+                    if covered or name != "events_daily":
+                        self._stage(change, name, rollup(rows), small)
+                        tables.append(name)
+                if not covered:
+                    self._stage(change, "uncovered", rows.select(F.date_trunc("day", "time").cast("timestamp_ntz").alias("day"), F.lit(1).alias("change")).distinct())
+                    tables.append("uncovered")
+            self._commit(change, tables)
 
     def _staged(self, change: str, name: str) -> DataFrame:
-        stored = T.StructType([*self._schema(name).fields, T.StructField("month", T.StringType())])
-        return self.spark.read.schema(stored).parquet(f"{self.path}/_staged/{change}/{name}")
+        return self.spark.read.schema(self._stored(name)).parquet(f"{self.path}/_staged/{change}/{name}")
 
     def _rollups(self, kind: str):
         if kind == schema.EVENT:
@@ -259,8 +332,51 @@ class Store:
         """Events without daily rollup rows, as from before the rollup existed."""
         self.append(df, schema.EVENT, covered=False)
 
-    def append_samples(self, df: DataFrame) -> None:
-        self._write(df.select(*schema.SAMPLES.fieldNames()), "samples")
+    def append_samples(self, df: DataFrame, small: bool = False) -> None:
+        """Rows of the ledger, in the buckets of their streams, sorted by stream and sequence."""
+        with self._draft() as change:
+            self._stage(change, "samples", df.select(*schema.SAMPLES.fieldNames()), small)
+            self._commit(change, ["samples"])
+
+    # -- stored watermarks of the ledger
+
+    def store_watermark(self, r: samples.SampleRange, limit: int) -> samples.StoredWatermark:
+        """Write the range's first `limit` entries to a table of their own; the driver gets their count and digest.
+
+        The properties file comes last, so a watermark is there in full or not at all.
+        """
+        samples.check_limit(limit)
+        name = uuid.uuid4().hex
+        samples.members(self.read("samples"), r).write.parquet(self._at(f"_watermarks/{name}"))
+        entries = self.spark.read.parquet(self._at(f"_watermarks/{name}"))
+        truncated = entries.count() > limit
+        if truncated:
+            samples.first_members(entries, limit).write.parquet(self._at(f"_watermarks/{name}-draft"))
+            self._forget(f"_watermarks/{name}")
+            self._move(f"_watermarks/{name}-draft", f"_watermarks/{name}")
+        count, digest = samples.count_and_digest(self.spark.read.parquet(self._at(f"_watermarks/{name}")))
+        fields = {k: v.isoformat(sep=" ") if isinstance(v, datetime) else v for k, v in asdict(r).items()}
+        self._put(f"_watermarks/{name}.json", {"range": fields, "count": count, "digest": digest, "truncated": truncated})
+        return samples.StoredWatermark(r, name, count, digest, truncated)
+
+    def watermark(self, name: str) -> samples.StoredWatermark:
+        """A watermark that was stored before, here or elsewhere."""
+        kept = self._get(f"_watermarks/{name}.json")
+        if kept is None:
+            raise ValueError(f"There is no watermark {name}")
+        r = {k: datetime.fromisoformat(v) if k.startswith("interval") else v for k, v in kept["range"].items()}
+        return samples.StoredWatermark(samples.SampleRange(**r), name, kept["count"], kept["digest"], kept["truncated"])
+
+    def drop_watermark(self, name: str) -> None:
+        for n in (f"_watermarks/{name}.json", f"_watermarks/{name}"):
+            self._forget(n)
+
+    def members(self, mark: samples.StoredWatermark) -> DataFrame:
+        """The watermark's entries, once their number and digest are what it says."""
+        entries = self.spark.read.parquet(self._at(f"_watermarks/{mark.name}"))
+        if samples.count_and_digest(entries) != (mark.count, mark.digest):
+            raise ValueError(f"the table of watermark {mark.name} isn't the one that was stored")
+        return entries
 
     def declare_hourly(self, dim: str) -> None:
         """Build an hourly rollup from the events there are; later appends keep it."""
@@ -277,34 +393,61 @@ class Store:
             self._write(rollups.latest(self.read("gauges"), dims), latest_name(dims))
 
     def _replace(self, tables: list[tuple[str, DataFrame, list[str]]], adds: list[tuple[str, DataFrame]] = ()) -> None:
-        """One change: of each (table, rows, months), rows in the place of these months; of each of adds, more rows."""
-        change = uuid.uuid4().hex
-        for name, rows, _ in [*tables, *((n, r, None) for n, r in adds)]:
-            self._write(rows, name, at=f"{self.path}/_staged/{change}/{name}")
-        self._commit(change, [n for n, _ in adds], [(n, f"month={m}") for n, _, months in tables for m in months])
-
-    def delete(self, kind: str, condition: Column | None) -> None:
-        """Remove the rows that the condition holds for (None: all), and what rollups have of them."""
+        """One change: of each (table, rows, files), rows in the place of these files; of each of adds, more rows."""
+        with self._draft() as change:
+            for name, rows, *_ in (*tables, *adds):
+                self._stage(change, name, rows)
+            self._commit(change, [t[0] for t in (*tables, *adds)], [f for _, _, files in tables for f in files])
+
+    def _files_of(self, name: str, rows: DataFrame) -> list[str]:
+        """The files that these rows of the table are in: as many as the table has at most."""
+        found = rows.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+        return sorted(f"{name}/" + "/".join(r["f"].split("/")[-2:]) for r in found)
+
+    def delete(self, kind: str, condition: Column | None) -> dict[str, int]:
+        """Remove the rows that the condition holds for (None: all), and what rollups have of them.
+
+        Only files that hold such rows are written anew, without them.  Of a rollup, the same holds for
+        files with rows of the deleted rows' keys (of latest values: rows that are deleted rows); what the
+        survivors give for these keys is added.  The result tells how many files of each table went.
+        """
         base = "events" if kind == schema.EVENT else "gauges"
         rows = self.read(base)
         hit = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
-        if "month" not in rows.columns:
-            return
-        months = [r["month"] for r in rows.where(hit).select("month").distinct().collect()]
-        if not months:
-            return
-        touched = F.col("month").isin(months)
-        left = rows.where(touched & ~hit)
-        tables = [(base, left, months)]
+        files = self._files_of(base, rows.where(hit)) if "month" in rows.columns else []
+        if not files:
+            return {}
+        gone = self._of_files(base, files).where(hit)
+        tables = [(base, self._of_files(base, files).where(~hit), files)]
+        months = sorted({f.split("/")[1].split("=")[1] for f in files})
+        bare = self.uncovered_days() if kind == schema.EVENT else set()
         for name, rollup in self._rollups(kind):
-            if kind == schema.GAUGE:  # a latest value may have moved to another month
-                tables.append((name, rollup(rows.where(~hit)), sorted({*self.months(name), *self.months(base)})))
+            have = self.read(name)
+            if "month" not in have.columns:
+                continue
+            if kind == schema.GAUGE:
+                # a row of the rollup that was deleted: its key's latest value is to be found again, in any month
+                row = ["tenant", "metric", "time", "id", *name.removeprefix("gauges_latest_").split("_")]
+                key, hits, source = [c for c in row if c not in ("time", "id")], _meeting(have.where(F.col("month").isin(months)), gone, row), rows.where(~hit)
+                keys = hits.select(key).distinct()
+                off = row
+            else:
+                day = bucket(F.col("time"), "1d")
+                covered = ~day.isin(sorted(bare)) if name == "events_daily" and bare else F.lit(True)
+                keys = rollup(gone.where(covered)).drop("value")
+                key = off = keys.columns
+                hits = _meeting(have.where(F.col("month").isin(months)), keys, key)
+                source = rows.where(F.col("month").isin(months) & ~hit & covered)
+            touched = self._files_of(name, hits)
+            if not touched:
                 continue
-            source = left
-            if name == "events_daily" and (bare := self.uncovered_days()):
-                source = left.where(~F.date_trunc("day", "time").cast("timestamp_ntz").isin(sorted(bare)))
-            tables.append((name, rollup(source), months))
+            left = _meeting(self._of_files(name, touched), gone if kind == schema.GAUGE else keys, off, "left_anti")
+            # only the survivors of these keys are folded
+            at = None if kind == schema.GAUGE else day if name == "events_daily" else bucket(F.col("time"), "1h")
+            fresh = rollup(_meeting(source, keys, key, time=at))
+            tables.append((name, left.drop("month").unionByName(fresh), touched))
         self._replace(tables)
+        return {n: len(f) for n, _, f in tables}
 
     def backfill_daily(self, start: datetime, end: datetime, force: bool = False) -> None:
         """Recompute the daily rollup of whole days, start <= day < end."""
@@ -318,13 +461,13 @@ class Store:
         if not force and have.where(inside).limit(1).count():
             raise ValueError("The daily rollup has rows in this range; use force to replace them")
         fresh = rollups.daily(self.read("events").where(inside))
-        keep = have.where(~inside).select(*schema.EVENTS_DAILY.fieldNames())
         months = [f"{y:04d}-{m:02d}" for y, m in _months(start, end)]
-        wanted = F.date_format("time", "yyyy-MM").isin(months)
         counts = {r["day"]: r["n"] for r in self.read("uncovered").groupBy("day").agg(F.sum("change").alias("n")).where("n > 0").collect()}
         covered = [(d, -int(n)) for d, n in sorted(counts.items()) if start <= d < end]
         adds = [("uncovered", self.spark.createDataFrame(covered, UNCOVERED))] if covered else []
-        self._replace([("events_daily", keep.where(wanted).unionByName(fresh.select(*schema.EVENTS_DAILY.fieldNames())), months)], adds)
+        drops = [f"events_daily/{f}" for f in self._files_in("events_daily") if f.split("/")[0].split("=")[1] in months]
+        keep = self._of_files("events_daily", drops).where(~inside).select(*schema.EVENTS_DAILY.fieldNames())
+        self._replace([("events_daily", keep.unionByName(fresh.select(*schema.EVENTS_DAILY.fieldNames())), drops)], adds)
 
     def apply_retention(self, now: datetime, days: int | None = None) -> None:
         """Drop events older than the table's retention, or so many days: whole months by their folders, the boundary month by a rewrite."""
@@ -336,21 +479,50 @@ class Store:
         now = now.astimezone(UTC).replace(tzinfo=None) if now.tzinfo else now
         cutoff = now - timedelta(days=days)
         edge = f"{cutoff.year:04d}-{cutoff.month:02d}"
-        old = [(name, f"month={m}") for name in ("events", "events_daily", *(hourly_name(d) for d in self.hourly_dims())) for m in self.months(name) if m < edge]
+        names = ("events", "events_daily", *(hourly_name(d) for d in self.hourly_dims()))
+        old = [f"{name}/{f}" for name in names for f in self._files_in(name) if f.split("/")[0].split("=")[1] < edge]
         if old:
-            self._commit(uuid.uuid4().hex, [], old)
+            with self._draft() as change:
+                self._commit(change, [], old)
         at = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
         self.delete(schema.EVENT, (F.col("month") == edge) & (F.col("time") < at))
 
-    def migrate(self, name: str) -> None:
-        """Rewrite a table under the declared schema: columns added since it was written read as null."""
-        if name in FLAT:
-            if self._files(name):
-                change = uuid.uuid4().hex
-                self._write(self.read(name), name, at=f"{self.path}/_staged/{change}/{name}")
-                self._commit(change, [], [(name, "")])
-        elif months := self.months(name):
-            self._replace([(name, self.read(name), months)])
+    def migrate(self, name: str) -> int:
+        """Rewrite the files whose columns have other types than declared; how many there were.
+
+        Columns that a file lacks read as null, and those that aren't declared aren't read, so neither needs a rewrite.
+        """
+        files = self._differing(name, [f"{name}/{f}" for f in self._files_in(name)])
+        if files:
+            self._replace([(name, self._of_files(name, files), files)])
+        return len(files)
+
+    def _differing(self, name: str, files: list[str]) -> list[str]:
+        """Files with another type of a declared column: footers are read by Spark, halves of the files at a time."""
+        if not files:
+            return []
+        declared = {f.name: f.dataType for f in self._schema(name)}
+        try:
+            merged = self.spark.read.option("mergeSchema", "true").option("basePath", self._at(name)).parquet(*map(self._at, files)).schema
+            if all(declared.get(f.name, f.dataType) == f.dataType for f in merged):
+                return []
+        except AnalysisException:  # the footers don't agree
+            pass
+        except Exception as e:
+            if "MERGE_SCHEMA" not in str(e):
+                raise
+        half = len(files) // 2
+        return files if len(files) == 1 else [*self._differing(name, files[:half]), *self._differing(name, files[half:])]
+
+
+def _meeting(rows: DataFrame, others: DataFrame, by: list[str], how: str = "left_semi", time: Column | None = None) -> DataFrame:
+    """Rows that some of the others equal (left_semi) or none does (left_anti) in these columns, nulls like values.
+
+    If `time` is given, it stands for the rows' column of that name.
+    """
+    named = others.select(*[F.col(c).alias(f"{c}_other") for c in by]).distinct()
+    mine = {c: time if c == "time" and time is not None else F.col(c) for c in by}
+    return rows.join(named, [mine[c].eqNullSafe(F.col(f"{c}_other")) for c in by], how)
 
 
 def _months(start: datetime, end: datetime):

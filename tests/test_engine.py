@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.engine import Meter
 from gaugeline.operators import reads, rollups
+from gaugeline.operators.rollups import fold_daily
 from gaugeline.plans import query as q
-from gaugeline.sources.store import Store
+from gaugeline.sources.store import Conflict, Store
 from gaugeline.streaming.rollup import read_daily, stream_daily
 
 NOW = datetime(2026, 6, 20, 12)
@@ -431,3 +432,142 @@ def test_pages_over_nulls(spark, tmp_path):
             back = page + back
             cursor = page[0]
         assert [r["id"] for r in back] == [r["id"] for r in seen[:-1]]
+
+
+# -- several writers
+
+
+def other(spark, u):
+    return Store(spark, u.store.path)
+
+
+def test_setup_beside_a_writer_loses_nothing(spark, tmp_path):
+    """A boot between another writer's staging and its commit is harmless."""
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", 1, "2026-05-03")], "event")
+    commit = u.store._commit
+    u.store._commit = lambda *a: (other(spark, u).setup(), other(spark, u).recover(), commit(*a))
+    assert u.add_batch([row("m", 2, "2026-05-04")], "event")
+    assert u.sum("1") == u.sum_daily("1") == 3
+    u.purge("1", [q.equal("time", "2026-05-03")], "event")
+    assert u.count("1") == 1 and u.sum("1") == u.sum_daily("1") == 2
+
+
+def test_a_change_without_its_draft_is_refused(spark, tmp_path):
+    """Whoever deletes what is staged makes the commit fail; nothing in place is touched."""
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", 1, "2026-05-03", path="/x"), row("m", 2, "2026-05-04")], "event")
+    commit = u.store._commit
+
+    def robbed(*a):
+        assert other(spark, u).recover(lease=-5) == 0
+        return commit(*a)
+
+    u.store._commit = robbed
+    for change in (lambda: u.add_batch([row("m", 4, "2026-05-04")], "event"), lambda: u.purge("1", [q.equal("path", "/x")], "event")):
+        with pytest.raises(Conflict):
+            change()
+        assert u.count("1") == 2 and u.sum("1") == u.sum_daily("1") == 3 and not u.store.pending() and not u.store.exists("_staged")
+
+
+def test_a_lost_file_of_a_committed_change_is_an_error(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", 1, "2026-05-03"), row("m", 2, "2026-06-04")], "event")
+    move = u.store._move
+    u.store._move = lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        u.add_batch([row("m", 4, "2026-06-04")], "event")
+    u.store._move = move
+    u.store._forget(f"_staged/{u.store.pending()[0].removesuffix('.json')}")
+    with pytest.raises(Conflict):
+        u.store.recover()
+    assert u.sum("1") == 3
+
+
+def test_two_rewrites_of_a_file(spark, tmp_path):
+    """Of two purges that have read the same file, the second is refused and can be tried again."""
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", 1, "2026-05-03", path="/x"), row("m", 2, "2026-05-03", path="/y"), row("m", 4, "2026-05-03")], "event")
+    commit, second = u.store._commit, Meter(other(spark, u), now=lambda: NOW)
+    u.store._commit = lambda *a: (second.purge("1", [q.equal("path", "/y")], "event"), commit(*a))
+    with pytest.raises(Conflict):
+        u.purge("1", [q.equal("path", "/x")], "event")
+    u.store._commit = commit
+    assert u.sum("1") == u.sum_daily("1") == 5
+    u.purge("1", [q.equal("path", "/x")], "event")
+    assert u.sum("1") == u.sum_daily("1") == 4
+
+
+# -- deletes and migrations by file
+
+
+def test_purge_rewrites_hit_files_only(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    u.store.declare_hourly("service")
+    for k, month in enumerate(("03", "04", "05", "05", "06")):
+        u.add_batch([row("m", 1 << (2 * k), f"2026-{month}-03", path=f"/{k}", service="s"), row("m", 2 << (2 * k), f"2026-{month}-04", service="t")], "event")
+    before = {n: set(u.store._files_in(n)) for n in u.store.names()}
+    went = u.store.delete("event", F.col("path") == "/2")
+    after = {n: set(u.store._files_in(n)) for n in u.store.names()}
+    assert went["events"] == 1 and len(before["events"] - after["events"]) == 1 and len(after["events"] & before["events"]) == 4
+    # the third of May is in the two rollup files of May's appends
+    assert went["events_daily"] == went["events_hourly_service"] == 2
+    assert all(f.startswith("month=2026-05") for n in after for f in before[n] ^ after[n])
+    left = sum(1 << i for i in range(10)) - (1 << 4)
+    assert u.sum("1", [q.less_than("time", "2026-06-10")]) == left and u.sum_daily("1") == left
+    assert {r["service"]: r["value"] for r in u.find("1", [q.group_by("service"), q.less_than("time", "2026-06-10")], "event")} == {"s": sum(1 << 2 * k for k in range(5)) - 16, "t": sum(2 << 2 * k for k in range(5))}
+    assert u.store.delete("event", F.col("path") == "/nowhere") == {}
+
+
+def test_latest_values_after_deletes_touch_hit_keys_only(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    for d in (("service",), ("resourceType", "resourceId")):
+        u.store.declare_latest(d)
+    u.add_batch([row("g", 1, "2026-03-01", service="s"), row("g", 2, "2026-03-02", service="t"), row("g", 8, "2026-03-09")], "gauge")
+    u.add_batch([row("g", 3, "2026-04-01", service="s"), row("g", 4, "2026-04-02", service="t")], "gauge")
+    u.add_batch([row("g", 5, "2026-05-01", service="s"), row("g", 6, "2026-05-01 12:00", service="s", resourceId="r")], "gauge")
+    name = "gauges_latest_service"
+    before = set(u.store._files_in(name))
+    went = u.store.delete("gauge", (F.col("value") >= 5) & (F.col("value") < 7))  # the latest rows of s, in May
+    assert went["gauges"] == went[name] == 1
+    assert all(f.startswith(("month=2026-05", "month=2026-04")) for f in before ^ set(u.store._files_in(name)))
+    latest = [q.group_by("service")]
+    assert {r["service"]: r["value"] for r in u.find("1", latest, "gauge")} == {"s": 3, "t": 4, None: 8} and u.get_route_log()[-1]["route"] == "latest"
+    before = {n: set(u.store._files_in(n)) for n in u.store.names()}
+    assert u.store.delete("gauge", (F.col("value") == 1)) == {"gauges": 1, name: 1}  # a row that its append's rollup has
+    assert {r["service"]: r["value"] for r in u.find("1", latest, "gauge")} == {"s": 3, "t": 4, None: 8}
+    u.purge("1", [q.is_null("service")], "gauge")
+    assert {r["service"]: r["value"] for r in u.find("1", latest, "gauge")} == {"s": 3, "t": 4}
+
+
+def test_random_deletes_keep_rollups_exact(spark, tmp_path):
+    rng = random.Random(6)
+    u = fresh(spark, tmp_path)
+    u.store.declare_hourly("service")
+    u.store.declare_latest(("service",))
+    for _ in range(3):
+        rows = [row(rng.choice("ab"), rng.randrange(9), f"2026-0{rng.randrange(3, 6)}-0{rng.randrange(1, 4)} 0{rng.randrange(3)}:00", service=rng.choice(["s", "t", None]), tenant=rng.choice("12")) for _ in range(40)]
+        u.add_batch(rows, "event")
+        u.add_batch(rows, "gauge")
+    for condition in (F.col("value") == 3, (F.col("tenant") == "1") & F.col("service").isNull(), F.col("time") >= "2026-05-02", None):
+        for kind in ("event", "gauge"):
+            u.store.delete(kind, condition)
+        ev, g = u.store.read("events"), u.store.read("gauges")
+        for have, want in ((fold_daily(u.store.read("events_daily").drop("month")), rollups.daily(ev)), (fold_daily(u.store.read("events_hourly_service").drop("month")), rollups.hourly(ev, "service")), (rollups.latest(u.store.read("gauges_latest_service"), ("service",)), rollups.latest(g, ("service",)))):
+            assert sorted(map(str, have.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_migration_writes_what_differs_only(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", 1, "2026-05-03"), row("m", 2, "2026-06-04")], "event")
+    before = {n: set(u.store._files_in(n)) for n in u.store.names()}
+    u.migrate()
+    assert {n: set(u.store._files_in(n)) for n in u.store.names()} == before
+    # a file from before some dimensions, and one of an older type
+    old = u.store.read("events").where("value = 1").drop("month", "sdk", "city")
+    old.withColumn("value", F.lit(4)).write.mode("append").parquet(u.store._at("events/month=2026-05"))
+    old.withColumn("value", F.lit(8).cast("bigint")).write.mode("append").parquet(u.store._at("events/month=2026-05"))
+    assert u.store.migrate("events") == 1
+    assert len(before["events"] - set(u.store._files_in("events"))) == 0
+    assert u.count("1") == 4 and u.store.read("events").agg(F.sum("value")).first()[0] == 15
+    assert u.store.migrate("events") == 0

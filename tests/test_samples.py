@@ -122,3 +122,83 @@ def test_no_task_takes_a_whole_stream(spark):
     plan = s.discontinuities(one, datetime(1970, 1, 1), datetime(1970, 1, 1) + timedelta(seconds=n))._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.split("\n") if "Window [" in x]
     assert windows and all("block_" in x for x in windows)
+
+
+# -- layout and stored watermarks
+
+
+def files_read(df):
+    """Files that the frame's scans read, by their metrics."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numFiles").value())
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    walk(plan)
+    return sum(found)
+
+
+def test_one_stream_reads_its_bucket(spark, meter):
+    rows = [sample(n, member=f"m{k}") for k in range(60) for n in range(5)]
+    meter.store.append_samples(s.to_frame(spark, rows))
+    assert len(meter.store._files_in("samples")) >= 30
+    r = replace(span(0, 4), member="m17")
+    assert files_read(s.in_range(meter.tables().samples, r)) <= 2
+    assert [x.sequence for x in read(meter, r).samples] == [0, 1, 2, 3, 4]
+
+
+def test_ledger_files_are_sorted(spark, meter):
+    meter.store.append_samples(s.to_frame(spark, [sample(n, member=f"m{n % 7}") for n in range(400, 0, -1)]))
+    for f in meter.store._files_in("samples"):
+        rows = spark.read.parquet(meter.store._at(f"samples/{f}")).select("member", "sequence").collect()
+        assert rows == sorted(rows)
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 7, 8, 9, 30, 1000])
+def test_stored_watermark_equals_small_one(spark, meter, limit):
+    rng = random.Random(limit)
+    meter.add_samples([sample(n) for n in (0, 3, 3, 3, 3, 5, 5, 6, 9, 300, 70_000, 70_001) for _ in range(rng.randrange(1, 3))])
+    r = span(0, 80_000)
+    small, stored = meter.get_sample_watermark(r, limit), meter.store_sample_watermark(r, limit)
+    assert (stored.count, stored.truncated) == (len(small.entries), small.truncated)
+    entries = [":".join(x[1:]) for x in meter.store.members(stored).select("sequence", *s.ENTRY_PARTS).collect()]
+    assert sorted(entries) == sorted(small.entries)
+    assert meter.store.watermark(stored.name) == stored
+    meter.add_samples([sample(4)])
+    want = meter.find_samples(r, small, 10_000)
+    got = meter.find_sample_frames(r, stored)
+    assert [x["sequence"] for x in got.conflicts.orderBy("sequence").collect()] == list(want.conflicts)
+    assert [tuple(x) for x in got.gaps.orderBy("gap_first").collect()] == [(g.first, g.last) for g in want.gaps]
+    assert tuple(got.summary().first()) == (len(want.samples), len(want.conflicts), len(want.gaps), len(want.discontinuities), want.duplicate_count)
+    with pytest.raises(ValueError):
+        meter.find_sample_frames(span(0, 1), stored)
+    meter.store.drop_watermark(stored.name)
+    with pytest.raises(ValueError):
+        meter.store.watermark(stored.name)
+
+
+def test_tampered_watermark_is_refused(spark, meter):
+    meter.add_samples([sample(n) for n in range(5)])
+    mark = meter.store_sample_watermark(span(0, 4), 10)
+    meter.store.members(mark).limit(1).write.mode("append").parquet(meter.store._at(f"_watermarks/{mark.name}"))
+    with pytest.raises(ValueError):
+        meter.find_sample_frames(span(0, 4), mark)
+
+
+def test_members_are_broadcast_only_when_small(spark, meter):
+    meter.add_samples([sample(n) for n in range(5)])
+    r = span(0, 4)
+    entries = s.members(meter.tables().samples, r)
+    for count, broadcast in ((5, True), (10_000_000, False)):
+        plan = s.seen(meter.tables().samples, r, entries, count)._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == broadcast
