@@ -13,8 +13,7 @@ the first may be shorter.  The pieces are packed into as few sequences of at mos
 
 All of this is planned on counts of pieces of each length, at most `capacity` numbers whatever the corpus; which
 lengths meet in which sequences follows from them, in ranges.  So the driver's work doesn't grow with the input,
-and it plans with a half, a third and a quarter of the capacity as the bound of step 1 and takes the plan with
-the fewest sequences: where short pieces are rare, what rounding up costs can't be filled, and a high bound is best.
+and it plans with several bounds of step 1 (`PARTS`) and takes the plan with the fewest sequences: where short pieces are rare, what rounding up costs can't be filled, and a high bound is best.
 Pieces find their places by their number among those of their length, which needs counts of each part of
 the table and one shuffle of narrow rows by part and length (`numbered`); no task has more than a part's rows.
 
@@ -44,6 +43,8 @@ from .common import settle, tidy, worker_cache
 CAPACITY = 2048
 #: Sizes that large pieces are rounded up to.
 GROUPS = 64
+#: Pieces of over one of these parts of the capacity are large.
+PARTS = (8, 4, 3, 2)
 END = 0
 #: Texts are encoded in portions of about so many characters.
 PORTION = 1 << 16
@@ -270,7 +271,7 @@ def room_left(counts: dict[int, int], starts: np.ndarray, places: Places, used:
 def plan(counts: dict[int, int], capacity: int, groups: int) -> dict:
     """The plan with the fewest sequences for so many pieces of each length."""
     best = None
-    for bound in (capacity // 4, capacity // 3, capacity // 2):
+    for bound in (capacity // part for part in PARTS):
         large = {n: c for n, c in counts.items() if n > bound}
         starts, places, used = plan_large(large, capacity, groups)
         rooms = room_left(large, starts, places, used, capacity)

@@ -1,0 +1,290 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from gaugeline.llm import importance, packing, queries, runs
+
+DATA = "/root/testdata/sf0.001"
+
+
+def documents(spark, data=DATA):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+
+
+# -- 11: packing
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+
+    return packing.read_ranks(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made.encode_special_tokens = True
+    return made
+
+
+def test_packing_whole_table(spark, library):
+    got = queries.op11_best_fit_packing(spark, DATA).toPandas()
+    docs = documents(spark)
+    assert set(got.doc_id) == set(docs)
+    for doc_id, rows in got.sort_values("piece").groupby("doc_id"):
+        ids = [*library.encode(docs[doc_id], add_special_tokens=False).ids, 0]
+        assert rows.piece.tolist() == list(range(len(rows)))
+        assert rows.start.tolist() == [0, *np.cumsum(rows.length)[:-1]] and rows.length.sum() == len(ids)
+        assert (rows.length[1:] == 2048).all() and rows.length.iloc[0] <= 2048
+        for r in rows.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    for _, rows in got.sort_values("offset").groupby("sequence_id"):
+        assert rows.offset.tolist() == [0, *np.cumsum(rows.length)[:-1]] and rows.length.sum() <= 2048
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
+
+
+def test_packing_encodes_as_the_library(vocabulary, library):
+    rnd, encode = random.Random(5), packing.encoder(*vocabulary)
+    texts = ["", " ", "a" * 200_000, "x y " * 50_000, "\n  z <|endoftext|> 12'll " * 9_000, "你好 " * 40_000]
+    texts += ["".join(rnd.choice("ab 1'.\n\té́ \U0001f600") for _ in range(rnd.randrange(200))) for _ in range(500)]
+    for text in texts:
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def placed(counts, capacity, groups):
+    plan = packing.plan(counts, capacity, groups)
+    length = np.repeat(list(counts), list(counts.values())).astype(np.int64)
+    number = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in counts.values())])
+    return plan, np.bincount(packing.look_up(plan, length, number), length, minlength=plan["total"])
+
+
+def test_packing_plans():
+    rnd = random.Random(2)
+    for _ in range(600):
+        capacity = rnd.choice([8, 10, 64, 100])
+        counts = {rnd.randrange(1, capacity + 1): rnd.choice([1, 2, 3, 50, 1000]) for _ in range(rnd.randrange(12))}
+        plan, filled = placed(counts, capacity, rnd.choice([1, 2, 5, 64]))
+        assert len(filled) == plan["total"] and all((0 < filled) & (filled <= capacity))
+
+
+def test_packing_optimum_of_few_sizes():
+    # 44 + 33 + 23 fill a sequence; taking the largest first would pair 44 with 44
+    plan, _ = placed({44: 30, 33: 30, 23: 30}, 100, 3)
+    assert plan["total"] == 30
+    columns, often = packing.configurations(np.array([23, 33, 44]), np.array([30, 30, 30]), 100)
+    assert abs(often.sum() - 30) < 1e-6 and (columns * often).sum(1).round(6).tolist() == [30, 30, 30]
+
+
+def test_packing_plan_does_not_grow():
+    rnd = random.Random(4)
+    counts = {n: rnd.randrange(1, 90) for n in range(1, 2049)}
+    small, large = packing.plan(counts, 2048, 64), packing.plan({n: c * 10**6 for n, c in counts.items()}, 2048, 64)
+    assert len(large["large"][0]) + len(large["small"][0]) < 20_000
+    for n, plan in ((1, small), (10**6, large)):
+        assert plan["total"] <= 1.01 * sum(k * c for k, c in counts.items()) * n / 2048
+        assert plan["total"] <= packing.best_fit({k: c * n for k, c in counts.items()}, {}, 2048, 0)[1]
+
+
+def test_packing_edges(spark, vocabulary):
+    rows = [(1, None, 7, "s"), (1, "", 7, "s"), (None, "word " * 5000, 8, "t"), (2, "word", 9, "u"), (2, "word", 9, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length int, sequence_id string")
+    got = packing.packed(docs, *vocabulary).toPandas()
+    assert sorted(got.length) == [1, 1, 2, 2, 906, 2048, 2048]
+    assert got.sequence_id.nunique() == 3
+    assert packing.packed(docs.limit(0), *vocabulary).collect() == []
+    whole = packing.sequences(docs, *vocabulary).collect()
+    assert sum(r["length"] for r in whole) == 5008 and all(len(r["ids"]) == 4 * r["length"] for r in whole)
+    odd = spark.createDataFrame([(5, 1, 2, "x"), (2048, 3, 4, "y")], "length int, part_ int, v0 int, length_ string")
+    assert sorted(map(tuple, packing.place(odd).select("length", "part_", "v0", "length_", "offset").collect())) == [(5, 1, 2, "x", 0), (2048, 3, 4, "y", 0)]
+    for bad in (odd.withColumn("length", odd.length * 0), odd.withColumn("offset", odd.length)):
+        with pytest.raises(ValueError):
+            packing.place(bad)
+
+
+def test_numbered_deals_out_a_hot_key(spark):
+    rows = packing.settle(spark.range(0, 4000, numPartitions=7).selectExpr("if(id % 3 = 0, id % 11, 99) as k", "id"))
+    got = packing.numbered(rows, "k", "place").toPandas()
+    for _, group in got.groupby("k"):
+        assert sorted(group.place) == list(range(len(group)))
+
+
+# -- 12: importance
+
+
+def brute_importance(docs, target, n=1, min_words=20, percent=10, seed=2024, buckets=10000):
+    def feats(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        return words, [" ".join(words[i : i + k]) for k in range(1, n + 1) for i in range(len(words) - k + 1)]
+
+    def bucket(f):
+        return zlib.crc32(f.encode()) % buckets
+
+    ours, theirs = Counter(), Counter()
+    for _, text in docs:
+        ours.update(map(bucket, feats(text)[1]))
+    for text in target:
+        theirs.update(map(bucket, feats(text)[1]))
+    s, t = sum(ours.values()), sum(theirs.values())
+    gain = {b: math.floor(1000 * math.log((theirs[b] + 1) * (s + buckets) / ((ours[b] + 1) * (t + buckets)))) for b in range(buckets)}
+    rows = []
+    for doc_id, text in docs:
+        words, fs = feats(text)
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[bucket(f)] for f in fs)
+        rows.append((doc_id, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words)))
+    may = sorted((-r[3], r[0] is None, r[0] or 0) for r in rows if r[4] >= min_words)
+    cut = len(may) * percent // 100
+    return sorted((r[:4] for r in rows), key=str), [(-a, c) for a, _, c in may[:cut]]
+
+
+@pytest.mark.parametrize(("n", "chunk"), [(1, 1 << 17), (1, 300), (3, 300), (2, 1)])
+def test_importance_equals_brute_force(spark, n, chunk):
+    docs, target = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    got = importance.resample(docs, target, n=n, chunk=chunk).collect()
+    rows, drawn = brute_importance([(r["doc_id"], r["text"]) for r in docs.collect()], [r["text"] for r in target.collect()], n)
+    assert sorted((tuple(r)[:4] for r in got), key=str) == rows
+    found = sorted((r for r in got if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["rank"] for r in found] == list(range(1, len(drawn) + 1))
+    assert [(r["score"], r["doc_id"]) for r in found] == drawn
+
+
+def test_importance_chunks_own_their_features():
+    rnd = random.Random(8)
+    for _ in range(300):
+        data = importance.plain(" ".join(rnd.choice(["a", "bb", "ccc", "", "é"]) for _ in range(rnd.randrange(40))))
+        n, chunk = rnd.randrange(1, 5), rnd.randrange(1, 20)
+        total = Counter()
+        for own, after in importance.cut(data, n, chunk):
+            total += importance.features(own.split(), after.split(), n)
+        assert total == importance.features(data.split(), [], n)
+
+
+def test_importance_edges(spark):
+    long = "alpha beta " * 40_000
+    rows = [(1, None, 1, 2), (2, "", 1, 2), (None, long, 1, 2), (3, long, 1, 2), (3, long, 1, 2), (4, "ÉA-b9_", 1, 2)] + [(9, "same old words " * 9, 1, 2)] * 30
+    docs = spark.createDataFrame(rows, "doc_id int, text string, row int, weight int")
+    target = spark.createDataFrame([("alpha",), (None,)], "text string")
+    got = importance.resample(docs, target, chunk=4096).collect()
+    want, drawn = brute_importance([r[:2] for r in rows], ["alpha", None])
+    assert sorted((tuple(r)[:4] for r in got), key=str) == want
+    assert [(r["score"], r["doc_id"] or 0) for r in sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])] == drawn
+    assert importance.resample(docs.limit(0), target).collect() == []
+    nothing = importance.resample(docs, target.limit(0)).collect()
+    assert len(nothing) == len(rows) and sum(r["rank"] is not None for r in nothing) == 3
+    kept = importance.draw(docs, target, chunk=4096)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["rank"]}
+
+
+def test_ranks_of_many_equal_rows(spark):
+    rows = importance.settle(spark.range(0, 3000, numPartitions=6).selectExpr("if(id % 3 = 0, -1, id) as k", "0 as score"))
+    got = importance.ranked(rows, importance.F.desc("score"), "k").toPandas()
+    assert sorted(got["rank"]) == list(range(1, 3001))
+    assert (got.sort_values("rank").k.diff().dropna() >= 0).all()
+
+
+def test_importance_sql(spark):
+    got = queries.op12_importance_resampling(spark, DATA).toPandas()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{DATA}/{name}.parquet'")
+    want = con.sql(importance.IMPORTANCE_SQL).df()[list(got.columns)]
+    assert sorted(map(str, got.astype("Int64").itertuples(index=False))) == sorted(map(str, want.astype("Int64").itertuples(index=False)))
+
+
+# -- 13: periodic runs
+
+
+def brute_runs(w, least=12):
+    def period(x):
+        return next((p for p in range(1, len(x)) if all(a == b for a, b in zip(x, x[p:], strict=False))), len(x))
+
+    found = set()
+    for p in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + p < len(w):
+            a = i
+            while i + p < len(w) and w[i] == w[i + p]:
+                i += 1
+            if i + p - a >= max(least, 2 * p) and period(w[a : i + p]) == p:
+                found.add((a, i + p - a, p))
+            i += 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def some_words(rnd, most):
+    n, kinds = rnd.randrange(most), rnd.choice([1, 2, 2, 3, 5, 40])
+    w = [rnd.randrange(kinds) for _ in range(n)]
+    if n > 5 and rnd.random() < 0.6:
+        a = rnd.randrange(n)
+        p = 1 + rnd.randrange((n - a) // 2 + 1)
+        w[a:] = [w[a + (i - a) % p] for i in range(a, n)]
+    return w
+
+
+@pytest.mark.parametrize("probes", [1 << 20, 40, 3])
+@pytest.mark.parametrize("short", [4096, 0])
+def test_runs_equal_brute_force(monkeypatch, probes, short):
+    monkeypatch.setattr(runs, "PROBES", probes)
+    monkeypatch.setattr(runs, "SHORT", short)
+    rnd = random.Random(probes + short)
+    for _ in range(500):
+        w, least = some_words(rnd, 90), rnd.choice([2, 12, 12, 12, 30])
+        assert runs.find_runs(np.array(w, np.int64), least) == brute_runs(w, least)
+
+
+def test_runs_of_long_texts():
+    w = np.arange(300_000) % 70_001
+    assert runs.find_runs(w) == [(0, 300_000, 70_001)]
+    assert runs.find_runs(np.zeros(200_000, np.int64)) == [(0, 200_000, 1)]
+
+
+def test_runs_query_equals_brute_force(spark):
+    got = {r["doc_id"]: r for r in queries.op13_periodic_runs(spark, DATA).collect()}
+    docs = documents(spark)
+    assert set(got) == set(docs)
+    some = 0
+    for doc_id, text in docs.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        h, n = zlib.crc32(str(doc_id).encode()), len(words)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        found = brute_runs(words) if n < 3000 else runs.find_runs(np.unique(words, return_inverse=True)[1])
+        some += bool(found)
+        gone = {i for s, k, q in found for i in range(s + q, s + k)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        r = got[doc_id]
+        assert r["n_runs"] == len(found)
+        assert (r["start"], r["length"], r["period"], r["exponent_milli"]) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{k},{q}\n" for s, k, q in found).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(" ".join(x for i, x in enumerate(words) if i not in gone).encode()).hexdigest()
+    assert some > 10
+
+
+def test_runs_edges(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", "a"), (4, "x x " * 7 + "y", "b"), (4, "x x " * 7 + "y", "b"), (None, "one two " * 6, "c")]
+    docs = spark.createDataFrame(rows, "c1 int, text string, words string")
+    got = runs.periodic_runs(docs).collect()
+    assert [(r["c1"], [tuple(x) for x in r["runs"]], r["collapsed"]) for r in got if r["text"] is None or r["c1"] is None] == [(1, [], ""), (None, [(0, 12, 2)], "one two")]
+    assert len(got) == 6 and all(r["runs"] == [] for r in got if r["c1"] in (2, 3, 4))
+    assert runs.periodic_runs(docs, least=4).where("c1 = 4").first()["collapsed"] == "x x y"
+    assert runs.periodic_runs(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        runs.periodic_runs(docs, runs_col="words")
+    with pytest.raises(ValueError):
+        runs.periodic_runs(docs, least=1)
+    assert [r["n_runs"] for r in runs.digests(docs.selectExpr("cast(null as int) as doc_id", "text", "words")).where("n_runs > 0").collect()] == [1]
