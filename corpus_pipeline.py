@@ -1,7 +1,10 @@
 """The corpus pipeline: quality, near-duplicates, repeated passages, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
-the next stage's docs; all but the last return the columns of documents.
+the next stage's docs; all but the last return the columns of documents, extra ones too.
+
+Null texts and empty ones pass the first three stages (a null id too) and have no words to mix; of rows with one id
+and text near-dedup keeps one; very long texts go whole through every stage; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import bpe, minhash, mixing, quality, spans
-from gaugeline.llm.common import shared_folder, table
+from gaugeline.llm.common import shared_folder, table, unused
 from gaugeline.llm.queries import tokenizer
 
 
@@ -26,8 +29,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of sentences are cut; a document of which nothing but white space is left goes."""
-    cut = spans.dedup_spans(docs)
-    gone = (F.col("span_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    removed = unused("span_removed", docs.columns)
+    cut = spans.dedup_spans(docs, sentences_col=unused("span_sentences", docs.columns), removed_col=removed)
+    gone = (F.col(removed) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     cut = cut.where(~F.coalesce(gone, F.lit(False)))
     return cut.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 

@@ -94,6 +94,19 @@ def dealt_anew(col: str) -> F.Column:
     return F.when(F.col(col).isNotNull(), F.col(col))
 
 
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that no name of theirs can clash with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores after it as far as the columns (of any case) have it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hex64(col) -> F.Column:
     """A signed 64-bit hash as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))

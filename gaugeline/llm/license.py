@@ -1,6 +1,6 @@
 """License scans by canonical digests.
 
-A text is made canonical: lower case, copyright lines dropped, equivalent spellings made one, what is
+A text is made canonical: lower case (of what lowers to a-z), copyright lines dropped (lines end at \\n), equivalent spellings made one, what is
 neither a letter a-z nor a digit made one space; its SHA-256 is looked up among the digests of known
 texts by a hash join.  Whole documents are looked up, and so is each of a document's lines, as notices
 are whole lines.  The known texts are a fixed table of about a hundred rows, so that side is broadcast: short
@@ -8,7 +8,7 @@ licences whole, and of the long ones (Apache, MPL, the GNU and Creative Commons
 
 Defined cases: null texts, and those without a letter or digit, have a null digest and no license;
 a text made of copyright lines only likewise; repeated rows each get their result; an empty table
-gives an empty result; extra columns are not looked at.  Two known texts with the same canonical form
+gives an empty result; extra columns are not looked at; very long texts go whole through the same expressions.  Two known texts with the same canonical form
 are an error.
 """
 
@@ -122,18 +122,27 @@ KNOWN = (
 )
 
 
+#: The characters whose lower case is one of a-z; of others the case doesn't matter.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u0130\u212a", "abcdefghijklmnopqrstuvwxyzik"
+
+
 def canonical_text(text: str) -> str:
     """What canonical() makes of a text."""
-    t = re.sub(COPYRIGHT, "", text.lower())
+    t = re.sub(COPYRIGHT, "", text.translate(str.maketrans(UPPER, LOWER)))
     for a, b in SPELLINGS:
-        t = re.sub(a, b.replace("$", "\\"), t)
+        t = re.sub(a, b.replace("$", "\\"), t, flags=re.ASCII)
     return re.sub(r"[^a-z0-9]+", " ", t).strip(" ")
 
 
+def lowered(col) -> F.Column:
+    return F.translate(col, UPPER, LOWER)
+
+
 def canonical(col) -> F.Column:
-    t = F.regexp_replace(F.lower(col), COPYRIGHT, "")
+    """Lines end at \\n alone, and only ASCII letters, digits and _ are parts of words, as in other engines' patterns."""
+    t = F.regexp_replace(lowered(col), COPYRIGHT.replace("(?m)", "(?dm)"), "")
     for a, b in SPELLINGS:
-        t = F.regexp_replace(t, a, b)
+        t = F.regexp_replace(t, a.replace(r"\b", "(?<![A-Za-z0-9_])"), b)
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
@@ -178,7 +187,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=
     lines = d.select("doc_id", "key", F.explode(F.split("text", r"\n+")).alias("line")).where("line <> ''")
     words = needed_words(known)
     if words:
-        lines = lines.where(F.lower("line").rlike("|".join(words)))
+        lines = lines.where(lowered("line").rlike("|".join(words)))
     hits = lines.join(rows, digest(F.col("line")) == F.col("known")).groupBy("doc_id", "key").agg(F.array_join(F.sort_array(F.collect_set("found")), ",").alias("notices"))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "notices")
     whole = d.select("doc_id", "key", digest(F.col("text")).alias("digest")).join(rows, F.col("digest") == F.col("known"), "left")

@@ -14,8 +14,9 @@
    component are gathered by that component over all such buckets, with its members there.  Of a
    set in such a gathering, the shingles that no other set of it has bound the size of any
    set of it that can be linked with this one (`_reach`); sets without a possible partner leave, which are
-   most, at the cost of one count of shingles.  What remains is compared in blocks of bounded size;
-   only links that join components leave a task.  So every linked pair that shares a bucket ends in one
+   most, at the cost of one count of shingles.  What remains is compared in blocks of bounded size, where bins with
+   different least hashes bound the difference of two sets from below (`_least_of_bins`): exact as well, so no link
+   is lost.  Only links that join components leave a task.  So every linked pair that shares a bucket ends in one
    component; at similarity 0.8, with 32 bands of 4 rows, a pair shares none with a probability of about 5e-8.
 
 Nothing is capped: a bucket of any size is a join that Spark may split, and blocks of bounded size.
@@ -23,7 +24,9 @@ Nothing is capped: a bucket of any size is a join that Spark may split, and bloc
 Defined cases: null or blank texts have an empty set and are linked with nothing; with fewer than n
 words the whole sequence is one shingle; repeated rows (with equal doc_id too) are each returned;
 rows with a null doc_id are grouped, but a group's smallest doc_id is a known one if there is any;
-an empty table gives an empty result.
+an empty table gives an empty result; other columns are not looked at (`near_duplicates`) or carried, numbered on
+the way, so that no name can clash (`keep_one`).  A very long text is hashed in pieces of 1 MB, but its hashes, 8
+bytes a word, are held at once.
 """
 
 from __future__ import annotations
@@ -35,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, settle, settle_table, tidy
+from .common import dealt_anew, numbered_columns, settle, settle_table, tidy
 from .components import connected_components
 
 BASE = 0x9E3779B97F4A7C55
 PIECE = 1 << 20
-SURE = 64
+#: The most bins of a set that are compared before the set itself is.
+MOST_BINS = 4096
 #: A gathering of sets is dealt over so many parts where its rows meet facts about it.
 PARTS = 16
 
@@ -138,7 +142,7 @@ def _digest(u: np.ndarray) -> bytes:
 
 
 def _sketcher(n: int, bands: int, rows: int, with_sets: bool):
-    """(doc_id, text, text_hash) batches -> doc_id, text_hash, n, digest, bands or, with sets, n, digest, set, sig."""
+    """(doc_id, text, text_hash) batches -> doc_id, text_hash, n, digest, bands or, with sets, n, digest, set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, probe = _make_powers(), probes(bands * rows)
@@ -146,15 +150,12 @@ def _sketcher(n: int, bands: int, rows: int, with_sets: bool):
             for batch in batches:
                 sets = [shingle_set(t, n, powers) for t in batch.column(1).to_pylist()]
                 some = [u for u in sets if len(u)]
-                sig = one_permutation(some, bands * rows, probe)
                 sizes = pa.array([len(u) for u in sets], pa.int64())
                 digests = pa.array([_digest(u) if len(u) else None for u in sets], pa.binary())
                 if with_sets:
-                    short = iter((sig & np.uint64(0xFFFF)).astype(np.uint16))
-                    cols = [sizes, digests, pa.array([u.tobytes() for u in sets], pa.binary()), pa.array([next(short).tobytes() if len(u) else None for u in sets], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["n", "digest", "set", "sig"])
+                    yield pa.RecordBatch.from_arrays([sizes, digests, pa.array([u.tobytes() for u in sets], pa.binary())], ["n", "digest", "set"])
                 else:
-                    keys = iter(band_keys(sig, bands, rows).tolist())
+                    keys = iter(band_keys(one_permutation(some, bands * rows, probe), bands, rows).tolist())
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, digests, pa.array([next(keys) if len(u) else None for u in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "digest", "bands"])
 
     return run
@@ -232,19 +233,30 @@ def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int")).join(copies, ["main", "part"]).drop("part")
 
 
-def _block_links(percent: int, bins: int):
+def _least_of_bins(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """15 bits of the least hash in each of 2 ** bits bins of each set, 0 for an empty bin.
+
+    Where two sets differ in a bin, its least hash of both is in one of them only: as many bins as differ, as many
+    hashes at least have two sets not in common.
+    """
+    out = np.zeros((len(sets), 1 << bits), np.uint16)
+    for i, u in enumerate(sets):
+        at = (u >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out[i, at[first]] = (u[first] & np.uint64(0x7FFF)) * np.uint64(2) + np.uint64(1)
+    return out
+
+
+def _block_links(percent: int):
     """One (main component, block of outsiders, block of all): components that a link joins and no other has yet.
 
-    Pairs are tried in the order of their signatures' estimate, between sets of SURE shingles and more down to
-    5 standard deviations below the threshold; smaller sets, whose bins aren't independent, are all compared.
+    Linked sets of n and m hashes differ in (100 - p) / (100 + p) of n + m hashes at most; pairs of which the bins
+    differ in more are no links.  Others are compared, in order of the bins that differ.
     """
-    t = percent / 100
-    least = bins * t - 5 * (bins * t * (1 - t)) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
-        d = table.select(["outsider", "digest", "component"]).to_pydict()
+        d = table.select(["outsider", "component"]).to_pydict()
         n, reach = table.column("n").to_numpy(), table.column("reach").to_numpy()
-        packed, sigs = table.column("set"), table.column("sig")
         out = [i for i, x in enumerate(d["outsider"]) if x]
         members = np.array([i for i, x in enumerate(d["outsider"]) if not x], np.int64)
         parent: dict[bytes, bytes] = {}
@@ -254,21 +266,18 @@ def _block_links(percent: int, bins: int):
                 x = parent[x]
             return x
 
-        def of(column, i: int, kind) -> np.ndarray:
-            return np.frombuffer(column[int(i)].as_buffer(), kind)
-
         links: tuple[list, list] = ([], [])
         if out and len(members):
-            sig = np.stack([of(sigs, i, np.uint16) for i in members])
-            small = n[members] < SURE
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+            least = _least_of_bins(sets, min(MOST_BINS, 4 * int(n.max())).bit_length() - 1)
+            own = least[members]
             for i in out:
-                alike = (sig == of(sigs, i, np.uint16)).sum(1)
-                near = (alike >= least) | small | (n[i] < SURE)
-                near = np.flatnonzero(near & (n[members] <= reach[i]) & (reach[members] >= n[i]))
-                mine = of(packed, i, np.uint64)
-                for m in members[near[np.argsort(-alike[near], kind="stable")]]:
+                differ = (own != least[i]).sum(1)
+                near = (n[members] <= reach[i]) & (reach[members] >= n[i]) & ((100 + percent) * differ <= (100 - percent) * (n[members] + n[i]))
+                near = np.flatnonzero(near)
+                for m in members[near[np.argsort(differ[near], kind="stable")]]:
                     a, b = find(d["component"][i]), find(d["component"][m])
-                    if a != b and _linked(mine, of(packed, m, np.uint64), percent):
+                    if a != b and _linked(sets[i], sets[m], percent):
                         parent[a] = b
                         links[0].append(d["component"][i])
                         links[1].append(d["component"][m])
@@ -297,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = settle_table(members.select("digest").distinct().join(classes, "digest").select("digest", "doc_id"))
 
     source = texts.join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = source.mapInArrow(tidy(_sketcher(words, bands, rows, True)), "n long, digest binary, set binary, sig binary")
+    sets = source.mapInArrow(tidy(_sketcher(words, bands, rows, True)), "n long, digest binary, set binary")
     sets = settle_table(sets.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
 
     company = members.groupBy("digest").agg(F.sum("members").alias("company"))
@@ -319,8 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slot = F.xxhash64("digest")
     as_member = around.withColumn("outsider", F.lit(False)).select("*", F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("i"), F.pmod(slot, "all_blocks").cast("int").alias("j"))
     as_out = around.where("outsider").select("*", F.pmod(slot, "out_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"))
-    met = as_member.union(as_out).select("main", "i", "j", "outsider", "digest", "component", "n", "reach").join(sets.select("digest", "set", "sig"), "digest")
-    more = met.groupBy("main", "i", "j").applyInArrow(_block_links(percent, bands * rows), "u binary, v binary")
+    met = as_member.union(as_out).select("main", "i", "j", "outsider", "digest", "component", "n", "reach").join(sets.select("digest", "set"), "digest")
+    more = met.groupBy("main", "i", "j").applyInArrow(_block_links(percent), "u binary, v binary")
     # components are nodes now, of which these links join few
     joined = connected_components(more).select(F.col("node").alias("joined"), F.col("component").alias("whole"))
 
@@ -347,17 +356,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     row with one, and of several such rows of a group one stays.  Rows with one doc_id but different
     texts are judged each by its text.
     """
-    key = F.col(id_col)
+    names = docs.columns
+    docs, key, text = numbered_columns(docs), F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
     if docs.where(key.isNull()).limit(1).count():
-        after = (docs.agg(F.max(id_col)).first()[0] or 0) + 1
-        docs_keyed = settle_table(docs.withColumn("near_key", F.coalesce(key, F.lit(after) + F.monotonically_increasing_id())))
+        after = (docs.agg(F.max(key)).first()[0] or 0) + 1
+        keyed = settle_table(docs.withColumn("near_key", F.coalesce(key, F.lit(after) + F.monotonically_increasing_id())))
     else:
-        docs_keyed = docs.withColumn("near_key", key)
-    docs_keyed = docs_keyed.withColumn("near_hash", F.xxhash64(F.col(text_col)))
-    found = near_duplicates(docs_keyed, id_col="near_key", text_col=text_col, **params)
+        keyed = docs.withColumn("near_key", key)
+    keyed = keyed.withColumn("near_hash", F.xxhash64(text))
+    found = near_duplicates(keyed.select("near_key", text.alias("text")), id_col="near_key", **params)
     lost = found.where("not kept").select(F.col("doc_id").alias("near_lost"), F.col("text_hash").alias("near_text")).distinct()
-    left = docs_keyed.join(lost, (F.col("near_key") == F.col("near_lost")) & (F.col("near_hash") == F.col("near_text")), "left_anti")
-    return left.dropDuplicates(["near_key", "near_hash"]).select(*[F.col(c) for c in docs.columns])
+    left = keyed.join(lost, (F.col("near_key") == F.col("near_lost")) & (F.col("near_hash") == F.col("near_text")), "left_anti")
+    return left.dropDuplicates(["near_key", "near_hash"]).select(*docs.columns).toDF(*names)
 
 
 #: What near_duplicates gives for two-word shingles, by comparing every pair of texts that share a shingle.

@@ -18,7 +18,7 @@ last in order; documents are seeded by id and text, a null doc_id counting as th
 neither rows without an id nor those of one id share a shard; rows that are alike follow one another in
 their shard, and which is which makes no difference; repeated rows are documents of their own;
 an empty table gives an empty result.  Extra columns of the input are ignored (`mix_plan`) or carried
-(`mix_texts`); the operator's own columns start with `mix_`, so that none can clash.
+(`mix_texts`, numbered on the way, so that none can clash); very long texts are one row, taken in runs of words like others.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, settle
+from .common import WORD, numbered_columns, settle
 
 CELLS = 1 << 20
 #: Sources, a row of a few numbers each, are broadcast up to this many; beyond it they are joined by a shuffle.
@@ -81,7 +81,12 @@ def sainte_lague(parties: DataFrame, group: Sequence[str], key: str, votes: str,
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, block: int = 16, shard_docs: int = 4096, seed: int = 7) -> DataFrame:
-    """docs with mix_size and the OUT columns: whole passes, and up to two runs of words of one more pass."""
+    """docs with mix_size and the OUT columns: whole passes, and up to two runs of words of one more pass.
+
+    No column of docs may start with `mix_`, as these are the operator's own (a ValueError).
+    """
+    if any(c.lower().startswith("mix_") for c in docs.columns):
+        raise ValueError("columns that start with mix_ would clash")
     sized = docs.withColumns({
         "mix_source": F.col(source_col),
         "mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
@@ -126,8 +131,8 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix_plan(docs: DataFrame, **params) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken and the passes and word runs behind it."""
     ids = {k: params.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
-    rows = mix_rows(docs.select(*dict.fromkeys(ids.values())), **params)
-    return rows.select(F.col(ids["id_col"]).alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_base").alias("whole_passes"), (F.col("mix_len1") + F.col("mix_len2")).alias("part_words"))
+    rows = mix_rows(docs.select(*[F.col(c).alias(k) for k, c in ids.items()]), **params | {k: k for k in ids})
+    return rows.select(F.col("id_col").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_base").alias("whole_passes"), (F.col("mix_len1") + F.col("mix_len2")).alias("part_words"))
 
 
 def mix_texts(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
@@ -136,16 +141,22 @@ def mix_texts(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
     Same columns as docs; a document of which nothing is taken is absent.  Partly taken words are
     joined by one space; n_chars, where docs has it, follows the text.
     """
-    rows = mix_rows(docs, text_col=text_col, **params)
-    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cols = docs.columns
+    at = {k: f"c{cols.index(params.pop(k, d))}" for k, d in (("id_col", "doc_id"), ("source_col", "source"))}
+    text = f"c{cols.index(text_col)}"
+    rows = mix_rows(numbered_columns(docs), text_col=text, **at, **params)
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.concat(F.slice(words, (F.col("mix_from2") + 1).cast("int"), F.col("mix_len2").cast("int")), F.slice(words, (F.col("mix_from1") + 1).cast("int"), F.col("mix_len1").cast("int")))
     extra = F.col("mix_len1") + F.col("mix_len2")
     whole = F.col("mix_base") + (extra == F.col("mix_size")).cast("int")
     parts = F.when((extra > 0) & (extra < F.col("mix_size")), F.array(F.array_join(part, " "))).otherwise(F.array().cast("array<string>"))
-    copies = F.concat(F.array_repeat(F.col(text_col), F.when(F.col("mix_size") > 0, whole).otherwise(0).cast("int")), parts)
+    copies = F.concat(F.array_repeat(F.col(text), F.when(F.col("mix_size") > 0, whole).otherwise(0).cast("int")), parts)
     out = rows.withColumn("mix_text", F.explode(copies))
-    new = {text_col: F.col("mix_text")} | ({"n_chars": F.char_length("mix_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {text: F.col("mix_text")}
+    if "n_chars" in cols:
+        n = f"c{cols.index('n_chars')}"
+        new[n] = F.char_length("mix_text").cast(dict(rows.dtypes)[n])
+    return out.select(*[new.get(f"c{i}", F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)])
 
 
 #: What mix_plan gives with its defaults, with every quotient made and ranked.

@@ -15,8 +15,9 @@ are cut, from a table of bounded size.  So a passage in a third of all documents
 
 Defined cases: null texts stay null and have no sentence; texts without a letter or digit have no
 span; rows with the same doc_id and text are one document, each of which gets the same result; a null
-doc_id comes after the others; an empty table gives an empty result; other columns are carried, and
-the operator's own start with `span_`.
+doc_id comes after the others; an empty table gives an empty result; other columns are carried,
+numbered on the way, so that no name can clash; the names of the two result columns are parameters, and a
+clash with these is a ValueError.  A very long text is one row, of which a task holds the words and digests.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import settle_table, tidy
+from .common import numbered_columns, settle_table, tidy
 
 SENTENCE = re.compile(r"[^.!?\n]*+[.!?\n]+[\W_]*|[^.!?\n]+")
 CLAUSE = re.compile(r"[^,;:]*+[,;:]+[\W_]*|[^,;:]+")
@@ -189,13 +190,16 @@ def _cut(n_cols: int, text_at: int, sentences: int, words: int, hot):
     return run
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 16, hot_from: int = 256, hot_most: int = 20_000, sample: int = 32) -> DataFrame:
-    """docs with repeated sentences cut from text_col, and span_sentences, span_removed (numbers of sentences).
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 16, hot_from: int = 256, hot_most: int = 20_000, sample: int = 32, sentences_col: str = "span_sentences", removed_col: str = "span_removed") -> DataFrame:
+    """docs with repeated sentences cut from text_col, and sentences_col, removed_col (numbers of sentences).
 
     The commonest spans, at most hot_most of those that the sample has in a proportion of hot_from occurrences
     or more, are sent to all tasks with their first occurrence. Which way a span goes doesn't change the result.
     """
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    if len({c.lower() for c in (*names, sentences_col, removed_col)}) < len(names) + 2:
+        raise ValueError("column names must differ")
+    id_col, text_col, docs = f"c{names.index(id_col)}", f"c{names.index(text_col)}", numbered_columns(docs)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = dict(keyed.dtypes)["doc_id"]
     some = keyed.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(sample)) == 0).select("text").mapInArrow(tidy(_hashes(sentences, words)), "h long")
@@ -215,4 +219,4 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["int", "int"]
     fields = ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))
     cut = _cut(len(cols), cols.index(text_col), sentences, words, spark.sparkContext.broadcast(hot))
-    return rows.mapInArrow(tidy(cut), fields).toDF(*cols, "span_sentences", "span_removed")
+    return rows.mapInArrow(tidy(cut), fields).toDF(*names, sentences_col, removed_col)
