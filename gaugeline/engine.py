@@ -106,6 +106,12 @@ class Meter:
         self.store.append(ingest.from_frame(df, kind, self.shared, allow_negative, self._now()), kind)
         return True
 
+    def add_valid(self, df: DataFrame, kind: str, allow_negative: bool = False) -> DataFrame:
+        """Append the rows that break no rule; the others come back with the rule in the column `refused`, for the caller to write or show."""
+        judged = df.withColumn("refused", ingest.refusals(df, kind, self.shared, allow_negative))
+        self.add_frame(judged.where("refused is null").drop("refused"), kind, allow_negative)
+        return judged.where("refused is not null")
+
     def accumulator(self) -> ingest.Accumulator:
         return ingest.Accumulator(self)
 

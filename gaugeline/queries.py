@@ -172,7 +172,13 @@ _add("samples_gaps", f"{_CANON} SELECT coalesce(before, first - 1) + 1 AS gap_fi
 _add("samples_discontinuities", f"{_CANON} SELECT sequence FROM ok, r WHERE intervalStart <> coalesce(ended, a) OR (following IS NULL AND intervalEnd <> z)", lambda s, d: _good(s, d, lambda rows, first, last, start, end: samples.discontinuities(rows, start, end)))
 
 
-_add("bulk_synthetic_topn", "WITH b AS (SELECT '/v1/p' || (i % 1000) AS path, i % 1000 + 1 AS value, timestamp '2026-06-01' + to_seconds((i * 104729) % 2592000) AS time FROM range(200000) r(i)) SELECT 'requests' AS metric, CAST(sum(value) AS BIGINT) AS value, path, 'event' AS type FROM b WHERE time >= timestamp '2026-06-03 10:20:30' AND time < timestamp '2026-06-20' GROUP BY path ORDER BY value DESC, path LIMIT 25", lambda s, d: Meter(Frames(e := synthetic.events(s, 200_000, datetime(2026, 6, 1)), e)).find_df("1", [q.group_by("path"), q.greater_than_equal("time", "2026-06-03 10:20:30"), q.less_than("time", "2026-06-20"), q.limit(25)], "event"))
+def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top paths of twenty times the events, each copy eleven hours later."""
+    rows = synthetic.multiplied(canonical.events(spark, sf_dir), 20, 39600)
+    return Meter(Frames(rows, rows)).find_across_tenants_df([q.group_by("path"), q.greater_than_equal("time", "2024-01-05 10:20:30"), q.less_than("time", "2024-01-27"), q.limit(25)], "event")
+
+
+_add("bulk_synthetic_topn", "SELECT metric, CAST(sum(value + k) AS BIGINT) AS value, path, 'event' AS type FROM ev, range(20) r(k) WHERE time + to_seconds(k * 39600) >= timestamp '2024-01-05 10:20:30' AND time + to_seconds(k * 39600) < timestamp '2024-01-27' GROUP BY metric, path ORDER BY value DESC, metric, path LIMIT 25", _bulk)
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> Meter:

@@ -1,4 +1,4 @@
-"""A bulk source of events for load tests: any number of rows over 30 days, made by the executors."""
+"""Bulk sources of events for load tests: any number of rows over 30 days, or a table's rows many times; made by the executors."""
 
 from __future__ import annotations
 
@@ -19,3 +19,13 @@ def events(spark: SparkSession, rows: int, start: datetime, tenant: str = "1", m
     dims = [F.concat(F.lit(prefix), ((i * stride) % n).cast("string")).alias(name) for name, prefix, n, stride in SHAPE]
     at = (literal("time", start).cast("timestamp").cast("long") + (i * 104729) % SECONDS).cast("timestamp").cast("timestamp_ntz")
     return spark.range(rows).select(F.col("id").alias("i")).select(i.cast("string").alias("id"), F.lit(metric).alias("metric"), (i % 1000 + 1).alias("value"), at.alias("time"), F.lit(tenant).alias("tenant"), *dims)
+
+
+def multiplied(events: DataFrame, times: int, step_seconds: int) -> DataFrame:
+    """Every event so many times: copy k has the id's `id-k`, comes k steps later and is worth k more."""
+    rows = events.withColumn("k_", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return rows.withColumns({
+        "id": F.concat("id", F.lit("-"), F.col("k_").cast("string")),
+        "time": F.timestamp_add("SECOND", F.col("k_") * step_seconds, "time"),
+        "value": F.col("value") + F.col("k_"),
+    }).drop("k_")

@@ -1,7 +1,7 @@
 """Registered queries that write, and those that show what is refused, with the SQL that checks them.
 
-Each works on a store of its own in a scratch folder, filled with the whole `events` table where it
-reads one.  Driver-side calls (batches, the accumulator, totals as a dict) have small fixed inputs.
+Each works on a store of its own in a scratch folder, filled from the `events` table.  Calls that a client makes
+from the driver (batches, the accumulator) take the rows of the table's last hour, as a client would send them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,18 +84,50 @@ def registered(ev_sql: str, sm_sql: str, low: str, high: str, window: list, now:
     def summed(m: Meter) -> DataFrame:
         return m.store.read("events").groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
-    contract = [
-        {"tenant": "1", "metric": "requests", "value": 100, "time": "2026-06-01 10:00", "tags": {"region": "US-EAST", "path": "/a", "status": 200, "resourceId": "p1"}},
-        {"tenant": "1", "metric": "requests", "value": 150, "time": "2026-06-01T13:00:00+02:00", "tags": {"region": "us-west", "path": "/b", "status": 201, "resourceId": "d1"}},
-        {"tenant": "1", "metric": "bandwidth", "value": 5000, "tags": {"region": "", "ordinal": 10}},
-        {"tenant": "2", "metric": "requests", "value": -7, "allow_negative": True, "tags": {"path": 'cache%hit "x"\n🙂'}},
-    ]
+    last_hour_sql = "time >= date_trunc('hour', (SELECT max(time) FROM ev))"
 
-    @add(values("('1','requests',100,timestamp '2026-06-01 10:00:00','us-east','/a','200',NULL),('1','requests',150,timestamp '2026-06-01 11:00:00','us-west','/b','201',NULL),('1','bandwidth',5000,timestamp '2026-06-20 12:00:00',NULL,NULL,NULL,'10'),('2','requests',-7,timestamp '2026-06-20 12:00:00',NULL,'cache%hit \"x\"\n🙂',NULL,NULL)", "tenant, metric, value, time, region, path, status, ordinal").replace("100,time", "100::BIGINT,time"))
+    def last_hour(spark, sf_dir) -> list[dict]:
+        ev = canonical.events(spark, sf_dir)
+        start = ev.agg(F.date_trunc("hour", F.max("time")).cast("timestamp_ntz").alias("t"))
+        return [r.asDict() for r in ev.join(F.broadcast(start), F.col("time") >= F.col("t")).orderBy("time", "id").collect()]
+
+    @add(f"SELECT tenant, metric, value, time, country, path, status, NULLIF(service, 'svc-3') AS service, ordinal FROM ev WHERE {last_hour_sql}")
     def ingest_batch(spark, sf_dir):
-        m = empty(spark)
-        m.add_batch(contract, "event", 2)
-        return m.find_across_tenants_df([], "event").select("tenant", "metric", "value", "time", "region", "path", "status", "ordinal")
+        """Times as text, every other one with an offset; tags in upper case, as numbers, and empty."""
+        m, batch = empty(spark), []
+        for r in last_hour(spark, sf_dir):
+            odd = int(r["id"]) % 2
+            time = (r["time"] + timedelta(hours=2)).isoformat() + "+02:00" if odd else r["time"].isoformat(sep=" ")
+            tags = {"country": r["country"] and r["country"].upper(), "path": r["path"], "status": int(r["status"]), "service": "" if r["service"] == "svc-3" else r["service"], "ordinal": float(r["ordinal"])}
+            batch.append({"tenant": r["tenant"], "metric": r["metric"], "value": r["value"], "time": time, "tags": tags})
+        m.add_batch(batch, "event", 2)
+        return m.find_across_tenants_df([], "event").select("tenant", "metric", "value", "time", "country", "path", "status", "service", "ordinal")
+
+    flaws = "CASE CAST(id AS BIGINT) % 20 WHEN 0 THEN 'metric is missing or empty' WHEN 1 THEN 'metric is missing or empty' WHEN 2 THEN 'metric exceeds 255 bytes' WHEN 3 THEN 'value is missing' WHEN 4 THEN 'value is negative' WHEN 5 THEN 'tenant is missing or empty' WHEN 6 THEN 'time is none' WHEN 7 THEN 'country exceeds 2 bytes' WHEN 8 THEN 'method exceeds 16 bytes' END"
+
+    @add(f"SELECT refused, count(*) AS n, CAST(sum(CAST(resourceId[2:] AS BIGINT)) AS BIGINT) AS r FROM (SELECT *, {flaws} AS refused FROM ev) GROUP BY refused")
+    def ingest_refusals(spark, sf_dir):
+        """Of events with all sorts of flaws, the sound ones are written and the others come back, each with its reason."""
+        flaw, m = F.col("id").cast("bigint") % 20, empty(spark)
+
+        def flawed(name: str, **by):
+            out = F.col(name)
+            for k, v in by.items():
+                out = F.when(flaw == int(k[1:]), v).otherwise(out)
+            return out.alias(name)
+
+        rows = canonical.events(spark, sf_dir).select(
+            flawed("metric", _0=F.lit(""), _1=F.lit(None), _2=F.repeat(F.lit("m"), 256)),
+            flawed("value", _3=F.lit(None), _4=-F.col("value") - 1),
+            flawed("tenant", _5=F.lit("")),
+            F.when(flaw == 6, F.lit("soon")).otherwise(F.col("time").cast("string")).alias("time"),
+            flawed("country", _7=F.lit("deu")),
+            flawed("method", _8=F.repeat(F.lit("v"), 17)),
+            "resourceId",
+        )
+        refused = m.add_valid(rows, "event").select("refused", "resourceId")
+        kept = m.store.read("events").select(F.lit(None).cast("string").alias("refused"), "resourceId")
+        return refused.union(kept).groupBy("refused").agg(F.count(F.lit(1)).alias("n"), F.sum(F.substring("resourceId", 2, 9).cast("bigint")).alias("r"))
 
     @add(by_metric.format(where=""))
     def ingest_frame(spark, sf_dir):
@@ -115,14 +147,26 @@ def registered(ev_sql: str, sm_sql: str, low: str, high: str, window: list, now:
     def accumulator_fold(spark, sf_dir):
         return ingest.fold(canonical.events(spark, sf_dir).select("tenant", "metric", "service", "value", "time", "id"))
 
-    @add(values("('1','m',-2::BIGINT,timestamp '2026-06-01 12:00:00','event'),('a','b:c',1,timestamp '2026-06-20 12:00:00','event'),('a:b','c',1,timestamp '2026-06-20 12:00:00','event'),('1','g',2,timestamp '2026-06-20 12:00:00','gauge')", "tenant, metric, value, time, type"))
+    both_types = "SELECT tenant, metric, service, CAST(sum(value) AS BIGINT) AS value, min(time) AS time, {more} 'event' AS type FROM ev {where} GROUP BY tenant, metric, service UNION ALL SELECT tenant, metric, service, arg_max(value, (time, id)), max(time), {last} 'gauge' FROM ev {where} GROUP BY tenant, metric, service"
+
+    @add(both_types.format(where="", more="bool_or(CAST(id AS BIGINT) % 7 = 0) AS allow_negative, min(id) AS id,", last="arg_max(CAST(id AS BIGINT) % 7 = 0, (time, id)), min(id),"))
+    def accumulator_fold_types(spark, sf_dir):
+        """Events add up and gauges keep the last call, in one aggregation; the order of arrival is that of (time, id)."""
+        rows = canonical.events(spark, sf_dir).select("tenant", "metric", "service", "value", "time", "id", (F.col("id").cast("bigint") % 7 == 0).alias("allow_negative"), F.struct("time", "id").alias("arrived"))
+        rows = rows.withColumn("type", F.explode(F.array(F.lit("event"), F.lit("gauge"))))
+        return ingest.fold(rows, "arrived")
+
+    @add(both_types.format(where=f"WHERE {last_hour_sql}", more="", last=""))
     def accumulator_flush(spark, sf_dir):
+        """The last hour's events one by one, as events and as gauges."""
         m = empty(spark)
-        a = m.accumulator()
-        a.collect("1", "m", 1, "event", {"path": "/x", "method": "GET"}, datetime(2026, 6, 1, 12, 5)).collect("1", "m", -3, "event", {"method": "GET", "path": "/x"}, datetime(2026, 6, 1, 12), True)
-        a.collect("a", "b:c", 1, "event").collect("a:b", "c", 1, "event").collect("1", "g", 1, "gauge").collect("1", "g", 2, "gauge")
-        assert a.count() == 4 and a.elapsed_seconds() >= 0 and a.flush() and a.count() == 0
-        return m.find_across_tenants_df([]).select("tenant", "metric", "value", "time", "type")
+        a, keys = m.accumulator(), set()
+        for r in last_hour(spark, sf_dir):
+            for kind in ("event", "gauge"):
+                a.collect(r["tenant"], r["metric"], r["value"], kind, {"service": r["service"]}, r["time"])
+                keys.add((r["tenant"], r["metric"], r["service"], kind))
+        assert a.count() == len(keys) and a.elapsed_seconds() >= 0 and a.flush() and a.count() == 0
+        return m.find_across_tenants_df([]).select("tenant", "metric", "service", "value", "time", "type")
 
     @add(by_metric.format(where="WHERE time >= timestamp '2024-01-15 12:00:00'"))
     def retention(spark, sf_dir):
@@ -308,12 +352,14 @@ def registered(ev_sql: str, sm_sql: str, low: str, high: str, window: list, now:
         assert all(r["time"].endswith("+00:00") for r in out)
         return spark.createDataFrame([(r["$id"], r["metric"], r["value"], r["time"][:19], r["type"]) for r in out], "`$id` string, metric string, value long, time string, type string")
 
-    @add(values("(true, true, true)", "healthy, again, samples"))
+    @add("SELECT true AS healthy, true AS again, true AS samples, count(*) AS events, count(*) AS gauges FROM ev")
     def health(spark, sf_dir):
-        m = empty(spark)
+        m = filled(spark, sf_dir, now, gauges=True)
         a = m.health_check()
         m.setup()
-        return spark.createDataFrame([(a["healthy"], m.health_check()["healthy"], a["tables"]["samples"])], "healthy boolean, again boolean, samples boolean")
+        again = m.health_check()
+        rows = m.store.read("events").select(F.lit(1).alias("e"), F.lit(0).alias("g")).union(m.store.read("gauges").select(F.lit(0), F.lit(1)))
+        return rows.agg(F.lit(a["healthy"]).alias("healthy"), F.lit(again["healthy"]).alias("again"), F.lit(again["tables"]["samples"]).alias("samples"), F.sum("e").alias("events"), F.sum("g").alias("gauges"))
 
     # -- the sample ledger through the store
 
@@ -342,23 +388,30 @@ SELECT (SELECT count(*) FROM ok) AS samples, (SELECT count(*) FROM g WHERE varia
         r = m.find_samples(asked, m.get_sample_watermark(asked, 10_000), 10_000)
         return spark.createDataFrame([(len(r.samples), len(r.conflicts), len(r.gaps), len(r.discontinuities), r.duplicate_count, r.truncated, r.complete)], "samples long, conflicts long, gaps long, discontinuities long, duplicates long, truncated boolean, complete boolean")
 
-    @add(values("(3::BIGINT, 2::BIGINT, true, 1::BIGINT, 3::BIGINT, 3::BIGINT)", "samples, duplicates, complete, gaps_later, gap_first, gap_last"))
+    @add(f""", g AS (SELECT sequence, count(*) AS copies, count(DISTINCT (value, intervalStart, intervalEnd)) AS variants FROM ({mine}) GROUP BY sequence)
+SELECT (SELECT CAST(sum(copies) AS BIGINT) FROM g WHERE sequence < 50) AS seen, CAST(sum(copies) AS BIGINT) AS entries, count(*) FILTER (WHERE variants = 1) AS samples, count(*) FILTER (WHERE variants > 1) AS conflicts,
+(SELECT count(*) FROM g WHERE variants = 1 AND sequence < 50) AS samples_then, CAST(sum(greatest(0, copies - greatest(1, variants))) AS BIGINT) AS duplicates FROM g""")
     def samples_added(spark, sf_dir):
-        """Retries are duplicates; what comes after the watermark isn't seen."""
-        m = empty(spark)
-
-        def one(n):
-            return samples.Sample(*stream[:6], n, "cpu", datetime(2026, 8, 1, 0, n), datetime(2026, 8, 1, 0, n + 1), 10, 1)
-
-        def span(last):
-            return samples.SampleRange(*stream, 0, last, datetime(2026, 8, 1), datetime(2026, 8, 1, 0, last + 1))
-
-        m.add_samples([one(0), one(0), one(1), one(2), one(2)])
-        now_ = m.find_samples(span(2), m.get_sample_watermark(span(2), 100), 100)
-        mark = m.get_sample_watermark(span(3), 100)
-        m.add_samples([one(3)])
-        later = m.find_samples(span(3), mark, 100)
-        return spark.createDataFrame([(len(now_.samples), now_.duplicate_count, now_.complete, len(later.gaps), later.gaps[0].first, later.gaps[0].last)], "samples long, duplicates long, complete boolean, gaps_later long, gap_first long, gap_last long")
+        """A stream's samples by the client's call, in two parts: what comes after the watermark isn't seen by it."""
+        m, names = empty(spark), list(samples.Sample.__dataclass_fields__)
+        rows = [samples.Sample(**{n: r[n] for n in names}) for r in samples.in_range(canonical.samples(spark, sf_dir), asked).collect()]
+        m.add_samples([x for x in rows if x.sequence < 50])
+        mark = m.get_sample_watermark(asked, 10_000)
+        m.add_samples([x for x in rows if x.sequence >= 50])
+        then, now_ = m.find_samples(asked, mark, 10_000), m.find_samples(asked, later := m.get_sample_watermark(asked, 10_000), 10_000)
+        return spark.createDataFrame([(len(mark.entries), len(later.entries), len(now_.samples), len(now_.conflicts), len(then.samples), now_.duplicate_count)], "seen long, entries long, samples long, conflicts long, samples_then long, duplicates long")
+
+    @add(""", r AS (SELECT max(sequence) AS last, max(intervalEnd) AS z FROM sm WHERE member = 'm1'),
+g AS (SELECT sequence, count(DISTINCT ingestId) AS copies, count(DISTINCT (value, intervalStart, intervalEnd)) AS variants, min(intervalStart) AS a, min(intervalEnd) AS z FROM sm WHERE member = 'm1' GROUP BY sequence),
+ok AS (SELECT *, lag(sequence, 1, -1) OVER l AS before, lag(z, 1, timestamp '2026-08-01') OVER l AS ended, lead(sequence) OVER l AS following FROM g WHERE variants = 1 WINDOW l AS (ORDER BY sequence))
+SELECT (SELECT count(*) FROM ok) AS samples, (SELECT count(*) FROM g WHERE variants > 1) AS conflicts, (SELECT count(*) FILTER (WHERE before + 1 < sequence) + count(*) FILTER (WHERE following IS NULL AND sequence < (SELECT last FROM r)) FROM ok) AS gaps,
+(SELECT count(*) FROM ok WHERE a <> ended OR (following IS NULL AND z <> (SELECT z FROM r))) AS discontinuities, (SELECT CAST(sum(greatest(0, copies - greatest(1, variants))) AS BIGINT) FROM g) AS duplicates""")
+    def samples_stored_watermark(spark, sf_dir):
+        """A whole stream by way of a watermark that is a table: the driver has its count and digest."""
+        m = ledger(spark, sf_dir)
+        ends = m.store.read("samples").where("member = 'm1'").agg(F.max("sequence"), F.max("intervalEnd")).first()
+        whole = samples.SampleRange(*stream, 0, ends[0], datetime(2026, 8, 1), ends[1])
+        return m.find_sample_frames(whole, m.store_sample_watermark(whole, 1 << 40)).summary()
 
     # -- what is refused
 
@@ -398,7 +451,7 @@ SELECT (SELECT count(*) FROM ok) AS samples, (SELECT count(*) FROM g WHERE varia
         "count: groups": lambda m: m.count("1", [q.group_by("path")]),
         "count: negative most": lambda m: m.count("1", [], "event", -1),
         "sum: another attribute": lambda m: m.sum("1", [], "time"),
-        "total: of both types": lambda m: (m.add_batch([row()], "event"), m.add_batch([row()], "gauge"), m.get_total("1", "m")),
+        "total: of both types": lambda m: m.get_total("1", "click"),
         "cursor: without a type": lambda m: m.find("1", [q.cursor_after({"id": "1"})]),
         "cursor: of groups": lambda m: m.find("1", [q.group_by("path"), q.cursor_after({"id": "1"})], "event"),
         "cursor: lacks a value": lambda m: m.find("1", [q.order_asc("time"), q.cursor_after({"id": "1"})], "event"),
@@ -420,16 +473,18 @@ SELECT (SELECT count(*) FROM ok) AS samples, (SELECT count(*) FROM g WHERE varia
         "sample: watermark of another range": lambda m: m.find_samples(asked, samples.SampleWatermark(samples.SampleRange(*stream, 0, 1, datetime(2026, 8, 1), datetime(2026, 8, 1, 1, 40)), (), False), 5),
     }
 
-    @add(values(", ".join(f"('{c}', true)" for c in cases), '"case", refused'))
+    @add(f"SELECT c.\"case\", true AS refused, metric, n FROM ({values(', '.join(f"('{c}')" for c in cases), '"case"')}) c, (SELECT metric, count(*) AS n FROM ev GROUP BY metric) e")
     def refused(spark, sf_dir):
-        m, out = empty(spark), []
+        """Every case is tried on a store of the events, and leaves its metrics as they were."""
+        m, out = filled(spark, sf_dir, now, gauges=True), []
         for name, f in cases.items():
             try:
                 f(m)
                 out.append((name, False))
             except (ValueError, TypeError):
                 out.append((name, True))
-        assert m.count("1") == 2  # of all batches, only the two good ones of the ambiguous metric
-        return spark.createDataFrame(out, "case string, refused boolean")
+        counts = m.store.read("events").groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+        tried = F.explode(F.array(*[F.struct(F.lit(name).alias("case"), F.lit(no).alias("refused")) for name, no in out]))
+        return counts.select("metric", "n", tried.alias("c")).select("c.case", "c.refused", "metric", "n")
 
     return made, sql
