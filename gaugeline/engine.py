@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from . import schema
 from .functions.predicates import all_of, check_tenant
@@ -20,17 +21,19 @@ from .plans import query as q
 from .plans import router
 from .sources.store import Store
 from .sources.tables import Frames, of_store
+from .streaming.sink import stream_into
 
 
 class Meter:
     """Reads from a store or from Frames; writes need a store.
 
     `now` is a clock (UTC, naive) that tests may fix. `sample_rate` is the share of routed sums that are
-    compared with the raw scan.
+    compared with the raw scan. With `by_cost` a rollup is read only where that takes fewer rows than the raw scan, by
+    the store's counts (or the Frames' `rows`); without it, wherever one answers.
     """
 
-    def __init__(self, source: Store | Frames, shared: bool = True, now=None, sample_rate: float = 0.0):
-        self._source, self.shared, self.sample_rate = source, shared, sample_rate
+    def __init__(self, source: Store | Frames, shared: bool = True, now=None, sample_rate: float = 0.0, by_cost: bool = False):
+        self._source, self.shared, self.sample_rate, self.by_cost = source, shared, sample_rate, by_cost
         self._now = now or (lambda: datetime.now(UTC).replace(tzinfo=None))
         self._log: deque[dict[str, Any]] = deque(maxlen=1000)
         self._next_id: str | None = None
@@ -45,7 +48,7 @@ class Meter:
         return self._source
 
     def tables(self) -> Frames:
-        return of_store(self._source) if isinstance(self._source, Store) else self._source
+        return of_store(self._source, self.by_cost) if isinstance(self._source, Store) else self._source
 
     def setup(self, retention_days: int | None = None) -> None:
         """Create the tables and make the events' retention what is asked for; None strips it."""
@@ -112,6 +115,10 @@ class Meter:
         self.add_frame(judged.where("refused is null").drop("refused"), kind, allow_negative)
         return judged.where("refused is not null")
 
+    def add_stream(self, rows: DataFrame, kind: str, checkpoint: str, allow_negative: bool = False, trigger: dict | None = None) -> StreamingQuery:
+        """Append a streaming DataFrame, batch by batch, each of them checked and written once; rollups follow at once."""
+        return stream_into(self.store, rows, kind, checkpoint, lambda batch: ingest.from_frame(batch, kind, self.shared, allow_negative, self._now()), trigger)
+
     def accumulator(self) -> ingest.Accumulator:
         return ingest.Accumulator(self)
 
@@ -191,7 +198,10 @@ class Meter:
             self._note("find", "latest", kind)
             return reads.find_grouped(t.latest[slate], kind, tenant, spec)
         route = router.hourly_route(spec, kind, list(t.hourly))
-        self._note("find", route.label, kind)
+        rows = None
+        if self.by_cost and kind == schema.EVENT:
+            route, rows = router.cheapest(route, spec, t.rows, f"events_hourly_{route.dim}")
+        self._note("find", route.label, kind, rows)
         return router.routed_groups(route, kind, tenant, spec, t.raw(kind), t.hourly)
 
     def count(self, tenant: str | None, queries: Iterable[q.Query] = (), kind: str | None = None, most: int | None = None) -> int:
@@ -226,8 +236,10 @@ class Meter:
         return router.routed_sum(route, tenant, spec, t.events, t.events_daily)
 
     def _sum_route(self, spec: q.Spec, t: Frames) -> router.Route:
-        route = router.Route("raw") if t.events_daily is None else router.sum_route(spec, self._now(), t.uncovered)
-        self._note("sum", route.label, schema.EVENT)
+        route, rows = router.Route("raw") if t.events_daily is None else router.sum_route(spec, self._now(), t.uncovered), None
+        if self.by_cost:
+            route, rows = router.cheapest(route, spec, t.rows, "events_daily")
+        self._note("sum", route.label, schema.EVENT, rows)
         return route
 
     def _routed_sum(self, tenant: str | None, spec: q.Spec, t: Frames) -> int:
@@ -238,8 +250,8 @@ class Meter:
             self._log.append({"operation": "sample", "routed": got, "raw": raw, "off": abs(got - raw) > 0.01 * max(abs(raw), 1)})
         return got
 
-    def _note(self, operation: str, label: str, kind: str) -> None:
-        self._log.append({"operation": operation, "route": label, "type": kind, "at": self._now()})
+    def _note(self, operation: str, label: str, kind: str, rows: float | None = None) -> None:
+        self._log.append({"operation": operation, "route": label, "type": kind, "at": self._now()} | ({} if rows is None else {"rows": round(rows)}))
 
     def get_total(self, tenant: str | None, metric: str, queries: Iterable[q.Query] = (), kind: str | None = None) -> int:
         return self.get_total_batch(tenant, [metric], queries, kind)[metric]

@@ -1,13 +1,14 @@
 """Choosing what answers a sum or a grouped read: raw rows, a rollup, or both around a window's edges.
 
-The raw scan defines the result; every route returns the same.
+The raw scan defines the result; every route returns the same.  Where the tables' rows by month are known, the
+route is the one that has fewest rows to read, with a fixed cost for each piece that is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..operators import reads
 from . import window as win
 from .query import Query, Spec
 
+#: What one more scan costs, in rows of one: a scan of some hundred thousand rows takes as long as starting it.
+PIECE_ROWS = 500_000
 DAILY_FILTERS = {"metric", "tenant", *schema.DAILY_DIMS}
 
 
@@ -28,6 +31,36 @@ class Route:
     dim: str | None = None
 
 
+def rows_within(counts: Mapping[str, int], w: win.Window) -> float:
+    """About how many of a table's rows are in the window, taking a month's rows for evenly spread."""
+    total = 0.0
+    for month, n in counts.items():
+        lo = datetime.fromisoformat(f"{month}-01")
+        hi = (lo + timedelta(days=32)).replace(day=1)
+        inside = min(hi, w.hi or hi) - max(lo, w.lo or lo)
+        total += n * max(0.0, inside / (hi - lo))
+    return total
+
+
+def cost(route: Route, window: win.Window, rows: Mapping[str, Mapping[str, int]], rollup: str) -> tuple[float, float]:
+    """(rows to read by the route, rows to read raw), each with its pieces' fixed cost."""
+    raw = rows.get("events", {})
+    plain = PIECE_ROWS + rows_within(raw, window)
+    if route.cover is None:
+        return plain, plain
+    pieces = 1 + len(route.cover.edges)
+    return PIECE_ROWS * pieces + rows_within(rows.get(rollup, {}), route.cover.interior) + sum(rows_within(raw, e) for e in route.cover.edges), plain
+
+
+def cheapest(route: Route, spec: Spec, rows: Mapping[str, Mapping[str, int]], rollup: str) -> tuple[Route, float | None]:
+    """The route, or raw where that reads less, and the rows to be read; unknown rows leave the route as it is."""
+    reduced = win.reduce_window(spec.filters)
+    if not rows or reduced is None:
+        return route, None
+    routed, plain = cost(route, reduced[0], rows, rollup)
+    return (route, routed) if routed < plain else (Route("raw"), plain)
+
+
 def sum_route(spec: Spec, now: datetime, uncovered_days=frozenset()) -> Route:
     """Raw, or the daily rollup for the whole days before today that the window holds."""
     reduced = win.reduce_window(spec.filters)

@@ -14,6 +14,7 @@ from .sources import canonical, synthetic
 from .sources.canonical import EV_SQL, SM_SQL
 from .sources.tables import Frames
 from .streaming.rollup import read_daily, stream_daily
+from .written import empty as filled_none
 from .written import filled, registered, scratch
 
 LO, HI = "2024-01-03 10:37:21.456", "2024-01-20 04:14:03.789"
@@ -209,9 +210,22 @@ def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_daily(spark, f"{at}/daily").select("metric", "value", "time", "tenant", "resourceType", "resourceId")
 
 
+def stream_into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams the events into a store with an hourly rollup, then reads services by way of it."""
+    at, m = scratch(spark), filled_none(spark, NOW)
+    m.store.declare_hourly("service")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    rows = files.selectExpr(*canonical._columns(canonical.EV)).drop("id")
+    for _ in range(2):  # the second start finds nothing new
+        m.add_stream(rows, "event", f"{at}/checkpoint").awaitTermination()
+    return m.find_across_tenants_df([q.group_by("service"), *WINDOW], "event")
+
+
 _DAILY_ALL = "SELECT metric, CAST(sum(value) AS BIGINT) AS value, CAST(date_trunc('day', time) AS TIMESTAMP) AS time, tenant, resourceType, resourceId FROM ev {where} GROUP BY ALL"
 _add("purge_then_sum", f"SELECT CAST(sum(value) AS BIGINT) AS total FROM ev WHERE tenant = '3' AND time >= timestamp '2024-01-02' AND time < timestamp '2024-01-22' AND NOT (metric = 'click' AND service = 'svc-4' AND {W})", purge_then_sum)
 _add("backfill_parity", _DAILY_ALL.format(where=f"WHERE tenant = '3' AND {_D}"), backfill_parity)
+_add("stream_into_store", f"SELECT metric, CAST(sum(value) AS BIGINT) AS value, service, 'event' AS type FROM ev WHERE {W} GROUP BY metric, service", stream_into_store)
 _add("stream_daily_rollup", _DAILY_ALL.format(where=""), stream_daily_rollup)
 
 

@@ -15,12 +15,14 @@ same file, one is refused.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -57,6 +59,9 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, namespace: str = ""):
         self.spark = spark
         self.path = path.rstrip("/") + (f"/{namespace}" if namespace else "")
+        self._counts: tuple[float, dict[str, dict[str, int]]] | None = None
+        #: Frames of a version, kept by their maker.
+        self.kept: tuple[str, object] | None = None
 
     # -- places
 
@@ -109,6 +114,25 @@ class Store:
         """All tables there are."""
         return [n for n in (*BASE, *map(hourly_name, schema.HOURLY_DIMS), *map(latest_name, schema.LATEST_DIMS)) if self.exists(n)]
 
+    def version(self) -> str | None:
+        """The last change of any table, by any writer: as long as it is the same, so are the tables' files."""
+        return (self._get("_properties/version.json") or {}).get("change")
+
+    def row_counts(self, max_age: float = 600) -> dict[str, dict[str, int]]:
+        """Rows of each table by month, from the files' footers.
+
+        For estimates only: counts up to max_age seconds old will do, so a busy writer doesn't make readers count anew.
+        """
+        now = time.monotonic()
+        if self._counts is None or now - self._counts[0] > max_age:
+            parts = [self.read(n).groupBy("month").count().withColumn("table", F.lit(n)) for n in self.names() if self._part(n).name == "month" and n not in FLAT and self._has_files(n)]
+            rows = reduce(DataFrame.unionAll, parts).collect() if parts else []  # a row for each month of a table
+            counts: dict[str, dict[str, int]] = {}
+            for r in rows:
+                counts.setdefault(r["table"], {})[r["month"]] = r["count"]
+            self._counts = (now, counts)
+        return self._counts[1]
+
     # -- changes
 
     def _put(self, name: str, content: dict) -> None:
@@ -138,6 +162,18 @@ class Store:
     def _stage(self, change: str, name: str, df: DataFrame, small: bool = False) -> None:
         self._write(df, name, at=f"{self.path}/_staged/{change}/{name}", small=small)
 
+    def marked(self, name: str) -> dict | None:
+        """What the last change with this mark said."""
+        return self._get(name)
+
+    def finish(self, mark: str) -> None:
+        """End committed changes with this mark, which their writer left."""
+        for f in self.pending():
+            record = self._get(f"_pending/{f}")
+            if record and mark in record["marks"]:
+                self._apply(f.removesuffix(".json"), record)
+                self._forget(f"_staged/{f.removesuffix('.json')}")
+
     @contextmanager
     def _draft(self) -> Iterator[str]:
         """The name of a change to stage and commit; if it isn't committed, what was staged goes."""
@@ -149,12 +185,15 @@ class Store:
                 self._forget(f"_staged/{change}")
                 self._forget("_staged", empty=True)
 
-    def _commit(self, change: str, tables: list[str], drops: list[str] = ()) -> None:
-        """Put in place the files that `_staged/<change>` has of these tables, and take those of `drops` away."""
+    def _commit(self, change: str, tables: list[str], drops: list[str] = (), marks: dict[str, dict] | None = None) -> None:
+        """Put in place the files that `_staged/<change>` has of these tables, and take those of `drops` away.
+
+        marks are small files (name -> content) that change with it.
+        """
         gone = [f for f in (*(f"_staged/{change}/{n}/_SUCCESS" for n in tables), *drops) if not self.exists(f)]
         if gone:
             raise Conflict(f"another writer has removed {', '.join(gone[:3])}{' and more' if len(gone) > 3 else ''}")
-        record = {"adds": [f"{n}/{f}" for n in tables for f in self._files_in(f"_staged/{change}/{n}")], "drops": list(drops)}
+        record = {"adds": [f"{n}/{f}" for n in tables for f in self._files_in(f"_staged/{change}/{n}")], "drops": list(drops), "marks": marks or {}}
         if record["adds"] or record["drops"]:
             self._put(f"_pending/{change}.json", record)
             self._apply(change, record)
@@ -172,6 +211,9 @@ class Store:
                 self._move(f"_staged/{change}/{f}", f)
         for folder in {f.rsplit("/", 1)[0] for f in record["drops"]}:
             self._forget(folder, empty=True)
+        for name, content in record["marks"].items():
+            self._put(name, content)
+        self._put("_properties/version.json", {"change": change})
         self._forget(f"_pending/{change}.json")
 
     def _forget(self, name: str, empty: bool = False) -> None:
@@ -299,7 +341,7 @@ class Store:
                     w = w.option(f"parquet.bloom.filter.enabled#{d}", "true")
         w.parquet(at or self._at(name))
 
-    def append(self, df: DataFrame, kind: str, small: bool = False, covered: bool = True) -> None:
+    def append(self, df: DataFrame, kind: str, small: bool = False, covered: bool = True, marks: dict[str, dict] | None = None) -> None:
         """Raw rows and their rollup rows; `small` is for what the driver holds anyway.
 
         The rows are made once; rollups are made of what was written. If not `covered`, events get no daily
@@ -318,7 +360,7 @@ class Store:
                 if not covered:
                     self._stage(change, "uncovered", rows.select(F.date_trunc("day", "time").cast("timestamp_ntz").alias("day"), F.lit(1).alias("change")).distinct())
                     tables.append("uncovered")
-            self._commit(change, tables)
+            self._commit(change, tables, marks=marks)
 
     def _staged(self, change: str, name: str) -> DataFrame:
         return self.spark.read.schema(self._stored(name)).parquet(f"{self.path}/_staged/{change}/{name}")
@@ -382,15 +424,23 @@ class Store:
         """Build an hourly rollup from the events there are; later appends keep it."""
         if dim not in schema.HOURLY_DIMS:
             raise ValueError(f"No hourly rollup by '{dim}'. Allowed: {', '.join(schema.HOURLY_DIMS)}")
-        if not self.exists(hourly_name(dim)):
-            self._write(rollups.hourly(self.read("events"), dim), hourly_name(dim))
+        self._declare(hourly_name(dim), lambda: rollups.hourly(self.read("events"), dim))
 
     def declare_latest(self, dims) -> None:
         dims = tuple(dims)
         if dims not in schema.LATEST_DIMS:
             raise ValueError(f"No latest-value rollup by {dims}")
-        if not self.exists(latest_name(dims)):
-            self._write(rollups.latest(self.read("gauges"), dims), latest_name(dims))
+        self._declare(latest_name(dims), lambda: rollups.latest(self.read("gauges"), dims))
+
+    def _declare(self, name: str, rows) -> None:
+        if self.exists(name):
+            return
+        with self._draft() as change:
+            self._stage(change, name, rows())
+            self._commit(change, [name])
+        fs, p = self._fs(self._at(name))
+        fs.mkdirs(p)  # a rollup of nothing is declared too
+        self._put("_properties/version.json", {"change": uuid.uuid4().hex})
 
     def _replace(self, tables: list[tuple[str, DataFrame, list[str]]], adds: list[tuple[str, DataFrame]] = ()) -> None:
         """One change: of each (table, rows, files), rows in the place of these files; of each of adds, more rows."""

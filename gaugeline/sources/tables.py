@@ -23,15 +23,28 @@ class Frames:
     latest: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
     samples: DataFrame | None = None
     uncovered: set[datetime] = field(default_factory=set)
+    #: Rows of tables by month, where they are known: of events, gauges, events_daily and the rollups by their stored names.
+    rows: dict[str, dict[str, int]] = field(default_factory=dict)
 
     def raw(self, kind: str) -> DataFrame:
         schema.check_type(kind)
         return self.events if kind == schema.EVENT else self.gauges
 
 
-def of_store(store: Store) -> Frames:
+def of_store(store: Store, counted: bool = False) -> Frames:
+    """The store's tables; their files are listed once for each version of the store, not for each read."""
     if store.pending():  # a change is under way or was interrupted: only raw rows are sure to agree with themselves
         return Frames(store.read("events"), store.read("gauges"), samples=store.read("samples"))
+    version = store.version()
+    if version is None or store.kept is None or store.kept[0] != version:
+        store.kept = (version, _listed(store))
+    frames = store.kept[1]
+    if counted and not frames.rows:
+        frames.rows = store.row_counts()
+    return frames
+
+
+def _listed(store: Store) -> Frames:
     return Frames(
         store.read("events"),
         store.read("gauges"),

@@ -2,13 +2,17 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from gaugeline.engine import Meter
 from gaugeline.operators import reads, rollups
 from gaugeline.operators.rollups import fold_daily
 from gaugeline.plans import query as q
+from gaugeline.plans import router
+from gaugeline.plans.window import Window
 from gaugeline.sources.store import Conflict, Store
+from gaugeline.sources.tables import Frames
 from gaugeline.streaming.rollup import read_daily, stream_daily
 
 NOW = datetime(2026, 6, 20, 12)
@@ -571,3 +575,107 @@ def test_migration_writes_what_differs_only(spark, tmp_path):
     assert len(before["events"] - set(u.store._files_in("events"))) == 0
     assert u.count("1") == 4 and u.store.read("events").agg(F.sum("value")).first()[0] == 15
     assert u.store.migrate("events") == 0
+
+
+# -- routes by cost, listings by version
+
+
+def test_rows_within_a_window():
+    counts = {"2024-01": 3100, "2024-02": 2900, "2024-12": 31}
+    assert router.rows_within(counts, Window()) == 6031
+    assert router.rows_within(counts, Window(datetime(2024, 1, 11), datetime(2024, 2, 11))) == pytest.approx(2100 + 1000)
+    assert router.rows_within(counts, Window(datetime(2024, 12, 31), None)) == pytest.approx(1)
+    assert router.rows_within(counts, Window(datetime(2025, 1, 1), None)) == router.rows_within({}, Window()) == 0
+
+
+@pytest.mark.parametrize(("size", "sums", "groups"), [(1, "raw", "raw"), (10**6, "hybrid", "split")])
+def test_routes_by_cost(spark, size, sums, groups):
+    rows = spark.range(200).selectExpr("cast(id as string) as id", "'m' as metric", "id as value", "timestampadd(HOUR, cast(id as int), timestamp_ntz'2026-06-12 00:30:00') as time", "'1' as tenant", "'s' as service")
+    t = Frames(rows, rows, rollups.daily(rows), {"service": rollups.hourly(rows, "service")})
+    t.rows = {"events": {"2026-06": 20 * size}, "events_daily": {"2026-06": size}, "events_hourly_service": {"2026-06": 2 * size}}
+    u = Meter(t, now=lambda: NOW, by_cost=True)
+    window = [q.greater_than_equal("time", "2026-06-13"), q.less_than("time", "2026-06-20 11:30")]
+    plain = Meter(Frames(rows, rows), now=lambda: NOW)
+    assert u.sum("1", window) == plain.sum("1", window)
+    assert u.get_route_log()[-1]["route"] == sums and u.get_route_log()[-1]["rows"] > 0
+    by = [q.group_by("service"), *window]
+    assert u.find("1", by, "event") == plain.find("1", by, "event")
+    assert u.get_route_log()[-1]["route"] == groups
+    t.rows = {}
+    u.sum("1", window)
+    assert u.get_route_log()[-1]["route"] == "hybrid" and "rows" not in u.get_route_log()[-1]
+
+
+def test_counts_come_from_the_store(spark, tmp_path):
+    u = fresh(spark, tmp_path, by_cost=True)
+    u.store.declare_hourly("service")
+    assert u.store.row_counts(0) == {}
+    u.add_batch([row("m", 1, "2026-05-03", service="s"), row("m", 2, "2026-05-03", service="s"), row("m", 4, "2026-06-05")], "event")
+    assert u.store.row_counts(0) == {"events": {"2026-05": 2, "2026-06": 1}, "events_daily": {"2026-05": 1, "2026-06": 1}, "events_hourly_service": {"2026-05": 1, "2026-06": 1}}
+    assert u.sum("1", [q.less_than("time", "2026-06-10 01:00")]) == 7 and u.get_route_log()[-1]["route"] == "raw"
+
+
+def test_files_are_listed_once_a_version(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    u.add_batch([row("m", 1, "2026-05-03")], "event")
+    first = u.tables()
+    assert u.tables() is first
+    Meter(other(spark, u), now=lambda: NOW).add_batch([row("m", 2, "2026-05-03")], "event")
+    assert u.tables() is not first and u.sum("1") == u.sum_daily("1") == 3
+    second = u.tables()
+    u.store.declare_hourly("service")
+    assert list(u.tables().hourly) == ["service"] and second.hourly == {}
+    u.purge("1", [q.equal("value", 2)], "event")
+    assert u.sum("1") == 1
+
+
+# -- streams into the store
+
+
+def test_stream_into_store_survives_restarts(spark, tmp_path):
+    """A batch whose writer dies, before or after its commit, is there once when the stream goes on."""
+    ev = dense(spark)
+    for k in range(4):
+        ev.where(f"cast(id as int) % 4 = {k}").drop("id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(ev.drop("id").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    u = fresh(spark, tmp_path / "store")
+    u.store.declare_hourly("service")
+    move, forget, deaths = u.store._move, u.store._forget, []
+
+    def dying_move(a, b):
+        if len(deaths) == 0 and "events_daily" in b:
+            deaths.append("between renames")
+            raise OSError("lost")
+        move(a, b)
+
+    def dying_forget(name, **k):
+        if len(deaths) == 1 and name.startswith("_pending"):
+            deaths.append("before the record goes")
+            raise OSError("lost")
+        forget(name, **k)
+
+    u.store._move, u.store._forget = dying_move, dying_forget
+    for _ in range(3):
+        try:
+            u.add_stream(source, "event", f"{tmp_path}/state").awaitTermination()
+        except StreamingQueryException:
+            pass
+    assert len(deaths) == 2 and not u.store.pending()
+    want = ev.agg(F.sum("value"), F.count(F.lit(1))).first()
+    assert tuple(u.store.read("events").agg(F.sum("value"), F.count(F.lit(1))).first()) == tuple(want)
+    for name in ("events_daily", "events_hourly_service"):
+        assert u.store.read(name).agg(F.sum("value")).first()[0] == want[0]
+    # another checkpoint is another stream, which adds
+    u.add_stream(source, "event", f"{tmp_path}/state2").awaitTermination()
+    assert u.store.read("events_daily").agg(F.sum("value")).first()[0] == 2 * want[0]
+
+
+def test_streamed_gauges_keep_latest_values(spark, tmp_path):
+    g = spark.range(60).selectExpr("'g' as metric", "id as value", "timestampadd(MINUTE, cast(id * 37 % 60 as int), timestamp_ntz'2026-06-01 00:00:00') as time", "'1' as tenant", "concat('s', id % 3) as service")
+    for k in range(3):
+        g.where(f"value % 7 % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    u = fresh(spark, tmp_path / "store")
+    u.store.declare_latest(("service",))
+    u.add_stream(spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "gauge", f"{tmp_path}/state").awaitTermination()
+    want = {r["service"]: r["value"] for r in g.groupBy("service").agg(F.max_by("value", "time").alias("value")).collect()}
+    assert {r["service"]: r["value"] for r in u.find("1", [q.group_by("service")], "gauge")} == want and u.get_route_log()[-1]["route"] == "latest"
