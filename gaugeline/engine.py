@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from . import schema
 from .functions.predicates import all_of, check_tenant
-from .operators import ingest, reads, samples, series
+from .operators import ingest, paging, reads, samples, series
 from .operators.rollups import fold_daily
 from .plans import query as q
 from .plans import router
@@ -191,7 +191,8 @@ class Meter:
     def _find_one(self, tenant: str | None, spec: q.Spec, kind: str) -> DataFrame:
         t = self.tables()
         if not spec.grouped:
-            return reads.find_rows(t.raw(kind), kind, tenant, spec)
+            raw = paging.paged(t.raw(kind), kind, tenant, spec, t.months.get(f"{kind}s", []))
+            return reads.find_rows(raw, kind, tenant, spec)
         q.check(spec, kind)
         slate = router.latest_route(spec, kind, list(t.latest))
         if slate:

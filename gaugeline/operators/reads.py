@@ -53,13 +53,18 @@ def _page(df: DataFrame, spec: Spec) -> DataFrame:
     return df if spec.limit is None else df.limit(spec.limit)
 
 
+def cursor_orders(spec: Spec) -> list[tuple[str, bool]]:
+    """The order that a cursor stands in: as asked, then by id."""
+    orders = list(spec.orders)
+    return orders if "id" in [a for a, _ in orders] else [*orders, ("id", orders[-1][1] if orders else False)]
+
+
 def find_rows(df: DataFrame, kind: str, tenant: str | None, spec: Spec) -> DataFrame:
     """Whole rows, nulls last in either direction; a cursor starts behind (before) its row."""
     check(spec, kind)
     orders, more = list(spec.orders), []
     if spec.cursor is not None:
-        if "id" not in [a for a, _ in orders]:
-            orders.append(("id", orders[-1][1] if orders else False))
+        orders = cursor_orders(spec)
         more = [after_cursor(orders, spec.cursor, spec.before)]
     rows = filtered(df, tenant, spec, None, *more)
     have = set(df.columns)

@@ -25,6 +25,8 @@ class Frames:
     uncovered: set[datetime] = field(default_factory=set)
     #: Rows of tables by month, where they are known: of events, gauges, events_daily and the rollups by their stored names.
     rows: dict[str, dict[str, int]] = field(default_factory=dict)
+    #: The months that stored events and gauges have rows of.
+    months: dict[str, list[str]] = field(default_factory=dict)
 
     def raw(self, kind: str) -> DataFrame:
         schema.check_type(kind)
@@ -53,6 +55,7 @@ def _listed(store: Store) -> Frames:
         {d: store.read(latest_name(d)) for d in store.latest_dims()},
         store.read("samples"),
         store.uncovered_days(),
+        months={n: store.months(n) for n in ("events", "gauges")},
     )
 
 

@@ -15,6 +15,8 @@ from gaugeline.sources.store import Conflict, Store
 from gaugeline.sources.tables import Frames
 from gaugeline.streaming.rollup import read_daily, stream_daily
 
+from test_samples import files_read
+
 NOW = datetime(2026, 6, 20, 12)
 
 
@@ -679,3 +681,28 @@ def test_streamed_gauges_keep_latest_values(spark, tmp_path):
     u.add_stream(spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "gauge", f"{tmp_path}/state").awaitTermination()
     want = {r["service"]: r["value"] for r in g.groupBy("service").agg(F.max_by("value", "time").alias("value")).collect()}
     assert {r["service"]: r["value"] for r in u.find("1", [q.group_by("service")], "gauge")} == want and u.get_route_log()[-1]["route"] == "latest"
+
+
+# -- pages by month
+
+
+def test_pages_read_the_months_they_need(spark, tmp_path):
+    u = fresh(spark, tmp_path)
+    times = [f"20{24 + k // 12}-{1 + k % 12:02d}-{d:02d} 0{d}:00" for k in range(24) for d in (1, 2, 3)]
+    u.add_batch([row("m", i, t, tenant=str(1 + i % 2), path=f"/{i % 5}") for i, t in enumerate(times)], "event")
+    everything = Meter(Frames(u.store.read("events").drop("month"), u.store.read("gauges")), now=lambda: NOW)
+    rng = random.Random(9)
+    for k in range(40):
+        a, b = sorted(rng.sample(times, 2))
+        order = rng.choice([q.order_asc, q.order_desc])
+        clauses = [order("time"), q.limit(rng.choice([1, 3, 10, 100])), q.offset(rng.choice([0, 0, 2, 30]))]
+        clauses += rng.choice([[], [q.greater_than_equal("time", a), q.less_than("time", b)], [q.equal("path", ["/1", "/2"])]])
+        if k % 2:
+            at = everything.find("1", [q.equal("time", rng.choice(times[::2]))], "event")[0]
+            clauses = [*(c for c in clauses if c.method != "offset"), rng.choice([q.cursor_after, q.cursor_before])({"time": at["time"], "id": at["id"]})]
+        assert u.find("1", clauses, "event") == everything.find("1", clauses, "event")
+    page = u.find_df("1", [q.order_asc("time"), q.limit(2)], "event")
+    assert files_read(page) == 1
+    page = u.find_df("1", [q.order_desc("time"), q.cursor_after({"time": "2025-06-02 02:00", "id": "x"}), q.limit(2)], "event")
+    assert files_read(page) <= 3
+    assert files_read(u.find_df("1", [q.order_asc("path"), q.limit(2)], "event")) == 24
