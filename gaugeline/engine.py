@@ -19,6 +19,7 @@ from .operators import ingest, paging, reads, samples, series
 from .operators.rollups import fold_daily
 from .plans import query as q
 from .plans import router
+from .plans.window import reduce_window, whole_months
 from .sources.store import Store
 from .sources.tables import Frames, of_store
 from .streaming.sink import stream_into
@@ -211,9 +212,26 @@ class Meter:
         kinds = [kind] if kind else [k for k in schema.TYPES if q.applies(spec, k)]
         if not kinds:
             q.check(spec, schema.EVENT)
-        n = sum(self._collect(reads.count_rows(self.tables().raw(k), k, tenant, spec, most))[0]["n"] for k in kinds)
+        n = sum(self._count(tenant, spec, k, most) for k in kinds)
         return n if most is None else min(n, most)
 
+    def _count(self, tenant: str | None, spec: q.Spec, kind: str, most: int | None) -> int:
+        """Of all tenants in a window: whole months from the files' footers, the others' rows counted; else all counted."""
+        t, reduced = self.tables(), reduce_window(spec.filters)
+        months = t.months.get(f"{kind}s")
+        if tenant is not None or not months or reduced is None or reduced[1]:
+            return self._collect(reads.count_rows(t.raw(kind), kind, tenant, spec, most))[0]["n"]
+        if most is not None and most < 0:
+            raise ValueError("max must not be negative")
+        inside, edges = whole_months(reduced[0], months)
+        n = sum(r["n"] for r in self.store.by_month(f"{kind}s", inside).values()) if inside else 0
+        for e in edges:
+            if most is None or n < most:
+                rows = reads.filtered(t.raw(kind), None, q.Spec(), e).select(F.lit(1).alias("one"))
+                rows = rows if most is None else rows.limit(most - n)
+                n += self._collect(rows.agg(F.count(F.lit(1)).alias("n")))[0]["n"]
+        return n
+
     def _filters(self, queries: Iterable[q.Query]) -> q.Spec:
         spec = q.parse(queries)
         if spec.grouped:

@@ -81,6 +81,20 @@ def cover(w: Window, step: timedelta, cap: datetime | None = None) -> Cover | No
     return Cover(Window(lo, hi), tuple(edges))
 
 
+def whole_months(w: Window, months: Iterable[str]) -> tuple[list[str], list[Window]]:
+    """Those of the months that lie in w, and what of w is in the others."""
+    inside, edges = [], []
+    for m in sorted(months):
+        lo = datetime.fromisoformat(f"{m}-01")
+        hi = (lo + timedelta(days=32)).replace(day=1)
+        cut = Window(max(lo, w.lo or lo), min(hi, w.hi or hi))
+        if cut == Window(lo, hi):
+            inside.append(m)
+        elif not cut.empty:
+            edges.append(cut)
+    return inside, edges
+
+
 def label(w: Window, c: Cover | None, now: datetime) -> str:
     """daily, hybrid (days before today, then raw), split (raw edges) or raw."""
     if c is None:

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict
 from datetime import UTC, datetime, timedelta
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -125,14 +124,33 @@ class Store:
         """
         now = time.monotonic()
         if self._counts is None or now - self._counts[0] > max_age:
-            parts = [self.read(n).groupBy("month").count().withColumn("table", F.lit(n)) for n in self.names() if self._part(n).name == "month" and n not in FLAT and self._has_files(n)]
-            rows = reduce(DataFrame.unionAll, parts).collect() if parts else []  # a row for each month of a table
-            counts: dict[str, dict[str, int]] = {}
-            for r in rows:
-                counts.setdefault(r["table"], {})[r["month"]] = r["count"]
-            self._counts = (now, counts)
+            names = [n for n in self.names() if self._part(n).name == "month" and n not in FLAT and self._has_files(n)]
+            self._counts = (now, {n: {m: r["n"] for m, r in self.by_month(n).items()} for n in names})
         return self._counts[1]
 
+    def by_month(self, name: str, months: list[str] | None = None) -> dict[str, dict]:
+        """n, the rows, and most, the largest value, of each month (of these months): from the files' footers, no row is read."""
+        with self._pushed_down():
+            return {r["month"]: {"n": r["n"], "most": r["most"]} for r in self._summed(name, months).collect()}  # a row a month
+
+    def _summed(self, name: str, months: list[str] | None) -> DataFrame:
+        rows = self.spark.read.schema(self._stored(name)).parquet(self._at(name))
+        rows = rows if months is None else rows.where(F.col("month").isin(months))
+        return rows.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+
+    @contextmanager
+    def _pushed_down(self) -> Iterator[None]:
+        """Frames made and run in here give counts, least and largest values to the Parquet reader, which has them in footers."""
+        want = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+        had = {k: self.spark.conf.get(k) for k in want}
+        for k, v in want.items():
+            self.spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in had.items():
+                self.spark.conf.set(k, v)
+
     # -- changes
 
     def _put(self, name: str, content: dict) -> None:

@@ -706,3 +706,25 @@ def test_pages_read_the_months_they_need(spark, tmp_path):
     page = u.find_df("1", [q.order_desc("time"), q.cursor_after({"time": "2025-06-02 02:00", "id": "x"}), q.limit(2)], "event")
     assert files_read(page) <= 3
     assert files_read(u.find_df("1", [q.order_asc("path"), q.limit(2)], "event")) == 24
+
+
+# -- counts from footers
+
+
+def test_counts_and_maxima_from_footers(spark, tmp_path):
+    u = Meter(Store(spark, str(tmp_path)), shared=False, now=lambda: NOW)
+    u.setup()
+    u.add_batch([{"metric": "m", "value": v, "time": f"2026-0{month}-1{d} 0{d}:00"} for v, (month, d) in enumerate((m, d) for m in range(1, 7) for d in range(5))], "event")
+    plain = Meter(Frames(u.store.read("events").drop("month"), u.store.read("gauges")), shared=False, now=lambda: NOW)
+    with u.store._pushed_down():
+        plan = u.store._summed("events", ["2026-02"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MAX(value)]" in plan
+    assert u.store.by_month("events", ["2026-02", "2026-03"]) == {"2026-02": {"n": 5, "most": 9}, "2026-03": {"n": 5, "most": 14}}
+    assert spark.conf.get("spark.sql.sources.useV1SourceList").count("parquet") == 1
+    for a, b in (("2026-01-01", "2026-07-01"), ("2026-01-11 12:00", "2026-03-14 02:00"), ("2026-02-01", "2026-03-01"), ("2026-02-12", "2026-02-13"), ("2027-01-01", "2028-01-01")):
+        window = [q.greater_than_equal("time", a), q.less_than("time", b)]
+        for most in (None, 0, 3, 7, 1000):
+            assert u.count(None, window, "event", most) == plain.count(None, window, "event", most)
+    assert u.count(None, [q.equal("metric", "m")], "event") == u.count(None, kind="event") == 30
+    with pytest.raises(ValueError):
+        u.count(None, [], "event", -1)
