@@ -1,8 +1,10 @@
 """Headline metering queries on the driver's events: prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default: all) choose the data and the
-cores. A store with its rollups is built first (as `setup`, not part of the value); then each query
-runs once to warm up and five times for its median. `value` is the sum of the medians.
+cores, BENCH_TIMES how often each event is taken (default 1; 10 makes a million events of sf0.1). A store with its
+rollups is built first (as `setup`, not part of the value); then each query runs once to warm up and five times for
+its median, through a Meter of the store that chooses routes by rows to be read. `value` is the sum of the medians;
+`routes` has the route of each query and, where it was chosen by them, the rows to be read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from gaugeline import schema  # noqa: E402
 from gaugeline.engine import Meter  # noqa: E402
 from gaugeline.plans import query as q  # noqa: E402
-from gaugeline.sources import canonical  # noqa: E402
+from gaugeline.sources import canonical, synthetic  # noqa: E402
 from gaugeline.sources.store import Store  # noqa: E402
 
 ROUNDS = 5
@@ -34,6 +36,7 @@ ROUNDS = 5
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count())
+    at = tempfile.mkdtemp(prefix="gaugeline-bench-")  # local mode: driver and executors are one process
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.driver.memory", "8g")
@@ -42,22 +45,23 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", f"{at}/checkpoint")
         .getOrCreate()
     )
-    at = tempfile.mkdtemp(prefix="gaugeline-bench-")
     try:
-        print(json.dumps(run(spark, sf_dir, at)))
+        print(json.dumps(run(spark, sf_dir, at, int(os.environ.get("BENCH_TIMES", "1")))))
     finally:
         spark.stop()
         shutil.rmtree(at, ignore_errors=True)
 
 
-def filled(spark, sf_dir: str, at: str) -> tuple[Meter, float]:
+def filled(spark, sf_dir: str, at: str, times: int) -> tuple[Meter, float]:
     start = time.perf_counter()
-    u = Meter(Store(spark, at), now=lambda: datetime(2024, 1, 30, 12))
+    u = Meter(Store(spark, at), now=lambda: datetime(2024, 1, 30, 12), by_cost=True)
     u.setup()
     t = canonical.frames(spark, sf_dir)
-    for kind, df in ((schema.EVENT, t.events), (schema.GAUGE, t.gauges)):
+    events = t.events if times == 1 else synthetic.multiplied(t.events, times, 0)
+    for kind, df in ((schema.EVENT, events), (schema.GAUGE, t.gauges)):
         names = schema.table_schema(kind).fieldNames()
         u.store.append(df.withColumns({c: F.lit(None).cast("string") for c in names if c not in df.columns}), kind)
     for d in ("path", "country", "service"):
@@ -67,10 +71,9 @@ def filled(spark, sf_dir: str, at: str) -> tuple[Meter, float]:
     return u, time.perf_counter() - start
 
 
-def run(spark, sf_dir: str, at: str) -> dict:
-    u, setup = filled(spark, sf_dir, f"{at}/store")
-    tables = u.tables()
-    reader = Meter(tables, now=u._now)  # file listings are made once, as a service would
+def run(spark, sf_dir: str, at: str, times: int) -> dict:
+    reader, setup = filled(spark, sf_dir, f"{at}/store", times)
+    tables = reader.tables()
     month = [q.greater_than_equal("time", "2024-01-01"), q.less_than("time", "2024-01-31")]
     odd = [q.greater_than_equal("time", "2024-01-01 00:20:30"), q.less_than("time", "2024-01-30 11:40:10")]
     today = [q.greater_than_equal("time", "2024-01-30"), q.less_than("time", "2024-01-30 11:40:10")]
@@ -85,7 +88,7 @@ def run(spark, sf_dir: str, at: str) -> dict:
         return lambda: reader.find("3", [*[q.group_by(d) for d in dims], *window, *more, q.limit(10)], kind)
 
     def raw(dims, window):
-        plain = Meter(type(tables)(tables.events, tables.gauges), now=u._now)
+        plain = Meter(type(tables)(tables.events, tables.gauges), now=reader._now)
         return lambda: plain.find("3", [*[q.group_by(d) for d in dims], *window, q.limit(10)], "event")
 
     queries = {
@@ -109,16 +112,18 @@ def run(spark, sf_dir: str, at: str) -> dict:
         "gauges_topN_resourceType_30d": top(["resourceType"], month, kind="gauge"),
         "gauges_topN_service_today_partial": top(["service"], today, kind="gauge"),
     }
-    seconds = {}
+    seconds, routes = {}, {}
     for name, f in queries.items():
+        reader.clear_route_log()
         f()
-        times = []
+        routes |= {name: f"{x['route']} {x['rows']}" if "rows" in x else x["route"] for x in reader.get_route_log()}
+        took = []
         for _ in range(ROUNDS):
             start = time.perf_counter()
             f()
-            times.append(time.perf_counter() - start)
-        seconds[name] = round(statistics.median(times), 4)
-    return {"metric": "metering_headline_total", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf"), "setup_sec": round(setup, 2)}
+            took.append(time.perf_counter() - start)
+        seconds[name] = round(statistics.median(took), 4)
+    return {"metric": "metering_headline_total", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf"), "events": sum(tables.rows.get("events", {}).values()), "routes": routes, "setup_sec": round(setup, 2)}
 
 
 if __name__ == "__main__":

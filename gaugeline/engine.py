@@ -288,15 +288,18 @@ class Meter:
             q.check(spec, schema.EVENT)
         out, found = dict.fromkeys(metrics, 0), set()
         for k in kinds:
-            for r in self._collect(self.totals_df(tenant, metrics, spec, k)):
-                if r["found"]:
-                    if r["metric"] in found:
-                        raise ValueError(f"Metric '{r['metric']}' exists as event and as gauge; state the type")
-                    found.add(r["metric"])
-                    out[r["metric"]] = r["total"]
+            for r in self._collect(self._totals(tenant, metrics, spec, k)):
+                if r["metric"] in found:
+                    raise ValueError(f"Metric '{r['metric']}' exists as event and as gauge; state the type")
+                found.add(r["metric"])
+                out[r["metric"]] = r["total"]
         return out
 
     def totals_df(self, tenant: str | None, metrics: list[str], spec: q.Spec, kind: str) -> DataFrame:
+        """metric, total, found: a row for each asked metric."""
+        return reads.with_missing(self._totals(tenant, metrics, spec, kind), metrics)
+
+    def _totals(self, tenant: str | None, metrics: list[str], spec: q.Spec, kind: str) -> DataFrame:
         q.check(spec, kind)
         t = self.tables()
         if kind == schema.GAUGE:
@@ -314,7 +317,8 @@ class Meter:
         points: dict[str, tuple[str, list]] = {}
         for k in kinds:
             q.check(spec, k)
-            for r in self._collect(series.buckets(self.tables().raw(k), k, tenant, metrics, interval, a, b, spec).orderBy("metric", "bucket")):
+            rows = self._collect(series.buckets(self.tables().raw(k), k, tenant, metrics, interval, a, b, spec))
+            for r in sorted(rows, key=lambda r: (r["metric"], r["bucket"])):  # a row a bucket: sorted here, a range sort would sample first
                 points.setdefault(r["metric"], (k, []))[1].append((r["bucket"], r["value"]))
         fill_as = kind or schema.EVENT
         labels = _labels(interval, a, b)

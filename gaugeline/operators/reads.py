@@ -124,13 +124,15 @@ def total(df: DataFrame, kind: str, tenant: str | None, spec: Spec, aggregate: s
 
 
 def totals(df: DataFrame, kind: str, tenant: str | None, metrics: list[str], spec: Spec) -> DataFrame:
-    """metric, total, found: a row for each asked metric, 0 where nothing matches."""
+    """metric, total: a row for each asked metric that has rows."""
     rows = filtered(df, tenant, spec, None, F.col("metric").isin(*metrics) if metrics else F.lit(False))
-    return with_missing(rows.groupBy("metric").agg(value_of(kind, None).alias("total")), metrics)
+    return rows.groupBy("metric").agg(value_of(kind, None).alias("total"))
 
 
 def with_missing(found: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric, total, found: a row for each asked metric, 0 where nothing matches."""
     # the asked names come from the caller, not from the data
-    asked = found.sparkSession.createDataFrame([(m,) for m in dict.fromkeys(metrics)], "metric string")
+    names = F.array(*[F.lit(m) for m in dict.fromkeys(metrics)]).cast("array<string>")
+    asked = found.sparkSession.range(0, 1, 1, 1).select(F.explode(names).alias("metric"))
     joined = asked.join(found, "metric", "left")
     return joined.select("metric", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"), F.col("total").isNotNull().alias("found"))

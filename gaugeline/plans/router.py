@@ -92,11 +92,11 @@ def routed_sum(route: Route, tenant: str | None, spec: Spec, raw: DataFrame, dai
 
 
 def routed_totals(route: Route, tenant: str | None, metrics: list[str], spec: Spec, raw: DataFrame, daily: DataFrame) -> DataFrame:
-    """metric, total, found for each asked metric."""
+    """metric, total for each asked metric that has rows."""
     if route.cover is None:
         return reads.totals(raw, schema.EVENT, tenant, metrics, spec)
     rows = _rows(route, tenant, spec, raw, daily, ["metric", "value"], F.col("metric").isin(*metrics))
-    return reads.with_missing(rows.groupBy("metric").agg(F.sum("value").alias("total")), metrics)
+    return rows.groupBy("metric").agg(F.sum("value").alias("total"))
 
 
 def hourly_route(spec: Spec, kind: str, hourly_dims) -> Route:

@@ -167,7 +167,12 @@ class Store:
         fs, p = self._fs(self._at(name))
         if not fs.exists(p):
             return None
-        file = fs.open(p)
+        try:
+            file = fs.open(p)
+        except Py4JJavaError:
+            if fs.exists(p):
+                raise
+            return None  # it went, or is about to be replaced
         try:
             return json.loads(bytes(file.readAllBytes()))
         finally:
