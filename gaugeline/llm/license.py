@@ -20,6 +20,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt_anew
+
 #: Lines that name a holder: they differ from copy to copy of a licence.
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^\n]*$"
 #: (pattern, spelling), in this order, on lower-case text.
@@ -135,7 +137,8 @@ def canonical_text(text: str) -> str:
 
 
 def lowered(col) -> F.Column:
-    return F.translate(col, UPPER, LOWER)
+    """Lower case; what that gives of characters that don't lower to a-z makes no difference, but for the dot that it leaves of U+0130."""
+    return F.lower(F.replace(col, F.lit("\u0130"), F.lit("i")))
 
 
 def canonical(col) -> F.Column:
@@ -189,7 +192,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=
     if words:
         lines = lines.where(lowered("line").rlike("|".join(words)))
     hits = lines.join(rows, digest(F.col("line")) == F.col("known")).groupBy("doc_id", "key").agg(F.array_join(F.sort_array(F.collect_set("found")), ",").alias("notices"))
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "notices")
+    # dealt anew, so that many rows of one id and text can be split
+    hits = hits.select(dealt_anew("doc_id").alias("hit_id"), dealt_anew("key").alias("hit_key"), "notices")
     whole = d.select("doc_id", "key", digest(F.col("text")).alias("digest")).join(rows, F.col("digest") == F.col("known"), "left")
     out = whole.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     return out.select("doc_id", "digest", F.col("found").alias("license"), "notices")
