@@ -18,8 +18,8 @@ from ..operators import reads
 from . import window as win
 from .query import Query, Spec
 
-#: What one more scan costs, in rows of one: a scan of some hundred thousand rows takes as long as starting it.
-PIECE_ROWS = 500_000
+#: What one more scan costs, in rows of one: of a million events a month's sum took 0.51 s in two pieces and 0.41 s raw.
+PIECE_ROWS = 2_000_000
 DAILY_FILTERS = {"metric", "tenant", *schema.DAILY_DIMS}
 
 
