@@ -18,8 +18,9 @@ from ..operators import reads
 from . import window as win
 from .query import Query, Spec
 
-#: What one more scan costs, in rows of one: of a million events a month's sum took 0.51 s in two pieces and 0.41 s raw.
-PIECE_ROWS = 2_000_000
+#: What one more scan costs, in a table's rows: of ten million events of ten tenants, top paths of one of them took 0.42 s in three
+#: pieces and 0.28 s raw, as sorted files let a tenant's read skip most rows.
+PIECE_ROWS = 10_000_000
 DAILY_FILTERS = {"metric", "tenant", *schema.DAILY_DIMS}
 
 

@@ -590,7 +590,7 @@ def test_rows_within_a_window():
     assert router.rows_within(counts, Window(datetime(2025, 1, 1), None)) == router.rows_within({}, Window()) == 0
 
 
-@pytest.mark.parametrize(("size", "sums", "groups"), [(1, "raw", "raw"), (10**6, "hybrid", "split")])
+@pytest.mark.parametrize(("size", "sums", "groups"), [(1, "raw", "raw"), (10**8, "hybrid", "split")])
 def test_routes_by_cost(spark, size, sums, groups):
     rows = spark.range(200).selectExpr("cast(id as string) as id", "'m' as metric", "id as value", "timestampadd(HOUR, cast(id as int), timestamp_ntz'2026-06-12 00:30:00') as time", "'1' as tenant", "'s' as service")
     t = Frames(rows, rows, rollups.daily(rows), {"service": rollups.hourly(rows, "service")})
