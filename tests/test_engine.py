@@ -452,7 +452,7 @@ def test_setup_beside_a_writer_loses_nothing(spark, tmp_path):
     u = fresh(spark, tmp_path)
     u.add_batch([row("m", 1, "2026-05-03")], "event")
     commit = u.store._commit
-    u.store._commit = lambda *a: (other(spark, u).setup(), other(spark, u).recover(), commit(*a))
+    u.store._commit = lambda *a, **k: (other(spark, u).setup(), other(spark, u).recover(), commit(*a, **k))
     assert u.add_batch([row("m", 2, "2026-05-04")], "event")
     assert u.sum("1") == u.sum_daily("1") == 3
     u.purge("1", [q.equal("time", "2026-05-03")], "event")
@@ -465,9 +465,9 @@ def test_a_change_without_its_draft_is_refused(spark, tmp_path):
     u.add_batch([row("m", 1, "2026-05-03", path="/x"), row("m", 2, "2026-05-04")], "event")
     commit = u.store._commit
 
-    def robbed(*a):
+    def robbed(*a, **k):
         assert other(spark, u).recover(lease=-5) == 0
-        return commit(*a)
+        return commit(*a, **k)
 
     u.store._commit = robbed
     for change in (lambda: u.add_batch([row("m", 4, "2026-05-04")], "event"), lambda: u.purge("1", [q.equal("path", "/x")], "event")):
@@ -495,7 +495,7 @@ def test_two_rewrites_of_a_file(spark, tmp_path):
     u = fresh(spark, tmp_path)
     u.add_batch([row("m", 1, "2026-05-03", path="/x"), row("m", 2, "2026-05-03", path="/y"), row("m", 4, "2026-05-03")], "event")
     commit, second = u.store._commit, Meter(other(spark, u), now=lambda: NOW)
-    u.store._commit = lambda *a: (second.purge("1", [q.equal("path", "/y")], "event"), commit(*a))
+    u.store._commit = lambda *a, **k: (second.purge("1", [q.equal("path", "/y")], "event"), commit(*a, **k))
     with pytest.raises(Conflict):
         u.purge("1", [q.equal("path", "/x")], "event")
     u.store._commit = commit
