@@ -4,11 +4,16 @@
   punctuation, repeated words and the like, over the whole text.
 * Metadata view: the source and the language, hashed, and the length's logarithm.
 
-Each view has a logistic regression.  In each round both score an unlabelled pool, and each gives the
-other its most confident pseudo-labels (both classes, in the labels' proportion, and only beyond a
-confidence).  Then each view's scores are calibrated on an eighth of the labelled rows, and the calibrated
-views are combined by a logistic regression on another eighth, so that a weak view counts little; neither
-trains the views.  With fewer than 8 labelled rows of a class, all rows do all three.
+Each view has a logistic regression.  In each round both score an unlabelled pool, and the view
+of the smaller loss gives the other pseudo-labels of the rows that it is surest of and the other is not sure of
+(both classes, in the labels' proportion).  Loss is that of labelled rows scored by models of the folds that they aren't in;
+Platt's fit of these scores calibrates a view, and sure is a calibrated probability beyond `confident`.  Labels
+that raise their view's loss are given back, after which it takes no more.  In the end the calibrated views are
+combined by a logistic regression of the same kind of scores, so that a weak view counts little.  With fewer labelled rows
+of a class than folds, all rows do all three.
+
+What the exchange is good for is the weaker view: of 50 to 200 labels it learns from the pool what the other knows.
+Both together are about as good as before it where one view alone is nearly right (README has figures).
 
 The method keeps a pool of fixed size, and so does this: fitting takes the documents with the least
 seeded hashes, `max_labelled` labelled ones and a pool of `max_pool`, whose features go to the driver
@@ -36,9 +41,13 @@ from .common import dealt_anew, give_back, tidy
 PAIRS = 1024
 SHARES = 12
 TEXT = PAIRS + SHARES
-META = 129
+SOURCES = 512
+LANGS = 32
+META = SOURCES + LANGS + 1
 #: Rows of features, held as 32-bit numbers, that are computed with at a time.
 CHUNK = 128
+#: Parts of the labelled rows, each scored by models of the others for calibration.
+FOLDS = 4
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -67,9 +76,9 @@ def meta_features(source: str | None, lang: str | None, text: str | None) -> np.
     import xxhash
 
     x = np.zeros(META, np.float32)
-    x[xxhash.xxh32_intdigest(f"s{source}") % 96] = 1
-    x[96 + xxhash.xxh32_intdigest(f"l{lang}") % 32] = 1
-    x[128] = np.log1p(len(text or "")) / 12
+    x[xxhash.xxh32_intdigest(f"s{source}") % SOURCES] = 1
+    x[SOURCES + xxhash.xxh32_intdigest(f"l{lang}") % LANGS] = 1
+    x[-1] = np.log1p(len(text or "")) / 12
     return x
 
 
@@ -117,50 +126,84 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logits(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    parts = [x[i : i + CHUNK].astype(float, copy=False) @ w[:-1] for i in range(0, len(x), CHUNK)]
+def logits(w: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    at = [slice(i, i + CHUNK) for i in range(0, len(x if rows is None else rows), CHUNK)]
+    parts = [x[a if rows is None else rows[a]].astype(float, copy=False) @ w[:-1] for a in at]
     return (np.concatenate(parts) if parts else np.zeros(0)) + w[-1]
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, share: float = 0.05, confident: float = 0.95) -> dict[str, np.ndarray]:
-    """(text, meta, y), (text, meta) -> the weights of the views, of their calibrations and of the combination."""
+def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, share: float = 0.05, confident: float = 0.95, steps: int = 100) -> dict[str, np.ndarray]:
+    """(text, meta, y), (text, meta) -> the weights of the views, of their calibrations and of the combination.
+
+    share: the part of the pool that a view labels for the other in a round at most; steps: of a fit in the exchange.
+    """
     y = labelled[2]
-    held, last = _parts(y)  # for calibration, for the combination
-    own = ~(held | last) if (held != last).any() else held
-    mine = np.flatnonzero(own)
-    views = [(labelled[v], pool[v]) for v in (0, 1)]
+    fold, every = _folds(y), np.arange(len(y))
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels by pool row, for each view
-    models: list[np.ndarray] = []
-    rate = y[own].mean()
-    for r in range(rounds + 1):
-        models = []
-        for v, (x, p) in enumerate(views):
-            rows = np.array(sorted(given[v]), int)
-            ys = np.concatenate((y[own], [given[v][i] for i in rows]))
-            models.append(fit_logistic([(x, mine), (p, rows)], ys, np.concatenate((np.ones(len(mine)), np.full(len(rows), 0.5)))))
-        if r == rounds or not len(pool[0]):
-            break
+
+    def fit(v: int, rows: np.ndarray, more: dict[int, int], steps: int) -> np.ndarray:
+        got = np.array(sorted(more), int)
+        ys = np.concatenate((y[rows], [more[i] for i in got]))
+        return fit_logistic([(labelled[v], rows), (pool[v], got)], ys, np.concatenate((np.ones(len(rows)), np.full(len(got), 0.5))), rounds=steps)
+
+    def calibrated(v: int, more: dict[int, int], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The view's model, its calibration, and calibrated logits of the labelled rows by models that didn't learn them."""
+        model, z = fit(v, every, more, steps), np.empty(len(y))
+        for f in np.unique(fold):
+            mine = np.flatnonzero(fold == f)
+            z[mine] = logits(fit(v, np.flatnonzero(fold != f), more, steps) if f >= 0 else model, labelled[v], mine)
+        platt = _scaled(z[:, None] / 8, y)
+        return model, platt, logits(platt, z[:, None] / 8)
+
+    def loss(z: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -z, z)).mean())
+
+    views = [calibrated(v, given[v], steps) for v in (0, 1)] if rounds and len(pool[0]) else []
+    takes = [True, True]
+    for _ in range(rounds if views else 0):
+        p = [sigmoid(logits(platt, logits(model, pool[v])[:, None] / 8)) for v, (model, platt, _) in enumerate(views)]
+        losses = [loss(z) for _, _, z in views]
+        offers = [_sure(p[1 - v], p[v], given[v], share, confident, y.mean()) if takes[v] and losses[1 - v] <= losses[v] else {} for v in (0, 1)]
         for v in (0, 1):
-            s = sigmoid(logits(models[v], views[v][1]))
-            many = max(1, int(share * len(s)))
-            order = np.argsort(s, kind="stable")
-            good, bad = order[::-1][: max(1, round(many * rate))], order[: max(1, round(many * (1 - rate)))]
-            given[1 - v] |= {int(i): 1 for i in good if s[i] >= confident} | {int(i): 0 for i in bad if s[i] <= 1 - confident}
-    z = np.stack([logits(models[v], labelled[v]) for v in (0, 1)], 1)
-    platt = [fit_logistic(z[held][:, [v]] / 8, y[held], decay=1e-3) for v in (0, 1)]
-    calibrated = np.stack([logits(platt[v], z[last][:, [v]] / 8) for v in (0, 1)], 1)
-    return {"text": models[0], "meta": models[1], "platt_text": platt[0], "platt_meta": platt[1], "both": fit_logistic(calibrated / 8, y[last], decay=1e-3)}
-
-
-def _parts(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two eighths of the rows of each class; all rows, twice, where a class has fewer than 8."""
-    place = np.zeros(len(y), int)
-    for c in (0, 1):
-        mine = y == c
-        if mine.sum() < 8:
-            return np.ones(len(y), bool), np.ones(len(y), bool)
-        place[mine] = np.arange(mine.sum()) % 8
-    return place == 3, place == 7
+            if offers[v]:
+                new = calibrated(v, given[v] | offers[v], steps)
+                takes[v] = loss(new[2]) <= losses[v]
+                if takes[v]:
+                    given[v], views[v] = given[v] | offers[v], new
+        if not any(offers):
+            break
+    (text, platt_text, a), (meta, platt_meta, b) = (calibrated(v, given[v], 4 * steps) for v in (0, 1))
+    return {"text": text, "meta": meta, "platt_text": platt_text, "platt_meta": platt_meta, "both": _scaled(np.stack((a, b), 1) / 8, y)}
+
+
+def _sure(by: np.ndarray, own: np.ndarray, held: dict[int, int], share: float, confident: float, rate: float) -> dict[int, int]:
+    """Labels of the rows that a view is surest of, by its probabilities, and the other isn't sure of, in the proportion of `rate`."""
+    unsure = (own < confident) & (own > 1 - confident)
+    unsure[list(held)] = False
+    order = np.argsort(by, kind="stable")
+    good = [int(i) for i in order[::-1] if by[i] >= confident and unsure[i]]
+    bad = [int(i) for i in order if by[i] <= 1 - confident and unsure[i]]
+    many = min(max(2, share * len(by)), len(good) / rate, len(bad) / (1 - rate))
+    return dict.fromkeys(good[: round(many * rate)], 1) | dict.fromkeys(bad[: round(many * (1 - rate))], 0)
+
+
+def _scaled(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights and bias of a few columns, fit to unit variance, with Platt's targets, which leave 0 and 1 to no one."""
+    mean, size = x.mean(0), np.maximum(x.std(0), 1e-9)
+    n = y.sum()
+    w = fit_logistic((x - mean) / size, np.where(y > 0, (n + 1) / (n + 2), 1 / (len(y) - n + 2)), decay=1e-3)
+    w[:-1] /= size
+    w[-1] -= w[:-1] @ mean
+    return w
+
+
+def _folds(y: np.ndarray) -> np.ndarray:
+    """A fold for each row, with a part of each class; -1 for all where a class has fewer rows than folds."""
+    fold = np.full(len(y), -1)
+    if min((y == 0).sum(), (y == 1).sum()) >= FOLDS:
+        for c in (0, 1):
+            fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    return fold
 
 
 def combine(model: dict[str, np.ndarray], text: np.ndarray, meta: np.ndarray) -> np.ndarray:
