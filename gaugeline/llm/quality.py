@@ -72,16 +72,25 @@ def text_features(text: str | None) -> np.ndarray:
     return x
 
 
-def meta_features(source: str | None, lang: str | None, text: str | None) -> np.ndarray:
+def _meta(source: str | None, lang: str | None, text: str | None) -> tuple[int, int, float]:
+    """The slots of the source and the language, and the length's logarithm."""
     import xxhash
 
-    x = np.zeros(META, np.float32)
-    x[xxhash.xxh32_intdigest(f"s{source}") % SOURCES] = 1
-    x[SOURCES + xxhash.xxh32_intdigest(f"l{lang}") % LANGS] = 1
-    x[-1] = np.log1p(len(text or "")) / 12
+    return xxhash.xxh32_intdigest(f"s{source}") % SOURCES, SOURCES + xxhash.xxh32_intdigest(f"l{lang}") % LANGS, np.log1p(len(text or "")) / 12
+
+
+def _spread(meta: np.ndarray) -> np.ndarray:
+    """Rows of _meta as features: a 1 in each slot, and the length."""
+    x, every = np.zeros((len(meta), META), np.float32), np.arange(len(meta))
+    x[every, meta[:, 0].astype(int)] = x[every, meta[:, 1].astype(int)] = 1
+    x[:, -1] = meta[:, 2]
     return x
 
 
+def meta_features(source: str | None, lang: str | None, text: str | None) -> np.ndarray:
+    return _spread(np.array([_meta(source, lang, text)]))[0]
+
+
 def fit_logistic(x: np.ndarray | list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-4, rounds: int = 400) -> np.ndarray:
     """Weights and bias, by Nesterov's accelerated gradient.
 
@@ -216,12 +225,12 @@ def combine(model: dict[str, np.ndarray], text: np.ndarray, meta: np.ndarray) ->
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, source, lang = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        x = [np.concatenate((text_features(t), meta_features(s, g, t))).tobytes() for t, s, g in zip(text, source, lang, strict=True)]
+        x = [np.append(text_features(t), np.array(_meta(s, g, t), np.float32)).tobytes() for t, s, g in zip(text, source, lang, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["id", "x"])
 
 
 def _sample(rows: DataFrame, hashes: list[int]) -> dict[int, np.ndarray]:
-    """Features by hash, of one row of each of the given hashes (a bounded number of them)."""
+    """Text features and _meta by hash, of one row of each of the given hashes (a bounded number of them)."""
     named = rows.sparkSession.createDataFrame([(h,) for h in hashes], "wanted long")
     one = rows.join(F.broadcast(named), F.col("hash") == F.col("wanted"), "left_semi").dropDuplicates(["hash"]).select("hash", "text", "source", "lang")
     # as Arrow, which the driver passes on as it comes; rows would be held there several times
@@ -259,11 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     found = _sample(rows, [*picked, *rest])
     order = [h for h in sorted(picked) if h in found]
     order = [order[i] for i in np.random.default_rng(seed).permutation(len(order))]
-    x, y = np.array([found[h] for h in order], np.float32), np.array([picked[h] for h in order], float)
-    p = np.array([found[h] for h in rest if h in found], np.float32).reshape(-1, TEXT + META)
+    y = np.array([picked[h] for h in order], float)
+    x, p = (np.array([found[h] for h in some], np.float32).reshape(-1, TEXT + 3) for some in (order, [h for h in rest if h in found]))
     del found
     give_back()
-    model = co_train((x[:, :TEXT], x[:, TEXT:], y), (p[:, :TEXT], p[:, TEXT:]), **params)
+    model = co_train((x[:, :TEXT], _spread(x[:, TEXT:]), y), (p[:, :TEXT], _spread(p[:, TEXT:])), **params)
     give_back()
     return model
 
@@ -278,7 +287,7 @@ def _score(model, n_cols: int):
             if m is None or not len(text):
                 s = np.full((len(text), 3), 0.5)
             else:
-                s = combine(m, np.stack([text_features(t) for t in text]).astype(float), np.stack([meta_features(a, g, t) for a, g, t in zip(source, lang, text, strict=True)]).astype(float))
+                s = combine(m, np.stack([text_features(t) for t in text]).astype(float), _spread(np.array([_meta(a, g, t) for a, g, t in zip(source, lang, text, strict=True)])).astype(float))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_cols)], *[pa.array(s[:, i], pa.float64()) for i in range(3)]], [f"c{i}" for i in range(n_cols + 3)])
 
     return run
